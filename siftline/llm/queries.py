@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from siftline.llm import exact_dedup
+from siftline.llm import exact_dedup, language_mixture, quality, simhash
 
 
 def queries() -> dict:
-    return {"op3_exact_dedup": exact_dedup.op3_exact_dedup}
+    return {
+        "op2_simhash": simhash.op2_simhash,
+        "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+        "op4_quality_attention": quality.op4_quality_attention,
+        "op10_language_mixture": language_mixture.op10_language_mixture,
+    }
 
 
 def oracle_sql() -> dict[str, str]:

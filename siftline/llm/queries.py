@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siftline.llm import exact_dedup, language_mixture, quality, simhash
+from siftline.llm import exact_dedup, language_mixture, metric_tree, quality, simhash, unigram
 
 
 def queries() -> dict:
@@ -10,9 +10,14 @@ def queries() -> dict:
         "op2_simhash": simhash.op2_simhash,
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
         "op4_quality_attention": quality.op4_quality_attention,
+        "op7_unigram": unigram.op7_unigram,
+        "op8_metric_tree": metric_tree.op8_metric_tree,
         "op10_language_mixture": language_mixture.op10_language_mixture,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": exact_dedup.OP3_SQL}
+    return {
+        "op3_exact_dedup": exact_dedup.OP3_SQL,
+        "op8_metric_tree": metric_tree.OP8_SQL,
+    }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siftline.llm import exact_dedup, language_mixture, metric_tree, quality, simhash, unigram
+from siftline.llm import exact_dedup, language_mixture, metric_tree, quality, sentence_spans, separator_scan, simhash, unigram
 
 
 def queries() -> dict:
@@ -10,6 +10,8 @@ def queries() -> dict:
         "op2_simhash": simhash.op2_simhash,
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
         "op4_quality_attention": quality.op4_quality_attention,
+        "op5_sentence_spans": sentence_spans.op5_sentence_spans,
+        "op6_separator_scan": separator_scan.op6_separator_scan,
         "op7_unigram": unigram.op7_unigram,
         "op8_metric_tree": metric_tree.op8_metric_tree,
         "op10_language_mixture": language_mixture.op10_language_mixture,

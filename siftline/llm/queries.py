@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siftline.llm import exact_dedup, language_mixture, metric_tree, quality, sentence_spans, separator_scan, simhash, unigram
+from siftline.llm import exact_dedup, language_mixture, metric_tree, quality, sentence_spans, separator_scan, simhash, temperature_mix, unigram
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op6_separator_scan": separator_scan.op6_separator_scan,
         "op7_unigram": unigram.op7_unigram,
         "op8_metric_tree": metric_tree.op8_metric_tree,
+        "op9_temperature_mix": temperature_mix.op9_temperature_mix,
         "op10_language_mixture": language_mixture.op10_language_mixture,
     }
 

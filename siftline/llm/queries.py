@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from siftline.llm import exact_dedup, language_mixture, metric_tree, quality, sentence_spans, separator_scan, simhash, temperature_mix, unigram
+from siftline.llm import exact_dedup, language_mixture, metric_tree, pii_surrogates, quality, sentence_spans, separator_scan, simhash, temperature_mix, unigram
 
 
 def queries() -> dict:
     return {
+        "op1_pii_surrogates": pii_surrogates.op1_pii_surrogates,
         "op2_simhash": simhash.op2_simhash,
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
         "op4_quality_attention": quality.op4_quality_attention,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from siftline.llm import exact_dedup, language_mixture, metric_tree, pii_surrogates, quality, sentence_spans, separator_scan, simhash, temperature_mix, unigram
 
 
@@ -17,6 +18,7 @@ def queries() -> dict:
         "op8_metric_tree": metric_tree.op8_metric_tree,
         "op9_temperature_mix": temperature_mix.op9_temperature_mix,
         "op10_language_mixture": language_mixture.op10_language_mixture,
+        "pipeline": corpus_pipeline.run,
     }
 
 

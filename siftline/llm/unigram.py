@@ -18,8 +18,8 @@ MARK = "▁"
 #: Model files of public tokenizers; the path is a parameter of every function here.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words whose pieces a task remembers, and characters that are encoded at once.
-REMEMBERED = 200_000
-CHUNK = 1 << 21
+REMEMBERED = 150_000
+CHUNK = 1 << 18
 UNKNOWN_PENALTY = 10.0
 
 # Fixed values of the public model format: kinds of pieces, and the model kind that stores merge ranks.
@@ -148,7 +148,7 @@ class DoubleArray:
             depth += 1
             value = self.value[state]
             hit = value >= 0
-            found.append((starts[hit], np.full(int(hit.sum()), depth), value[hit]))
+            found.append((starts[hit], np.full(int(hit.sum()), depth, np.int32), value[hit]))
         return tuple(np.concatenate([f[i] for f in found] or [np.zeros(0, np.int64)]) for i in range(3))
 
 
@@ -184,9 +184,9 @@ class Encoder:
         """Ids of each text; none for a null or empty text."""
         cut = [self.words.findall(self.prepare(t or "")) for t in texts]
         new = list({w for words in cut for w in words if w not in self.known})
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known = {}
-            new = list({w for words in cut for w in words})
+        if len(self.known) > REMEMBERED:  # forget the older half
+            needed = {w for words in cut for w in words}
+            self.known = {w: p for k, (w, p) in enumerate(self.known.items()) if k > REMEMBERED // 2 or w in needed}
         self.known.update(zip(new, self._viterbi(new), strict=True))
         known = self.known.__getitem__
         return [list(chain.from_iterable(map(known, words))) for words in cut]
@@ -197,41 +197,46 @@ class Encoder:
             return []
         coded = [w.encode("utf-8", "replace") for w in words]
         data = np.frombuffer(b"".join(coded), np.uint8).astype(np.int32)
-        sizes = np.array([len(c) for c in coded])
-        first = np.cumsum(sizes) - sizes
-        heads = np.flatnonzero((data & 0xC0) != 0x80)
+        sizes = np.fromiter(map(len, coded), np.int32, len(coded))
+        first = np.cumsum(sizes, dtype=np.int32) - sizes
+        heads = np.flatnonzero((data & 0xC0) != 0x80).astype(np.int32)
         begin, end = np.repeat(first, sizes), np.repeat(first + sizes, sizes)
         start, length, piece = self.trie.matches(data, heads, end[heads])
         score = self.scores[piece]
-        width = np.diff(np.append(heads, len(data)))
+        width = np.diff(np.append(heads, np.int32(len(data))))
         single = np.zeros(len(data), bool)
-        whole = np.zeros(len(data), np.int64)
+        whole = np.zeros(len(data), np.int32)
         whole[heads] = width
         single[start[length == whole[start]]] = True
         lone = heads[~single[heads]]
         start, length = np.concatenate([start, lone]), np.concatenate([length, whole[lone]])
-        piece, score = np.concatenate([piece, np.full(len(lone), -1)]), np.concatenate([score, np.full(len(lone), self.unknown_score, np.float32)])
-        order = np.argsort(start - begin[start], kind="stable")
-        start, stop, piece, score = start[order], (start + length)[order], piece[order], score[order]
-        offset = (start - begin[start]).astype(np.int64)
+        piece, score = np.concatenate([piece, np.full(len(lone), -1, np.int32)]), np.concatenate([score, np.full(len(lone), self.unknown_score, np.float32)])
+        offset = start - begin[start]
+        offset = offset.astype(np.uint16) if sizes.max() < 1 << 16 else offset  # short keys sort faster
+        order = np.argsort(offset, kind="stable")
+        offset, start, piece, score = offset[order], start[order], piece[order], score[order]
         # best[p + word] is that of the prefix ending before byte p; a word's end and the next one's start differ
-        own = np.repeat(np.arange(len(words)), sizes)[start]
+        own = np.repeat(np.arange(len(words), dtype=np.int32), sizes)[start]
+        source = start + own
+        stop = start + length[order]
+        target = source + length[order]
         best = np.full(len(data) + len(words), -np.inf, np.float32)
         best[first + np.arange(len(words))] = 0
-        back = np.full(len(best), -1, np.int64)
+        back = np.full(len(best), -1, np.int32)
         steps = np.flatnonzero(np.append(True, offset[1:] != offset[:-1]))
         for a, b in pairwise([*steps.tolist(), len(start)]):
-            to = stop[a:b] + own[a:b]
-            got = best[start[a:b] + own[a:b]] + score[a:b]
-            up = got > best[to]
-            best[to[up]] = got[up]
-            back[to[up]] = np.arange(a, b)[up]
+            to = target[a:b]
+            got = best[source[a:b]] + score[a:b]
+            up = np.flatnonzero(got > best[to])
+            to = to[up]
+            best[to] = got[up]
+            back[to] = up + a
         at = first + sizes + np.arange(len(words))
         taken = []
         while len(at):
             edge = back[at]
             taken.append(edge)
-            at = (start[edge] + own[edge])[start[edge] > first[own[edge]]]
+            at = source[edge][start[edge] > first[own[edge]]]
         taken = np.concatenate(taken)
         taken = taken[np.argsort(start[taken], kind="stable")]
         counts = np.bincount(own[taken], minlength=len(words))
@@ -274,11 +279,12 @@ def load(path: str) -> Encoder:
     return Encoder(read_vocabulary(path))
 
 
-def _chunks(texts: list[str | None]) -> Iterator[list[str | None]]:
+def _chunks(texts: pa.Array) -> Iterator[list[str | None]]:
+    """The texts in order, about CHUNK characters at a time."""
     part, held = [], 0
     for t in texts:
-        part.append(t)
-        held += len(t or "")
+        part.append(t.as_py())
+        held += len(part[-1] or "")
         if held >= CHUNK:
             yield part
             part, held = [], 0
@@ -299,13 +305,14 @@ def encode(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col
         encoder = shared.value
         for batch in batches:
             at = 0
-            for part in _chunks(batch.column(1).to_pylist()):
+            for part in _chunks(batch.column(1)):
                 ids = encoder.encode(part)
                 sizes = np.array([len(x) for x in ids], np.int64)
                 flat = pa.array(np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum())))
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), flat)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), lists, pa.array(sizes)], ["id", "ids", "n_tokens"])
                 at += len(part)
+        encoder.known = {}  # a worker lives on after its task
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, ids array<int>, n_tokens long").withColumnRenamed("id", id_col)
 

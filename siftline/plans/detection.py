@@ -1,2 +1,143 @@
-QUERIES: dict = {}
-SQL: dict = {}
+"""Queries of detection on source text."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from siftline import fixed
+from siftline.functions import scoring as s
+from siftline.operators import detection as det
+from siftline.plans import triage
+from siftline.plans import views as v
+from siftline.plans.views import sql
+
+#: A line of code for each order, by its key; # is the customer's number.
+TEMPLATES = [
+    ("python", 'cursor.execute("SELECT * FROM t WHERE id = ?", (x#,))'), ("python", 'cursor.execute("SELECT * FROM t WHERE id = " + x#)'), ("java", "statement.executeQuery()"), ("python", 'db.execute("CREATE TABLE t# (a int)")'),
+    ("python", 'subprocess.run(["ls", "x#"])'), ("python", 'subprocess.run(["ls"], shell=True)'), ("python", 'os.system("rm " + x#)'), ("python", "ast.literal_eval(x#)"), ("python", "eval(x#)"), ("python", "obj.compile(x#)"),
+    ("python", 'open("data.txt")'), ("python", "open(path#)"), ("python", "path.open(x#)"), ("python", "yaml.safe_load(x#)"), ("python", "pickle.loads(x#)"), ("javascript", "res.redirect(req.query.next)"), ("javascript", 'res.redirect("/home")'),
+    ("python", "redirect(next_url)"), ("javascript", 'fetch("http://a.example/c")'), ("javascript", "axios.get(req.query.url)"), ("javascript", "fetch(url)"), ("javascript", 'coll.find({$where: "a" + user#})'), ("javascript", 'createHash("md5")'),
+    ("javascript", 'createHash("sha256")'), ("javascript", "document.write(x#)"), ("javascript", 'res.render("page", {name: req.query.name})'), ("javascript", 'res.render("page")'), ("javascript", 'console.log("password mismatch")'), ("python", "print(password)"),
+    ("javascript", 'res.cookie("s", v, {secure: false})'), ("javascript", "parseXmlString(x#, {noent: true})"), ("javascript", "obj.__proto__ = merge(x#)"), ("c", "strcpy(a, b#)"), ("go", "db.Query(q#)"), ("java", "new FileReader(name#)"), ("python", "total = x# + 1"),
+]
+
+
+def calls(spark, sf):
+    """(file, language, line_no, code): one of the templates for each order."""
+    o = v.table(spark, sf, "orders")
+    k = (F.col("o_orderkey") % len(TEMPLATES) + 1).cast("int")
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), k)
+    return o.select(F.concat(F.lit("src/f"), F.col("o_custkey") % 500).alias("file"), pick([t[0] for t in TEMPLATES]).alias("language"), F.col("o_orderkey").alias("line_no"), F.regexp_replace(pick([t[1] for t in TEMPLATES]), "#", F.col("o_custkey").cast("string")).alias("code"))
+
+
+_Q = lambda t: t.replace("'", "''")
+CALLS = f"""calls AS (SELECT 'src/f' || (o_custkey % 500) AS file, [{', '.join(f"'{a}'" for a, _ in TEMPLATES)}][CAST(o_orderkey % {len(TEMPLATES)} + 1 AS INTEGER)] AS language, o_orderkey AS line_no, o_orderkey % {len(TEMPLATES)} AS t,
+  replace([{', '.join(f"'{_Q(b)}'" for _, b in TEMPLATES)}][CAST(o_orderkey % {len(TEMPLATES)} + 1 AS INTEGER)], '#', CAST(o_custkey AS VARCHAR)) AS code FROM orders)"""
+
+
+def explode_lines(spark, sf):
+    return v.source_lines(spark, sf).groupBy("file").agg(F.max("line_no").alias("lines"), F.sum(F.length("code")).alias("chars"))
+
+
+def call_name_extract(spark, sf):
+    return calls(spark, sf).select("line_no", F.coalesce(F.array_join(det.call_names(F.col("code")), ","), F.lit("")).alias("calls"))
+
+
+def rule_match(spark, sf):
+    return det.rule_match(calls(spark, sf), det.rules(spark)).select("line_no", "call", "rule", "cwe_id", "severity")
+
+
+def suppressions(spark, sf):
+    """For each line of code which kinds of rule would leave it out."""
+    x = calls(spark, sf).withColumn("call", F.regexp_extract("code", det.CALL, 1))
+    return x.select("line_no", *[c.alias(f"safe_{k}") for k, c in det.suppressions(F.col("code"), F.col("call")).items()])
+
+
+def detect(spark, sf):
+    """Matches that no suppression of their kind leaves out, the first by file and CWE."""
+    kinds = {"CWE-89": "sql", "CWE-78": "command", "CWE-95": "eval", "CWE-22": "path", "CWE-502": "deserialization", "CWE-601": "redirect", "CWE-918": "ssrf", "CWE-943": "nosql", "CWE-327": "crypto", "CWE-532": "log", "CWE-614": "cookie", "CWE-611": "xxe", "CWE-1321": "merge"}
+    x = det.rule_match(calls(spark, sf), det.rules(spark))
+    safe = det.suppressions(F.col("code"), F.col("call"))
+    gone = F.lit(False)
+    for cwe, kind in kinds.items():
+        gone = gone | ((F.col("cwe_id") == cwe) & safe[kind])
+    gone = gone | ((F.col("rule") == "template_xss") & safe["template"]) | ((F.col("rule") == "xss_innerhtml") & safe["innerhtml"])
+    return x.where(~gone).groupBy("file", "cwe_id").agg(F.min("line_no").alias("line_no"))
+
+
+def clearly_safe_files(spark, sf):
+    c = calls(spark, sf)
+    return c.select("file").distinct().join(detect(spark, sf).where("cwe_id = 'CWE-89'"), "file", "left_anti")
+
+
+def hardcoded_secret(spark, sf):
+    x = v.source_lines(spark, sf).withColumn("s", det.hardcoded_secret(F.col("code"))).where("s IS NOT NULL")
+    return x.select("file", "line_no", F.col("s.value").alias("value"))
+
+
+def context_window(spark, sf):
+    d = v.table(spark, sf, "documents").select(F.concat(F.lit("doc/"), F.col("doc_id")).alias("file"), "text")
+    return det.context_windows(d, r"\d{3}\.\d{1,3}\.", 5, 2).select("file", "line_no", F.md5("context").alias("hash"))
+
+
+def code_slice(spark, sf):
+    d = v.table(spark, sf, "documents").select(F.concat(F.lit("doc/"), F.col("doc_id")).alias("file"), "text")
+    points = v.table(spark, sf, "labels").select(F.col("doc_id").alias("id"), F.concat(F.lit("doc/"), F.col("doc_id")).alias("file"), F.lit(3).alias("line"))
+    return det.code_slice(d, points, 2).select("id", F.md5("slice").alias("hash"))
+
+
+def detect_language(spark, sf):
+    """The language of paths that end in one of 19 extensions, or none, by both maps, and whether they are scanned."""
+    ends = [*fixed.LANGUAGE_BY_EXTENSION, *fixed.MORE_EXTENSIONS, "txt", "PY", "min.js"]
+    dirs = ["src", "node_modules", "test", "bin", "scripts", "lib"]
+    o = v.table(spark, sf, "orders")
+    pick = lambda values, i: F.element_at(F.array(*map(F.lit, values)), (i + 1).cast("int"))
+    path = F.concat(pick(dirs, F.col("o_custkey") % len(dirs)), F.lit("/f"), F.col("o_orderkey") % 50, F.lit("."), pick(ends, F.col("o_orderkey") % len(ends)))
+    return o.select(F.col("o_orderkey").alias("id"), path.alias("path")).select("id", s.file_language(F.col("path")).alias("strict"), s.file_language(F.col("path"), wide=True).alias("wide"), s.scannable(F.col("path")).alias("scanned"))
+
+
+def line_graph(spark, sf):
+    """Counts of edges of each type over all files."""
+    x = det.code_lines(v.source_lines(spark, sf))
+    flow = det.branch_edges(x).groupBy("type").agg(F.count("*").alias("n"))
+    tree = det.indent_edges(x).agg(F.count("*").alias("n")).select(F.lit("ast").alias("type"), "n")
+    data = det.def_use_edges(x).agg(F.count("*").alias("n")).select(F.lit("ddg").alias("type"), "n")
+    return flow.unionByName(tree).unionByName(data)
+
+
+QUERIES = {
+    "explode_lines": explode_lines, "call_name_extract": call_name_extract, "rule_match": rule_match, "suppressions": suppressions, "detect": detect, "clearly_safe_files": clearly_safe_files,
+    "hardcoded_secret": hardcoded_secret, "context_window": context_window, "code_slice": code_slice, "detect_language": detect_language, "line_graph": line_graph,
+}
+
+_FN = ", ".join(f"('{lang}', '{name}', 'CWE-{cwe}', '{sev}', '{f}')" for lang, group in det.RULES.items() for name, cwe, sev, fs in group for f in fs.split())
+_CALLED = CALLS + r""", called AS (SELECT line_no, file, language, code, t, unnest(list_distinct(regexp_extract_all(code, '([\w$.]+)\s*\(', 1))) AS call FROM calls)"""
+_MATCH = _CALLED + f""", fn(language, rule, cwe_id, severity, f) AS (VALUES {_FN}),
+m AS (SELECT DISTINCT c.line_no, c.file, c.code, c.t, c.call, fn.rule, fn.cwe_id, fn.severity FROM called c JOIN fn ON c.language = fn.language AND (c.call = f OR ends_with(c.call, '.' || f) OR (contains(f, '.') AND contains(c.call, f) AND split_part(f, '.', -1) = split_part(c.call, '.', -1)))
+  WHERE NOT (f = 'exec' AND regexp_matches(lower(c.call), '(regex|regexp|re|pattern)\\.exec$')) AND NOT (f = 'open' AND contains(c.call, '.')) AND NOT (split_part(c.call, '.', -1) = 'load' AND contains(c.call, 'safe')))"""
+# By hand, from what each kind's rule says of the numbered templates.
+_SAFE_T = {
+    "sql": "t IN (0, 2, 3, 35)", "command": "t = 4", "eval": "t <> 8", "path": "t IN (0, 3, 10, 12, 16, 18, 22, 23, 25, 26, 27, 29)", "deserialization": "t = 13", "redirect": "t NOT IN (15, 17, 19, 20, 25)",
+    "ssrf": "t NOT IN (15, 19, 25)", "nosql": "t <> 21", "crypto": "t <> 22", "innerhtml": "FALSE", "template": "t NOT IN (15, 19, 25)", "log": "t NOT IN (15, 19, 25, 28)", "cookie": "t <> 29", "xxe": "t <> 30", "merge": "t <> 31",
+}
+_KINDS = {"CWE-89": "sql", "CWE-78": "command", "CWE-95": "eval", "CWE-22": "path", "CWE-502": "deserialization", "CWE-601": "redirect", "CWE-918": "ssrf", "CWE-943": "nosql", "CWE-327": "crypto", "CWE-532": "log", "CWE-614": "cookie", "CWE-611": "xxe", "CWE-1321": "merge"}
+_DETECT = _MATCH + ", d AS (SELECT file, cwe_id, min(line_no) AS line_no FROM m WHERE NOT (" + " OR ".join(f"(cwe_id = '{c}' AND {_SAFE_T[k]})" for c, k in _KINDS.items()) + f" OR (rule = 'template_xss' AND {_SAFE_T['template']}) OR (rule = 'xss_innerhtml' AND {_SAFE_T['innerhtml']})) GROUP BY 1, 2)"
+_ENDS = [*fixed.LANGUAGE_BY_EXTENSION, *fixed.MORE_EXTENSIONS, "txt", "PY", "min.js"]
+_NARROW = triage.case("e", fixed.LANGUAGE_BY_EXTENSION | {"PY": "python", "min.js": "javascript"}, "NULL")
+_WIDE = triage.case("e", fixed.LANGUAGE_BY_EXTENSION | fixed.MORE_EXTENSIONS | {"PY": "python", "min.js": "javascript"}, "'python'")
+SQL = {
+    "explode_lines": sql("SELECT file, CAST(max(line_no) AS INTEGER) AS lines, CAST(sum(length(code)) AS BIGINT) AS chars FROM source_lines GROUP BY 1", "source_lines"),
+    "call_name_extract": sql(r"SELECT line_no, array_to_string(regexp_extract_all(code, '([\w$.]+)\s*\(', 1), ',') AS calls FROM calls", more=CALLS),
+    "rule_match": sql("SELECT line_no, call, rule, cwe_id, severity FROM m", more=_MATCH),
+    "suppressions": sql("SELECT line_no, " + ", ".join(f"{c} AS safe_{k}" for k, c in _SAFE_T.items()) + " FROM calls", more=CALLS),
+    "detect": sql("SELECT * FROM d", more=_DETECT),
+    "clearly_safe_files": sql("SELECT DISTINCT file FROM calls WHERE file NOT IN (SELECT file FROM d WHERE cwe_id = 'CWE-89')", more=_DETECT),
+    "hardcoded_secret": sql(r"""SELECT file, CAST(line_no AS INTEGER) AS line_no, regexp_extract(code, 'token = "([^"]*)"', 1) AS value FROM source_lines WHERE regexp_matches(code, 'token = "[^"]{4,}"')""", "source_lines"),
+    "context_window": sql(r"SELECT s.file, CAST(s.line_no AS INTEGER) AS line_no, md5(string_agg(t.code, chr(10) ORDER BY t.line_no)) AS hash FROM source_lines s JOIN source_lines t ON s.file = t.file AND t.line_no BETWEEN s.line_no - 5 AND s.line_no + 2 WHERE regexp_matches(s.code, '[0-9]{3}\.[0-9]{1,3}\.') GROUP BY 1, 2", "source_lines"),
+    "code_slice": sql("SELECT l.doc_id AS id, md5(coalesce(string_agg(lpad(CAST(s.line_no AS VARCHAR), 4, ' ') || CASE WHEN s.line_no = 3 THEN ' >> ' ELSE '    ' END || s.code, chr(10) ORDER BY s.line_no), '')) AS hash FROM labels l LEFT JOIN source_lines s ON s.file = 'doc/' || l.doc_id AND s.line_no BETWEEN 1 AND 5 GROUP BY 1", "source_lines"),
+    "detect_language": f"""WITH p AS (SELECT o_orderkey AS id, ['src','node_modules','test','bin','scripts','lib'][CAST(o_custkey % 6 + 1 AS INTEGER)] AS d, ['{"','".join(_ENDS)}'][CAST(o_orderkey % {len(_ENDS)} + 1 AS INTEGER)] AS e FROM orders)
+        SELECT id, {_NARROW} AS strict, {_WIDE} AS wide, ({_NARROW}) IS NOT NULL AND d NOT IN ('node_modules', 'test') AND e <> 'min.js' AND NOT (d IN ('bin', 'scripts') AND coalesce({_NARROW}, '') IN ('javascript', 'typescript')) AS scanned FROM p""",
+    "line_graph": sql(r"""SELECT type, count(*) AS n FROM f GROUP BY 1 UNION ALL SELECT 'ast', count(*) FROM (SELECT a.file, a.idx FROM c a WHERE EXISTS (SELECT 1 FROM c b WHERE b.file = a.file AND b.idx < a.idx AND b.indent < a.indent)) q UNION ALL SELECT 'ddg', count(*) FROM (SELECT DISTINCT u.file, u.idx, d.var FROM df d JOIN c u ON d.file = u.file AND u.idx > d.idx AND u.idx <= d.idx + 8 AND contains(u.stripped, d.var) AND NOT EXISTS (SELECT 1 FROM df x WHERE x.file = u.file AND x.idx = u.idx AND x.var = d.var)) z""", "source_lines", more=r"""c AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY line_no) - 1 AS idx FROM (SELECT file, line_no, trim(replace(replace(code, chr(9), ' '), chr(13), ' ')) AS stripped, length(regexp_extract(code, '^([ \t]*)', 1)) AS indent FROM source_lines) z WHERE stripped <> '' AND NOT regexp_matches(stripped, '^(#|//|/\*|\*)')),
+        f AS (SELECT CASE WHEN regexp_matches(stripped, '^(if|elif|else|for|while|try|except|switch|case)\b') THEN 'cfg_branch' WHEN regexp_matches(stripped, '^(return|break|continue|raise|throw)\b') THEN 'cfg_return' ELSE 'cfg' END AS type FROM (SELECT stripped, lead(idx) OVER (PARTITION BY file ORDER BY idx) AS nxt FROM c) z WHERE nxt IS NOT NULL),
+        df AS (SELECT file, idx, unnest(list_distinct(regexp_extract_all(stripped, '\b([a-zA-Z_]\w*)\s*=', 1))) AS var FROM c)"""),
+}

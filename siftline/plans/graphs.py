@@ -1,2 +1,228 @@
-QUERIES: dict = {}
-SQL: dict = {}
+"""Queries over code graphs."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from siftline import fixed
+from siftline.functions import scoring as s
+from siftline.operators import graphs as g
+from siftline.plans import triage
+from siftline.plans import views as v
+from siftline.plans.views import sql
+from siftline.tables import written
+
+D = triage.D
+
+
+def _graph(spark, sf):
+    n = written(v.cpg_nodes(spark, sf), "cpg_nodes")
+    return n, written(v.cpg_edges(n), "cpg_edges")
+
+
+def _last(nodes):
+    return nodes.groupBy("graph_id").agg(F.max("node_id").alias("node_id"))
+
+
+def _ends(nodes):
+    return nodes.groupBy("graph_id").agg(F.lit(1).cast("long").alias("source"), F.max("node_id").alias("sink"))
+
+
+def backward_slice(spark, sf):
+    n, e = _graph(spark, sf)
+    return g.backward_slice(e, _last(n)).select("graph_id", "node_id", "depth")
+
+
+def slice_reduction(spark, sf):
+    """The share of each graph's nodes that its slice leaves out."""
+    n, e = _graph(spark, sf)
+    kept = g.backward_slice(e, _last(n)).groupBy("graph_id").agg(F.count("*").alias("kept"))
+    return n.groupBy("graph_id").agg(F.count("*").alias("n")).join(kept, "graph_id").select("graph_id", F.round(1 - F.col("kept") / F.col("n"), 6).alias("reduction"))
+
+
+def _points(spark, sf):
+    return v.findings(spark, sf).select(F.col("id").alias("graph_id"), (F.col("line") % 100).alias("line"))
+
+
+def nearest_line_node(spark, sf):
+    return g.nearest_node(v.cpg_nodes(spark, sf), _points(spark, sf), 3).withColumn("node_id", F.coalesce("node_id", F.lit(-1)))
+
+
+def slice_for_finding(spark, sf):
+    n, e = _graph(spark, sf)
+    sinks = g.nearest_node(n, _points(spark, sf), 3)
+    sources = n.where("node_id = 2").select("graph_id", "node_id")
+    return g.slice_for_points(n, e, written(sinks, "sinks"), sources)
+
+
+def ast_context_expand(spark, sf):
+    n, e = _graph(spark, sf)
+    return g.expand_context(n, e, _last(n))
+
+
+def dependency_subgraph(spark, sf):
+    n, e = _graph(spark, sf)
+    return g.dependency_edges(e).groupBy("type").agg(F.count("*").alias("n"), F.countDistinct("graph_id").alias("graphs"))
+
+
+def degree_features(spark, sf):
+    n, e = _graph(spark, sf)
+    return g.degree_features(n, e).select("graph_id", "node_id", F.round("f_in", 6).alias("f_in"), F.round("f_out", 6).alias("f_out"))
+
+
+def pattern_flags(spark, sf):
+    """Whether a document's text has a source word and a sink word."""
+    d = v.table(spark, sf, "documents")
+    return d.select("doc_id", g.has_word(F.col("text"), fixed.SOURCE_WORDS).alias("is_source"), g.has_word(F.col("text"), fixed.SINK_WORDS).alias("is_sink"))
+
+
+def language_code(spark, sf):
+    return v.findings(spark, sf).select("id", s.lookup(F.col("language"), fixed.LANGUAGE_CODES, 0.5).alias("code"))
+
+
+def bfs_depth(spark, sf):
+    n, e = _graph(spark, sf)
+    return g.bfs_depth(n, e).select("graph_id", "node_id", "depth", F.round("share", 6).alias("share"))
+
+
+def bfs_truncate(spark, sf):
+    n, e = _graph(spark, sf)
+    return g.bfs_truncate(n, e, 4)
+
+
+def path_features(spark, sf):
+    n, e = _graph(spark, sf)
+    return g.path_features(e, _ends(n)).select("graph_id", F.round("path_length", 6).alias("path_length"), F.round("call_depth", 6).alias("call_depth"))
+
+
+def control_flow_and_fan_out(spark, sf):
+    n, e = _graph(spark, sf)
+    return g.flat_features(n, e).select("graph_id", "control_flow", F.round("fan_out", 6).alias("fan_out"))
+
+
+def _sanitizer():
+    return F.col("type").isin("CALL", "IDENTIFIER") & F.col("code").endswith("7")
+
+
+def sanitizer_coverage(spark, sf):
+    n, e = _graph(spark, sf)
+    return g.sanitizer_coverage(n, e, _ends(n), _sanitizer())
+
+
+def extract_features(spark, sf):
+    """All five features, the raw counts and the risk they give."""
+    n, e = _graph(spark, sf)
+    x = g.path_features(e, _ends(n)).join(g.flat_features(n, e), "graph_id").join(g.sanitizer_coverage(n, e, _ends(n), _sanitizer()), "graph_id")
+    risk = s.heuristic_risk(*[F.col(c) for c in ("path_length", "control_flow", "fan_out", "coverage", "call_depth")])
+    return x.select("graph_id", F.round(risk, 5).alias("risk"), F.floor(F.round(F.col("path_length") * 20, 6)).cast("int").alias("raw_path"), F.floor(F.round(F.col("fan_out") * 15, 6)).cast("int").alias("raw_fan_out"), F.floor(F.round(F.col("call_depth") * 8, 6)).cast("int").alias("raw_calls"))
+
+
+def connected_components(spark, sf):
+    n, e = _graph(spark, sf)
+    return g.components(n, e.where("type IN ('DDG', 'CALL')"))
+
+
+def cpg_stats(spark, sf):
+    n, e = _graph(spark, sf)
+    return g.graph_stats(n, e).select("graph_id", "nodes", "edges", F.round("mean_degree", 6).alias("mean_degree"), F.round("density", 6).alias("density"), "components")
+
+
+def _features(n):
+    return n.select("graph_id", "node_id", F.array(F.col("line").cast("double"), (F.col("partkey") % 10).cast("double")).alias("x"))
+
+
+def neighbour_sum(spark, sf):
+    n, e = _graph(spark, sf)
+    return g.neighbour_sum(_features(n), e.where("type <> 'AST'")).select("graph_id", "node_id", F.col("x")[0].alias("x0"), F.col("x")[1].alias("x1"))
+
+
+def graph_pool(spark, sf):
+    return g.graph_pool(_features(v.cpg_nodes(spark, sf))).select("graph_id", F.round(F.col("mean")[0], 6).alias("mean0"), F.col("sum")[1].alias("sum1"))
+
+
+def simplified_graph(spark, sf):
+    f = v.findings(spark, sf).withColumn("end_line", F.when(F.col("id") % 4 != 0, F.col("line") + (F.col("id") % 4).cast("int") - 1))
+    nodes, edges = g.chain_graph(f)
+    return edges.groupBy("graph_id").agg(F.count_if(F.col("type") == "CFG").alias("cfg"), F.count_if(F.col("type") == "DDG").alias("ddg"), F.max("dst").alias("last"))
+
+
+def sequential_edges(spark, sf):
+    n = v.cpg_nodes(spark, sf)
+    return v.cpg_edges(n).select("graph_id", "src", "dst", "type")
+
+
+QUERIES = {
+    "backward_slice": backward_slice, "slice_reduction": slice_reduction, "nearest_line_node": nearest_line_node, "slice_for_finding": slice_for_finding, "ast_context_expand": ast_context_expand,
+    "dependency_subgraph": dependency_subgraph, "degree_features": degree_features, "pattern_flags": pattern_flags, "language_code": language_code, "bfs_depth": bfs_depth, "bfs_truncate": bfs_truncate,
+    "path_features": path_features, "control_flow_and_fan_out": control_flow_and_fan_out, "sanitizer_coverage": sanitizer_coverage, "extract_features": extract_features,
+    "connected_components": connected_components, "cpg_stats": cpg_stats, "neighbour_sum": neighbour_sum, "graph_pool": graph_pool, "simplified_graph": simplified_graph, "sequential_edges": sequential_edges,
+}
+
+N, NE = ("cpg_nodes",), ("cpg_nodes", "cpg_edges")
+_DEP = ", ".join(f"'{t}'" for t in fixed.DEPENDENCY_EDGES)
+
+
+def walk(name: str, start: str, step: str, most: int) -> str:
+    """A recursive common table expression (graph_id, node_id, depth) from start along step(graph_id, a, b)."""
+    return f"{name} AS (SELECT graph_id, node_id, 0 AS depth FROM ({start}) z UNION SELECT w.graph_id, e.b, w.depth + 1 FROM {name} w JOIN ({step}) e ON w.graph_id = e.graph_id AND w.node_id = e.a WHERE w.depth < {most})"
+
+
+def recursive(body: str, *parts: str) -> str:
+    return "WITH RECURSIVE " + ", ".join([f"{n} AS ({v.SQL[n]})" for n in NE] + list(parts)) + "\n" + body
+
+
+_LAST = "SELECT graph_id, max(node_id) AS node_id FROM cpg_nodes GROUP BY 1"
+_BACK = f"SELECT graph_id, dst AS a, src AS b FROM cpg_edges WHERE type IN ({_DEP})"
+_SLICE = walk("sl", _LAST, _BACK, 10)
+_DEG = "deg AS (SELECT n.graph_id, n.node_id, (SELECT count(*) FROM cpg_edges e WHERE e.graph_id = n.graph_id AND e.dst = n.node_id) AS n_in, (SELECT count(*) FROM cpg_edges e WHERE e.graph_id = n.graph_id AND e.src = n.node_id) AS n_out FROM cpg_nodes n)"
+_ROOT = "SELECT graph_id, node_id FROM (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY n_in + n_out DESC, node_id) AS rn FROM deg) q WHERE rn = 1"
+_BOTH = "SELECT graph_id, src AS a, dst AS b FROM cpg_edges UNION ALL SELECT graph_id, dst, src FROM cpg_edges"
+_DEPTH = walk("bf", _ROOT, _BOTH, 12) + ", dp AS (SELECT n.graph_id, n.node_id, d.depth, greatest(max(d.depth) OVER (PARTITION BY n.graph_id), 1) AS deep FROM cpg_nodes n LEFT JOIN (SELECT graph_id, node_id, min(depth) AS depth FROM bf GROUP BY 1, 2) d ON n.graph_id = d.graph_id AND n.node_id = d.node_id)"
+_FIRST = "SELECT DISTINCT graph_id, CAST(1 AS BIGINT) AS node_id FROM cpg_nodes"
+_PATHS = f"""{walk("pd", _FIRST, f"SELECT graph_id, src AS a, dst AS b FROM cpg_edges WHERE type IN ({_DEP})", 20)},
+pe AS (SELECT graph_id, node_id, 0 AS depth, 0 AS calls FROM ({_FIRST}) z UNION SELECT w.graph_id, e.dst, w.depth + 1, w.calls + CASE WHEN e.type = 'CALL' THEN 1 ELSE 0 END FROM pe w JOIN cpg_edges e ON w.graph_id = e.graph_id AND w.node_id = e.src WHERE w.depth < 12),
+la AS ({_LAST}), pf AS (SELECT la.graph_id, least(coalesce((SELECT min(depth) FROM pd WHERE pd.graph_id = la.graph_id AND pd.node_id = la.node_id) / 20.0, m.depth / 20.0, 1), 1) AS path_length, least(coalesce(m.calls / 8.0, 0), 1) AS call_depth
+  FROM la LEFT JOIN (SELECT graph_id, node_id, depth, min(calls) AS calls FROM pe GROUP BY 1, 2, 3 QUALIFY row_number() OVER (PARTITION BY graph_id, node_id ORDER BY depth) = 1) m ON la.graph_id = m.graph_id AND la.node_id = m.node_id)"""
+_FLAT = """ff AS (SELECT c.graph_id, c.control_flow, least(coalesce(o.n / 15.0, 0), 1) AS fan_out FROM (SELECT graph_id, round(1 - exp(-5.0 * count(*) FILTER (type = 'CONTROL_STRUCTURE') / count(*)), 6) AS control_flow FROM cpg_nodes GROUP BY 1) c
+  LEFT JOIN (SELECT graph_id, max(n) AS n FROM (SELECT graph_id, src, count(*) AS n FROM cpg_edges WHERE type = 'DDG' GROUP BY 1, 2) q GROUP BY 1) o ON c.graph_id = o.graph_id)"""
+# All edges lead to larger node numbers, so every path is simple.
+_CLEAN = f"""st AS (SELECT DISTINCT graph_id, src, dst FROM cpg_edges), mk AS (SELECT graph_id, node_id FROM cpg_nodes WHERE type IN ('CALL', 'IDENTIFIER') AND code LIKE '%7'),
+sp AS (SELECT f.graph_id, f.node_id, 0 AS depth, mk.node_id IS NOT NULL AS clean, '1' AS path FROM ({_FIRST}) f LEFT JOIN mk ON f.graph_id = mk.graph_id AND f.node_id = mk.node_id
+  UNION ALL SELECT p.graph_id, st.dst, p.depth + 1, p.clean OR mk.node_id IS NOT NULL, p.path || ',' || st.dst FROM sp p JOIN st ON p.graph_id = st.graph_id AND p.node_id = st.src LEFT JOIN mk ON st.graph_id = mk.graph_id AND st.dst = mk.node_id WHERE p.depth < 15),
+l2 AS ({_LAST}), sc AS (SELECT l2.graph_id, coalesce(round(avg(CASE WHEN sp.clean THEN 1.0 ELSE 0.0 END), 6), 0) AS coverage FROM l2 LEFT JOIN sp ON l2.graph_id = sp.graph_id AND l2.node_id = sp.node_id AND sp.depth > 0 GROUP BY 1)"""
+_NEAR = """pt AS (SELECT o_orderkey AS graph_id, CAST((o_orderkey % 997 + 1) % 100 AS INTEGER) AS line FROM orders), nn AS (SELECT pt.graph_id, pt.line, b.node_id FROM pt LEFT JOIN (SELECT * FROM (SELECT pt.graph_id, pt.line AS at, n.node_id, row_number() OVER (PARTITION BY pt.graph_id
+  ORDER BY CASE WHEN n.line = pt.line AND n.type IN ('CALL', 'IDENTIFIER', 'METHOD') THEN 0 WHEN n.line = pt.line THEN 1 ELSE 2 END, abs(n.line - pt.line), n.node_id) AS rn FROM pt JOIN cpg_nodes n ON pt.graph_id = n.graph_id AND n.line > 0 AND abs(n.line - pt.line) <= 3) q WHERE rn = 1) b ON pt.graph_id = b.graph_id)"""
+
+
+def _context(inside: str) -> str:
+    return f"""sn AS (SELECT i.graph_id, min(n.line) - 5 AS lo, max(n.line) + 5 AS hi FROM {inside} i JOIN cpg_nodes n ON i.graph_id = n.graph_id AND i.node_id = n.node_id WHERE n.line > 0 GROUP BY 1),
+      cx AS (SELECT graph_id, node_id FROM {inside} UNION SELECT n.graph_id, n.node_id FROM cpg_nodes n JOIN sn ON n.graph_id = sn.graph_id AND n.line BETWEEN sn.lo AND sn.hi WHERE EXISTS (SELECT 1 FROM (SELECT graph_id, src AS a, dst AS b FROM cpg_edges WHERE type = 'AST' UNION ALL SELECT graph_id, dst, src FROM cpg_edges WHERE type = 'AST') t
+        JOIN {inside} i ON t.graph_id = i.graph_id AND t.a = i.node_id WHERE t.graph_id = n.graph_id AND t.b = n.node_id))"""
+
+
+SQL = {
+    "backward_slice": recursive("SELECT graph_id, node_id, min(depth) AS depth FROM sl GROUP BY 1, 2", _SLICE),
+    "slice_reduction": recursive("SELECT n.graph_id, round(1 - CAST(k AS DOUBLE) / n, 6) AS reduction FROM (SELECT graph_id, count(*) AS n FROM cpg_nodes GROUP BY 1) n JOIN (SELECT graph_id, count(DISTINCT node_id) AS k FROM sl GROUP BY 1) k ON n.graph_id = k.graph_id", _SLICE),
+    "nearest_line_node": sql("SELECT graph_id, line, coalesce(node_id, -1) AS node_id FROM nn", *N, more=_NEAR),
+    "slice_for_finding": recursive("SELECT cx.graph_id, cx.node_id FROM cx WHERE graph_id NOT IN (SELECT graph_id FROM nn WHERE node_id IS NULL) UNION ALL SELECT graph_id, node_id FROM cpg_nodes WHERE graph_id IN (SELECT graph_id FROM nn WHERE node_id IS NULL)", _NEAR,
+        walk("s1", "SELECT graph_id, node_id FROM nn WHERE node_id IS NOT NULL", _BACK, 10), walk("s2", "SELECT graph_id, node_id FROM cpg_nodes WHERE node_id = 2", _BACK, 3), "ins AS (SELECT graph_id, node_id FROM s1 UNION SELECT graph_id, node_id FROM s2)", _context("ins")),
+    "ast_context_expand": recursive("SELECT * FROM cx", f"ins AS ({_LAST})", _context("ins")),
+    "dependency_subgraph": sql(f"SELECT type, count(*) AS n, count(DISTINCT graph_id) AS graphs FROM cpg_edges WHERE type IN ({_DEP}) GROUP BY 1", *NE),
+    "degree_features": sql("SELECT graph_id, node_id, round(CAST(n_in AS DOUBLE) / greatest(max(n_in) OVER (PARTITION BY graph_id), 1), 6) AS f_in, round(CAST(n_out AS DOUBLE) / greatest(max(n_out) OVER (PARTITION BY graph_id), 1), 6) AS f_out FROM deg", *NE, more=_DEG),
+    "pattern_flags": "SELECT doc_id, " + ", ".join("(" + " OR ".join(f"contains(lower(text), '{w.lower()}')" for w in words) + f") AS {name}" for name, words in (("is_source", fixed.SOURCE_WORDS), ("is_sink", fixed.SINK_WORDS))) + " FROM documents",
+    "language_code": sql(f"SELECT id, {triage.case('language', fixed.LANGUAGE_CODES, D(0.5))} AS code FROM findings", "findings"),
+    "bfs_depth": recursive("SELECT graph_id, node_id, depth, round(coalesce(CAST(depth AS DOUBLE) / deep, 1), 6) AS share FROM dp", _DEG, _DEPTH),
+    "bfs_truncate": recursive("SELECT graph_id, node_id FROM (SELECT *, count(*) OVER (PARTITION BY graph_id) AS n, row_number() OVER (PARTITION BY graph_id ORDER BY depth NULLS LAST, node_id) AS rn FROM dp) q WHERE n <= 4 OR (rn <= 4 AND depth IS NOT NULL)", _DEG, _DEPTH),
+    "path_features": recursive("SELECT graph_id, round(CAST(path_length AS DOUBLE), 6) AS path_length, round(CAST(call_depth AS DOUBLE), 6) AS call_depth FROM pf", _PATHS),
+    "control_flow_and_fan_out": sql("SELECT graph_id, control_flow, round(CAST(fan_out AS DOUBLE), 6) AS fan_out FROM ff", *NE, more=_FLAT),
+    "sanitizer_coverage": recursive("SELECT graph_id, CAST(coverage AS DOUBLE) AS coverage FROM sc", _CLEAN),
+    "extract_features": recursive(f"""SELECT pf.graph_id, round({D(0.25)} * path_length + {D(0.2)} * control_flow + {D(0.15)} * fan_out + {D(0.25)} * (1 - coverage) + {D(0.15)} * call_depth, 5) AS risk, CAST(floor(round(path_length * 20, 6)) AS INTEGER) AS raw_path,
+        CAST(floor(round(fan_out * 15, 6)) AS INTEGER) AS raw_fan_out, CAST(floor(round(call_depth * 8, 6)) AS INTEGER) AS raw_calls FROM pf JOIN ff ON pf.graph_id = ff.graph_id JOIN sc ON pf.graph_id = sc.graph_id""", _PATHS, _FLAT, _CLEAN),
+    "connected_components": recursive("SELECT graph_id, node_id, min(b) AS component FROM (SELECT graph_id, root AS b, node_id FROM cw) q GROUP BY 1, 2", """cu AS (SELECT graph_id, src AS a, dst AS b FROM cpg_edges WHERE type IN ('DDG', 'CALL') UNION ALL SELECT graph_id, dst, src FROM cpg_edges WHERE type IN ('DDG', 'CALL')),
+        cw AS (SELECT graph_id, node_id AS root, node_id FROM cpg_nodes UNION SELECT w.graph_id, w.root, e.b FROM cw w JOIN cu e ON w.graph_id = e.graph_id AND w.node_id = e.a)"""),
+    "cpg_stats": sql("SELECT n.graph_id, n.nodes, coalesce(e.edges, 0) AS edges, round(CAST(coalesce(e.edges, 0) AS DOUBLE) / n.nodes, 6) AS mean_degree, round(CASE WHEN n.nodes = 1 THEN 0 ELSE CAST(coalesce(e.edges, 0) AS DOUBLE) / (n.nodes * (n.nodes - 1)) END, 6) AS density, CAST(1 AS BIGINT) AS components FROM (SELECT graph_id, count(*) AS nodes FROM cpg_nodes GROUP BY 1) n LEFT JOIN (SELECT graph_id, count(*) AS edges FROM cpg_edges GROUP BY 1) e ON n.graph_id = e.graph_id", *NE),
+    "neighbour_sum": sql("SELECT graph_id, node_id, sum(x0) AS x0, sum(x1) AS x1 FROM (SELECT graph_id, node_id, CAST(line AS DOUBLE) AS x0, CAST(partkey % 10 AS DOUBLE) AS x1 FROM cpg_nodes UNION ALL SELECT e.graph_id, e.dst, CAST(n.line AS DOUBLE), CAST(n.partkey % 10 AS DOUBLE) FROM cpg_edges e JOIN cpg_nodes n ON e.graph_id = n.graph_id AND e.src = n.node_id WHERE e.type <> 'AST') q GROUP BY 1, 2", *NE),
+    "graph_pool": sql("SELECT graph_id, round(avg(CAST(line AS DOUBLE)), 6) AS mean0, CAST(sum(partkey % 10) AS DOUBLE) AS sum1 FROM cpg_nodes GROUP BY 1", *N),
+    "simplified_graph": sql("SELECT id AS graph_id, CAST(CASE WHEN k = 1 THEN 0 ELSE k END AS BIGINT) AS cfg, CAST(1 AS BIGINT) AS ddg, CAST(k AS INTEGER) AS last FROM (SELECT id, CASE WHEN id % 4 <= 1 THEN 5 ELSE id % 4 - 1 END AS k FROM findings) q", "findings"),
+    "sequential_edges": sql("SELECT graph_id, src, dst, type FROM cpg_edges", *NE),
+}

@@ -1,2 +1,184 @@
-QUERIES: dict = {}
-SQL: dict = {}
+"""Queries of sources, sinks and texts. Documents in outside formats are made of the given tables by Spark first."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from siftline import fixed
+from siftline.functions import texts
+from siftline.operators import findings as op
+from siftline.plans import triage
+from siftline.plans import views as v
+from siftline.plans.views import sql
+from siftline.sources import datasets as ds
+from siftline.sources import graphml, knowledge, sarif
+
+D = triage.D
+
+
+def _documents(spark, sf):
+    return sarif.documents(v.findings(spark, sf, flow=True), "repo")
+
+
+def sarif_scan(spark, sf):
+    """Findings written as SARIF and read back: confidence as text, the severity by its level."""
+    x = sarif.scan(_documents(spark, sf))
+    return x.select(F.col("doc").cast("int").alias("repo"), F.regexp_extract("message", r"(\d+)", 1).cast("long").alias("finding"), "id", "rule_id", "cwe_id", "cwe_name", "severity", "confidence", "file_path", "line", F.coalesce(F.size("taint_flow"), F.lit(0)).alias("steps"))
+
+
+def sarif_rules_index(spark, sf):
+    return sarif.rules_index(_documents(spark, sf)).select(F.col("doc").cast("int").alias("repo"), "rule_id", F.col("rule.properties.precision").alias("precision"))
+
+
+def sarif_distinct_rules(spark, sf):
+    return sarif.distinct_rules(v.findings(spark, sf), "repo")
+
+
+def report_from_sarif(spark, sf):
+    return sarif.scan(_documents(spark, sf)).groupBy("severity", "cwe_id").agg(F.count("*").alias("n"))
+
+
+def _cve_json(spark, sf):
+    d = v.cve_docs(spark, sf)
+    lang = F.when(F.col("doc_id") % 5 == 0, "fr").otherwise("en")
+    metric = lambda keep: F.when(keep, F.array(F.struct(F.struct((F.col("doc_id") % 100 / 10).alias("baseScore"), F.lit("HIGH").alias("baseSeverity")).alias("cvssData"))))
+    cve = F.struct("id", F.array(F.struct(F.lit("es").alias("lang"), F.lit("otro").alias("value")), F.struct(lang.alias("lang"), F.col("description").alias("value"))).alias("descriptions"), F.array(F.struct(F.transform(F.concat("cwe_ids", F.array(F.lit("NVD-noinfo"))), lambda c: F.struct(c.alias("value"))).alias("description"))).alias("weaknesses"), F.struct(metric(F.col("doc_id") % 2 == 0).alias("cvssMetricV31"), metric(F.col("doc_id") % 3 == 0).alias("cvssMetricV30")).alias("metrics"), F.array(F.struct(F.concat(F.lit("https://a.example/"), "doc_id").alias("url"))).alias("references"), F.lit("2024-01-02T03:04:05").alias("published"))
+    return d.select(F.to_json(cve).alias("json"))
+
+
+def nvd_json_scan(spark, sf):
+    x = knowledge.parse_cve(_cve_json(spark, sf))
+    return x.select("id", F.md5("description").alias("hash"), F.array_join("cwe_ids", ",").alias("cwe_ids"), "score", F.col("references")[0].alias("url"), F.year("published").alias("year"))
+
+
+def cwe_xml_scan(spark, sf):
+    """Catalogue elements, one for each part, read by Spark's XML functions."""
+    p = v.table(spark, sf, "part")
+    key = F.col("p_partkey").cast("string")
+    element = F.concat(F.lit('<Weakness ID="'), key, F.lit('" Name="part '), key, F.lit('"><Description>text '), key, F.lit("</Description><Potential_Mitigations><Mitigation><Description>fix "), key, F.lit('</Description></Mitigation></Potential_Mitigations><Related_Weaknesses><Related_Weakness CWE_ID="'), (F.col("p_partkey") % 7).cast("string"), F.lit('"/></Related_Weaknesses></Weakness>'))
+    x = knowledge.parse_cwe_xml(p.select(element.alias("xml")))
+    return x.select("id", "name", "description", F.array_join("mitigations", ",").alias("mitigations"), F.array_join("related", ",").alias("related"))
+
+
+def kb_metadata(spark, sf):
+    """Counts of the stored corpus after it is saved and loaded."""
+    from siftline.tables import new_path
+
+    path = new_path(spark, "kb")
+    knowledge.save(knowledge.corpus(knowledge.known_cwes(spark), v.cve_docs(spark, sf).withColumn("score", F.lit(None).cast("double"))), path)
+    return knowledge.metadata(knowledge.load(spark, path))
+
+
+def cpg_load(spark, sf):
+    n = v.cpg_nodes(spark, sf)
+    nodes, edges = graphml.load(graphml.documents(n, v.cpg_edges(n)))
+    e = edges.groupBy("graph_id").agg(F.count("*").alias("edges"), F.count_if(F.col("type") == "CALL").alias("calls"))
+    return nodes.groupBy("graph_id").agg(F.count("*").alias("nodes"), F.sum("line").alias("lines")).join(e, "graph_id", "left").select("graph_id", "nodes", "lines", F.coalesce("edges", F.lit(0)).alias("edges"), F.coalesce("calls", F.lit(0)).alias("calls"))
+
+
+def cpg_export_json(spark, sf):
+    n = v.cpg_nodes(spark, sf)
+    x = graphml.export_json(n, v.cpg_edges(n)).select("graph_id", F.from_json("body", "metadata struct<num_nodes:int,num_edges:int>, nodes array<struct<id:bigint,code:string>>").alias("d"))
+    return x.select("graph_id", F.col("d.metadata.num_nodes").alias("nodes"), F.col("d.metadata.num_edges").alias("edges"), F.try_element_at(F.col("d.nodes"), F.lit(1))["code"].alias("first"))
+
+
+def sample_adapters(spark, sf):
+    """Documents as data sets of three layouts, by their source's number."""
+    d = v.table(spark, sf, "documents").withColumn("k", F.regexp_extract("source", r"(\d+)", 1).cast("int") % 3)
+    label = F.col("doc_id") % 2
+    a = ds.sample(d.where("k = 0"), F.col("text"), label, F.col("lang"), "plain")
+    b = ds.sample(d.where("k = 1"), F.substring("text", 1, 60), 1 - label, F.lit("c"), "cut", F.when(F.col("doc_id") % 4 == 0, "").otherwise("CWE-120"))
+    c = ds.sample(d.where("k = 2"), F.substring("text", 1, 15), label, F.lit("java"), "short")
+    return ds.union([a, b, c]).groupBy("source", "language", "label", "cwe").agg(F.count("*").alias("n"))
+
+
+def paired_unpivot(spark, sf):
+    d = v.table(spark, sf, "documents").select("doc_id", "text", F.concat("text", F.lit(" fixed")).alias("fixed"), "lang")
+    x = ds.unpivot_pairs(d, "text", "fixed", F.col("lang"), {"en": "python", "fr": "java"})
+    return x.select("doc_id", "language", "label", F.md5("code").alias("hash"))
+
+
+def path_labeler(spark, sf):
+    o = v.table(spark, sf, "orders")
+    mark = F.element_at(F.array(*map(F.lit, ["_bad", "_good", "", "s01"])), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    folder = F.when(F.col("o_custkey") % 3 == 0, "bad/").otherwise("ok/")
+    ext = F.when(F.col("o_orderkey") % 2 == 0, ".java").otherwise(".c")
+    path = F.concat(folder, F.when(F.col("o_custkey") % 5 != 0, F.concat(F.lit("CWE"), F.col("o_custkey") % 400)).otherwise("misc"), F.lit("/t"), mark, ext)
+    return o.select(F.col("o_orderkey").alias("id"), path.alias("path")).select("id", *[c.alias(n) for n, c in ds.path_labels(F.col("path")).items()]).where("cwe IS NOT NULL")
+
+
+def calibration_artifact(spark, sf):
+    e = v.table(spark, sf, "embeddings")
+    k = F.col("vec_id") % 3
+    body = F.to_json(F.struct(F.when(k == 0, F.col("vec_id") / 1000).alias("quantile_threshold"), F.when(k == 1, F.col("vec_id") / 500).alias("threshold"), F.lit(0.05).alias("alpha"), F.col("label").alias("n")))
+    return e.select("vec_id", *[c.alias(n) for n, c in ds.calibration_record(body).items()])
+
+
+def nearest_code_language(spark, sf):
+    codes = {"python": 0.0, "javascript": 0.2, "java": 0.4, "c_cpp": 0.6, "go": 0.8}
+    return v.findings(spark, sf).select("id", ds.nearest_code(F.col("confidence"), codes).alias("language"))
+
+
+def ground_truth_scan(spark, sf):
+    return v.ground_truth(spark, sf).groupBy("verdict").agg(F.count("*").alias("n"), F.count("lo").alias("ranged"))
+
+
+def explanations(spark, sf):
+    """Hashes of the texts that explain a fused finding."""
+    f = v.findings(spark, sf, flow=True).withColumn("graph_risk", F.when(F.col("id") % 3 != 0, (F.col("id") * 29 % 101) / 100))
+    x = op.fuse_scores(op.with_weights(op.attach_verdicts(f, v.verdicts(spark, sf).where("id % 4 <> 0"))))
+    c = F.col
+    fused = texts.fusion_explanation(c("cwe_id"), c("file_path"), c("confidence"), c("graph_risk"), c("llm_confidence"), c("fused_score"), c("verdict"))
+    both = texts.consensus_explanation(c("llm_verdict"), c("exploitable"), c("coverage"), F.repeat("file_path", 50))
+    return x.select("id", F.length(fused).alias("fusion_length"), F.coalesce(F.length(both), F.lit(0)).alias("consensus_length"), F.length(texts.flow_text(c("taint_flow"))).alias("flow_length"))
+
+
+def batch_prompts(spark, sf):
+    """A prompt for each five findings of a repository."""
+    x = op.batches(v.findings(spark, sf), "id", "repo")
+    block = F.concat_ws(" ", "cwe_id", "file_path", F.col("line").cast("string"))
+    x = x.groupBy("repo", "chunk").agg(F.array_sort(F.collect_list(F.struct("id", block.alias("b")))).alias("p"))
+    return x.select("repo", "chunk", F.md5(texts.batch_prompt(F.transform("p", lambda p: p["b"]))).alias("hash"))
+
+
+def parse_batch_response(spark, sf):
+    """Answers to five findings of a repository as an array, bare or under one of three names, some short: padded and cut to five."""
+    r = v.verdicts(spark, sf).join(v.findings(spark, sf).select("id", "repo"), "id")
+    r = op.batches(r, "id", "repo").where("id % 9 <> 0").groupBy("repo", "chunk").agg(F.array_sort(F.collect_list(F.struct("id", "confidence"))).alias("a"))
+    body = F.when(F.col("chunk") % 4 == 0, F.to_json("a")).when(F.col("chunk") % 4 == 1, F.to_json(F.struct(F.col("a").alias("findings")))).when(F.col("chunk") % 4 == 2, F.to_json(F.struct(F.col("a").alias("results")))).otherwise(F.to_json(F.struct(F.col("a").alias("analyses"))))
+    entry = "array<struct<id:bigint,confidence:double>>"
+    wrapped = F.from_json(body, f"findings {entry}, results {entry}, analyses {entry}")
+    entries = F.when(F.ltrim(body).startswith("["), F.from_json(body, entry)).otherwise(F.coalesce(wrapped["findings"], wrapped["results"], wrapped["analyses"]))
+    x = r.select("repo", "chunk", entries.alias("e")).select("repo", "chunk", F.posexplode(F.transform(F.sequence(F.lit(1), F.lit(5)), lambda i: F.try_element_at("e", i))).alias("k", "e"))
+    return x.select("repo", "chunk", "k", F.coalesce("e.id", F.lit(-1)).alias("id"), F.coalesce("e.confidence", F.lit(0.0)).alias("confidence"))
+
+
+QUERIES = {
+    "sarif_scan": sarif_scan, "sarif_rules_index": sarif_rules_index, "sarif_distinct_rules": sarif_distinct_rules, "report_from_sarif": report_from_sarif, "nvd_json_scan": nvd_json_scan, "cwe_xml_scan": cwe_xml_scan,
+    "kb_metadata": kb_metadata, "cpg_load": cpg_load, "cpg_export_json": cpg_export_json, "sample_adapters": sample_adapters, "paired_unpivot": paired_unpivot, "path_labeler": path_labeler,
+    "calibration_artifact": calibration_artifact, "nearest_code_language": nearest_code_language, "ground_truth_scan": ground_truth_scan, "explanations": explanations, "batch_prompts": batch_prompts, "parse_batch_response": parse_batch_response,
+}
+
+_BACK = "CASE severity WHEN 'critical' THEN 'high' WHEN 'info' THEN 'low' ELSE severity END"
+_PERCENT = "length(CAST(CAST(round({0} * 100) AS INTEGER) AS VARCHAR))"
+SQL = {
+    "sarif_scan": sql(f"SELECT repo, f.id AS finding, substr(sha256(rule_id || ':' || file_path || ':' || line), 1, 16) AS id, rule_id, cwe_id, 'rule ' || rule_id AS cwe_name, {_BACK} AS severity, confidence, file_path, line, CAST(coalesce(w.len, 0) AS INTEGER) AS steps FROM findings f LEFT JOIN flows w ON f.id = w.id", "flows", "findings"),
+    "sarif_rules_index": sql("SELECT repo, rule_id, CASE WHEN arg_min(confidence, id) >= 0.8 THEN 'high' ELSE 'medium' END AS precision FROM findings GROUP BY 1, 2", "findings"),
+    "sarif_distinct_rules": sql("SELECT repo, rule_id, arg_min(cwe_id, id) AS cwe_id, CASE WHEN arg_min(confidence, id) >= 0.8 THEN 'high' ELSE 'medium' END AS precision FROM findings GROUP BY 1, 2", "findings"),
+    "report_from_sarif": sql(f"SELECT {_BACK} AS severity, cwe_id, count(*) AS n FROM findings GROUP BY 1, 2", "findings"),
+    "nvd_json_scan": sql("SELECT id, md5(CASE WHEN doc_id % 5 = 0 THEN 'otro' ELSE description END) AS hash, cwe AS cwe_ids, CASE WHEN doc_id % 2 = 0 OR doc_id % 3 = 0 THEN CAST(doc_id % 100 AS DOUBLE) / 10 END AS score, 'https://a.example/' || doc_id AS url, 2024 AS year FROM cve_docs", "cve_docs"),
+    "cwe_xml_scan": "SELECT 'CWE-' || p_partkey AS id, 'part ' || p_partkey AS name, 'text ' || p_partkey AS description, 'fix ' || p_partkey AS mitigations, 'CWE-' || (p_partkey % 7) AS related FROM part",
+    "kb_metadata": f"SELECT count(*) + {sum(map(len, fixed.OWASP.values()))} AS documents, CAST({sum(map(len, fixed.OWASP.values()))} AS BIGINT) AS cwes, count(*) AS cves FROM documents",
+    "cpg_load": sql("SELECT n.graph_id, n.nodes, n.lines, coalesce(e.edges, 0) AS edges, coalesce(e.calls, 0) AS calls FROM (SELECT graph_id, count(*) AS nodes, CAST(sum(line) AS BIGINT) AS lines FROM cpg_nodes GROUP BY 1) n LEFT JOIN (SELECT graph_id, count(*) AS edges, count(*) FILTER (type = 'CALL') AS calls FROM cpg_edges GROUP BY 1) e ON n.graph_id = e.graph_id", "cpg_nodes", "cpg_edges"),
+    "cpg_export_json": sql("SELECT n.graph_id, n.nodes, CAST(coalesce(e.edges, 0) AS INTEGER) AS edges, n.first FROM (SELECT graph_id, CAST(count(*) AS INTEGER) AS nodes, arg_min(code, node_id) AS first FROM cpg_nodes GROUP BY 1) n LEFT JOIN (SELECT graph_id, count(*) AS edges FROM cpg_edges GROUP BY 1) e ON n.graph_id = e.graph_id", "cpg_nodes", "cpg_edges"),
+    "sample_adapters": """WITH d AS (SELECT *, CAST(regexp_extract(source, '(\\d+)', 1) AS INTEGER) % 3 AS k FROM documents), a AS (SELECT trim(text) AS code, CAST(doc_id % 2 AS INTEGER) AS label, 'unknown' AS cwe, lang AS language, 'plain' AS source FROM d WHERE k = 0
+        UNION ALL SELECT trim(substr(text, 1, 60)), CAST(1 - doc_id % 2 AS INTEGER), CASE WHEN doc_id % 4 = 0 THEN 'unknown' ELSE 'CWE-120' END, 'c', 'cut' FROM d WHERE k = 1) SELECT source, language, label, cwe, count(*) AS n FROM a WHERE length(code) >= 20 GROUP BY 1, 2, 3, 4""",
+    "paired_unpivot": "SELECT doc_id, CASE lang WHEN 'en' THEN 'python' ELSE 'java' END AS language, label, md5(CASE WHEN label = 1 THEN text ELSE text || ' fixed' END) AS hash FROM documents, (VALUES (0), (1)) l(label) WHERE lang IN ('en', 'fr')",
+    "path_labeler": "SELECT o_orderkey AS id, 'CWE' || (o_custkey % 400) AS cwe, CASE WHEN o_orderkey % 2 = 0 THEN 'java' ELSE 'c_cpp' END AS language, CASE o_orderkey % 4 WHEN 0 THEN TRUE WHEN 1 THEN FALSE WHEN 3 THEN TRUE ELSE o_custkey % 3 = 0 END AS vulnerable FROM orders WHERE o_custkey % 5 <> 0",
+    "calibration_artifact": f"SELECT vec_id, CASE vec_id % 3 WHEN 0 THEN CAST(vec_id AS DOUBLE) / 1000 WHEN 1 THEN CAST(vec_id AS DOUBLE) / 500 ELSE 1 END AS threshold, {D(0.05)} AS alpha, label AS n, {D(1)} AS temperature FROM embeddings",
+    "nearest_code_language": sql(f"SELECT id, ['python','javascript','java','c_cpp','go'][CAST(list_position(g, list_min(g)) AS INTEGER)] AS language FROM (SELECT id, [round(abs(confidence - {D(0)}), 9), round(abs(confidence - {D(0.2)}), 9), round(abs(confidence - {D(0.4)}), 9), round(abs(confidence - {D(0.6)}), 9), round(abs(confidence - {D(0.8)}), 9)] AS g FROM findings) q", "findings"),
+    "ground_truth_scan": sql("SELECT verdict, count(*) AS n, count(lo) AS ranged FROM ground_truth GROUP BY 1", "ground_truth"),
+    "batch_prompts": sql("SELECT repo, CAST(chunk AS BIGINT) AS chunk, md5(string_agg('### Finding ' || k || chr(10) || b, chr(10) || chr(10) ORDER BY k)) AS hash FROM (SELECT repo, (rn - 1) // 5 AS chunk, (rn - 1) % 5 + 1 AS k, concat_ws(' ', cwe_id, file_path, CAST(line AS VARCHAR)) AS b FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY id) AS rn FROM findings) z) q GROUP BY 1, 2", "findings"),
+    "parse_batch_response": sql("""SELECT g.repo, g.chunk, CAST(g.k - 1 AS INTEGER) AS k, coalesce(x.id, -1) AS id, coalesce(x.confidence, 0) AS confidence FROM (SELECT DISTINCT s.repo, s.chunk, t.k FROM s, (VALUES (1), (2), (3), (4), (5)) t(k)) g LEFT JOIN s x ON g.repo = x.repo AND g.chunk = x.chunk AND g.k = x.k""", "findings", "verdicts", more="""r AS (SELECT a.id, f.repo, a.confidence, CAST((row_number() OVER (PARTITION BY f.repo ORDER BY a.id) - 1) // 5 AS BIGINT) AS chunk FROM verdicts a JOIN findings f ON a.id = f.id),
+        s AS (SELECT *, row_number() OVER (PARTITION BY repo, chunk ORDER BY id) AS k FROM r WHERE id % 9 <> 0)"""),
+}

@@ -30,11 +30,11 @@ def parse_cve(rows: DataFrame, json_col: str = "json") -> DataFrame:
     return out.where("description <> ''")
 
 
-def read_cwe_xml(spark: SparkSession, path: str) -> DataFrame:
-    """(id, name, description, detection_methods, mitigations, related, consequences) of a CWE catalogue in XML."""
-    schema = """_ID string, _Name string, Description string, Detection_Methods struct<Detection_Method:array<struct<Method:string,Description:string>>>, Potential_Mitigations struct<Mitigation:array<struct<Description:string>>>,
-    Related_Weaknesses struct<Related_Weakness:array<struct<_CWE_ID:string>>>, Common_Consequences struct<Consequence:array<struct<Scope:array<string>,Impact:array<string>>>>"""
-    x = spark.read.format("xml").option("rowTag", "Weakness").schema(schema).load(path)
+CWE_SCHEMA = """_ID string, _Name string, Description string, Detection_Methods struct<Detection_Method:array<struct<Method:string,Description:string>>>, Potential_Mitigations struct<Mitigation:array<struct<Description:string>>>,
+Related_Weaknesses struct<Related_Weakness:array<struct<_CWE_ID:string>>>, Common_Consequences struct<Consequence:array<struct<Scope:array<string>,Impact:array<string>>>>"""
+
+
+def _cwe_rows(x: DataFrame) -> DataFrame:
     none = F.array().cast("array<string>")
     return x.select(
         F.concat(F.lit("CWE-"), "_ID").alias("id"), F.col("_Name").alias("name"), F.trim("Description").alias("description"),
@@ -45,6 +45,16 @@ def read_cwe_xml(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_cwe_xml(spark: SparkSession, path: str) -> DataFrame:
+    """(id, name, description, detection_methods, mitigations, related, consequences) of catalogue files in XML."""
+    return _cwe_rows(spark.read.format("xml").option("rowTag", "Weakness").schema(CWE_SCHEMA).load(path))
+
+
+def parse_cwe_xml(rows: DataFrame, xml_col: str = "xml") -> DataFrame:
+    """The same of rows that hold an element each; those that hold none are left out."""
+    return _cwe_rows(rows.select(F.from_xml(xml_col, CWE_SCHEMA).alias("w")).select("w.*")).where("id IS NOT NULL")
+
+
 def known_cwes(spark: SparkSession) -> DataFrame:
     """(id, name, description) of the CWEs in the category table."""
     return spark.createDataFrame([(f"CWE-{n}", k, k) for k, ns in fixed.OWASP.items() for n in ns], "id string, name string, description string")

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import small_side, written
+from siftline.llm.common import fresh, small_side, written
 
 #: Characters that don't count: space, tab, line feed, vertical tab, form feed, carriage return.
 WHITE = "[\\x20\\x09-\\x0D]+"
@@ -78,8 +78,10 @@ def partition_filters(fingerprints: DataFrame, block_bits: int) -> DataFrame:
             both, add = both[order], add[order]
             first = np.flatnonzero(np.append(True, both[1:] != both[:-1]))
             keys, counts = both[first], np.add.reduceat(add, first)
+        if not len(keys):
+            return
         block = (keys >> np.uint64(bits)).astype(np.int64)
-        cuts = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(block) else []
+        cuts = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
         ends = [*cuts[1:], len(keys)]
         low = keys & np.uint64((1 << bits) - 1)
         yield pd.DataFrame({"block": [int(block[a]) for a in cuts], "filter": [encode_filter(low[a:b], counts[a:b], bits) for a, b in zip(cuts, ends, strict=True)]})
@@ -158,8 +160,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that exact_groups doesn't keep; all columns stay as they are."""
-    gone = written(exact_groups(docs, id_col, text_col).where("not kept").select(F.col("rid").alias("_rid")), "copies")
-    return docs.withColumn("_rid", F.monotonically_increasing_id()).join(small_side(gone), "_rid", "left_anti").drop("_rid")
+    (rid,) = fresh(docs, "_rid")
+    gone = written(exact_groups(docs, id_col, text_col).where("not kept").select(F.col("rid").alias(rid)), "copies")
+    return docs.withColumn(rid, F.monotonically_increasing_id()).join(small_side(gone), rid, "left_anti").select(*docs.columns)
 
 
 def op3_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm.common import components, small_side, written
+from siftline.llm.common import components, fresh, small_side, written
 
 BITS = 64
 RADIUS = 3
@@ -166,8 +166,8 @@ def links(prints: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> Data
 
     Every fingerprint goes to one bucket a mask, so each pair within the radius meets
     in a bucket. A bucket of over `bucket` fingerprints is covered anew over the bits
-    that its mask leaves open, at most three times: then a mask leaves at most seven
-    bits open, so a bucket has at most 128 distinct fingerprints. Nothing is dropped.
+    that its mask leaves open, at most three times: then a mask leaves at most eight
+    bits open, so a bucket has at most 256 distinct fingerprints. Nothing is dropped.
     """
     spark = prints.sparkSession
     todo, found = prints.select(F.lit(0).cast("long").alias("path"), "fp"), None
@@ -205,10 +205,12 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each component: that of the smallest id, of its repeats the first in scan order."""
-    rows = docs.withColumn("_rid", F.monotonically_increasing_id())
-    prints = simhash_components(rows.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "_rid").alias("_key"), F.col(text_col).alias("text")), "_key", "text")
-    gone = written(prints.where("_key <> component_id").select(F.col("_key._rid").alias("_rid")), "near_copies")
-    return rows.join(small_side(gone), "_rid", "left_anti").drop("_rid")
+    (rid,) = fresh(docs, "_rid")
+    rows = docs.withColumn(rid, F.monotonically_increasing_id())
+    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(rid).alias("rid"))
+    prints = simhash_components(rows.select(key.alias("key"), F.col(text_col).alias("text")), "key", "text")
+    gone = written(prints.where("key <> component_id").select(F.col("key.rid").alias(rid)), "near_copies")
+    return rows.join(small_side(gone), rid, "left_anti").select(*docs.columns)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

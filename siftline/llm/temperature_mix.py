@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from siftline.llm.common import small_side, written
+from siftline.llm.common import fresh, small_side, written
 
 #: Target entropy as a share of the largest possible, log(sources), and how often a source's tokens may be repeated on average.
 ENTROPY = 0.95
@@ -126,12 +126,11 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "
 
     Of the plan only the rows that don't come exactly once are joined to docs.
     """
-    plan = written(mixture_plan(docs, id_col, source_col, **options).where("copies <> 1").select(F.col("rid").alias("_rid"), F.col("copies").alias("_copies")), "copies")
-    numbered = docs.withColumn("_rid", F.monotonically_increasing_id())
-    sized = numbered.where((token_estimate() if options.get("tokens") is None else options["tokens"]) > 0)
-    joined = sized.join(small_side(plan), "_rid", "left")
-    times = F.coalesce("_copies", F.lit(1).cast("long"))
-    return joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), times.cast("int")))).select(*docs.columns)
+    rid, times = fresh(docs, "_rid", "_times")
+    plan = written(mixture_plan(docs, id_col, source_col, **options).where("copies <> 1").select(F.col("rid").alias(rid), F.col("copies").cast("int").alias(times)), "copies")
+    sized = docs.withColumn(rid, F.monotonically_increasing_id()).where((token_estimate() if options.get("tokens") is None else options["tokens"]) > 0)
+    joined = sized.join(small_side(plan), rid, "left")
+    return joined.withColumn(times, F.explode(F.array_repeat(F.lit(0), F.coalesce(times, F.lit(1))))).select(*docs.columns)
 
 
 def op9_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -99,8 +99,12 @@ def span_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def repeated_spans(table: DataFrame) -> DataFrame:
-    """(rid, first, length) of every span that stands earlier, in a smaller id or before in the same document."""
-    seen = table.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least")).where("n > 1").drop("n")
+    """(rid, first, length) of every span that stands earlier, in a smaller id or before in the same document.
+
+    The repeated spans are a written table of their own, so that the join deals out both sides anew and Spark may split a span
+    that a large share of the documents has.
+    """
+    seen = written(table.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least")).where("n > 1").drop("n"), "shared_spans")
     found = written(table.join(seen, ["a", "b"]).withColumn("own", F.col("id").eqNullSafe(F.col("least"))), "repeated_spans")
     starts = found.where("own").groupBy("rid", "a", "b").agg(F.min("first").alias("start"))
     own = found.where("own").join(starts, ["rid", "a", "b"]).where("first > start")

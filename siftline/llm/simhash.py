@@ -198,8 +198,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     prints = written(fingerprints(docs, id_col, text_col), "fingerprints")
     nodes = written(prints.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
     found = written(components(links(nodes.select("fp"), radius)), "components")
-    roots = found.join(nodes, found["node"] == nodes["fp"]).groupBy("root").agg(F.min("least").alias("component_id"))
-    named = nodes.join(found, nodes["fp"] == found["node"], "left").join(roots, "root", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    roots = written(found.join(nodes, found["node"] == nodes["fp"]).groupBy("root").agg(F.min("least").alias("component_id")), "roots")
+    named = nodes.join(found, nodes["fp"] == found["node"], "left").join(small_side(roots), "root", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
     return prints.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 

@@ -121,30 +121,50 @@ def weight_grid(weights: DataFrame, step: int = 10) -> DataFrame:
     return x.withColumn("rn", F.row_number().over(first)).where("rn = 1").select("cwe_id", a.alias("a"), b.alias("b"), c.alias("c"), "score")
 
 
-def _hash_order(id_col: str, seed: str) -> Column:
-    return F.md5(F.concat(F.col(id_col).cast("string"), F.lit(seed)))
+def _hash_number(id_col: str, seed: str) -> Column:
+    """The first 52 bits of a row's keyed hash, as an exact double: a random order that is the same each time."""
+    return F.conv(F.substring(F.md5(F.concat(F.col(id_col).cast("string"), F.lit(seed))), 1, 13), 16, 10).cast("double")
 
 
-def balance(samples: DataFrame, most: int = 5000, least: int = 100, seed: str = "42") -> DataFrame:
+def _first_of_stratum(rows: DataFrame, strata: list[str], cuts: DataFrame, number: str) -> DataFrame:
+    """rows(strata, number) with `below`: the slots of cuts(strata, slot, k) for which the row is among the first k of its stratum by number.
+
+    The number with place k in its stratum is found by counting, so a stratum that holds most rows is never gathered or sorted.
+    """
+    key = F.concat_ws("\u0001", *[F.col(c).cast("string") for c in strata], F.col("slot").cast("string"))
+    sizes = rows.groupBy(*strata).agg(F.count("*").alias("n"))
+    asked = cuts.join(sizes, strata).withColumn("key", key)
+    inner = asked.where("k < n").select("key", "k")
+    each = rows.join(F.broadcast(asked.where("k < n").select(*strata, "slot")), strata).withColumn("key", key)  # a row a stratum and slot
+    limits = order_statistics(each, "key", number, inner).withColumnRenamed("x", "limit")
+    table = asked.join(limits, "key", "left").groupBy(*strata).agg(F.collect_list(F.struct("slot", F.coalesce("limit", F.lit(float("inf"))).alias("limit"))).alias("limits"))
+    marked = rows.join(F.broadcast(table), strata, "left")  # a row a stratum
+    return marked.withColumn("below", F.transform(F.filter("limits", lambda x: F.col(number) < x["limit"]), lambda x: x["slot"])).drop("limits")
+
+
+def balance(samples: DataFrame, most: int = 5000, seed: str = "42") -> DataFrame:
     """Equal numbers of both labels in each language: the smaller class decides, up to most / 2; languages with one class go.
-    Rows are taken in the order of a keyed hash, so a language's counts decide and not the order of rows."""
+    Rows are taken in the order of a keyed hash."""
     n = samples.groupBy("language").agg(F.count_if(F.col("label") == 1).alias("one"), F.count_if(F.col("label") == 0).alias("zero"))
-    n = n.where("one > 0 AND zero > 0").select("language", F.least("one", "zero", F.lit(most // 2)).alias("target"))
-    w = Window.partitionBy("language", "label").orderBy(_hash_order("id", seed), "id")
-    x = samples.join(n, "language").withColumn("rn", F.row_number().over(w))
-    return x.where("rn <= target").drop("rn", "target")
+    n = n.where("one > 0 AND zero > 0").select("language", F.least("one", "zero", F.lit(most // 2)).alias("k"))
+    cuts = n.select("language", F.explode(F.array(F.lit(0), F.lit(1))).alias("label"), F.lit(0).alias("slot"), "k")
+    rows = samples.withColumn("_number", _hash_number("id", seed))
+    return _first_of_stratum(rows, ["language", "label"], cuts, "_number").where("size(below) > 0").drop("_number", "below")
 
 
 def stratified_split(samples: DataFrame, parts: dict[str, float], strata: list[str], seed: str = "42") -> DataFrame:
     """samples with `part`: within each stratum rows in hash order are cut at the running shares, so each part has its share of each stratum."""
-    w = Window.partitionBy(*strata)
-    x = samples.withColumn("place", (F.row_number().over(w.orderBy(_hash_order("id", seed), "id")) - 1) / F.count("*").over(w))
-    names, upto, out = list(parts), 0.0, None
-    for name in names[:-1]:
+    names, upto, bounds = list(parts), 0.0, []
+    for k, name in enumerate(names[:-1]):
         upto += parts[name]
-        hit = F.round("place", 9) < round(upto, 9)
-        out = F.when(hit, name) if out is None else out.when(hit, name)
-    return x.withColumn("part", out.otherwise(names[-1]) if out is not None else F.lit(names[-1])).drop("place")
+        bounds.append((k, round(upto, 9)))
+    rows = samples.withColumn("_number", _hash_number("id", seed))
+    n = rows.groupBy(*strata).agg(F.count("*").alias("n"))
+    slots = F.explode(F.array(*[F.struct(F.lit(k).alias("slot"), F.lit(share).alias("share")) for k, share in bounds]))
+    cuts = n.select(*strata, "n", slots.alias("s")).select(*strata, F.col("s.slot").alias("slot"), F.ceil(F.round(F.col("s.share") * F.col("n"), 9)).alias("k"))
+    marked = _first_of_stratum(rows, strata, cuts, "_number")
+    part = F.element_at(F.array(*map(F.lit, names)), F.coalesce(F.array_min("below"), F.lit(len(names) - 1)) + 1)
+    return marked.withColumn("part", part).drop("_number", "below")
 
 
 def roc_points(rows: DataFrame) -> DataFrame:

@@ -149,9 +149,19 @@ def retain_missing(new: DataFrame, old: DataFrame, key: str) -> DataFrame:
     return new.unionByName(old.join(new, key, "left_anti"))
 
 
-def batches(rows: DataFrame, order: str, group: str, size: int = 5) -> DataFrame:
-    """rows with `chunk`: groups of `size` in order within `group`, whose rows one task must hold in order."""
-    return rows.withColumn("chunk", F.floor((F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1) / size))
+def batches(rows: DataFrame, order: str, group: str, size: int = 5, stretch: int = 50_000) -> DataFrame:
+    """rows with `chunk`: groups of `size` in order of a whole-number column within `group`.
+
+    Rows are numbered in stretches of the order, about `stretch` rows each, and shifted by the rows of the stretches before, so a
+    group that holds most rows is numbered by many tasks.
+    """
+    low, high, n = rows.agg(F.min(order), F.max(order), F.count("*")).first()
+    width = max(1, ((high or 0) - (low or 0) + 1) * stretch // max(n, 1))
+    x = rows.withColumn("_s", F.floor((F.col(order) - (low or 0)) / width))
+    sizes = x.groupBy(group, "_s").agg(F.count("*").alias("_n"))
+    before = sizes.select(group, "_s", (F.sum("_n").over(Window.partitionBy(group).orderBy("_s")) - F.col("_n")).alias("_before"))
+    x = x.withColumn("_k", F.row_number().over(Window.partitionBy(group, "_s").orderBy(order))).join(before, [group, "_s"])
+    return x.withColumn("chunk", F.floor((F.col("_k") + F.col("_before") - 1) / size)).drop("_s", "_k", "_before")
 
 
 def cap_per_key(rows: DataFrame, key: str, order: Column | str, cap: int) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["triage", "reporting", "retrieval", "graphs", "calibration", "detection", "scans", "streams"]
+MODULES = ["triage", "reporting", "retrieval", "graphs", "calibration", "detection", "scans", "streams", "extras"]
 
 
 def _collect(what: str) -> dict:

@@ -170,10 +170,14 @@ def links(prints: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> Data
     bits open, so a bucket has at most 256 distinct fingerprints. Nothing is dropped.
     """
     spark = prints.sparkSession
-    todo, found = prints.select(F.lit(0).cast("long").alias("path"), "fp"), None
+    todo, found = None, None
     for level, table in enumerate(_tables(3, radius), 1):
-        masks = F.broadcast(spark.createDataFrame([(p, n, _signed(m)) for p, n, m in table], "path long, new long, mask long"))  # of fixed size
-        keyed = todo.join(masks, "path").select(F.col("new").alias("path"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
+        if level == 1:
+            masked = prints.select("fp", F.explode(F.array(*[F.struct(F.lit(n).cast("long").alias("new"), F.lit(_signed(m)).alias("mask")) for _, n, m in table])).alias("m")).select("fp", "m.*")
+        else:
+            masks = spark.createDataFrame([(p, n, _signed(m)) for p, n, m in table], "path long, new long, mask long")
+            masked = todo.join(F.broadcast(masks), "path")  # of fixed size
+        keyed = masked.select(F.col("new").alias("path"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
         sizes = written(keyed.groupBy("path", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), f"buckets{level}")
         rows = keyed.join(sizes, ["path", "key"])
         ready = rows if level == 3 else rows.where(F.col("n") <= bucket)

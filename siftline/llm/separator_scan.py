@@ -55,6 +55,8 @@ def write_token_files(docs: DataFrame, folder: str, ranks: str = RANKS, pattern:
     with open(ranks, encoding="ascii") as file:
         shared = docs.sparkSession.sparkContext.broadcast(file.read())  # of the size of the vocabulary
     kind = dict(docs.dtypes)[id_col]
+    where, base_path = pafs.FileSystem.from_uri(folder)
+    where.create_dir(base_path, recursive=True)  # an empty table leaves an empty folder
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _tokenizer(shared.value, pattern).encode_ordinary
@@ -72,7 +74,6 @@ def write_token_files(docs: DataFrame, folder: str, ranks: str = RANKS, pattern:
             column = pa.concat_arrays(ids)
             return pa.RecordBatch.from_arrays([column, pa.array([name] * len(column), pa.string()), pa.array(np.arange(len(column)))], ["id", "file", "ordinal"])
 
-        fs.create_dir(base, recursive=True)
         for batch in batches:
             start = 0
             for i, text in enumerate(batch.column(1)):

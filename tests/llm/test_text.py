@@ -134,6 +134,22 @@ def test_counts_are_those_of_the_tokenizer(spark, docs, monkeypatch):
     assert got == want
 
 
+def test_scan_of_an_empty_table(spark, empty):
+    from siftline.llm.common import new_path
+
+    folder = new_path(spark, "none")
+    assert scan.write_token_files(empty, folder).count() == 0
+    assert scan.scan_token_files(spark, folder).count() == 0
+
+
+def test_pieces_of_a_long_text_give_the_same_tokens():
+    rng = np.random.default_rng(0)
+    text = "".join(rng.choice(["word ", "Zwei\n", "  ", "\n\n", "x1.", " é"], 60_000).tolist())
+    tokenizer = scan._tokenizer(open(scan.RANKS).read(), scan.PATTERN)
+    assert "".join(scan._pieces(text)) == text and len(list(scan._pieces(text))) > 2
+    assert [t for p in scan._pieces(text) for t in tokenizer.encode_ordinary(p)] == tokenizer.encode_ordinary(text)
+
+
 @pytest.fixture(scope="module")
 def reference():
     """The library with the same pieces and log scores, as a unigram model."""

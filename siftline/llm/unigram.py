@@ -7,7 +7,7 @@ import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain, pairwise
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +18,7 @@ MARK = "▁"
 #: Model files of public tokenizers; the path is a parameter of every function here.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words whose pieces a task remembers, and characters that are encoded at once.
-REMEMBERED = 150_000
+REMEMBERED = 200_000
 CHUNK = 1 << 18
 UNKNOWN_PENALTY = 10.0
 
@@ -170,7 +170,7 @@ class Encoder:
         # No piece goes on from another character to a marker: then a text can be cut before each run of markers.
         self.cuts = not any(re.search(f"[^{MARK}]{MARK}", p) for p in v.pieces)
         self.words = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+" if self.cuts else "(?s).+")
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
         self.surface = [MARK if k == UNKNOWN else "" if k == CONTROL else p for p, k in zip(v.pieces, v.kinds.tolist(), strict=True)]
         self.byte_of = {i: b for b, i in enumerate(self.bytes or []) if i != v.unknown}
 
@@ -180,8 +180,8 @@ class Encoder:
             text = re.sub(" +", " ", text.strip(" "))
         return ((" " if v.dummy_prefix and text else "") + text).replace(" ", MARK)
 
-    def encode(self, texts: list[str | None]) -> list[list[int]]:
-        """Ids of each text; none for a null or empty text."""
+    def encode_packed(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text as 32-bit numbers in native order; none for a null or empty text."""
         cut = [self.words.findall(self.prepare(t or "")) for t in texts]
         new = list({w for words in cut for w in words if w not in self.known})
         if len(self.known) > REMEMBERED:  # forget the older half
@@ -189,10 +189,14 @@ class Encoder:
             self.known = {w: p for k, (w, p) in enumerate(self.known.items()) if k > REMEMBERED // 2 or w in needed}
         self.known.update(zip(new, self._viterbi(new), strict=True))
         known = self.known.__getitem__
-        return [list(chain.from_iterable(map(known, words))) for words in cut]
+        return [b"".join(map(known, words)) for words in cut]
+
+    def encode(self, texts: list[str | None]) -> list[list[int]]:
+        """Ids of each text."""
+        return [np.frombuffer(x, np.int32).tolist() for x in self.encode_packed(texts)]
 
-    def _viterbi(self, words: list[str]) -> list[list[int]]:
-        """Best pieces of each word, all words at once. Of equal sums the one whose last piece is longest stays."""
+    def _viterbi(self, words: list[str]) -> list[bytes]:
+        """Best pieces of each word as packed ids, all words at once. Of equal sums the one whose last piece is longest stays."""
         if not words:
             return []
         coded = [w.encode("utf-8", "replace") for w in words]
@@ -240,19 +244,21 @@ class Encoder:
         taken = np.concatenate(taken)
         taken = taken[np.argsort(start[taken], kind="stable")]
         counts = np.bincount(own[taken], minlength=len(words))
-        ids, starts, stops = piece[taken].tolist(), start[taken], stop[taken]
-        if (piece[taken] < 0).any():
-            out: list[list[int]] = []
-            at = 0
-            for n in counts.tolist():
-                word: list[int] = []
-                for k in range(at, at + n):
-                    word += [ids[k]] if ids[k] >= 0 else [self.bytes[b] for b in data[starts[k] : stops[k]].tolist()] if self.bytes else [self.vocabulary.unknown]
-                out.append(word)
-                at += n
-            return out
-        ends = np.cumsum(counts).tolist()
-        return [ids[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        ids, starts, stops = piece[taken], start[taken], stop[taken]
+        unknown = np.flatnonzero(ids < 0)
+        if len(unknown):  # a character outside the pieces becomes the ids of its bytes
+            widths = np.ones(len(ids), np.int64)
+            widths[unknown] = stops[unknown] - starts[unknown] if self.bytes else 1
+            whole = np.repeat(ids, widths)
+            first_of = np.cumsum(widths) - widths
+            for k in unknown.tolist():
+                at = first_of[k]
+                whole[at : at + widths[k]] = [self.bytes[b] for b in data[starts[k] : stops[k]].tolist()] if self.bytes else self.vocabulary.unknown
+            counts = np.add.reduceat(widths, np.cumsum(counts) - counts)
+            ids = whole
+        packed = ids.astype(np.int32).tobytes()
+        ends = (4 * np.cumsum(counts)).tolist()
+        return [packed[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids: runs of byte pieces are read as UTF-8, markers become spaces, and the space put before the text goes."""
@@ -306,9 +312,9 @@ def encode(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col
         for batch in batches:
             at = 0
             for part in _chunks(batch.column(1)):
-                ids = encoder.encode(part)
-                sizes = np.array([len(x) for x in ids], np.int64)
-                flat = pa.array(np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum())))
+                ids = encoder.encode_packed(part)
+                sizes = np.array([len(x) // 4 for x in ids], np.int64)
+                flat = pa.array(np.frombuffer(b"".join(ids), np.int32))
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), flat)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), lists, pa.array(sizes)], ["id", "ids", "n_tokens"])
                 at += len(part)

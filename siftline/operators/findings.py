@@ -45,12 +45,13 @@ def weights_table(spark) -> DataFrame:
 
 
 def with_weights(findings: DataFrame, weights: DataFrame | None = None) -> DataFrame:
-    """findings with the stage weights of their CWE, else of the row `default`, else .3, .3, .4. A weight table has a row a CWE."""
+    """findings with the stage weights of their CWE, else of the row `default`, else .3, .3, .4. The weight table is small: a row a CWE,
+    of which the default row is read when the plan is made."""
     table = weights_table(findings.sparkSession) if weights is None else weights
-    names = [("w_sast", 0.3), ("w_graph", 0.3), ("w_llm", 0.4)]
-    default = table.where("cwe_id = 'default'").agg(*[F.first(n).alias(f"default_{n}") for n, _ in names])
-    out = findings.join(F.broadcast(table.where("cwe_id <> 'default'")), "cwe_id", "left").join(F.broadcast(default), F.lit(True), "left")  # one row
-    return out.withColumns({n: F.coalesce(n, f"default_{n}", F.lit(v)) for n, v in names}).drop(*[f"default_{n}" for n, _ in names])
+    found = table.where("cwe_id = 'default'").first()
+    names = {"w_sast": 0.3, "w_graph": 0.3, "w_llm": 0.4}
+    out = findings.join(F.broadcast(table.where("cwe_id <> 'default'")), "cwe_id", "left")
+    return out.withColumns({n: F.coalesce(n, F.lit(found[n] if found else v)) for n, v in names.items()})
 
 
 def attach_verdicts(findings: DataFrame, verdicts: DataFrame) -> DataFrame:
@@ -80,28 +81,30 @@ def fuse_scores(findings: DataFrame) -> DataFrame:
 def cascade(findings: DataFrame, graphs: DataFrame, verdicts: DataFrame, max_stage: str = "llm", weights: DataFrame | None = None) -> DataFrame:
     """The whole cascade in one plan: route by score, then by prediction set, then by verdicts, then fuse.
 
-    graphs(id, pred_set, graph_risk) and verdicts(id, ...) are joined to the escalated findings only. Returns findings with
+    graphs(id, pred_set, graph_risk) and verdicts(id, ...) are joined by id, with the escalation as a condition of the join: findings
+    are read and scored once, stay where the first join has put them, and those that are resolved meet no row. Returns findings with
     stage_resolved, verdict, fused_score and CVSS; max_stage `sast` or `graph` stops there.
     """
-    routed = route_sast(findings)
+    x = route_sast(findings).withColumn("_up", F.col("escalated") & F.lit(max_stage != "sast"))
     if max_stage == "sast":
-        routed = routed.withColumn("escalated", F.lit(False))
-    none = {"pred_set": F.lit(None).cast("array<string>"), "graph_risk": F.lit(None).cast("double")}
-    no_verdict = {"exploitable": F.lit(None).cast("boolean"), "coverage": F.lit(None).cast("double"), "llm_confidence": F.lit(None).cast("double"), "metrics": F.lit(None).cast("struct<av:string,ac:string,pr:string,ui:string,scope:string,c:string,i:string,a:string>")}
-    done = routed.where("not escalated").withColumns(none | no_verdict | {"stage_resolved": F.lit("sast")})
-    second = route_graph(routed.where("escalated").join(graphs.select("id", "pred_set", "graph_risk"), "id", "left"))
-    if max_stage != "llm":
-        second = second.withColumns(no_verdict | {"stage_resolved": F.coalesce("stage_resolved", F.lit("unresolved"))})
-        parts = [done, second] if max_stage == "graph" else [done]
+        x = x.withColumns({"pred_set": F.lit(None).cast("array<string>"), "graph_risk": F.lit(None).cast("double")})
     else:
-        third = attach_verdicts(second.where("escalated"), verdicts)
-        third = third.withColumn("stage_resolved", F.when(F.col("exploitable").isNull(), "unresolved").otherwise("llm"))
-        parts = [done, second.where("not escalated").withColumns(no_verdict), third]
+        g = graphs.select(F.col("id").alias("_g"), "pred_set", "graph_risk")
+        x = x.join(g, (F.col("id") == F.col("_g")) & F.col("_up"), "left")
+    unsure = F.col("pred_set").isNull() | (F.size("pred_set") > 1)
+    x = x.withColumn("_last", F.col("_up") & unsure & F.lit(max_stage == "llm"))
+    metrics = ("av", "ac", "pr", "ui", "scope", "c", "i", "a")
+    if max_stage == "llm":
+        v = verdicts.select(F.col("id").alias("_v"), "exploitable", F.col("confidence").alias("_sure"), "coverage", "feasible", F.struct(*metrics).alias("metrics"))
+        x = x.join(v, (F.col("id") == F.col("_v")) & F.col("_last"), "left")
+        agreed = F.when(F.col("exploitable").isNotNull(), s.consensus(F.col("exploitable"), F.col("_sure"), F.col("coverage"), F.col("feasible"))["confidence"])
+    else:
+        x = x.withColumns({"exploitable": F.lit(None).cast("boolean"), "coverage": F.lit(None).cast("double"), "metrics": F.lit(None).cast("struct<" + ",".join(f"{m}:string" for m in metrics) + ">")})
+        agreed = F.lit(None).cast("double")
+    stage = F.when(~F.col("_up"), "sast").when(~unsure, "graph").when(F.col("exploitable").isNotNull(), "llm").otherwise("unresolved")
+    x = x.withColumns({"llm_confidence": agreed, "stage_resolved": stage})
     keep = [*findings.columns, "total", "reasons", "pred_set", "graph_risk", "stage_resolved", "exploitable", "coverage", "llm_confidence", "metrics"]
-    out = parts[0].select(*keep)
-    for p in parts[1:]:
-        out = out.unionByName(p.select(*keep))
-    return with_cvss(fuse_scores(with_weights(out, weights)))
+    return with_cvss(fuse_scores(with_weights(x.select(*keep), weights)))
 
 
 def merge_tools(first: DataFrame, second: DataFrame, keys: tuple[str, ...] = ("file_path", "line", "cwe_id")) -> DataFrame:

@@ -29,8 +29,8 @@ def bm25_index(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     n = docs.count()
     df = terms.groupBy("term").agg(F.count("*").alias("df"))
     raw = df.withColumn("raw", F.ln((n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    idf = raw.join(F.broadcast(mean), F.lit(True)).select("term", "df", F.when(F.col("raw") < 0, fixed.BM25_EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))  # one row
+    mean = raw.agg(F.avg("raw")).first()[0] or 0.0
+    idf = raw.select("term", "df", F.when(F.col("raw") < 0, fixed.BM25_EPSILON * mean).otherwise(F.col("raw")).alias("idf"))
     return terms, idf, size
 
 
@@ -43,8 +43,9 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     asked = queries.select("q", F.explode(tokens(F.col("text"))).alias("term")).groupBy("q", "term").agg(F.count("*").alias("times"))
     weight = asked.join(idf, "term").select("q", "term", (F.col("times") * F.col("idf")).alias("w"))
     k1, b = fixed.BM25_K1, fixed.BM25_B
-    part = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean_len")))
-    hits = terms.join(weight, "term").join(F.broadcast(size), F.lit(True))  # one row
+    part = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / mean_len))
+    mean_len = size.first()["mean_len"] or 1.0
+    hits = terms.join(weight, "term")
     scores = hits.groupBy("q", "id").agg(F.sum(F.col("w") * part).alias("score")).where("score > 0")
     return ranked(scores, k)
 

@@ -40,7 +40,8 @@ def corpus_refresh(spark, sf):
     stored = d.where("id % 5 <> 0").withColumn("version", F.lit(1))
     changes = d.where("id % 4 = 0").select("id", F.concat("text", F.lit(" patchedword")).alias("text"), F.lit(2).alias("version"))
     terms, idf, size = ret.bm25_index(op.upsert(stored, changes, "id", "version").select("id", "text"))
-    return size.select("n", F.round("mean_len", 6).alias("mean_len")).join(idf.where("term = 'patchedword'").select("df"), F.lit(True), "left")  # two single rows
+    df = idf.where("term = 'patchedword'").agg(F.max("df")).first()[0]
+    return size.select("n", F.round("mean_len", 6).alias("mean_len"), F.lit(df or 0).cast("long").alias("df"))
 
 
 def verdict_provider(spark, sf):

@@ -63,7 +63,7 @@ def benchmark_report(spark, sf):
 
 
 def risk_level(spark, sf):
-    return rep.risk_level(verdict_of(v.findings(spark, sf).where("custkey % 7 = repo % 3")), "repo")
+    return rep.risk_level(verdict_of(v.findings(spark, sf)), "file_path")
 
 
 def binary_metrics(spark, sf):
@@ -79,7 +79,7 @@ def metrics_by_group(spark, sf):
 
 
 def metrics_rollup(spark, sf):
-    x = op.matched_truth(v.ground_truth(spark, sf), v.findings(spark, sf).where("id % 50 = 0"))
+    x = op.matched_truth(v.ground_truth(spark, sf), v.findings(spark, sf).where("confidence >= 0.97"))
     out = rep.binary_metrics(x, F.col("verdict") == "confirmed", F.col("matched"), ["cwe_id"], rollup=True)
     return out.withColumn("cwe_id", F.coalesce("cwe_id", F.lit("OVERALL")))
 
@@ -95,8 +95,8 @@ _COUNTS = "count(*) FILTER ({0} AND {1}) AS tp, count(*) FILTER (NOT {0} AND {1}
 def class_weights(spark, sf):
     """rows / (classes * rows of the class) for each label."""
     x = v.table(spark, sf, "labels").groupBy("quality").agg(F.count("*").alias("n"))
-    total = x.agg(F.sum("n").alias("rows"), F.count("*").alias("classes"))
-    return x.join(F.broadcast(total), F.lit(True)).select("quality", F.round(F.col("rows") / (F.col("classes") * F.col("n")), 6).alias("weight"))  # one row
+    rows, classes = x.agg(F.sum("n"), F.count("*")).first()
+    return x.select("quality", F.round(F.lit(float(rows or 0)) / (classes * F.col("n")), 6).alias("weight"))
 
 
 def distinct_languages(spark, sf):
@@ -105,7 +105,7 @@ def distinct_languages(spark, sf):
 
 def primary_language(spark, sf):
     order = {x: k for k, x in enumerate(["python", "javascript", "java", "go", "c"])}
-    return v.findings(spark, sf).where("custkey % 4 = id % 3").groupBy("file_path").agg(F.min_by("language", s.lookup(F.col("language"), order, 99)).alias("language"))
+    return v.findings(spark, sf).groupBy("file_path", "cwe_id").agg(F.min_by("language", s.lookup(F.col("language"), order, 99)).alias("language"))
 
 
 def corpus_profile(spark, sf):
@@ -218,15 +218,15 @@ SQL = {
     "stage_outcome_counts": f"SELECT count(*) FILTER (stage_resolved = 'unresolved') AS unresolved, count(*) FILTER (stage_resolved = 'llm' AND verdict IN ('confirmed', 'likely')) AS confirmed, count(*) FILTER (stage_resolved = 'llm' AND verdict = 'safe') AS filtered FROM ({_CASCADE}) q",
     "benchmark_report": "SELECT repo, total, sast, graph, llm, unresolved, CAST(floor(100.0 * sast / greatest(total, 1)) AS BIGINT) AS sast_pct, CAST(floor(100.0 * graph / greatest(total, 1)) AS BIGINT) AS graph_pct, CAST(floor(100.0 * llm / greatest(total, 1)) AS BIGINT) AS llm_pct FROM ("
     + _cascade_counts(f"SELECT q.*, CAST(o.o_custkey % 15 AS INTEGER) AS repo FROM ({_CASCADE}) q JOIN orders o ON q.id = o.o_orderkey", "repo") + ") z",
-    "risk_level": sql("""SELECT repo, CASE WHEN bool_or(verdict = 'confirmed' AND severity IN ('critical', 'high')) THEN 'CRITICAL' WHEN bool_or(verdict = 'confirmed') THEN 'HIGH' WHEN bool_or(verdict = 'likely') THEN 'MEDIUM' WHEN bool_or(verdict = 'potential') THEN 'LOW' ELSE 'MINIMAL' END AS risk_level
-        FROM vf WHERE custkey % 7 = repo % 3 GROUP BY repo""", "findings", more=VERDICT),
+    "risk_level": sql("""SELECT file_path, CASE WHEN bool_or(verdict = 'confirmed' AND severity IN ('critical', 'high')) THEN 'CRITICAL' WHEN bool_or(verdict = 'confirmed') THEN 'HIGH' WHEN bool_or(verdict = 'likely') THEN 'MEDIUM' WHEN bool_or(verdict = 'potential') THEN 'LOW' ELSE 'MINIMAL' END AS risk_level
+        FROM vf GROUP BY file_path""", "findings", more=VERDICT),
     "binary_metrics": sql(_metrics("SELECT " + _COUNTS.format("label = 1", "(y > x)") + " FROM predictions"), "predictions"),
     "metrics_by_group": sql("SELECT *, tp + fp + fn + tn AS n FROM (" + _metrics("SELECT grp, " + _COUNTS.format("label = 1", "(y > x)") + " FROM predictions GROUP BY grp") + ") m WHERE tp + fp + fn + tn >= 3 ORDER BY n DESC, grp LIMIT 15", "predictions"),
-    "metrics_rollup": sql(_metrics("SELECT coalesce(cwe_id, 'OVERALL') AS cwe_id, " + _COUNTS.format("verdict = 'confirmed'", "matched") + " FROM m GROUP BY ROLLUP (cwe_id)"), "findings", "ground_truth", more="""d AS (SELECT DISTINCT cwe_id, line FROM findings WHERE id % 50 = 0),
+    "metrics_rollup": sql(_metrics("SELECT coalesce(cwe_id, 'OVERALL') AS cwe_id, " + _COUNTS.format("verdict = 'confirmed'", "matched") + " FROM m GROUP BY ROLLUP (cwe_id)"), "findings", "ground_truth", more="""d AS (SELECT DISTINCT cwe_id, line FROM findings WHERE confidence >= 0.97),
         m AS (SELECT g.*, EXISTS (SELECT 1 FROM d WHERE d.cwe_id = g.cwe_id AND (g.lo IS NULL OR (d.line >= g.lo AND d.line <= g.hi))) AS matched FROM ground_truth g)"""),
     "class_weights": "SELECT quality, round(CAST(sum(n) OVER () AS DOUBLE) / (count(*) OVER () * n), 6) AS weight FROM (SELECT quality, count(*) AS n FROM labels GROUP BY 1) t",
     "distinct_languages": sql("SELECT repo, string_agg(DISTINCT language, ',' ORDER BY language) AS languages FROM findings GROUP BY 1", "findings"),
-    "primary_language": sql("SELECT file_path, ['python','javascript','java','go','c'][min(array_position(['python','javascript','java','go','c'], language))] AS language FROM findings WHERE custkey % 4 = id % 3 GROUP BY 1", "findings"),
+    "primary_language": sql("SELECT file_path, cwe_id, ['python','javascript','java','go','c'][min(array_position(['python','javascript','java','go','c'], language))] AS language FROM findings GROUP BY 1, 2", "findings"),
     "corpus_profile": sql("SELECT language, source, count(*) AS n, count(*) FILTER (label = 1) AS positive, round(CAST(count(*) FILTER (label = 1) AS DOUBLE) / count(*), 6) AS ratio FROM samples GROUP BY 1, 2", "samples"),
     "label_pivot": sql("SELECT language, count(*) FILTER (label = 0) AS safe, count(*) FILTER (label = 1) AS vulnerable FROM samples GROUP BY 1", "samples"),
     "histogram": sql("SELECT CAST(least(floor(confidence / 1.0 * 40) + 1, 40) AS INTEGER) AS bin, count(*) AS n FROM findings GROUP BY 1", "findings"),

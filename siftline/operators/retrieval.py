@@ -42,9 +42,8 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     terms, idf, size = bm25_index(docs)
     asked = queries.select("q", F.explode(tokens(F.col("text"))).alias("term")).groupBy("q", "term").agg(F.count("*").alias("times"))
     weight = asked.join(idf, "term").select("q", "term", (F.col("times") * F.col("idf")).alias("w"))
-    k1, b = fixed.BM25_K1, fixed.BM25_B
+    k1, b, mean_len = fixed.BM25_K1, fixed.BM25_B, size.first()["mean_len"] or 1.0
     part = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / mean_len))
-    mean_len = size.first()["mean_len"] or 1.0
     hits = terms.join(weight, "term")
     scores = hits.groupBy("q", "id").agg(F.sum(F.col("w") * part).alias("score")).where("score > 0")
     return ranked(scores, k)

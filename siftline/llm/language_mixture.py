@@ -33,19 +33,28 @@ def _hash(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
     return h * np.uint32(0x2C1B3C6D) >> np.uint32(16)
 
 
+def _slices(texts: list[tuple[int, str]]) -> Iterator[tuple[str, np.ndarray]]:
+    """The texts in lower case with a space at either end, one after another, and the document of each character; a long text in parts."""
+    if len(texts) == 1 and len(texts[0][1]) > CHUNK:
+        i, t = texts[0]
+        for at in range(0, len(t), CHUNK):
+            part = (" " if at == 0 else "") + t[at : at + CHUNK].lower() + (" " if at + CHUNK >= len(t) else "")
+            yield part, np.full(len(part), i, np.int64)
+        return
+    parts = [f" {t} ".lower() for _, t in texts]
+    yield "".join(parts), np.repeat(np.array([i for i, _ in texts], np.int64), [len(p) for p in parts])
+
+
 def _count(texts: list[tuple[int, str]]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct (document << 16 | bucket) of the texts, and their counts; texts are given in order of their documents.
 
     Texts are lower-cased, runs of anything but letters become one space, and each has a
     space at either end. A text of over CHUNK characters is read in pieces, the last two letters carried over.
     """
-    parts = [f" {t} ".lower() for _, t in texts]
-    codes = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    docs = np.repeat(np.array([i for i, _ in texts], np.int64), [len(p) for p in parts])
     keys, counts, before, owner = [], [], np.zeros(0, np.uint32), np.zeros(0, np.int64)
-    for at in range(0, len(codes), CHUNK):
-        c = np.concatenate([before, codes[at : at + CHUNK]])
-        d = np.concatenate([owner, docs[at : at + CHUNK]])
+    for part, docs in _slices(texts):
+        c = np.concatenate([before, np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32)])
+        d = np.concatenate([owner, docs])
         c = np.where(_letters()[c], c, np.uint32(32))
         keep = np.append(True, (c[1:] != 32) | (c[:-1] != 32) | (d[1:] != d[:-1]))
         c, d = c[keep], d[keep]
@@ -65,6 +74,10 @@ def gram_counts(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarra
     """(document, bucket, count) of the texts, some whole texts at a time."""
     part, held = [], 0
     for i, t in enumerate([*texts, None]):
+        if t and part and len(t) > CHUNK:
+            k, n = _count(part)
+            yield k >> 16, k & 0xFFFF, n
+            part, held = [], 0
         if t:
             part.append((i, t))
             held += len(t)

@@ -47,13 +47,22 @@ def encode_passages(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.nd
     """
     part: list[tuple[int, bytes]] = []
     held = 0
-    for i, t in enumerate([*texts, None]):
-        if i < len(texts):
-            part.append((i, (t or "").encode("utf-8", "surrogatepass")))
-            held += len(part[-1][1])
-        if part and (held >= CHUNK or i == len(texts)):
+    for i, t in enumerate(texts):
+        data = (t or "").encode("utf-8", "surrogatepass")
+        if len(data) > CHUNK:  # a long text is encoded in parts of whole passages
+            if part:
+                yield _encode(part)
+            pieces = [_encode([(i, data[at : at + CHUNK])]) for at in range(0, len(data), CHUNK)]
+            yield np.concatenate([d for d, _ in pieces]), np.concatenate([x for _, x in pieces])
+            part, held = [], 0
+            continue
+        part.append((i, data))
+        held += len(data)
+        if held >= CHUNK:
             yield _encode(part)
             part, held = [], 0
+    if part:
+        yield _encode(part)
 
 
 def _encode(part: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,27 +21,52 @@ SEED = 42
 #: Fingerprints of one bucket that are compared with each other; larger buckets are covered anew.
 BUCKET = 256
 
+#: Bytes of a text whose words are held at once.
+CHUNK = 4 << 20
+
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _LANES = np.uint64(0x0101010101010101)
 
 
-def shingle_hashes(text: str | None, size: int = SHINGLE, seed: int = SEED) -> np.ndarray:
-    """XXH64 of every run of `size` words; of the whole word sequence if it is shorter; none without words.
+def _word_lists(data: bytes) -> Iterator[list[bytes]]:
+    """The words of a text in order, those of about CHUNK bytes at a time."""
+    at = 0
+    while len(data) - at > CHUNK:
+        gap = _GAP.search(data, at + CHUNK)
+        if not gap:
+            break
+        yield data[at : gap.start()].split()
+        at = gap.end()
+    yield data[at:].split() if at else data.split()
 
-    Words are runs of characters other than ASCII white space, A-Z lower-cased.
-    """
-    words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
-    if not words:
-        return np.zeros(0, np.uint64)
+
+def _runs(words: list[bytes], size: int, seed: int) -> np.ndarray:
     joined = b" ".join(words)
-    if len(words) <= size:
-        return np.array([xxhash.xxh64_intdigest(joined, seed)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = np.append(0, ends[:-size]).tolist()
     digest = xxhash.xxh64_intdigest
     return np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, (ends[size - 1 :] - 1).tolist(), strict=True)), np.uint64, len(starts))
 
 
+def shingle_hashes(text: str | None, size: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """XXH64 of every run of `size` words; of the whole word sequence if it is shorter; none without words.
+
+    Words are runs of characters other than ASCII white space, A-Z lower-cased.
+    """
+    carried: list[bytes] = []
+    found = []
+    for words in _word_lists((text or "").encode("utf-8", "surrogatepass").translate(_LOWER)):
+        words = carried + words
+        if len(words) >= size:
+            found.append(_runs(words, size, seed))
+            words = words[1 - size :] if size > 1 else []
+        carried = words
+    if not found:
+        found = [np.array([xxhash.xxh64_intdigest(b" ".join(carried), seed)] if carried else [], np.uint64)]
+    return found[0] if len(found) == 1 else np.concatenate(found)
+
+
 def majority_bits(hashes: list[np.ndarray]) -> np.ndarray:
     """For each array of hashes the word whose bits are those set in over half of it (0 for none).
 

@@ -7,7 +7,7 @@ import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import pairwise
+from itertools import islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +20,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words whose pieces a task remembers, and characters that are encoded at once.
 REMEMBERED = 200_000
 CHUNK = 1 << 18
+#: Characters from which a text's words are cut in parts.
+LONG = 1 << 21
 UNKNOWN_PENALTY = 10.0
 
 # Fixed values of the public model format: kinds of pieces, and the model kind that stores merge ranks.
@@ -181,8 +183,18 @@ class Encoder:
         return ((" " if v.dummy_prefix and text else "") + text).replace(" ", MARK)
 
     def encode_packed(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as 32-bit numbers in native order; none for a null or empty text."""
-        cut = [self.words.findall(self.prepare(t or "")) for t in texts]
+        """Ids of each text as 32-bit numbers in native order; none for a null or empty text. Of a long text some words at a time are held."""
+        short = self._pack([self.words.findall(self.prepare(t)) if t and len(t) <= LONG else [] for t in texts])
+        return [self._long(t) if t and len(t) > LONG else p for t, p in zip(texts, short, strict=True)]
+
+    def _long(self, text: str) -> bytes:
+        words, parts = (m[0] for m in self.words.finditer(self.prepare(text))), []
+        while some := list(islice(words, LONG // 8)):
+            parts += self._pack([some])
+        return b"".join(parts)
+
+    def _pack(self, cut: list[list[str]]) -> list[bytes]:
+        """Packed ids of lists of words."""
         new = list({w for words in cut for w in words if w not in self.known})
         if len(self.known) > REMEMBERED:  # forget the older half
             needed = {w for words in cut for w in words}

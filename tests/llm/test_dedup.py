@@ -94,6 +94,14 @@ def test_simhash_matches_brute_force(docs):
     assert sorted(((r.doc_id, r.fp % 2**64, r.component_id) for r in found), key=key) == sorted(((r.doc_id, p, c) for r, p, c in zip(rows, prints, comps, strict=True)), key=key)
 
 
+def test_long_texts_hash_alike_in_parts(monkeypatch):
+    texts = ["", "a", "a b", "a b c", " a  b\nc d e " * 30, "x" * 200 + " y z w", "one two  " * 20 + "x" * 90]
+    whole = [simhash.shingle_hashes(t).tolist() for t in texts]
+    for size in (1, 7, 64):
+        monkeypatch.setattr(simhash, "CHUNK", size)
+        assert [simhash.shingle_hashes(t).tolist() for t in texts] == whole
+
+
 def test_simhash_empty(empty):
     assert simhash.simhash_components(empty).count() == 0
 

@@ -61,6 +61,15 @@ def test_every_passage_is_encoded():
     assert np.bincount(doc).tolist() == [1, 1, -(-len(long) // quality.PASSAGE), 1]
 
 
+def test_a_long_text_is_encoded_alike_in_parts(monkeypatch):
+    texts = ["ab, Cd. 12 " * 300, "", "short", "x y z " * 1000]
+    whole = list(quality.encode_passages(texts))
+    monkeypatch.setattr(quality, "CHUNK", 2 * quality.PASSAGE)
+    pieces = list(quality.encode_passages(texts))
+    for k in (0, 1):
+        assert (np.concatenate([w[k] for w in whole]) == np.concatenate([p[k] for p in pieces])).all()
+
+
 def test_language_on_held_out_documents(spark, sf):
     found = lm.op10_language_mixture(spark, sf)
     docs = spark.read.parquet(f"{sf}/documents.parquet")

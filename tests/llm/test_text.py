@@ -219,6 +219,14 @@ def test_forgetting_words_changes_nothing(monkeypatch):
     assert [small.encode([t])[0] for t in texts] == want
 
 
+def test_long_texts_encode_alike_in_parts(monkeypatch):
+    texts = ["some  words and more " * 20, "", "short", "x" * 300]
+    encoder = unigram.Encoder(unigram.read_vocabulary(unigram.MODEL))
+    whole = encoder.encode(texts)
+    monkeypatch.setattr(unigram, "LONG", 16)
+    assert encoder.encode(texts) == whole
+
+
 def test_decoding_null_ids(spark):
     df = spark.createDataFrame([(1, None), (2, [])], "doc_id long, ids array<int>")
     assert [r.decoded for r in unigram.decode(df).orderBy("doc_id").collect()] == [None, ""]

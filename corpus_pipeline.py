@@ -19,7 +19,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of linked fingerprints."""
+    """One row of each group of texts linked by a Jaccard similarity of their five-word shingles of at least 0.8."""
     return simhash.drop_near_copies(docs)
 
 

@@ -113,6 +113,25 @@ def test_near_copies_leave_one_row_a_component(docs):
     assert left.count() == len(set(brute_components([r for r in rows])[1]))
 
 
+def test_near_copies_of_four_fifths_go(spark):
+    """Texts of 60 words: one changed word leaves 51 of 61 five-word shingles, three far ones 41 of 71 (of the other copy 36 of 76)."""
+    rows = []
+    for k in range(40):
+        words = [f"w{k}x{i}" for i in range(60)]
+        change = lambda *at: " ".join("new" if i in at else w for i, w in enumerate(words))  # noqa: B023, E731
+        rows += [(3 * k, change()), (3 * k + 1, change(30)), (3 * k + 2, change(10, 20, 40))]
+    left = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted(r.doc_id for r in left.collect()) == [i for i, _ in rows if i % 3 != 1]
+
+
+def test_near_copies_that_meet_no_hub_go(spark):
+    """A chain of texts, each at four fifths of the next only, with a hub that is like none of the later ones."""
+    words = [f"w{i}" for i in range(400)]
+    rows = [(k, " ".join("new" if i // 12 < k and i % 12 == 0 else w for i, w in enumerate(words))) for k in range(12)]
+    left = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(2))
+    assert [r.doc_id for r in left.collect()] == [0]
+
+
 @given(st.sets(st.integers(0, 63), min_size=1, max_size=3))
 def test_some_mask_misses_any_three_bits(bits):
     flipped = sum(1 << b for b in bits)

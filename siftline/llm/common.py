@@ -36,6 +36,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, name: str = "rid") -> DataFrame:
+    """df with the numbers of a scan, written once: another scan may split files otherwise (splits follow the cores registered)
+    and number the rows otherwise, so only this table may be joined on the numbers."""
+    return written(df.select(F.monotonically_increasing_id().alias(name), "*"), "numbered")
+
+
 def small_side(df: DataFrame, rows: int | None = None) -> DataFrame:
     """df with a broadcast hint if it has at most BROADCAST_ROWS rows, else df itself."""
     n = df.count() if rows is None else rows

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import fresh, small_side, written
+from siftline.llm.common import fresh, numbered, small_side, written
 
 #: Characters that don't count: space, tab, line feed, vertical tab, form feed, carriage return.
 WHITE = "[\\x20\\x09-\\x0D]+"
@@ -113,10 +113,9 @@ def repeated_fingerprints(merged: DataFrame, block_bits: int) -> DataFrame:
     return merged.mapInPandas(read, "h long, n long")
 
 
-def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Numbered rows: (rid, id, text, norm, h). The numbers follow the scan and are the same when it is read again."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), text.alias("text"))
+def _rows(rows: DataFrame) -> DataFrame:
+    """Written numbered rows(rid, id, text) -> (rid, id, text, norm, h)."""
+    rows = rows.withColumn("text", F.coalesce("text", F.lit("")))
     return rows.withColumn("norm", F.regexp_replace("text", WHITE, "")).withColumn("h", F.xxhash64("norm"))
 
 
@@ -131,9 +130,14 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Texts are fingerprinted where they lie; partitions send quotient filters, not
     rows. Only rows whose fingerprint is counted more than once are compared, byte by
     byte, as a grouping by the text itself, of which every task first makes one row
-    a distinct text.
+    a distinct text. The numbered rows are written once and only they are read.
     """
-    rows = _rows(docs, id_col, text_col)
+    return _groups(numbered(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))), id_col, block_rows)
+
+
+def _groups(rows: DataFrame, id_col: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """exact_groups of written rows(rid, id, text)."""
+    rows = _rows(rows)
     seen = written(rows.select("rid", "id", "h", F.sha2("norm", 256).alias("sha")), "digests")
     n = seen.count()
     block_bits = min(24, max(6, math.ceil(math.log2(max(n, 1) / block_rows))))
@@ -161,8 +165,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that exact_groups doesn't keep; all columns stay as they are."""
     (rid,) = fresh(docs, "_rid")
-    gone = written(exact_groups(docs, id_col, text_col).where("not kept").select(F.col("rid").alias(rid)), "copies")
-    return docs.withColumn(rid, F.monotonically_increasing_id()).join(small_side(gone), rid, "left_anti").select(*docs.columns)
+    rows = numbered(docs, rid)
+    groups = _groups(rows.select(F.col(rid).alias("rid"), F.col(id_col).alias("id"), F.col(text_col).alias("text")), id_col)
+    gone = written(groups.where("not kept").select(F.col("rid").alias(rid)), "copies")
+    return rows.join(small_side(gone), rid, "left_anti").select(*docs.columns)
 
 
 def op3_exact_dedup(spark, sf_dir: str) -> DataFrame:

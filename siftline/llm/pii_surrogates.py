@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm.common import written
+from siftline.llm.common import numbered, written
 
 #: The default key; a caller passes a secret one.
 KEY = "siftline"
@@ -206,16 +206,17 @@ def replace_entities(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", te
     Null text stays null with no entities; repeated rows are treated alike; other columns are not read. Whole texts are searched. Only
     documents with entities are joined to their replacements; the others are not shuffled.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     has = F.coalesce(F.col("text").rlike(ANY), F.lit(False))
-    found = rows.where(has).select("rid", F.posexplode(F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).alias("k", "whole")).withColumn("prefix", F.regexp_extract("whole", _PREFIX, 0))
+    held = numbered(rows.where(has))
+    found = held.select("rid", F.posexplode(F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).alias("k", "whole")).withColumn("prefix", F.regexp_extract("whole", _PREFIX, 0))
     found = found.withColumn("entity", F.expr("substring(whole, length(prefix) + 1)")).withColumn("kind", _type_of(F.col("prefix"), F.col("entity")))
     mentions = written(found.select("rid", "k", "prefix", "entity", "kind", _canonical(F.col("kind"), F.col("entity")).alias("canon"), _gender(F.col("prefix")).alias("gender")), "mentions")
     entities = written(mentions.where("kind IS NOT NULL").groupBy("kind", "canon").agg(F.coalesce(F.min(F.when(F.col("gender") != "u", F.col("gender"))), F.lit("u")).alias("gender")), "entities")
     surrogates = written(draw_surrogates(entities, key), "surrogates")
     replaced = mentions.join(surrogates, ["kind", "canon"], "left").withColumn("new", F.concat("prefix", F.coalesce(_render(F.col("kind"), F.col("entity"), F.col("surrogate")), "entity")))
     per_row = written(replaced.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("k", "new", "kind"))).alias("r")), "replacements")
-    changed = rows.where(has).join(per_row, "rid")
+    changed = held.join(per_row, "rid")
     pieces = F.zip_with(F.split("text", ANY, -1), F.col("r"), lambda g, r: F.concat(F.coalesce(g, F.lit("")), F.coalesce(r["new"], F.lit(""))))
     kinds = F.filter(F.transform("r", lambda r: r["kind"]), lambda k: k.isNotNull())
     changed = changed.select(F.col("id").alias(id_col), F.array_join(pieces, "").alias(text_col), F.size(kinds).cast("long").alias("n_entities"), F.array_sort(F.array_distinct(kinds)).alias("kinds"))

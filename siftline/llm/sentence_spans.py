@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm.common import small_side, written
+from siftline.llm.common import numbered, small_side, written
 
 #: A span is a run of at least SENTENCES sentences and at least WORDS words.
 SENTENCES = 3
@@ -70,7 +70,12 @@ def spans(parts: list[str], sentences: int = SENTENCES, words: int = WORDS) -> t
 
 def span_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(rid, id, first, length, a, b) of every span of every row of docs."""
-    kind = dict(docs.dtypes)[id_col]
+    return _span_table(numbered(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))))
+
+
+def _span_table(rows: DataFrame) -> DataFrame:
+    """span_table of written rows(rid, id, text)."""
+    kind = dict(rows.dtypes)["id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,7 +99,6 @@ def span_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             if part:
                 yield flush()
 
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, f"rid long, id {kind}, first int, length int, a long, b long")
 
 
@@ -123,9 +127,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Each span is hashed once and sent as a few numbers; a span that many documents share is counted before the
     shuffle. Only texts that lose a sentence are moved.
     """
-    found = repeated_spans(written(span_table(docs, id_col, text_col), "spans"))
+    rows = numbered(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+    found = repeated_spans(written(_span_table(rows), "spans"))
     gone = written(found.select("rid", F.explode(F.sequence("first", F.col("first") + F.col("length") - 1)).alias("k")).groupBy("rid").agg(F.array_sort(F.collect_set("k")).alias("removed")), "removed")
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = dict(docs.dtypes)[id_col]
     names = ["id", "text", "n_sentences", "n_removed", "removed"]
 

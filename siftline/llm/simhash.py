@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm.common import components, fresh, small_side, written
+from siftline.llm.common import components, fresh, numbered, small_side, written
 
 BITS = 64
 RADIUS = 3
@@ -311,7 +311,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     0.8: that of the smallest id, of its repeats the first in scan order. Texts of fewer words are one shingle; null and
     wordless texts are alike. The numbered rows are written once and only they are read."""
     (rid,) = fresh(docs, "_rid")
-    rows = written(docs.withColumn(rid, F.monotonically_increasing_id()), "numbered")
+    rows = numbered(docs, rid)
     found = written(components(similar_links(rows.select(F.col(rid).alias("rid"), F.col(text_col).alias("text")))), "components")
     key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(rid).alias("rid")).alias("key")
     named = rows.select(key).join(small_side(found), F.col("key.rid") == F.col("node"))

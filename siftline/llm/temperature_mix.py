@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from siftline.llm.common import fresh, small_side, written
+from siftline.llm.common import fresh, numbered, small_side, written
 
 #: Target entropy as a share of the largest possible, log(sources), and how often a source's tokens may be repeated on average.
 ENTROPY = 0.95
@@ -75,7 +75,7 @@ def source_weights(docs: DataFrame, source_col: str = "source", tokens: Column |
     return raised.select("src", "tokens", "rows", "p", (F.col("u") / F.lit(z)).alias("weight"), F.lit(exponent).alias("exponent"), F.floor(F.col("u") / F.lit(z) * F.lit(float(budget)) + 1e-6).cast("long").alias("target"))
 
 
-def mixture_plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tokens: Column | None = None, seed: int = SEED, **target) -> DataFrame:
+def mixture_plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tokens: Column | None = None, seed: int = SEED, rid_col: str | None = None, **target) -> DataFrame:
     """(rid, id, src, tokens, copies, position, span, weight, exponent) for each row of docs that has tokens.
 
     A source's rows are dealt by a keyed hash into blocks of about BLOCK_ROWS rows; the blocks follow each other in the
@@ -87,7 +87,7 @@ def mixture_plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sou
     """
     weights = source_weights(docs, source_col, tokens, **target).withColumn("blocks", F.ceil(F.col("rows") / BLOCK_ROWS))
     weights = written(weights.select("src", F.col("tokens").alias("span"), "weight", "exponent", "target", "blocks"), "weights")
-    sized = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("src"), (token_estimate() if tokens is None else tokens).alias("tokens"))
+    sized = docs.select((F.monotonically_increasing_id() if rid_col is None else F.col(rid_col)).alias("rid"), F.col(id_col).alias("id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("src"), (token_estimate() if tokens is None else tokens).alias("tokens"))
     rows = sized.where("tokens > 0").join(small_side(weights), "src")
     rows = rows.withColumn("key", F.xxhash64("id", F.lit(seed))).withColumn("block", F.pmod(F.shiftright("key", 20), F.col("blocks")))
     placed = written(rows.select("rid", "id", "src", "tokens", "key", "block"), "placed")
@@ -127,8 +127,9 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "
     Of the plan only the rows that don't come exactly once are joined to docs.
     """
     rid, times = fresh(docs, "_rid", "_times")
-    plan = written(mixture_plan(docs, id_col, source_col, **options).where("copies <> 1").select(F.col("rid").alias(rid), F.col("copies").cast("int").alias(times)), "copies")
-    sized = docs.withColumn(rid, F.monotonically_increasing_id()).where((token_estimate() if options.get("tokens") is None else options["tokens"]) > 0)
+    rows = numbered(docs, rid)
+    plan = written(mixture_plan(rows, id_col, source_col, rid_col=rid, **options).where("copies <> 1").select(F.col("rid").alias(rid), F.col("copies").cast("int").alias(times)), "copies")
+    sized = rows.where((token_estimate() if options.get("tokens") is None else options["tokens"]) > 0)
     joined = sized.join(small_side(plan), rid, "left")
     return joined.withColumn(times, F.explode(F.array_repeat(F.lit(0), F.coalesce(times, F.lit(1))))).select(*docs.columns)
 

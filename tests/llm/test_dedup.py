@@ -173,3 +173,38 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 500), (300, 301), (301, 300)], "u long, v long")
     found = {r.node: r.root for r in components(edges).collect()}
     assert found == {i: 0 for i in range(201)} | {300: 300, 301: 300}
+
+
+def test_numbers_of_a_scan_are_read_once(spark, raw, docs, monkeypatch):
+    """Files are split otherwise after every written table, as when an executor joins or is lost; results stay."""
+    from siftline.llm import common, pii_surrogates, sentence_spans, temperature_mix
+
+    runs = {
+        "exact": exact_dedup.drop_exact_copies, "groups": lambda d: exact_dedup.exact_groups(d).drop("rid"), "near": simhash.drop_near_copies,
+        "spans": sentence_spans.remove_repeats, "private": pii_surrogates.replace_entities, "mix": temperature_mix.mixed_documents,
+    }
+    path = f"{common.new_path(spark, 'splits')}"
+    extra = [(900 + k, f"Dr. Anna Meyer wrote {k} to a{k}@example.com. " * 2, "en", "a", 9, "x", k, "y", 7, None, "z") for k in range(8)]
+    spark.createDataFrame(raw + extra, docs.schema).repartition(4, "doc_id").write.parquet(path)
+    read = lambda: spark.read.parquet(path)
+    want = {name: sorted(map(repr, run(read()).collect())) for name, run in runs.items()}
+    plain, state = common.written, {"n": 0}
+
+    def moved(df, name):
+        out = plain(df, name)
+        state["n"] += 1
+        spark.conf.set("spark.sql.files.minPartitionNum", "1" if state["n"] % 2 else "64")
+        return out
+
+    for module in (common, exact_dedup, simhash, sentence_spans, pii_surrogates, temperature_mix):
+        monkeypatch.setattr(module, "written", moved)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        for name, run in runs.items():
+            for start in ("1", "64"):
+                state["n"] = int(start == "1")
+                spark.conf.set("spark.sql.files.minPartitionNum", start)
+                assert sorted(map(repr, run(read()).collect())) == want[name], name
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+        spark.conf.unset("spark.sql.files.openCostInBytes")

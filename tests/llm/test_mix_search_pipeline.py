@@ -1,3 +1,4 @@
+import math
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -83,27 +84,29 @@ def test_mix_odd_rows(docs, empty):
 def brute_top(rows, k):
     vectors = [(i, v) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     dim = max((len(v) for _, v in vectors), default=0)
-    q = np.array([np.pad(np.floor(64 * np.array(v, np.float32).astype(float)), (0, dim - len(v))) for _, v in vectors]).astype(np.int64)
+    q = [[math.floor(64 * float(x)) for x in v] + [0] * (dim - len(v)) for _, v in vectors]
     out = []
     for n, (i, _) in enumerate(vectors):
         if i % 20 == 0:
-            score = q @ q[n]
+            score = [max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(x, q[n], strict=True)))) for x in q]
             order = sorted((m for m in range(len(vectors)) if m != n), key=lambda m: (-score[m], vectors[m][0]))[:k]
             out += [(i, r + 1, vectors[m][0], int(score[m])) for r, m in enumerate(order)]
     return sorted(out)
 
 
 def test_top_k_matches_brute_force(spark, monkeypatch):
-    for name, n in (("TREE_ROWS", 64), ("LEAF_ROWS", 8), ("QUERY_ROWS", 4), ("CHUNK_TREES", 2), ("PILOT_ROWS", 30)):
+    for name, n in (("TREE_ROWS", 64), ("LEAF_ROWS", 8), ("QUERY_ROWS", 4), ("CHUNK_TREES", 2), ("PILOT_ROWS", 30), ("DIRECTORY_TREES", 3)):
         monkeypatch.setattr(tree, name, n)
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(5, 12))
     rows = [(i, [float(x) for x in centres[i % 5] * (0.1 + i % 3) + rng.normal(size=12) * 0.2]) for i in range(400)]
     rows += [(i, [0.5] * 12) for i in range(400, 520)]  # one vector that many rows share
-    rows += [(600, None), (601, [1.0, None]), (602, [float("nan")] * 12), (603, [float("inf")] * 12), (604, []), (605, [2.0]), (None, [1.0] * 12), (620, [1e30] * 12)]
+    rows += [(600, None), (601, [1.0, None]), (602, [float("nan")] * 12), (603, [float("inf")] * 12), (604, []), (605, [2.0]), (None, [1.0] * 12)]
+    rows += [(620, [2.0**40] + [1.0] * 11), (621, [2.0**40 + 2.0**20] + [1.0] * 11), (622, [-(2.0**40)] * 12), (640, [1e30] * 12), (641, [-1e30] * 12), (660, [200000.0, 1.0])]
+    rows = [(i, v and [x if x is None else float(np.float32(x)) for x in v]) for i, v in rows]
     df = spark.createDataFrame([(i, v, 1, "x") for i, v in rows], "vec_id long, embedding array<float>, label int, rid string").repartition(3)
     got = tree.top_k(df, F.col("vec_id") % 20 == 0).collect()
-    assert sorted(tuple(r) for r in got) == brute_top([r for r in rows if r[0] != 620], 20)
+    assert sorted(tuple(r) for r in got) == brute_top(rows, 20)
 
 
 def test_top_k_few_rows_and_none(spark):
@@ -118,16 +121,28 @@ def test_bounds_save_scores(monkeypatch):
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(20, 16)) * 300
     v = np.floor(np.repeat(centres, 60, axis=0) + rng.normal(size=(1200, 16)))
-    bound = int((v * v).sum(1).max())
     part = np.arange(1200) % 1200 // 100
-    trees = [tree.build_tree(np.flatnonzero(part == p), np.flatnonzero(part == p), v[part == p], bound) for p in range(12)]
-    for t in trees:
-        t["v"] = t["v"].astype(float)
+    trees = [tree.build_tree(np.flatnonzero(part == p), np.flatnonzero(part == p), v[part == p]) for p in range(12)]
     counts = {}
-    tree.search(trees, np.arange(20), v[:20], np.full(20, -np.inf), bound, 5, counts)
+    tree.search(trees, np.arange(20), v[:20], np.full(20, -np.inf), 5, counts)
     assert counts["scores"] < 20 * 1200 * 0.6
 
 
+def test_only_trees_within_the_bounds_are_sent(spark, monkeypatch):
+    """Far groups of vectors: a block of queries gets few of the trees, and no query a wrong row."""
+    for name, n in (("TREE_ROWS", 64), ("QUERY_ROWS", 16)):
+        monkeypatch.setattr(tree, name, n)
+    sent, plain = [], tree.written
+    monkeypatch.setattr(tree, "written", lambda df, name: sent.append((name, plain(df, name))) or sent[-1][1])
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in 20.0 * np.eye(16)[i % 16] + rng.normal(size=16) * 0.1]) for i in range(1600)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = tree.top_k(df, F.col("vec_id") % 20 == 0).collect()
+    assert sorted(tuple(r) for r in got) == brute_top(rows, 20)
+    tables = dict(sent)
+    assert tables["tree_pairs"].count() < 0.6 * tables["trees"].count() * tables["query_blocks"].count()
+
+
 def test_pipeline_stages(spark, sf, docs):
     """Each stage on its own input: the columns stay, and run() is the stages one after another."""
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality classifier", "exact dedup", "SimHash near-dedup", "mixing sources", "SentencePiece encoding"]

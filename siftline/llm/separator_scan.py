@@ -25,8 +25,6 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$
 #: Bytes of a token file's block that is searched at once, and of a file after which the writer begins another.
 BLOCK = 4 << 20
 SHARD = 32 << 20
-#: Characters that the tokenizer gets at once; longer texts are cut behind a line feed or space.
-PIECE = 1 << 16
 
 
 @lru_cache(maxsize=2)
@@ -35,21 +33,10 @@ def _tokenizer(ranks: str, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("corpus", pat_str=pattern, mergeable_ranks={base64.b64decode(a): int(b) for a, b in lines}, special_tokens={})
 
 
-def _pieces(text: str) -> Iterator[str]:
-    """The text in pieces of at most PIECE characters, cut at the last white space where there is any."""
-    at = 0
-    while len(text) - at > PIECE:
-        cut = max(text.rfind(c, at + 1, at + PIECE) for c in " \n")
-        cut = at + PIECE if cut <= at else cut
-        yield text[at:cut]
-        at = cut
-    yield text[at:]
-
-
 def write_token_files(docs: DataFrame, folder: str, ranks: str = RANKS, pattern: str = PATTERN, end: int = END, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write flat files of 16-bit tokens, each document followed by `end`; returns (<id_col>, file, ordinal) of the documents.
 
-    Each task writes shards of about SHARD bytes to `folder`, in any file system that pyarrow knows. A shard is written under
+    Each text is encoded whole, however long. Each task writes shards of about SHARD bytes to `folder`, in any file system that pyarrow knows. A shard is written under
     another name and renamed when it is whole, so a task that runs again replaces it. Null and empty texts have no tokens.
     """
     with open(ranks, encoding="ascii") as file:
@@ -59,7 +46,7 @@ def write_token_files(docs: DataFrame, folder: str, ranks: str = RANKS, pattern:
     where.create_dir(base_path, recursive=True)  # an empty table leaves an empty folder
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _tokenizer(shared.value, pattern).encode_ordinary
+        encode = _tokenizer(shared.value, pattern).encode_to_numpy  # without special tokens
         task = TaskContext.get()
         fs, base = pafs.FileSystem.from_uri(folder)
         shard, parts, held, ids = 0, [], 0, []
@@ -77,8 +64,7 @@ def write_token_files(docs: DataFrame, folder: str, ranks: str = RANKS, pattern:
         for batch in batches:
             start = 0
             for i, text in enumerate(batch.column(1)):
-                tokens = [t for p in _pieces(text.as_py() or "") for t in encode(p)]
-                parts.append(np.array([*tokens, end], "<u2"))
+                parts.append(np.append(encode(text.as_py() or ""), np.uint32(end)).astype("<u2"))
                 held += parts[-1].nbytes
                 if held >= SHARD:
                     ids.append(batch.column(0).slice(start, i + 1 - start))
@@ -94,24 +80,26 @@ def write_token_files(docs: DataFrame, folder: str, ranks: str = RANKS, pattern:
 def scan_token_files(spark: SparkSession, folder: str, end: int = END, width: int = 2, block: int = BLOCK) -> DataFrame:
     """(file, ordinal, start, n_tokens) of every document of flat token files without an index.
 
-    Tokens are little-endian numbers of `width` bytes (1, 2, 4 or 8), a document ends with the token `end`. Files are cut into
-    blocks of `block` bytes; each is searched for separators on its own. A prefix scan over the blocks' separator counts and last
+    Tokens are little-endian numbers of `width` bytes (1, 2, 4 or 8), a document ends with the token `end`. Files are only listed;
+    each of their blocks of `block` bytes is a row, is read where that row is, and is searched for separators on its own, so a
+    large file is read by many tasks. A prefix scan over the blocks' separator counts and last
     positions then says which document of its file a block begins in and where that one began. Tokens after the last
-    separator of a file are a document too; an empty file has none. A file must hold whole tokens and at most 2 GB (Spark's limit for
-    a binary value).
+    separator of a file are a document too; an empty file has none. A file must hold whole tokens.
     """
     block -= block % width
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(folder)
-    blocks = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "length", "content").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / block)))))
-    blocks = blocks.where("length > 0").select("file", "length", "block", F.expr(f"substring(content, cast(block * {block} + 1 as int), {block})").alias("data"))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(folder).where("length > 0").select(F.element_at(F.split("path", "/"), -1).alias("file"), "length")
+    blocks = files.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / block)))).repartition("file", "block")
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, base = pafs.FileSystem.from_uri(folder)
         for b in batches:
-            for file, length, number, data in zip(b["file"], b["length"], b["block"], b["data"], strict=True):
+            for name, length, number in zip(b["file"], b["length"], b["block"], strict=True):
                 if length % width:
-                    raise ValueError(f"{file} doesn't hold whole tokens of {width} bytes")
+                    raise ValueError(f"{name} doesn't hold whole tokens of {width} bytes")
+                with fs.open_input_file(f"{base}/{name}") as file:
+                    data = file.read_at(min(block, length - number * block), number * block)
                 hits = np.flatnonzero(np.frombuffer(data, f"<u{width}") == end) + number * (block // width)
-                yield pd.DataFrame({"file": [file], "tokens": [length // width], "block": [number], "n": [len(hits)], "last": [int(hits[-1]) if len(hits) else None], "hits": [hits.astype(np.int64)]}).astype({"last": "Int64"})
+                yield pd.DataFrame({"file": [name], "tokens": [length // width], "block": [number], "n": [len(hits)], "last": [int(hits[-1]) if len(hits) else None], "hits": [hits.astype(np.int64)]}).astype({"last": "Int64"})
 
     found = written(blocks.mapInPandas(find, "file string, tokens long, block long, n long, last long, hits array<long>"), "separators")
     order = Window.partitionBy("file").orderBy("block")

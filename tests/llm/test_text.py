@@ -142,12 +142,16 @@ def test_scan_of_an_empty_table(spark, empty):
     assert scan.scan_token_files(spark, folder).count() == 0
 
 
-def test_pieces_of_a_long_text_give_the_same_tokens():
-    rng = np.random.default_rng(0)
-    text = "".join(rng.choice(["word ", "Zwei\n", "  ", "\n\n", "x1.", " é"], 60_000).tolist())
+def test_long_texts_are_counted_whole(spark):
+    """Texts of over 65,536 characters, one without a space, one of a single word."""
+    from siftline.llm.common import new_path, written
+
+    texts = ["snake_case_name_" * 9000, "x" * 150_000, "word  \n\n" * 30_000, "日本語" * 40_000]
+    folder = new_path(spark, "long")
+    listed = written(scan.write_token_files(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), folder), "long_list")
+    got = {r.doc_id: r.n_tokens for r in listed.join(scan.scan_token_files(spark, folder, block=4096), ["file", "ordinal"]).collect()}
     tokenizer = scan._tokenizer(open(scan.RANKS).read(), scan.PATTERN)
-    assert "".join(scan._pieces(text)) == text and len(list(scan._pieces(text))) > 2
-    assert [t for p in scan._pieces(text) for t in tokenizer.encode_ordinary(p)] == tokenizer.encode_ordinary(text)
+    assert got == {k: len(tokenizer.encode_ordinary(t)) for k, t in enumerate(texts)}
 
 
 @pytest.fixture(scope="module")

@@ -16,6 +16,8 @@ BUCKETS = 1 << 16
 MOST_LANGUAGES = 512
 #: Characters that are counted at once.
 CHUNK = 1 << 20
+#: Grams x languages whose likelihoods are held at once.
+CELLS = 1 << 22
 SMOOTHING = 0.3
 ROUNDS = 12
 #: What another language must gain in log likelihood, for each unit of log(1 + trigrams).
@@ -107,13 +109,16 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tu
 
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
     table = rows.mapInPandas(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    found = table.toPandas()
-    langs = sorted(found["lang"].unique())
-    if len(langs) > MOST_LANGUAGES:
-        raise ValueError(f"{len(langs)} languages; at most {MOST_LANGUAGES}")
-    n = np.zeros((BUCKETS, len(langs)))
-    n[found["bucket"].to_numpy(), np.searchsorted(langs, found["lang"].to_numpy(str))] = found["n"]
-    return langs, ((n + SMOOTHING) / (n.sum(0) + SMOOTHING * BUCKETS)).astype(np.float32)
+
+    def likelihoods(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        n = np.bincount(pdf["bucket"], pdf["n"], BUCKETS)
+        return pd.DataFrame({"lang": [key[0]], "p": [((n + SMOOTHING) / (n.sum() + SMOOTHING * BUCKETS)).astype(np.float32).tobytes()]})
+
+    # A language has at most BUCKETS rows; what comes to the driver is a row a language.
+    found = table.groupBy("lang").applyInPandas(likelihoods, "lang string, p binary").limit(MOST_LANGUAGES + 1).toPandas().sort_values("lang")
+    if len(found) > MOST_LANGUAGES:
+        raise ValueError(f"over {MOST_LANGUAGES} languages")
+    return found["lang"].tolist(), np.column_stack([np.frombuffer(p, np.float32) for p in found["p"]]) if len(found) else np.zeros((BUCKETS, 0), np.float32)
 
 
 def _em(p: np.ndarray, n: np.ndarray, starts: np.ndarray, total: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -161,6 +166,18 @@ def infer(doc: np.ndarray, bucket: np.ndarray, n: np.ndarray, model: np.ndarray)
     return doc[starts], best
 
 
+def _stretches(doc: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of whole documents of about `most` rows; a document has at most BUCKETS."""
+    starts = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, np.int64)
+    ends, begin = np.append(starts[1:], len(doc)), 0
+    for start, end in zip(starts.tolist(), ends.tolist(), strict=False):
+        if end - begin > most and start > begin:
+            yield begin, start
+            begin = start
+    if begin < len(doc):
+        yield begin, len(doc)
+
+
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: (<id_col>, lang_pred, score, languages, proportions).
 
@@ -177,16 +194,13 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
             pred, score = np.full(len(x), "und", object), np.zeros(len(x))
             sets, parts = [[] for _ in range(len(x))], [[] for _ in range(len(x))]
             for doc, bucket, n in gram_counts(list(x["text"])) if len(langs) else []:
-                lettered = bucket != int(_hash(*(np.array([32], np.uint32),) * 3)[0])
-                doc, bucket, n = doc[lettered], bucket[lettered], n[lettered]
-                if not len(doc):
-                    continue
-                rows, share = infer(doc, bucket, n, shared.value)
-                top = share.argmax(1)
-                pred[rows], score[rows] = langs[top], share.max(1)
-                for i, s in zip(rows, share, strict=True):
-                    at = [j for j in np.argsort(-s, kind="stable") if s[j] > 0]
-                    sets[i], parts[i] = [langs[j] for j in at], [float(s[j]) for j in at]
+                for a, b in _stretches(doc, max(1, CELLS // len(langs))):
+                    rows, share = infer(doc[a:b], bucket[a:b], n[a:b], shared.value)
+                    top = share.argmax(1)
+                    pred[rows], score[rows] = langs[top], share.max(1)
+                    for i, s in zip(rows, share, strict=True):
+                        at = [j for j in np.argsort(-s, kind="stable") if s[j] > 0]
+                        sets[i], parts[i] = [langs[j] for j in at], [float(s[j]) for j in at]
             yield pd.DataFrame({"id": x["id"], "lang_pred": pred, "score": np.clip(score, 0, 1), "languages": sets, "proportions": parts})
 
     found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, lang_pred string, score double, languages array<string>, proportions array<double>")

@@ -106,3 +106,50 @@ def test_pieces_of_a_long_text_count_like_the_whole(monkeypatch):
     monkeypatch.setattr(lm, "CHUNK", 64)
     pieces = list(lm.gram_counts([text]))[0]
     assert all((a == b).all() for a, b in zip(whole, pieces, strict=True))
+
+
+def test_every_letter_counts(spark):
+    """U+2BA3C stands in the bucket of three spaces, and is a letter like any other."""
+    docs = spark.createDataFrame([(1, "\U0002ba3c", "zz"), (2, "abc abd", "aa")], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in lm.predict(docs, lm.learn(docs)).collect()}
+    assert got == {1: "zz", 2: "aa"}
+
+
+def plain_em(grams: dict, model: np.ndarray) -> dict:
+    """The method written out for one document: EM over all languages orders them, then sets of the first ones are fitted while they pay."""
+
+    def fit(chosen):
+        share = [1 / len(chosen)] * len(chosen)
+        for _ in range(lm.ROUNDS if len(chosen) > 1 else 0):
+            total = [0.0] * len(chosen)
+            for b, n in grams.items():
+                r = [share[j] * float(model[b, k]) for j, k in enumerate(chosen)]
+                for j in range(len(chosen)):
+                    total[j] += n * r[j] / sum(r)
+            share = [t / sum(grams.values()) for t in total]
+        return share, sum(n * np.log(sum(share[j] * float(model[b, k]) for j, k in enumerate(chosen))) for b, n in grams.items())
+
+    langs = list(range(model.shape[1]))
+    order = sorted(langs, key=lambda k: -fit(langs)[0][k])
+    best, (share, last) = order[:1], fit(order[:1])
+    for k in range(2, len(langs) + 1):
+        more, ll = fit(order[:k])
+        if ll - last <= lm.PENALTY * np.log1p(sum(grams.values())):
+            break
+        best, share, last = order[:k], more, ll
+    return dict(zip(best, share, strict=True))
+
+
+def test_inference_matches_plain_em(spark, docs, monkeypatch):
+    monkeypatch.setattr(lm, "CELLS", 64)
+    rng = np.random.default_rng(1)
+    words = {k: ["".join(rng.choice(list(k), 4)) for _ in range(30)] for k in ("abcde", "defgh", "ghija")}
+    train = spark.createDataFrame([(" ".join(w), k) for k, w in words.items()], "text string, lang string")
+    langs, model = lm.learn(train)
+    texts = [" ".join([*rng.choice(words[a], 20 + k), *rng.choice(words[b], 3 * k)]) for k, (a, b) in enumerate([("abcde", "defgh"), ("defgh", "ghija"), ("ghija", "ghija"), ("abcde", "ghija"), ("abcde", "abcde")] * 2)]
+    found = {r.doc_id: r for r in lm.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), (langs, model)).collect()}
+    for k, t in enumerate(texts):
+        _, bucket, n = next(lm.gram_counts([t]))
+        want = plain_em(dict(zip(bucket.tolist(), n.tolist(), strict=True)), model)
+        got = dict(zip(found[k].languages, found[k].proportions, strict=True))
+        assert {langs[j] for j in want} == set(got) and all(got[langs[j]] == pytest.approx(p, abs=1e-6) for j, p in want.items())

@@ -14,9 +14,9 @@ from siftline.llm.language_mixture import held_out
 
 #: Bytes of a passage; a text is cut into passages of this size, the last may be shorter.
 PASSAGE = 512
-#: Labelled documents that the fit may use, the first by a hash of their id, and the passages that each may have.
+#: Labelled documents that the fit may use, the first by a hash of their id, and passages of each: of a longer one evenly spread ones.
 SAMPLE_ROWS = 4_000
-SAMPLE_PASSAGES = 512
+SAMPLE_PASSAGES = 64
 THRESHOLD = 0.7
 #: Bytes whose passages are encoded at once.
 CHUNK = 1 << 20
@@ -65,6 +65,15 @@ def encode_passages(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.nd
         yield _encode(part)
 
 
+def spread_passages(text: str | None, most: int = SAMPLE_PASSAGES) -> bytes:
+    """The text's bytes, or those of `most` passages that are spread over it evenly, the first and the last among them."""
+    data = (text or "").encode("utf-8", "surrogatepass")
+    n = -(-len(data) // PASSAGE)
+    if n <= most:
+        return data
+    return b"".join(data[k * PASSAGE : (k + 1) * PASSAGE] for k in np.linspace(0, n - 1, most).astype(int).tolist())
+
+
 def _encode(part: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.array([len(b) for _, b in part], np.int64)
     passages = np.maximum(1, -(-sizes // PASSAGE))
@@ -134,7 +143,10 @@ def fit_attention(doc: np.ndarray, x: np.ndarray, labels: np.ndarray, hidden: in
     Without labels of both kinds every score is the smoothed share of label 1.
     """
     rng = np.random.default_rng(seed)
-    mean, spread = x.mean(0), np.maximum(x.std(0), 0.02)
+    mean, square = x.mean(0, dtype=np.float64), np.zeros(x.shape[1])
+    for at in range(0, len(x), 4096):
+        square += np.square(x[at : at + 4096].astype(np.float64)).sum(0)
+    spread = np.maximum(np.sqrt(np.maximum(0, square / len(x) - mean * mean)), 0.02)
     w = {"W": rng.normal(0, x.shape[1] ** -0.5, (x.shape[1], hidden)), "b": np.zeros(hidden), "V": rng.normal(0, 0.3, (hidden, gate)), "U": rng.normal(0, 0.3, (hidden, gate)), "w": rng.normal(0, 0.3, gate), "c": np.zeros(hidden), "d": np.array(0.0)}
     w = {k: v.astype(np.float32) for k, v in (w | {"mean": mean, "spread": spread}).items()}
     share = (labels.sum() + 1) / (len(labels) + 2)
@@ -149,7 +161,7 @@ def fit_attention(doc: np.ndarray, x: np.ndarray, labels: np.ndarray, hidden: in
             sizes = ends[rows] - starts[rows]
             take = np.repeat(starts[rows] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
             step += 1
-            for k, g in _gradients(w, x[take], np.cumsum(sizes) - sizes, labels[rows], decay).items():
+            for k, g in _gradients(w, x[take].astype(np.float32), np.cumsum(sizes) - sizes, labels[rows], decay).items():
                 m[k], v[k] = 0.9 * m.get(k, 0) + 0.1 * g, 0.999 * v.get(k, 0) + 0.001 * g * g
                 w[k] = (w[k] - rate * (1 - epoch / epochs) * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
     return AttentionModel(w)
@@ -158,23 +170,24 @@ def fit_attention(doc: np.ndarray, x: np.ndarray, labels: np.ndarray, hidden: in
 def learn_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> AttentionModel:
     """Fit on at most sample_rows labelled documents outside the held-out fold, the first by a hash of their id.
 
-    A document's label is 1 if all its labels are; null labels and ids count for nothing. Documents of over
-    SAMPLE_PASSAGES passages are scored but not fitted on. Text is read for the sample alone.
+    A document's label is 1 if all its labels are; null labels and ids count for nothing. Of a document of over
+    SAMPLE_PASSAGES passages the fit sees that many, evenly spread over the whole text; none is left out for its length. The features come
+    to the driver as 16-bit floats, at most 132 MB.
     """
     named = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("id")).agg(F.min((F.col(label_col) == 1).cast("int")).alias("y"))
-    short = docs.where(F.octet_length(F.coalesce(F.col(text_col), F.lit(""))) <= PASSAGE * SAMPLE_PASSAGES).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sample = named.join(short.select("id").distinct(), "id").orderBy(F.xxhash64("id"), "id").limit(sample_rows)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    sample = named.join(texts.select("id").distinct(), "id").orderBy(F.xxhash64("id"), "id").limit(sample_rows)
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for doc, x in encode_passages(list(b["text"])):
-                at, size = np.unique(doc, return_counts=True)
-                yield pd.DataFrame({"id": b["id"].to_numpy()[at], "y": b["y"].to_numpy()[at], "n": size, "x": [x[a : a + n].tobytes() for a, n in zip(np.cumsum(size) - size, size, strict=True)]})
+            for i, y, text in zip(b["id"], b["y"], b["text"], strict=True):
+                x = _encode([(0, spread_passages(text))])[1]
+                yield pd.DataFrame({"id": [i], "y": [y], "n": [len(x)], "x": [x.astype("<f2").tobytes()]})
 
     kind = dict(docs.dtypes)[id_col]
-    got = short.join(F.broadcast(sample), "id").mapInPandas(encode, f"id {kind}, y int, n long, x binary").toPandas()  # sample_rows x SAMPLE_PASSAGES at most
-    got = got.sort_values(["id", "x"], kind="stable").drop_duplicates("id")
-    x = np.frombuffer(b"".join(got["x"]), np.float32).reshape(-1, FEATURES) if len(got) else np.zeros((1, FEATURES), np.float32)
+    once = texts.join(F.broadcast(sample), "id").mapInPandas(encode, f"id {kind}, y int, n long, x binary").groupBy("id").agg(F.min(F.struct("x", "y", "n")).alias("r"))
+    got = once.select("id", "r.*").toPandas().sort_values("id", kind="stable")  # sample_rows x SAMPLE_PASSAGES at most
+    x = np.frombuffer(b"".join(got["x"]), "<f2").reshape(-1, FEATURES) if len(got) else np.zeros((1, FEATURES), "<f2")
     doc = np.repeat(np.arange(len(got)), got["n"].to_numpy(np.int64))
     return fit_attention(doc, x, got["y"].to_numpy(np.float32))
 

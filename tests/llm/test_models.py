@@ -153,3 +153,35 @@ def test_inference_matches_plain_em(spark, docs, monkeypatch):
         want = plain_em(dict(zip(bucket.tolist(), n.tolist(), strict=True)), model)
         got = dict(zip(found[k].languages, found[k].proportions, strict=True))
         assert {langs[j] for j in want} == set(got) and all(got[langs[j]] == pytest.approx(p, abs=1e-6) for j, p in want.items())
+
+
+def plain_score(w: dict, passages: np.ndarray) -> float:
+    """The model's formulas for one document, passage by passage."""
+    h, e = [], []
+    for x in passages:
+        h.append([np.tanh(sum((x[i] - w["mean"][i]) / w["spread"][i] * w["W"][i, j] for i in range(len(x))) + w["b"][j]) for j in range(w["W"].shape[1])])
+        gate = [np.tanh(sum(h[-1][j] * w["V"][j, g] for j in range(len(h[-1])))) / (1 + np.exp(-sum(h[-1][j] * w["U"][j, g] for j in range(len(h[-1]))))) for g in range(w["V"].shape[1])]
+        e.append(sum(a * b for a, b in zip(gate, w["w"], strict=True)))
+    weight = [np.exp(x) / sum(np.exp(e)) for x in e]
+    z = [sum(a * v[j] for a, v in zip(weight, h, strict=True)) for j in range(len(h[0]))]
+    return 1 / (1 + np.exp(-(sum(a * b for a, b in zip(z, w["c"], strict=True)) + w["d"])))
+
+
+def test_scores_match_a_plain_forward_pass(spark, docs, sf):
+    model = quality.learn_quality(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+    texts = {r.rid: r.text for r in docs.where("rid < 34").collect()}
+    found = {r.rid: r for r in quality.score_quality(docs.where("rid < 34"), model, id_col="rid").collect()}
+    for rid, text in texts.items():
+        passages = np.concatenate([x for _, x in quality.encode_passages([text])])
+        assert found[rid].passages == len(passages) and found[rid].score == pytest.approx(plain_score(model.weights, passages), abs=2e-4)
+
+
+def test_long_labelled_documents_are_fitted_on(spark):
+    """Two labelled texts of 1 MB decide; nothing is left out for its length."""
+    noise, prose = "x#|9$" * 210_000, "The old house stood near the river. " * 29_000
+    docs = spark.createDataFrame([(k, noise if k % 2 else prose) for k in range(1, 9)], "doc_id long, text string")
+    labels = docs.select("doc_id", (1 - F.col("doc_id") % 2).cast("int").alias("quality"))
+    model = quality.learn_quality(docs, labels)
+    got = {r.doc_id: r.score for r in quality.score_quality(docs, model).collect()}
+    assert all(got[k] < 0.3 if k % 2 else got[k] > 0.7 for k in got)
+    assert len(quality.spread_passages(prose)) == (quality.SAMPLE_PASSAGES - 1) * quality.PASSAGE + (len(prose) % quality.PASSAGE or quality.PASSAGE) and quality.spread_passages("ab") == b"ab"

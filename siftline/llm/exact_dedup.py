@@ -55,14 +55,30 @@ def decode_filter(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return (np.flatnonzero(occupied).astype(np.uint64)[run] << np.uint64(r)) | remainder, counts
 
 
+def _merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two sorted runs of distinct fingerprints with counts as one; counts of equal ones are added. Nothing is sorted again."""
+    if len(a[0]) < len(b[0]):
+        a, b = b, a
+    keys, counts = a[0], a[1].copy()
+    at = np.searchsorted(keys, b[0])
+    equal = at < len(keys)
+    equal[equal] = keys[at[equal]] == b[0][equal]
+    counts[at[equal]] += b[1][equal]
+    return np.insert(keys, at[~equal], b[0][~equal]), np.insert(counts, at[~equal], b[1][~equal])
+
+
+def _merge_runs(runs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """All runs as one, in pairs of about one size, so that a fingerprint moves once a doubling."""
+    while len(runs) > 1:
+        runs = sorted(runs, key=lambda r: len(r[0]))
+        runs = [_merged(*runs[k : k + 2]) if k + 1 < len(runs) else runs[k] for k in range(0, len(runs), 2)]
+    return runs[0] if runs else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
 def merge_filters(filters: list[bytes], bits: int) -> bytes:
-    """One filter with the fingerprints of all, counts of equal ones added."""
-    parts = [decode_filter(x) for x in filters]
-    keys, counts = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-    return encode_filter(keys[first], np.add.reduceat(counts, first) if len(first) else counts, bits)
+    """One filter with the fingerprints of all, counts of equal ones added. A filter's remainders are sorted within their quotients,
+    so filters are merged as sorted runs."""
+    return encode_filter(*_merge_runs([decode_filter(x) for x in filters]), bits)
 
 
 def partition_filters(fingerprints: DataFrame, block_bits: int) -> DataFrame:
@@ -70,14 +86,12 @@ def partition_filters(fingerprints: DataFrame, block_bits: int) -> DataFrame:
     bits = 64 - block_bits
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        runs: list[tuple[np.ndarray, np.ndarray]] = []
         for x in batches:
-            more, n = np.unique(x["h"].to_numpy(np.int64).view(np.uint64), return_counts=True)
-            both, add = np.concatenate([keys, more]), np.concatenate([counts, n])
-            order = np.argsort(both, kind="stable")
-            both, add = both[order], add[order]
-            first = np.flatnonzero(np.append(True, both[1:] != both[:-1]))
-            keys, counts = both[first], np.add.reduceat(add, first)
+            runs.append(np.unique(x["h"].to_numpy(np.int64).view(np.uint64), return_counts=True))
+            while len(runs) > 1 and len(runs[-2][0]) <= 2 * len(runs[-1][0]):  # runs at least halve from first to last
+                runs.append(_merged(runs.pop(), runs.pop()))
+        keys, counts = _merge_runs(runs)
         if not len(keys):
             return
         block = (keys >> np.uint64(bits)).astype(np.int64)

@@ -17,11 +17,13 @@ from pyspark.sql import functions as F
 MARK = "▁"
 #: Model files of public tokenizers; the path is a parameter of every function here.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Words whose pieces a task remembers, and characters that are encoded at once.
-REMEMBERED = 200_000
+#: Characters of words, and the most of one word, whose pieces a task remembers; a word counts as ten characters more.
+REMEMBERED, SHORT = 4 << 20, 64
+#: Characters that are encoded at once.
 CHUNK = 1 << 18
-#: Characters from which a text's words are cut in parts.
+#: Characters from which a text's words are cut in parts, and bytes from which a single word is searched in parts.
 LONG = 1 << 21
+HUGE = 1 << 18
 UNKNOWN_PENALTY = 10.0
 
 # Fixed values of the public model format: kinds of pieces, and the model kind that stores merge ranks.
@@ -70,8 +72,9 @@ class Vocabulary:
 
 
 def read_vocabulary(path: str) -> Vocabulary:
-    """Read a model file. A model that stores merge ranks instead of log scores gets the log scores of
-    Zipf's law, -log(rank + 2). Models with a character map are refused: the text would be changed."""
+    """Read a model file. A model of log scores is taken as it is. The public one stores merge ranks instead; tokenizers aren't trained
+    here, so its pieces get the log scores of Zipf's law, -log(rank + 2): the best pieces by these scores are not those of the
+    merges. Models with a character map are refused: the text would be changed."""
     pieces, scores, kinds, ranked, options = [], [], [], False, {}
     with open(path, "rb") as file:
         for number, value in _fields(file.read()):
@@ -173,6 +176,8 @@ class Encoder:
         self.cuts = not any(re.search(f"[^{MARK}]{MARK}", p) for p in v.pieces)
         self.words = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+" if self.cuts else "(?s).+")
         self.known: dict[str, bytes] = {}
+        self.held = 0
+        self.widest = max((len(p.encode()) for p in v.pieces), default=1)
         self.surface = [MARK if k == UNKNOWN else "" if k == CONTROL else p for p, k in zip(v.pieces, v.kinds.tolist(), strict=True)]
         self.byte_of = {i: b for b, i in enumerate(self.bytes or []) if i != v.unknown}
 
@@ -194,14 +199,54 @@ class Encoder:
         return b"".join(parts)
 
     def _pack(self, cut: list[list[str]]) -> list[bytes]:
-        """Packed ids of lists of words."""
+        """Packed ids of lists of words. Long words, as in text without spaces, are not remembered."""
         new = list({w for words in cut for w in words if w not in self.known})
-        if len(self.known) > REMEMBERED:  # forget the older half
-            needed = {w for words in cut for w in words}
-            self.known = {w: p for k, (w, p) in enumerate(self.known.items()) if k > REMEMBERED // 2 or w in needed}
-        self.known.update(zip(new, self._viterbi(new), strict=True))
-        known = self.known.__getitem__
-        return [b"".join(map(known, words)) for words in cut]
+        huge = {w for w in new if len(w) > HUGE // 4 and len(w.encode("utf-8", "replace")) > HUGE}
+        new = [w for w in new if w not in huge]
+        made = dict(zip(new, self._viterbi(new), strict=True)) | {w: self._huge(w) for w in huge}
+        find = lambda w: made[w] if w in made else self.known[w]
+        out = [b"".join(map(find, words)) for words in cut]
+        short = {w: p for w, p in made.items() if len(w) <= SHORT}
+        self.held += sum(len(w) + 10 for w in short)
+        if self.held > REMEMBERED:
+            self.known, self.held = {}, sum(len(w) + 10 for w in short)
+        self.known.update(short)
+        return out
+
+    def _huge(self, word: str) -> bytes:
+        """Best pieces of one very long word. It is searched from left to right, HUGE bytes at a time, with sums in 64-bit floats; of the
+        whole word only eight bytes a byte are kept, the last piece of the best way to each place and where it begins."""
+        coded = word.encode("utf-8", "replace")
+        back, came = np.full(len(coded) + 1, -1, np.int32), np.zeros(len(coded) + 1, np.int32)
+        best = {0: 0.0}
+        for begin in range(0, len(coded), HUGE):
+            stop = min(len(coded), begin + HUGE)
+            data = np.frombuffer(coded[begin : stop + self.widest], np.uint8).astype(np.int32)
+            heads = np.flatnonzero((data[: stop - begin] & 0xC0) != 0x80).astype(np.int32)
+            start, length, piece = self.trie.matches(data, heads, np.full(len(heads), len(data), np.int32))
+            every = np.flatnonzero((np.append(data, 0) & 0xC0) != 0x80)
+            width = dict(zip(heads.tolist(), (every[np.searchsorted(every, heads) + 1] - heads).tolist(), strict=True))
+            order = np.lexsort((length, start))
+            edges = zip(start[order].tolist(), length[order].tolist(), piece[order].tolist(), self.scores[piece[order]].tolist(), strict=True)
+            edge = next(edges, None)
+            for at in heads.tolist():
+                here, single = best.pop(begin + at), False
+                steps = []
+                while edge is not None and edge[0] == at:
+                    single |= edge[1] == width[at]
+                    steps.append(edge[1:])
+                    edge = next(edges, None)
+                for n, p, score in steps if single else [*steps, (width[at], -1, float(self.unknown_score))]:
+                    to = begin + at + n
+                    if here + score > best.get(to, -np.inf):
+                        best[to] = here + score
+                        back[to], came[to] = p, begin + at
+        ids, at = [], len(coded)
+        while at:
+            p = int(back[at])
+            ids += [p] if p >= 0 else [self.bytes[b] for b in reversed(coded[came[at] : at])] if self.bytes else [self.vocabulary.unknown]
+            at = int(came[at])
+        return np.array(ids[::-1], np.int32).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
         """Ids of each text."""
@@ -314,7 +359,7 @@ def encode(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col
 
     Whole texts are encoded; null and empty texts have no ids. Characters outside the vocabulary become
     their UTF-8 bytes (the unknown id if the model has no byte pieces). Repeated rows each get a row,
-    other columns are not read. No row is shuffled; a word is cut once a task while it is remembered.
+    other columns are not read. No row is shuffled; a word is cut once a task while it is remembered. A text without spaces is one word, whatever its length.
     """
     shared = docs.sparkSession.sparkContext.broadcast(load(model))  # of the size of the vocabulary
     kind = dict(docs.dtypes)[id_col]
@@ -330,7 +375,7 @@ def encode(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), flat)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), lists, pa.array(sizes)], ["id", "ids", "n_tokens"])
                 at += len(part)
-        encoder.known = {}  # a worker lives on after its task
+        encoder.known, encoder.held = {}, 0  # a worker lives on after its task
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, ids array<int>, n_tokens long").withColumnRenamed("id", id_col)
 

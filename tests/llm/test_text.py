@@ -218,7 +218,7 @@ def test_forgetting_words_changes_nothing(monkeypatch):
     texts = [f"word{k} other{k % 7}" for k in range(200)]
     fresh = unigram.Encoder(unigram.read_vocabulary(unigram.MODEL))
     want = fresh.encode(texts)
-    monkeypatch.setattr(unigram, "REMEMBERED", 20)
+    monkeypatch.setattr(unigram, "REMEMBERED", 200)
     small = unigram.Encoder(unigram.read_vocabulary(unigram.MODEL))
     assert [small.encode([t])[0] for t in texts] == want
 
@@ -231,6 +231,24 @@ def test_long_texts_encode_alike_in_parts(monkeypatch):
     assert encoder.encode(texts) == whole
 
 
+def test_huge_words_are_cut_like_others(monkeypatch):
+    rng = np.random.default_rng(0)
+    words = ["".join(rng.choice(list("abcdeé日🙂"), 700)), "a" * 500, "日本語" * 100, "the" * 300]
+    encoder = unigram.Encoder(unigram.read_vocabulary(unigram.MODEL))
+    total = lambda ids: sum(float(encoder.scores[i]) for i in ids)
+    want = encoder.encode(words)
+    monkeypatch.setattr(unigram, "HUGE", 64)
+    got = unigram.Encoder(encoder.vocabulary).encode(words)
+    assert [encoder.decode(x) for x in got] == words
+    assert all(total(a) == pytest.approx(total(b), rel=1e-6) for a, b in zip(want, got, strict=True))
+
+
+def test_a_megabyte_without_a_space_is_not_remembered():
+    encoder = unigram.Encoder(unigram.read_vocabulary(unigram.MODEL))
+    text = "nospacehere" * 100_000
+    assert encoder.decode(encoder.encode([text])[0]) == text and encoder.known == {}
+
+
 def test_decoding_null_ids(spark):
     df = spark.createDataFrame([(1, None), (2, [])], "doc_id long, ids array<int>")
     assert [r.decoded for r in unigram.decode(df).orderBy("doc_id").collect()] == [None, ""]

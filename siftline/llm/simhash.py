@@ -20,8 +20,9 @@ SHINGLE = 3
 SEED = 42
 #: Fingerprints of one bucket that are compared with each other; larger buckets are covered anew.
 BUCKET = 256
-#: Near copies of drop_near_copies: words of a shingle, bands, and least shingles of a band.
+#: Near copies of drop_near_copies: words of a shingle, bands, and least shingles of a band; rows of a bucket that a task compares.
 SET_SHINGLE, BANDS, MINS = 5, 24, 4
+PART_ROWS = 512
 
 #: Bytes of a text whose words are held at once.
 CHUNK = 4 << 20
@@ -236,7 +237,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def _sketches(rows: DataFrame) -> DataFrame:
-    """rows(rid, text) -> (rid, n, keys): distinct shingles of SET_SHINGLE words, and a hash of each band's MINS least ones."""
+    """rows(rid, text) -> (rid, n, fp, keys) of the distinct shingles of SET_SHINGLE words: how many, their fingerprint, and a hash of each band's
+    MINS least ones."""
     draw = np.random.default_rng(SEED)
     flips, odd = (draw.integers(0, 1 << 64, BANDS * MINS, np.uint64) for _ in range(2))
     odd |= np.uint64(1)
@@ -251,14 +253,15 @@ def _sketches(rows: DataFrame) -> DataFrame:
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, found = [], []
+            sizes, prints, found = [], [], []
             for text in batch.column(1):
                 hashes = np.unique(shingle_hashes(text.as_py(), SET_SHINGLE))
                 sizes.append(len(hashes))
+                prints.append(_signed(int(majority_bits([hashes])[0])))
                 found.append(keys(hashes))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["rid", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["rid", "n", "fp", "keys"])
 
-    return rows.mapInArrow(build, "rid long, n long, keys array<long>")
+    return rows.mapInArrow(build, "rid long, n long, fp long, keys array<long>")
 
 
 def _shingle_sets(rows: DataFrame) -> DataFrame:
@@ -283,27 +286,81 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(9 * F.size(F.array_intersect("a", "b")) >= 4 * (F.size("a") + F.size("b"))).select("u", "v")
 
 
+def _compared(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Rows(rid, root, hashes, asks) of a part of a bucket -> links (u, v) of rows that ask with rows of other roots at a Jaccard similarity of at
+    least 4/5, one less than the rows that they join: pairs stay in here."""
+    asks = pdf["asks"].to_numpy(bool)
+    rid, root, sets = pdf["rid"].to_numpy(), pdf["root"].to_numpy(), pdf["hashes"].to_numpy()
+    other = np.flatnonzero(~asks)
+    sizes = np.array([len(x) for x in sets], np.int64)
+    flat = np.concatenate([np.zeros(0, np.int64), *sets[other]])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], np.repeat(np.arange(len(other)), sizes[other])[order]
+    low: dict[int, int] = {}  # each row or root to one before it
+
+    def first(x: int) -> int:
+        while low.get(x, x) != x:
+            low[x] = low.get(low[x], low[x])
+            x = low[x]
+        return x
+
+    out = []
+    for i in np.flatnonzero(asks).tolist():
+        a, b = np.searchsorted(flat, sets[i]), np.searchsorted(flat, sets[i], side="right")
+        n = b - a
+        take = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        common = np.bincount(owner[take], minlength=len(other))
+        for j in other[np.flatnonzero((9 * common >= 4 * (sizes[i] + sizes[other])) & (root[other] != root[i]))].tolist():
+            x, y = first(int(root[i])), first(int(root[j]))
+            if x != y:
+                low[max(x, y)] = min(x, y)
+                out.append((rid[i], rid[j]))
+    return pd.DataFrame(np.array(out, np.int64).reshape(-1, 2), columns=["u", "v"])
+
+
 def similar_links(rows: DataFrame) -> DataFrame:
     """rows(rid, text) -> links (u, v) with the components of all candidate pairs of Jaccard similarity 4/5 or more.
 
-    Candidates share a band: at 4/5 a pair shares none of 24 with a probability of (1 - 0.8^4)^24, 3 in a million. In each bucket all
-    rows are first held against the smallest; only rows that no link has joined by then are held against each other.
+    First come the pairs that covering masks give: equal fingerprints, and a forest of those within RADIUS bits. At 4/5 most pairs are
+    farther apart than masks can reach, so candidates also share a band: of 24 such a pair shares none with a probability of
+    (1 - 0.8^4)^24, 3 in a million. Rows are held against the smallest row of a bucket, first against the one that they meet
+    in most bands, then against the others unless a link has joined them. What a bucket then still has of other components than
+    its largest is held against all its rows within tasks of PART_ROWS rows, which return a forest of links, never pairs.
     """
-    bands = written(_sketches(rows).select("rid", "n", F.explode("keys").alias("key")), "bands")
+    sketches = written(_sketches(rows), "sketches")
+    nodes = written(sketches.groupBy("fp").agg(F.min(F.struct("rid", "n")).alias("at")), "prints")
+    alike = sketches.join(small_side(nodes), "fp").where("rid <> at.rid").select(F.col("at.rid").alias("u"), F.col("at.n").alias("un"), F.col("rid").alias("v"), F.col("n").alias("vn"))
+    end = lambda name: nodes.select(F.col("fp").alias(name), F.col("at.rid").alias(f"r{name}"), F.col("at.n").alias(f"n{name}"))
+    masked = links(nodes.select("fp")).join(end("u"), "u").join(end("v"), "v").select(F.col("ru").alias("u"), F.col("nu").alias("un"), F.col("rv").alias("v"), F.col("nv").alias("vn"))
+
+    bands = sketches.select("rid", "n", F.explode("keys").alias("key"))
     buckets = written(bands.groupBy("key").agg(F.min(F.struct("rid", "n")).alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size"), "buckets")
     members = written(bands.join(small_side(buckets), "key"), "members")
-    meet = lambda a, b: (5 * F.col(a) >= 4 * F.col(b)) & (5 * F.col(b) >= 4 * F.col(a))
-    pairs = members.where((F.col("rid") != F.col("hub.rid")) & meet("n", "hub.n")).select(F.col("hub.rid").alias("u"), F.col("rid").alias("v")).distinct()
-    asked = small_side(written(members.select("rid").distinct(), "candidates"))
-    sets = written(_shingle_sets(rows.join(asked, "rid", "left_semi").select("rid", "text")), "shingle_sets")
-    found = written(_verified(pairs, sets), "hub_links")
-    named = members.join(small_side(written(components(found), "hub_components")), F.col("rid") == F.col("node"), "left").select("key", "rid", "n", F.coalesce("root", "rid").alias("root"))
-    named = written(named, "named")
-    mixed = written(named.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("key"), "mixed")
-    left = named.join(small_side(mixed), "key", "left_semi")
-    other = left.select("key", F.col("rid").alias("v"), F.col("n").alias("m"), F.col("root").alias("s"))
-    rest = left.withColumnRenamed("rid", "u").join(other, "key").where((F.col("u") < F.col("v")) & (F.col("root") != F.col("s")) & meet("n", "m")).select("u", "v").distinct()
-    return found.unionByName(written(_verified(rest, sets), "other_links"))
+    meet = (5 * F.col("un") >= 4 * F.col("vn")) & (5 * F.col("vn") >= 4 * F.col("un"))
+    hubs = members.where("rid <> hub.rid").groupBy(F.col("hub.rid").alias("u"), F.col("hub.n").alias("un"), F.col("rid").alias("v"), F.col("n").alias("vn")).agg(F.count(F.lit(1)).alias("times"))
+    hubs = written(hubs.where(meet), "hub_pairs")
+    most = hubs.groupBy("v").agg(F.min(F.struct((-F.col("times")).alias("times"), "u")).alias("m")).select(F.col("m.u").alias("u"), "v")
+    begin = written(alike.unionByName(masked).where(meet).select("u", "v").unionByName(most).distinct(), "first_pairs")
+
+    asked = members.select("rid").unionByName(begin.select(F.col("u").alias("rid"))).unionByName(begin.select(F.col("v").alias("rid"))).distinct()
+    sets = written(_shingle_sets(rows.join(small_side(written(asked, "candidates")), "rid", "left_semi").select("rid", "text")), "shingle_sets")
+    found = written(_verified(begin, sets), "first_links")
+    joined = written(components(found), "first_components")
+    root = lambda of: joined.select(F.col("node").alias(of), F.col("root").alias(f"r{of}"))
+    open_pairs = hubs.select("u", "v").join(begin, ["u", "v"], "left_anti").join(small_side(root("u")), "u", "left").join(small_side(root("v")), "v", "left")
+    more = written(_verified(open_pairs.where(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v"), sets), "hub_links")
+    found = found.unionByName(more)
+
+    joined = written(components(found), "hub_components")
+    named = written(members.join(small_side(joined), F.col("rid") == F.col("node"), "left").select("key", "rid", F.coalesce("root", "rid").alias("root")), "named")
+    tally = named.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.sum("c").alias("all"), F.max("c").alias("most"), F.max_by("root", F.struct("c", "root")).alias("major"))
+    mixed = tally.where(F.col("all") > F.col("most")).select("key", "major", F.ceil(F.col("all") / PART_ROWS).alias("parts"), F.ceil((F.col("all") - F.col("most")) / PART_ROWS).alias("asking"))
+    x = named.join(small_side(written(mixed, "mixed")), "key")
+    number = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    every = x.select("key", "rid", "root", F.pmod(F.xxhash64("rid"), "parts").alias("i"), number("asking").alias("j"), F.lit(False).alias("asks"))
+    asks = x.where("root <> major").select("key", "rid", "root", number("parts").alias("i"), F.pmod(F.xxhash64("rid", F.lit(1)), "asking").alias("j"), F.lit(True).alias("asks"))
+    parts = every.unionByName(asks).join(sets, "rid")
+    return found.unionByName(written(parts.groupBy("key", "i", "j").applyInPandas(_compared, "u long, v long"), "other_links"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -132,6 +132,33 @@ def test_near_copies_that_meet_no_hub_go(spark):
     assert [r.doc_id for r in left.collect()] == [0]
 
 
+def test_near_copies_match_brute_force(spark, monkeypatch):
+    """Families that share passages, at similarities around four fifths, in buckets that are compared four rows at a time."""
+    monkeypatch.setattr(simhash, "PART_ROWS", 4)
+    rng = np.random.default_rng(8)
+    vocabulary = [f"v{i}" for i in range(3000)]
+    rows = []
+    for family in range(3):
+        base = rng.choice(vocabulary, 120).tolist()
+        for child in range(4):
+            mother = [str(rng.choice(vocabulary)) if rng.random() < 0.05 else w for w in base]
+            for _ in range(12):
+                rows.append((len(rows), " ".join(str(rng.choice(vocabulary)) if rng.random() < 0.012 else w for w in mother)))
+    sets = [{" ".join(t.split()[i : i + 5]) for i in range(116)} for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def find(x):
+        return x if parent[x] == x else find(parent[x])
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j])):
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    left = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    want = sorted({find(i) for i in range(len(rows))})
+    assert sorted(r.doc_id for r in left.collect()) == want and 1 < len(want) < len(rows)
+
+
 @given(st.sets(st.integers(0, 63), min_size=1, max_size=3))
 def test_some_mask_misses_any_three_bits(bits):
     flipped = sum(1 << b for b in bits)

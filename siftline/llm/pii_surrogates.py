@@ -12,8 +12,10 @@ from siftline.llm.common import numbered, written
 
 #: The default key; a caller passes a secret one.
 KEY = "siftline"
-#: Times that colliding surrogates are drawn anew before they are told apart by a suffix.
-ROUNDS = 12
+#: Times that colliding surrogates are drawn anew in their format, and times more in a wider one.
+ROUNDS, WIDER = 12, 8
+#: What stands around a mention while a text is cut, and what stands for its first character in a text that has it itself.
+MARK, PLAIN, ESCAPED = "\ufdd0\ufdd1", "\ufdd0", "\ufdd0\ufdd2"
 
 # Titles before a name, with the gender they tell (m, f, or u for neither).
 TITLES = {
@@ -30,14 +32,31 @@ GIVEN = {
     "greek_m": ["Άρης", "Γιώργος", "Δημήτρης", "Κώστας", "Νίκος", "Πέτρος", "Σπύρος", "Χρήστος"],
     "greek_f": ["Άννα", "Ελένη", "Ζωή", "Ιωάννα", "Κατερίνα", "Μαρία", "Σοφία", "Χριστίνα"],
 }
+# Further given names that tell a name and its gender where no title does.
+FREQUENT = {
+    "m": ["Alexander", "Andrew", "Carlos", "Charles", "Edward", "Frank", "George", "Hans", "Henry", "Jack", "James", "Jean", "John", "José", "Juan", "Klaus", "Luis", "Mark", "Michael", "Peter", "Pierre", "Robert", "Stefan", "Thomas", "William"],
+    "f": ["Barbara", "Carmen", "Catherine", "Charlotte", "Elizabeth", "Emily", "Grace", "Hannah", "Isabel", "Jane", "Jennifer", "Karen", "Linda", "Lucy", "Margaret", "Marie", "Mary", "Olivia", "Patricia", "Sarah", "Sofia", "Sophie", "Susan", "Teresa", "Ursula"],
+}
 # Consonants and vowels that family names are made of, by script.
 SYLLABLES = {"latin": ("bdfgklmnprstv", "aeiou"), "cyrillic": ("бвгдзклмнпрст", "аеиоу"), "greek": ("βγδζκλμνπρστ", "αεηιο")}
 # Alphabets that letters are drawn from, by script.
 ALPHABETS = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзийклмнопрстуфхцчшщъыьэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω"}
 
+#: Gender by given name, in lower case.
+GIVEN_GENDER = {name.lower(): group[-1] for group, names in (GIVEN | FREQUENT).items() for name in names}
+
+
+def _alternatives(words: list[str]) -> str:
+    """A pattern of the words that looks at the first letter once."""
+    heads = sorted({w[0] for w in words})
+    return "|".join(f"{h}(?:{'|'.join(sorted((w[1:] for w in set(words) if w[0] == h), key=lambda x: (-len(x), x)))})" for h in heads)
+
+
 _TITLE = "|".join(sorted((t for group in TITLES.values() for t in group), key=len, reverse=True))
 _TITLE_START = "".join(sorted({t[0] for group in TITLES.values() for t in group}))
 _NAME = r"\p{Lu}[\p{L}'’-]++"
+_GIVEN = _alternatives([n for names in (GIVEN | FREQUENT).values() for n in names])
+_GIVEN_START = "".join(sorted({n[0] for names in (GIVEN | FREQUENT).values() for n in names}))
 _LABEL = r"(?i:password|passwd|secret|api_key|token)\s?[=:]\s?[\"']?"
 #: What a mention may begin with and keeps: a title and space, or a label.
 _PREFIX = rf"^(?:(?:{_TITLE})\.?\s(?=\p{{Lu}})|{_LABEL})"
@@ -53,6 +72,7 @@ PATTERNS = {
     "ssn": r"(?=\d)(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?=[+(\d])(?:(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\d{2,4}[ .-]\d{3,4}[ .-]\d{3,4})(?![\d-])|(?<![\d+])\+\d{8,15}(?!\d))",
     "person": rf"(?=[{_TITLE_START}])(?<!\p{{L}})(?:{_TITLE})\.?\s{_NAME}(?:\s{_NAME}){{0,2}}",
+    "named person": rf"(?=[{_GIVEN_START}])(?<!\p{{L}})(?:{_GIVEN})(?:\s{_NAME}){{1,2}}",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
@@ -60,7 +80,7 @@ ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 def _type_of(prefix: Column, core: Column) -> Column:
     """The type of what ANY has found; null for a number like a card's whose Luhn sum is wrong, which is no entity."""
     checks = {"email": r"^[^@\s]+@[^@\s]+$", "ip": r"^\d{1,3}(?:\.\d{1,3}){3}$", "ssn": r"^\d{3}-\d{2}-\d{4}$", "iban": r"^[A-Z]{2}\d{2}[A-Z0-9 ]{11,}$", "card": r"^[2-6]\d{3}(?:[ -]?\d{4}){2}[ -]?\d{1,7}$", "phone": r"^[+(\d][\d ().-]+$"}
-    out = F.when(prefix.rlike(f"^{_LABEL}$") | core.rlike("^AKIA[0-9A-Z]{16}$"), "secret").when(prefix != "", "person")
+    out = F.when(prefix.rlike(f"^{_LABEL}$") | core.rlike("^AKIA[0-9A-Z]{16}$"), "secret").when((prefix != "") | core.rlike(rf"^(?:{_GIVEN})\s{_NAME}"), "person")
     for kind, pattern in checks.items():
         named = F.lit(kind) if kind != "card" else F.when(_luhn_sum(F.regexp_replace(core, r"\D", "")) % 10 == 0, kind)
         out = out.when(core.rlike(pattern), named)
@@ -114,14 +134,28 @@ def _luhn_sum(digits: Column) -> Column:
     return F.aggregate(each, F.lit(0), lambda s, x: s + F.when(x > 9, x - 9).otherwise(x))
 
 
-def _surrogate(key: str) -> Column:
-    """Surrogate of the columns kind, canon, gender, attempt."""
+def _check_digits(account: Column, country: Column) -> Column:
+    """The two digits that make an account number's remainder by 97 one; letters count as 10 to 35."""
+    text = F.concat(account, country, F.lit("00"))
+
+    def step(rest: Column, i: Column) -> Column:
+        c = F.ascii(F.substring(text, i.cast("int"), F.lit(1)))
+        return F.when(c >= 65, (rest * 100 + c - 55) % 97).otherwise((rest * 10 + c - 48) % 97)
+
+    return F.lpad((98 - F.aggregate(F.sequence(F.lit(1), F.length(text)), F.lit(0), step)).cast("string"), 2, "0")
+
+
+def _surrogate(wider: int = 0) -> Column:
+    """Surrogate of the columns kind, canon, gender, stream. With `wider` above 0 it has more values than its format: more digits, letters or
+    syllables, and any octets."""
     kind, canon, stream = F.col("kind"), F.col("canon"), F.col("stream")
     none = F.lit(0)
+    more = F.substring(stream, 97, 2 * wider)
+    more_digits, more_letters = F.translate(more, "abcdef", "012345"), F.translate(more, "0123456789", "ghijklmnop")
     domain = F.length(F.substring_index(canon, ".", -1)) + 1
-    octets = F.transform(F.split(canon, r"\."), lambda o, i: F.when(F.length(o) == 1, _bytes_at(stream, i) % 9 + 1).when(F.length(o) == 2, _bytes_at(stream, i) % 90 + 10).otherwise(_bytes_at(stream, i) % 156 + 100).cast("string"))
+    octets = F.transform(F.split(canon, r"\."), lambda o, i: (_bytes_at(stream, i) % 254 + 1).cast("string") if wider else F.when(F.length(o) == 1, _bytes_at(stream, i) % 9 + 1).when(F.length(o) == 2, _bytes_at(stream, i) % 90 + 10).otherwise(_bytes_at(stream, i) % 156 + 100).cast("string"))
     drawn = _by_class(canon, stream, F.lit(False), none, F.when(kind == "card", 1).otherwise(0))
-    body = F.substring(drawn, F.lit(1), F.length(drawn) - 1)
+    body = F.concat(F.substring(drawn, F.lit(1), F.length(drawn) - 1), more_digits)
     check = (10 - _luhn_sum(F.concat(body, F.lit("0"))) % 10) % 10
     card = F.concat(body, check.cast("string"))
     script = _script(canon)
@@ -132,18 +166,21 @@ def _surrogate(key: str) -> Column:
     family = F.lit(None).cast("string")
     for name, (hard, soft) in SYLLABLES.items():
         made = F.initcap(F.concat(*[x for k in range(4) for x in (_pick(hard, _bytes_at(stream, F.lit(2 * k))), _pick(soft, _bytes_at(stream, F.lit(2 * k + 1))))]))
+        made = F.concat(made, *[x for k in range(4, 4 + wider) for x in (_pick(hard, _bytes_at(stream, F.lit(2 * k))), _pick(soft, _bytes_at(stream, F.lit(2 * k + 1))))])
         family = F.when(script == name, made).otherwise(family)
     words = F.size(F.split(canon, " "))
     person = F.when(words == 1, family).when(words == 2, F.concat_ws(" ", given, family)).otherwise(F.concat_ws(" ", given, F.concat(_upper_initial(family), F.lit(".")), family))
     secret = F.when(canon.rlike("^AKIA"), _by_class(canon, stream, F.lit(False), none, F.lit(4))).when(canon.rlike("^[0-9a-f]+$"), _by_class(canon, stream, F.lit(True), none, none)).otherwise(drawn)
+    email, country = _by_class(canon, stream, F.lit(False), domain, none), F.substring(canon, 1, 2)
+    account = F.concat(F.substring(drawn, F.lit(5), F.length(drawn)), more_digits)
     return (
-        F.when(kind == "email", _by_class(canon, stream, F.lit(False), domain, none))
+        F.when(kind == "email", F.concat(F.substring_index(email, "@", 1), more_letters, F.lit("@"), F.substring_index(email, "@", -1)))
         .when(kind == "ip", F.array_join(octets, "."))
         .when(kind == "card", card)
-        .when(kind == "iban", _by_class(canon, stream, F.lit(False), none, F.lit(2)))
+        .when(kind == "iban", F.concat(country, _check_digits(account, country), account))
         .when(kind == "person", person)
-        .when(kind == "secret", secret)
-        .otherwise(drawn)
+        .when(kind == "secret", F.concat(secret, more))
+        .otherwise(F.concat(drawn, more_digits))
     )
 
 
@@ -155,16 +192,18 @@ def draw_surrogates(entities: DataFrame, key: str = KEY, rounds: int = ROUNDS) -
     """entities(kind, canon, gender), distinct by kind and canon -> (kind, canon, surrogate), distinct by kind and surrogate.
 
     A surrogate is drawn from a keyed hash. It collides if another entity of its kind has drawn it, or if it is an entity of
-    its kind itself; of those that drew the same one the smallest stays, the others draw again. What still collides after
-    `rounds` (a format with hardly more values than entities) gets a suffix from its hash: distinctness goes before format.
+    its kind itself; both are compared as entities are, so the case of secrets counts and that of names doesn't. Of those that drew the
+    same one the smallest stays, the others draw again. What still collides after `rounds` (a format with hardly more values than
+    entities) draws WIDER times more from ever more values, under the same check: distinctness goes before format. An error if
+    that isn't enough.
     """
     todo = entities.withColumn("attempt", F.lit(0))
     real = entities.select("kind", F.col("canon").alias("drawn"))
     done = None
-    for k in range(rounds):
-        drawn = todo.withColumn("stream", _stream(key, F.col("kind"), F.col("canon"), F.col("attempt"))).withColumn("surrogate", _surrogate(key)).drop("stream")
-        drawn = written(drawn.withColumn("drawn", F.lower("surrogate")), f"drawn{k}")
-        taken = real if done is None else real.unionByName(done.select("kind", F.lower("surrogate").alias("drawn")))
+    for k in range(rounds + WIDER):
+        drawn = todo.withColumn("stream", _stream(key, F.col("kind"), F.col("canon"), F.col("attempt"))).withColumn("surrogate", _surrogate(max(0, k + 1 - rounds))).drop("stream")
+        drawn = written(drawn.withColumn("drawn", _canonical(F.col("kind"), F.col("surrogate"))), f"drawn{k}")
+        taken = real if done is None else real.unionByName(done.select("kind", _canonical(F.col("kind"), F.col("surrogate")).alias("drawn")))
         first = drawn.groupBy("kind", "drawn").agg(F.min("canon").alias("canon"))
         good = first.join(taken, ["kind", "drawn"], "left_anti")
         settled = written(drawn.join(good, ["kind", "drawn", "canon"]).select("kind", "canon", "surrogate"), f"settled{k}")
@@ -172,8 +211,7 @@ def draw_surrogates(entities: DataFrame, key: str = KEY, rounds: int = ROUNDS) -
         todo = written(drawn.join(settled.select("kind", "canon"), ["kind", "canon"], "left_anti").select("kind", "canon", "gender", (F.col("attempt") + 1).alias("attempt")), f"colliding{k}")
         if not todo.limit(1).count():
             return done
-    last = todo.withColumn("stream", _stream(key, F.col("kind"), F.col("canon"), F.col("attempt"))).withColumn("surrogate", F.concat(_surrogate(key), F.lit("-"), F.substring("stream", 1, 32)))
-    return done.unionByName(last.select("kind", "canon", "surrogate"))
+    raise RuntimeError(f"surrogates still collide after {rounds + WIDER} draws")
 
 
 def _render(kind: Column, entity: Column, surrogate: Column) -> Column:
@@ -188,10 +226,20 @@ def _render(kind: Column, entity: Column, surrogate: Column) -> Column:
     return F.when(kind.isin("phone", "card", "ssn"), place("[^0-9]")).when(kind == "iban", place(r"\s")).otherwise(other)
 
 
-def _gender(prefix: Column) -> Column:
-    """Gender told by the title that a mention begins with."""
-    title = F.regexp_replace(F.lower(prefix), r"\.?\s$", "")
-    return F.when(title.isin([t.lower() for t in TITLES["m"]]), "m").when(title.isin([t.lower() for t in TITLES["f"]]), "f").otherwise("u")
+def _gender(prefix: Column, entity: Column) -> Column:
+    """Gender told by the title that a mention begins with, else by its given name."""
+    title, given = F.regexp_replace(F.lower(prefix), r"\.?\s$", ""), F.lower(F.substring_index(entity, " ", 1))
+    by_name = F.create_map(*[F.lit(x) for pair in GIVEN_GENDER.items() for x in pair])[given]
+    return F.when(title.isin([t.lower() for t in TITLES["m"]]), "m").when(title.isin([t.lower() for t in TITLES["f"]]), "f").otherwise(F.coalesce(by_name, F.lit("u")))
+
+
+def _cut(text: Column) -> Column:
+    """The text as an array in which gaps and mentions take turns, beginning and ending with a gap. The one search of the text."""
+    return F.split(F.regexp_replace(F.replace(text, F.lit(PLAIN), F.lit(ESCAPED)), ANY, f"{MARK}$0{MARK}"), MARK, -1)
+
+
+def _uncut(piece: Column) -> Column:
+    return F.replace(piece, F.lit(ESCAPED), F.lit(PLAIN))
 
 
 def replace_entities(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -203,24 +251,27 @@ def replace_entities(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", te
     a given name of the gender that its title tells in any mention (drawn by the key if none does), of
     its script, with as many words. Everything else stays as it was, character for character.
 
-    Null text stays null with no entities; repeated rows are treated alike; other columns are not read. Whole texts are searched. Only
+    Names are found behind a title, and without one where they begin with a given name of GIVEN or FREQUENT; account numbers get right
+    check digits. `Mr Smith` and `Mr John Smith` are two entities.
+
+    Null text stays null with no entities; repeated rows are treated alike; other columns are not read. Whole texts are searched, once:
+    a written table has each text cut at its mentions, and all else works on that. Only
     documents with entities are joined to their replacements; the others are not shuffled.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    has = F.coalesce(F.col("text").rlike(ANY), F.lit(False))
-    held = numbered(rows.where(has))
-    found = held.select("rid", F.posexplode(F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).alias("k", "whole")).withColumn("prefix", F.regexp_extract("whole", _PREFIX, 0))
-    found = found.withColumn("entity", F.expr("substring(whole, length(prefix) + 1)")).withColumn("kind", _type_of(F.col("prefix"), F.col("entity")))
-    mentions = written(found.select("rid", "k", "prefix", "entity", "kind", _canonical(F.col("kind"), F.col("entity")).alias("canon"), _gender(F.col("prefix")).alias("gender")), "mentions")
+    held = numbered(docs.select(F.col(id_col).alias("id"), _cut(F.col(text_col)).alias("parts")))
+    some = F.coalesce(F.size("parts"), F.lit(0)) > 1
+    found = held.where(some).select("rid", F.posexplode("parts").alias("k", "part")).where("k % 2 = 1").select("rid", "k", _uncut(F.col("part")).alias("whole"))
+    found = found.withColumn("prefix", F.regexp_extract("whole", _PREFIX, 0)).withColumn("entity", F.expr("substring(whole, length(prefix) + 1)")).withColumn("kind", _type_of(F.col("prefix"), F.col("entity")))
+    mentions = written(found.select("rid", "k", "prefix", "entity", "kind", _canonical(F.col("kind"), F.col("entity")).alias("canon"), _gender(F.col("prefix"), F.col("entity")).alias("gender")), "mentions")
     entities = written(mentions.where("kind IS NOT NULL").groupBy("kind", "canon").agg(F.coalesce(F.min(F.when(F.col("gender") != "u", F.col("gender"))), F.lit("u")).alias("gender")), "entities")
     surrogates = written(draw_surrogates(entities, key), "surrogates")
     replaced = mentions.join(surrogates, ["kind", "canon"], "left").withColumn("new", F.concat("prefix", F.coalesce(_render(F.col("kind"), F.col("entity"), F.col("surrogate")), "entity")))
     per_row = written(replaced.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("k", "new", "kind"))).alias("r")), "replacements")
-    changed = held.join(per_row, "rid")
-    pieces = F.zip_with(F.split("text", ANY, -1), F.col("r"), lambda g, r: F.concat(F.coalesce(g, F.lit("")), F.coalesce(r["new"], F.lit(""))))
+    changed = held.where(some).join(per_row, "rid")
+    pieces = F.transform("parts", lambda p, i: F.when(i % 2 == 0, _uncut(p)).otherwise(F.get("r", ((i - 1) / 2).cast("int"))["new"]))
     kinds = F.filter(F.transform("r", lambda r: r["kind"]), lambda k: k.isNotNull())
     changed = changed.select(F.col("id").alias(id_col), F.array_join(pieces, "").alias(text_col), F.size(kinds).cast("long").alias("n_entities"), F.array_sort(F.array_distinct(kinds)).alias("kinds"))
-    same = rows.where(~has).select(F.col("id").alias(id_col), F.col("text").alias(text_col), F.lit(0).cast("long").alias("n_entities"), F.array().cast("array<string>").alias("kinds"))
+    same = held.where(~some).select(F.col("id").alias(id_col), _uncut(F.get("parts", F.lit(0))).alias(text_col), F.lit(0).cast("long").alias("n_entities"), F.array().cast("array<string>").alias("kinds"))
     return changed.unionByName(same)
 
 

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm.common import numbered, small_side, written
+from siftline.llm.common import BROADCAST_ROWS, numbered, written
 
 #: A span is a run of at least SENTENCES sentences and at least WORDS words.
 SENTENCES = 3
@@ -22,12 +22,18 @@ WORDS = 12
 #: hash, so that a passage inside a long sentence is cut alike wherever it begins; each piece counts as a sentence.
 LONG, CUT = 24, 8
 
-_SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?]+(?![\s.!?]|\Z)[^.!?\n]*)*(?:[.!?]+(?:\s|\Z)|\n|\Z)")
-_WORD = re.compile(r"\s*\S+\s*")
+# Sentence ends of other scripts, which no space need follow, and the ranges of scripts that are written without spaces.
+ENDS = "。！？｡．।॥؟۔"
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
+_SENTENCE = re.compile(rf"[^.!?\n{ENDS}]*(?:[.!?]+(?![\s.!?]|\Z)[^.!?\n{ENDS}]*)*(?:[.!?]+(?:\s|\Z)|[{ENDS}]+\s?|\n|\Z)")
+#: A word, or a character of a script without spaces.
+_WORD = re.compile(rf"\s*(?:[{UNSPACED}]|[^\s{UNSPACED}]+)\s*")
+_UNSPACED = re.compile(f"[{UNSPACED}]")
 
 
 def sentences(text: str | None) -> list[str]:
-    """The text cut behind each line feed and behind each . ! ? that white space follows; joined they are the text again."""
+    """The text cut behind each line feed, behind each . ! ? that white space follows, and behind the sentence ends of other
+    scripts; joined they are the text again."""
     out = []
     for s in _SENTENCE.findall(text or ""):
         if len(s) <= 2 * LONG or len(words := _WORD.findall(s)) <= LONG:
@@ -47,7 +53,8 @@ def spans(parts: list[str], sentences: int = SENTENCES, words: int = WORDS) -> t
     """(first, length, a, b) of each span: positions among parts, and 128 bits of hash.
 
     From each sentence the shortest run forward and to each sentence the shortest run
-    backward that has `sentences` sentences and `words` words, each run once. Case and white space don't count,
+    backward that has `sentences` sentences and `words` words, each run once; two characters of a script without spaces count as one
+    word more. Case and white space don't count,
     nor do sentences without any word; a length is that among all parts.
     """
     norm = [" ".join(p.lower().split()) for p in parts]
@@ -56,7 +63,7 @@ def spans(parts: list[str], sentences: int = SENTENCES, words: int = WORDS) -> t
     if n < sentences:
         return (np.zeros(0, np.int64),) * 4
     digests = [xxhash.xxh3_128_digest(norm[i].encode("utf-8", "surrogatepass")) for i in at.tolist()]
-    total = np.append(0, np.cumsum([norm[i].count(" ") + 1 for i in at.tolist()]))
+    total = np.append(0, np.cumsum([norm[i].count(" ") + 1 + len(_UNSPACED.findall(norm[i])) // 2 for i in at.tolist()]))
     forward = np.maximum(np.arange(n) + sentences, np.searchsorted(total, total[:-1] + words))
     backward = np.minimum(np.arange(1, n + 1) - sentences, np.searchsorted(total, total[1:] - words, side="right") - 1)
     begin = np.concatenate([np.arange(n)[forward <= n], backward[backward >= 0]])
@@ -125,7 +132,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     themselves count as one document.
 
     Each span is hashed once and sent as a few numbers; a span that many documents share is counted before the
-    shuffle. Only texts that lose a sentence are moved.
+    shuffle. Texts are moved once: up to BROADCAST_ROWS rows that lose a sentence only those, past it all.
     """
     rows = numbered(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
     found = repeated_spans(written(_span_table(rows), "spans"))
@@ -143,10 +150,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pd.DataFrame(out, columns=names)
 
     schema = f"id {kind}, text string, n_sentences long, n_removed long, removed array<int>"
-    touched = small_side(gone.select("rid"))
-    lose = rows.join(gone, "rid").select("id", "text", "removed")
-    whole = rows.join(touched, "rid", "left_anti").select("id", "text", F.lit(None).cast("array<int>").alias("removed"))
-    return lose.unionByName(whole).mapInPandas(rebuild, schema).withColumnsRenamed({"id": id_col, "text": text_col})
+    touched = gone.count()
+    if touched > BROADCAST_ROWS:
+        joined = rows.join(gone, "rid", "left").select("id", "text", "removed")
+    else:
+        names_only = F.broadcast(gone.select("rid"))  # counted
+        lose = rows.join(names_only, "rid", "left_semi").join(gone, "rid").select("id", "text", "removed")
+        joined = lose.unionByName(rows.join(names_only, "rid", "left_anti").select("id", "text", F.lit(None).cast("array<int>").alias("removed")))
+    return joined.mapInPandas(rebuild, schema).withColumnsRenamed({"id": id_col, "text": text_col})
 
 
 def op5_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -99,8 +99,7 @@ def cvss_vector(av: Column, ac: Column, pr: Column, ui: Column, scope: Column, c
 
 def cvss_metrics(cwe: Column) -> list[Column]:
     """The eight metric words that a CWE has by default."""
-    words = F.split(lookup(cwe, fixed.CVSS_BY_CWE, fixed.CVSS_OTHERWISE), " ")
-    return [words[k] for k in range(8)]
+    return [lookup(cwe, {c: words[k] for c, words in fixed.CVSS_BY_CWE.items()}, fixed.CVSS_OTHERWISE[k]) for k in range(8)]
 
 
 def owasp_category(cwe: Column) -> Column:
@@ -172,16 +171,16 @@ def finding_id(rule: Column, file_path: Column, line: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws(":", rule, file_path, line.cast("string")), 256), 1, 16)
 
 
-def file_language(path: Column, wide: bool = False) -> Column:
+def file_language(path: Column, wide: bool = False, known: dict[str, str] | None = None) -> Column:
     """Language of a path by its extension; null if unknown, or with `wide` python."""
     ext = F.lower(F.regexp_extract(path, r"\.([A-Za-z]+)$", 1))
-    return lookup(ext, fixed.LANGUAGE_BY_EXTENSION | fixed.MORE_EXTENSIONS, "python") if wide else lookup(ext, fixed.LANGUAGE_BY_EXTENSION)
+    return lookup(ext, fixed.LANGUAGE_BY_EXTENSION | fixed.MORE_EXTENSIONS, "python") if wide else lookup(ext, known or fixed.LANGUAGE_BY_EXTENSION)
 
 
-def scannable(path: Column) -> Column:
+def scannable(path: Column, known: dict[str, str] | None = None) -> Column:
     """Whether a path is scanned: a known extension, and no skipped directory, suffix or file."""
     parts, name = F.split(path, "/"), F.element_at(F.split(path, "/"), -1)
-    language = file_language(path)
+    language = file_language(path, known=known)
     skip = F.arrays_overlap(parts, F.array(*map(F.lit, fixed.SKIPPED_DIRECTORIES))) | F.lower(name).isin(fixed.SKIPPED_FILES)
     for suffix in fixed.SKIPPED_SUFFIXES:
         skip = skip | name.endswith(suffix)

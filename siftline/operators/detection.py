@@ -7,69 +7,35 @@ from pyspark.sql import functions as F
 
 from siftline import fixed
 
-# Rules by language, in catalogue order: name, CWE, severity, functions.
-RULES = {
-    "python": [
-        ("sensitive_log", 532, "medium", "print logging.info logging.debug logging.warning logging.error logger.info logger.debug logger.warning logger.error log.info"),
-        ("sql_injection", 89, "critical", "execute executemany raw cursor.execute"),
-        ("os_command_injection", 78, "critical", "os.system os.popen subprocess.call subprocess.run subprocess.Popen commands.getoutput"),
-        ("path_traversal", 22, "high", "open os.path.join send_file send_from_directory"),
-        ("pickle_deserialization", 502, "critical", "pickle.loads pickle.load yaml.load yaml.unsafe_load marshal.loads shelve.open dill.loads dill.load"),
-        ("xss", 79, "high", "render_template_string Markup mark_safe format_html"),
-        ("ssrf", 918, "high", "requests.get requests.post requests.put requests.delete requests.request requests.head httpx.get httpx.post urllib.request.urlopen urllib.urlopen http.client.HTTPConnection"),
-        ("open_redirect", 601, "high", "redirect flask.redirect HttpResponseRedirect"),
-        ("weak_crypto", 327, "high", "hashlib.md5 hashlib.sha1 hashlib.new Crypto.Hash.MD5.new MD5.new"),
-        ("eval_injection", 95, "critical", "eval exec compile __import__"),
-    ],
-    "javascript": [
-        ("sensitive_log", 532, "medium", "console.log console.error console.warn console.info console.debug logger.info logger.error logger.warn logger.debug log.info"),
-        ("insecure_cookie", 614, "medium", "session cookie res.cookie cookieSession"),
-        ("xss_innerhtml", 79, "high", "innerHTML outerHTML document.write document.writeln"),
-        ("eval_injection", 95, "critical", "eval Function setTimeout setInterval"),
-        ("sql_injection", 89, "critical", "query execute raw"),
-        ("path_traversal", 22, "high", "readFile readFileSync createReadStream path.join path.resolve res.sendFile"),
-        ("prototype_pollution", 1321, "high", "__proto__ constructor.prototype"),
-        ("command_injection", 78, "critical", "exec execSync spawn spawnSync execFile child_process.exec shell.exec"),
-        ("open_redirect", 601, "high", "res.redirect response.redirect redirect"),
-        ("ssrf", 918, "high", "fetch axios.get axios.post axios request.get http.get https.get got needle.get needle.post needle superagent.get superagent.post"),
-        ("nosql_injection", 943, "critical", "$where find findOne aggregate"),
-        ("weak_crypto", 327, "high", "createHash createCipher createCipheriv md5 sha1 sha256WithRSAEncryption"),
-        ("template_xss", 79, "high", "res.render response.render render"),
-        ("xxe", 611, "high", "parseXmlString parseXml parseXmlAsync libxmljs.parseXmlString DOMParser"),
-    ],
-    "java": [
-        ("sql_injection", 89, "critical", "executeQuery executeUpdate execute prepareStatement createQuery createNativeQuery"),
-        ("deserialization", 502, "critical", "readObject readUnshared ObjectInputStream XMLDecoder fromXML"),
-        ("path_traversal", 22, "high", "File Paths.get FileInputStream FileReader"),
-        ("xxe", 611, "high", "DocumentBuilderFactory SAXParserFactory XMLInputFactory TransformerFactory"),
-        ("ldap_injection", 90, "high", "search DirContext.search"),
-    ],
-    "c": [
-        ("buffer_overflow", 120, "critical", "strcpy strcat sprintf gets scanf vsprintf strncpy"),
-        ("format_string", 134, "high", "printf fprintf sprintf snprintf syslog"),
-        ("command_injection", 78, "critical", "system popen exec execl execlp execle"),
-        ("use_after_free", 416, "critical", "free realloc"),
-    ],
-    "go": [
-        ("sql_injection", 89, "critical", "Query QueryRow Exec db.Query db.Exec"),
-        ("command_injection", 78, "critical", "exec.Command os.StartProcess"),
-        ("path_traversal", 22, "high", "os.Open os.ReadFile filepath.Join http.ServeFile"),
-    ],
-}
-# Names of data that a user sends.
-USER_SOURCES = ["req.query", "req.body", "req.params", "request.args", "request.form"]
-
 CALL = r"([\w$.]+)\s*\("
 ARGUMENTS = r"\((.*)\)"
+#: Arguments that are all strings or names.
+PLAIN_ARGUMENTS = r"""^\s*("[^"]*"|'[^']*'|\w+)(\s*,\s*("[^"]*"|'[^']*'|\w+))*\s*$"""
 STRING = r"""^\s*("[^"]*"|'[^']*')\s*(,|$)"""
 
 
 def rules(spark: SparkSession) -> DataFrame:
     """(language, rule, cwe_id, severity, seq, function, tail): a row for each function of the catalogue; tail is its last name."""
-    rows = [(lang, name, f"CWE-{cwe}", severity, k, f, f.rsplit(".", 1)[-1]) for lang, group in RULES.items() for k, (name, cwe, severity, functions) in enumerate(group) for f in functions.split()]
+    rows = [(lang, name, f"CWE-{cwe}", severity, k, f, f.rsplit(".", 1)[-1]) for lang, group in fixed.RULES.items() for k, (name, cwe, severity, functions) in enumerate(group) for f in functions]
     return spark.createDataFrame(rows, "language string, rule string, cwe_id string, severity string, seq int, function string, tail string")
 
 
+def called_lines(files: DataFrame, text: str = "text") -> DataFrame:
+    """files(file, language, text) -> (file, language, line_no, code, near, wide, head) of the lines that call something by a name of the catalogue.
+
+    near are the lines from five before to two behind, wide from ten before to one behind, head the file's first five. They are cut from
+    the file's own lines within its row, for such lines alone; nothing is joined and no line carries its file.
+    """
+    tails = sorted({f.rsplit(".", 1)[-1] for group in fixed.RULES.values() for *_, functions in group for f in functions})
+    named = rf"(?<![\w$])(?:{'|'.join(t.replace('$', chr(92) + '$') for t in tails)})\s*\("
+    lines = F.split(text, "\n", -1)
+    cut = lambda all_lines, begin, end: F.array_join(F.slice(all_lines, F.greatest(begin, F.lit(1)), end - F.greatest(begin, F.lit(1)) + 1), "\n")
+    x = files.select("file", "language", lines.alias("lines"))
+    hits = F.filter(F.transform("lines", lambda c, k: F.struct((k + 1).alias("n"), c.alias("code"))), lambda h: h["code"].rlike(named))
+    parts = F.transform(hits, lambda h: F.struct(h["n"].alias("line_no"), h["code"].alias("code"), cut(F.col("lines"), h["n"] - 5, h["n"] + 2).alias("near"), cut(F.col("lines"), h["n"] - 10, h["n"] + 1).alias("wide")))
+    return x.select("file", "language", F.array_join(F.slice("lines", 1, 5), "\n").alias("head"), F.explode(parts).alias("p")).select("file", "language", "p.*", "head")
+
+
 def explode_lines(files: DataFrame, text: str = "text") -> DataFrame:
     """files with line_no from 1 and code instead of the text."""
     rest = [c for c in files.columns if c != text]
@@ -82,19 +48,19 @@ def call_names(code: Column) -> Column:
 
 
 def rule_match(lines: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """lines(file, language, line_no, code) -> (file, language, line_no, code, call, rule, cwe_id, severity, seq).
+    """lines(file, language, line_no, code, ...) -> lines with (call, rule, cwe_id, severity, seq), a row a rule and call.
 
     A call matches a function if it is it or ends in it after a dot, or if the function is dotted and stands in the call. Methods of
     regular expressions don't match `exec`, nor methods of objects a bare `open`, nor safe loaders a `load`. Lines without a call go
     first; calls meet the fixed catalogue by language and last name.
     """
-    calls = lines.where(F.contains("code", F.lit("("))).select("file", "language", "line_no", "code", F.explode(F.array_distinct(call_names(F.col("code")))).alias("call"))
+    calls = lines.where(F.contains("code", F.lit("("))).select(*lines.columns, F.explode(F.array_distinct(call_names(F.col("code")))).alias("call"))
     calls = calls.withColumn("tail", F.element_at(F.split("call", r"\."), -1))
     x = calls.join(F.broadcast(catalogue), ["language", "tail"])
     name, f = F.col("call"), F.col("function")
     hit = (name == f) | name.endswith(F.concat(F.lit("."), f)) | (F.contains(f, F.lit(".")) & F.contains(name, f))
     odd = (f.isin("exec") & F.lower(name).rlike(r"(regex|regexp|re|pattern)\.exec$")) | ((f == "open") & F.contains(name, F.lit("."))) | ((F.col("tail") == "load") & F.contains(name, F.lit("safe")))
-    return x.where(hit & ~odd).select("file", "language", "line_no", "code", "call", "rule", "cwe_id", "severity", "seq").distinct()
+    return x.where(hit & ~odd).select(*lines.columns, "call", "rule", "cwe_id", "severity", "seq").dropDuplicates(["file", "line_no", "call", "rule"])
 
 
 def _any(text: Column, words: list[str]) -> Column:
@@ -106,62 +72,97 @@ def arguments(code: Column) -> Column:
     return F.trim(F.regexp_extract(code, ARGUMENTS, 1))
 
 
-def suppressions(code: Column, call: Column, context: Column | None = None, head: Column | None = None) -> dict[str, Column]:
-    """For each kind of rule whether a match in this line is safe. context: the lines around it; head: the file's first lines."""
+def suppressions(code: Column, call: Column, near: Column | None = None, wide: Column | None = None, head: Column | None = None) -> dict[str, Column]:
+    """For each kind of rule whether a match in this line is safe. near, wide: the lines around it, as in called_lines(), by default the line
+    itself; head: the file's first lines."""
     low, args = F.lower(code), arguments(code)
-    near, top = code if context is None else context, F.lit("") if head is None else head
+    near, wide, top = code if near is None else near, code if wide is None else wide, F.lit("") if head is None else head
     first = F.regexp_extract(args, r"""^\s*("[^"]*"|'[^']*'|[^,]*)""", 1)
     literal = args.rlike(STRING)
     last = F.element_at(F.split(call, r"\."), -1)
     dotted = F.contains(call, F.lit("."))
-    user = _any(code, USER_SOURCES)
+    user = _any(code, fixed.USER_SOURCES)
     changed = F.contains(code, F.lit("+")) | F.contains(code, F.lit(".format("))
-    ddl = _any(F.upper(first), ["CREATE TABLE", "DROP TABLE", "CREATE SCHEMA", "CREATE INDEX", "ALTER TABLE", "TRUNCATE TABLE"])
+    ddl = _any(F.upper(first), fixed.DDL)
     mixed = changed | (F.contains(code, F.lit("%")) & ~F.contains(code, F.lit("(%s)"))) | F.contains(code, F.lit("${"))
     marked = F.contains(first, F.lit("?")) | F.contains(first, F.lit("%s")) | first.rlike(r":\w+")
     second = F.regexp_extract(args, r"""^\s*(?:"[^"]*"|'[^']*')\s*,\s*(.+)$""", 1)
     bound = marked & second.rlike(r"^[\[({]|^\w+$") & ~first.rlike(r":\w+")
-    anchored = _any(low, ["__dirname", "app.root_path", "base_path"]) & ~_any(low, ["req.", "request.", "user_", "username", "filename", "query[", "body[", "params["])
-    strong = _any(near, ["path.resolve(", "os.path.realpath(", "os.path.abspath(", "canonicalize(", "realpath("])
-    weak = F.size(F.filter(F.array(*map(F.lit, ["startswith(", "Path.resolve(", ".resolve()", "normalize(", "basename("])), lambda w: F.contains(near, w))) >= 2
+    anchored = _any(low, fixed.ANCHORS) & ~_any(low, fixed.PATH_USER_HINTS)
+    plain = literal & ~F.contains(first, F.lit("${")) & ~F.contains(first, F.lit("%")) & (~F.contains(F.lower(call), F.lit("join")) | args.rlike(PLAIN_ARGUMENTS))
+    joined = F.contains(F.lower(call), F.lit("concat")) & F.contains(F.lower(call), F.lit("path"))
+    strong = _any(near, fixed.STRONG_PATH_MITIGATIONS)
+    weak = F.size(F.filter(F.array(*map(F.lit, fixed.WEAK_PATH_MITIGATIONS)), lambda w: F.contains(near, w))) >= 2
     names = F.lower(F.trim(first))
-    secret_names = r"\b(password|passwd|secret|token|api_key|apikey|private_key|auth_token|access_token|credentials?)\b"
+    secret_names = rf"\b({'|'.join(fixed.SECRET_ARGUMENTS)})\b"
     unquoted = F.regexp_replace(F.lower(args), r"""(?<![fF])"[^"]*"|(?<![fF])'[^']*'""", "")
     return {
         "sql": (args == "") | (literal & ddl & ~mixed) | (literal & marked & ~changed) | (literal & bound),
         "command": F.coalesce(first.startswith("["), F.lit(False)) & ~args.rlike(r"shell\s*=\s*True") & ~_any(call, ["os.system", "os.popen"]),
         "eval": F.contains(call, F.lit("literal_eval")) | ~last.isin("eval", "exec", "compile", "__import__") | dotted,
-        "path": (dotted & (last == "open")) | anchored | (literal & ~F.contains(first, F.lit("${")) & ~F.contains(first, F.lit("%"))) | strong | weak,
+        "path": (dotted & (last == "open")) | anchored | joined | plain | strong | weak,
         "deserialization": call.startswith("json.") | F.contains(call, F.lit("safe_load")),
-        "redirect": ~user & (literal | ~names.isin("next_url", "next", "url", "redirect_url", "target", "return_url", "callback", "goto", "destination", "location")),
-        "ssrf": ~_any(code, [*USER_SOURCES, "user_input", "user_url", "target_url"]) & (literal | call.endswith(".test") | F.contains(code, F.lit("window.location")) | ~names.isin("url", "endpoint", "target", "href", "uri", "link", "address", "baseurl", "apiurl", "requesturl", "targeturl", "remoteurl") | ~_any(F.lower(near), USER_SOURCES)),
-        "nosql": ~F.contains(code, F.lit("$where")) | ~_any(code, ["${", "+ req", "+ user", "` "]),
-        "crypto": _any(low, ["sha256", "sha384", "sha512", "sha-256", "sha-384", "sha-512", "bcrypt", "argon2", "pbkdf2", "scrypt"]) | ~_any(low, ["md5", "sha1", "sha-1", "des", "rc4", "aes-ecb", "3des"]),
-        "innerhtml": F.contains(low, F.lit("module.exports")) | (_any(code, ["innerHTML", "outerHTML", "document.write"]) & _any(F.lower(top), ["module.exports", "export default"])),
-        "template": ~_any(code, [*USER_SOURCES, "request.values", "request.json"]),
-        "log": (args == "") | ~(unquoted.rlike(secret_names) | _any(unquoted, ["req.body", "req.query", "req.params", "request.form", "request.data", "request.json"])),
-        "cookie": ~_any(low, ["secure: false", "secure:false", "httponly: false", "httponly:false", "samesite: 'none'", 'samesite: "none"']),
-        "xxe": ~_any(low, ["noent:true", "noent: true", '"noent":true', "'noent':true"]),
-        "merge": ~F.contains(code, F.lit("__proto__")) & ~(_any(code, ["constructor.prototype", "constructor["]) & _any(code, [*USER_SOURCES, "request.json", "user_input", "JSON.parse(", "body[", "query["])),
+        "redirect": ~user & (literal | ~names.isin(fixed.REDIRECT_NAMES)),
+        "ssrf": ~user & ~_any(code, fixed.URL_USER_NAMES) & (literal | call.endswith(".test") | (F.lower(call) == "test") | _any(low, fixed.SAME_ORIGIN) | ~names.isin(fixed.URL_NAMES) | ~_any(F.lower(wide), fixed.USER_SOURCES)),
+        "nosql": ~F.contains(code, F.lit("$where")) | ~_any(code, fixed.QUERY_INTERPOLATION),
+        "crypto": _any(low, fixed.STRONG_ALGORITHMS) | ~_any(low, fixed.WEAK_ALGORITHMS),
+        "innerhtml": F.contains(low, F.lit("module.exports")) | (_any(code, fixed.PAGE_WRITES) & _any(F.lower(top), fixed.MODULE_HEADS)),
+        "template": ~user & ~_any(code, fixed.TEMPLATE_USER_DATA),
+        "log": (args == "") | ~(unquoted.rlike(secret_names) | _any(unquoted, fixed.LOGGED_USER_DATA)),
+        "cookie": ~_any(low, fixed.LOOSE_COOKIES),
+        "xxe": ~_any(low, fixed.EXTERNAL_ENTITIES),
+        "merge": ~F.contains(code, F.lit("__proto__")) & ~(_any(code, fixed.PROTOTYPES) & (user | _any(code, fixed.MERGED_USER_DATA))),
     }
 
 
-def hardcoded_secret(code: Column) -> Column:
+def matches(files: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """files(file, language, text) -> (file, language, line_no, code, call, rule, cwe_id, severity, safe): what the catalogue's rules match, with
+    whether the suppression of its kind leaves it out."""
+    x = rule_match(called_lines(files), catalogue)
+    kinds = suppressions(F.col("code"), F.col("call"), F.col("near"), F.col("wide"), F.col("head"))
+    safe = F.lit(False)
+    for cwe, kind in fixed.KIND_BY_CWE.items():
+        safe = safe | ((F.col("cwe_id") == cwe) & kinds[kind])
+    for rule, kind in fixed.KIND_BY_RULE.items():
+        safe = safe | ((F.col("rule") == rule) & kinds[kind])
+    return x.select("file", "language", "line_no", "code", "call", "rule", "cwe_id", "severity", safe.alias("safe"))
+
+
+def secret_lines(files: DataFrame) -> DataFrame:
+    """files(file, language, text) -> (file, language, line_no, code, rule, cwe_id, severity) of strings given to names like secrets'."""
+    x = explode_lines(files.where(F.col("language").isin(fixed.SECRET_LANGUAGES)).select("file", "language", "text")).where(hardcoded_secret(F.col("code")).isNotNull())
+    return x.select("file", "language", "line_no", "code", F.lit("hardcoded_secret").alias("rule"), F.lit("CWE-798").alias("cwe_id"), F.lit("high").alias("severity"))
+
+
+def detect(files: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """Findings of files(file, language, text): (file, language, line_no, code, rule, cwe_id, severity), of the catalogue and of secrets."""
+    columns = ["file", "language", "line_no", "code", "rule", "cwe_id", "severity"]
+    return matches(files, catalogue).where("not safe").select(*columns).distinct().unionByName(secret_lines(files).select(*columns))
+
+
+def clearly_safe(files: DataFrame, found: DataFrame) -> DataFrame:
+    """(file): files without any finding, and those of languages that aren't scanned."""
+    return files.select("file").distinct().join(found.select("file").distinct(), "file", "left_anti")
+
+
+def hardcoded_secret(code: Column, names: list[str] = fixed.SECRET_NAMES) -> Column:
     """struct(name, value) of a string given to a name like a secret's: at least four characters, more than two distinct, no placeholder; else null.
     The last string counts, so a fallback after `or` does."""
-    words = "|".join(fixed.SECRET_NAMES + ["token"])
-    m = rf"""(?i)((?:[\w.'\"\[\]-]*(?:{words})[\w'\"\]]*))\s*[:=]\s*(?:.*\b(?:or|\|\|)\s*)?["'`]([^"'`]*)["'`]"""
+    words = "|".join(names)
+    m = rf"""(?i)((?:[\w.'\"\[\]-]*(?:{words})[\w'\"\]]*))\s*[:=]\s*(?:.*(?:\bor\b|\|\|)\s*)?["'`]([^"'`]*)["'`]"""
     name, value = F.regexp_extract(code, m, 1), F.regexp_extract(code, m, 2)
     fine = (F.length(value) >= 4) & (F.size(F.array_distinct(F.split(value, ""))) > 2) & ~F.lower(value).isin(fixed.PLACEHOLDERS)
     return F.when((name != "") & fine, F.struct(F.lower(name).alias("name"), value.alias("value")))
 
 
 def context_windows(files: DataFrame, pattern: str, before: int, after: int, text: str = "text") -> DataFrame:
-    """(file, line_no, context): the lines around each line that matches. They are cut from the file's own lines, so nothing is joined."""
+    """(file, line_no, context): the lines around each line that matches. They are cut from the file's own lines within its row, so nothing is
+    joined and no row carries its file."""
     lines = files.where(F.col(text).rlike(pattern)).select("file", F.split(text, "\n", -1).alias("lines"))
-    at = lines.select("file", "lines", F.explode(F.filter(F.sequence(F.lit(1), F.size("lines")), lambda i: F.element_at("lines", i).rlike(pattern))).alias("line_no"))
-    start = F.greatest(F.col("line_no") - before, F.lit(1))
-    return at.select("file", "line_no", F.array_join(F.slice("lines", start, F.col("line_no") + after - start + 1), "\n").alias("context"))
+    at = F.filter(F.transform("lines", lambda c, k: F.when(c.rlike(pattern), k + 1)), lambda k: k.isNotNull())
+    start = lambda k: F.greatest(k - before, F.lit(1))
+    parts = F.transform(at, lambda k: F.struct(k.alias("line_no"), F.array_join(F.slice("lines", start(k), k + after - start(k) + 1), "\n").alias("context")))
+    return lines.select("file", F.explode(parts).alias("p")).select("file", "p.*")
 
 
 def code_slice(files: DataFrame, points: DataFrame, around: int = 20, most: int = 200) -> DataFrame:
@@ -208,7 +209,7 @@ def def_use_edges(lines: DataFrame, distance: int = 8) -> DataFrame:
     """(file, src, dst, var): a use from the latest definition before it, if that is at most `distance` lines away. Definitions are
     sent to the next lines only, so files are joined by equal lines."""
     names = F.array_distinct(F.regexp_extract_all("stripped", F.lit(r"\b([a-zA-Z_]\w*)\s*=(?!=)"), F.lit(1)))
-    defs = lines.select("file", F.col("idx").alias("src"), F.explode(names).alias("var")).where(~F.col("var").isin("if", "for", "while", "return", "in", "is", "not", "and", "or"))
+    defs = lines.select("file", F.col("idx").alias("src"), F.explode(names).alias("var")).where(~F.col("var").isin(fixed.KEYWORDS))
     sent = defs.select("file", "src", "var", F.explode(F.sequence(F.col("src"), F.col("src") + distance)).alias("idx"))
     latest = sent.groupBy("file", "idx", "var").agg(F.max("src").alias("src")).where("src < idx")
     return latest.join(lines.select("file", "idx", "stripped"), ["file", "idx"]).where(F.contains("stripped", F.col("var"))).select("file", "src", F.col("idx").alias("dst"), "var")

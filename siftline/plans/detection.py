@@ -11,67 +11,99 @@ from siftline.plans import triage
 from siftline.plans import views as v
 from siftline.plans.views import sql
 
-#: A line of code for each order, by its key; # is the customer's number.
-TEMPLATES = [
-    ("python", 'cursor.execute("SELECT * FROM t WHERE id = ?", (x#,))'), ("python", 'cursor.execute("SELECT * FROM t WHERE id = " + x#)'), ("java", "statement.executeQuery()"), ("python", 'db.execute("CREATE TABLE t# (a int)")'),
-    ("python", 'subprocess.run(["ls", "x#"])'), ("python", 'subprocess.run(["ls"], shell=True)'), ("python", 'os.system("rm " + x#)'), ("python", "ast.literal_eval(x#)"), ("python", "eval(x#)"), ("python", "obj.compile(x#)"),
-    ("python", 'open("data.txt")'), ("python", "open(path#)"), ("python", "path.open(x#)"), ("python", "yaml.safe_load(x#)"), ("python", "pickle.loads(x#)"), ("javascript", "res.redirect(req.query.next)"), ("javascript", 'res.redirect("/home")'),
-    ("python", "redirect(next_url)"), ("javascript", 'fetch("http://a.example/c")'), ("javascript", "axios.get(req.query.url)"), ("javascript", "fetch(url)"), ("javascript", 'coll.find({$where: "a" + user#})'), ("javascript", 'createHash("md5")'),
-    ("javascript", 'createHash("sha256")'), ("javascript", "document.write(x#)"), ("javascript", 'res.render("page", {name: req.query.name})'), ("javascript", 'res.render("page")'), ("javascript", 'console.log("password mismatch")'), ("python", "print(password)"),
-    ("javascript", 'res.cookie("s", v, {secure: false})'), ("javascript", "parseXmlString(x#, {noent: true})"), ("javascript", "obj.__proto__ = merge(x#)"), ("c", "strcpy(a, b#)"), ("go", "db.Query(q#)"), ("java", "new FileReader(name#)"), ("python", "total = x# + 1"),
-]
+#: Folders of written stand-in files; tests, and scripts of scripting languages, aren't scanned.
+TREE = ["src", "test", "app", "scripts", "lib"]
+#: Languages of the stand-in files, by the customer's number; the last is of no language that is scanned.
+FILE_LANGUAGES = ["python", "javascript", "python", "java", "c", "go", "javascript", None]
+#: Lines of code by language; # is the customer's number. Each order is a line of its customer's file.
+TEMPLATES = {
+    "python": [
+        'cursor.execute("SELECT * FROM t WHERE id = ?", (x#,))', 'cursor.execute("SELECT * FROM t WHERE id = " + x#)', 'db.execute("CREATE TABLE t# (a int)")', 'subprocess.run(["ls", "x#"])', 'subprocess.run(["ls"], shell=True)',
+        'os.system("rm " + x#)', "ast.literal_eval(x#)", "eval(x#)", "obj.compile(x#)", 'open("data.txt")', "open(path#)", "path.open(x#)", "yaml.safe_load(x#)", "pickle.loads(x#)", "redirect(next_url)", "print(password)", "total = x# + 1",
+        "base = os.path.realpath(root#)", "ok = p#.startswith(root) and basename(p#)", 'api_key = "k#-secret"', 'password = "changeme"', "requests.get(url)", 'target = request.args["u#"]', 'os.path.join("a", name)', 'os.path.join("a", name#.b)',
+    ],
+    "javascript": [
+        "res.redirect(req.query.next)", 'res.redirect("/home")', 'fetch("http://a.example/c")', "axios.get(req.query.url)", "fetch(url)", 'coll.find({$where: "a" + user#})', 'createHash("md5")', 'createHash("sha256")', "document.write(x#)",
+        'res.render("page", {name: req.query.name})', 'res.render("page")', 'console.log("password mismatch")', 'res.cookie("s", v, {secure: false})', "parseXmlString(x#, {noent: true})", "obj.__proto__ = merge(x#)", "module.exports = {a: x#}",
+        'const auth_token = process.env.T || "t#-fallback"', "readFile(name#)",
+    ],
+    "java": ["statement.executeQuery()", "new FileReader(name#)"],
+    "c": ["strcpy(a, b#)"],
+    "go": ["db.Query(q#)"],
+    None: ["strcpy(a, b#)"],
+}
+
+
+def files(spark, sf):
+    """(file, language, text): a file for each customer that has orders, a line for each order, by key."""
+    o, number = v.table(spark, sf, "orders"), F.col("o_custkey").cast("string")
+    language = F.element_at(F.array(*map(F.lit, FILE_LANGUAGES)), (F.col("o_custkey") % len(FILE_LANGUAGES) + 1).cast("int"))
+    code = F.lit(None).cast("string")
+    for lang, lines in TEMPLATES.items():
+        pick = F.element_at(F.array(*map(F.lit, lines)), (F.col("o_orderkey") % len(lines) + 1).cast("int"))
+        code = F.when(language.eqNullSafe(F.lit(lang)), F.replace(pick, F.lit("#"), number)).otherwise(code)
+    x = o.select("o_custkey", "o_orderkey", language.alias("language"), code.alias("code")).groupBy("o_custkey", "language").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "code"))).alias("lines"))
+    return x.select(F.concat(F.lit("src/f"), "o_custkey").alias("file"), "language", F.array_join(F.transform("lines", lambda x: x["code"]), "\n").alias("text"))
 
 
 def calls(spark, sf):
-    """(file, language, line_no, code): one of the templates for each order."""
-    o = v.table(spark, sf, "orders")
-    k = (F.col("o_orderkey") % len(TEMPLATES) + 1).cast("int")
-    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), k)
-    return o.select(F.concat(F.lit("src/f"), F.col("o_custkey") % 500).alias("file"), pick([t[0] for t in TEMPLATES]).alias("language"), F.col("o_orderkey").alias("line_no"), F.regexp_replace(pick([t[1] for t in TEMPLATES]), "#", F.col("o_custkey").cast("string")).alias("code"))
+    """(file, language, line_no, code): the lines of the stand-in files."""
+    return det.explode_lines(files(spark, sf))
 
 
 _Q = lambda t: t.replace("'", "''")
-CALLS = f"""calls AS (SELECT 'src/f' || (o_custkey % 500) AS file, [{', '.join(f"'{a}'" for a, _ in TEMPLATES)}][CAST(o_orderkey % {len(TEMPLATES)} + 1 AS INTEGER)] AS language, o_orderkey AS line_no, o_orderkey % {len(TEMPLATES)} AS t,
-  replace([{', '.join(f"'{_Q(b)}'" for _, b in TEMPLATES)}][CAST(o_orderkey % {len(TEMPLATES)} + 1 AS INTEGER)], '#', CAST(o_custkey AS VARCHAR)) AS code FROM orders)"""
+_FIRST = {lang: sum(len(TEMPLATES[x]) for x in list(TEMPLATES)[:k]) for k, lang in enumerate(TEMPLATES)}
+_T = " ".join(f"WHEN {'language IS NULL' if lang is None else f'language = {chr(39)}{lang}{chr(39)}'} THEN {_FIRST[lang]} + k % {len(lines)}" for lang, lines in TEMPLATES.items())
+CALLS = f"""raw_calls AS (SELECT o_custkey, o_orderkey AS k, [{', '.join('NULL' if x is None else f"'{x}'" for x in FILE_LANGUAGES)}][CAST(o_custkey % {len(FILE_LANGUAGES)} + 1 AS INTEGER)] AS language FROM orders),
+numbered AS (SELECT *, CASE {_T} END AS t FROM raw_calls),
+calls AS (SELECT 'src/f' || o_custkey AS file, language, row_number() OVER (PARTITION BY o_custkey ORDER BY k) AS line_no, t, replace([{', '.join(f"'{_Q(c)}'" for lines in TEMPLATES.values() for c in lines)}][CAST(t + 1 AS INTEGER)], '#', CAST(o_custkey AS VARCHAR)) AS code FROM numbered)"""
 
 
 def explode_lines(spark, sf):
-    return v.source_lines(spark, sf).groupBy("file").agg(F.max("line_no").alias("lines"), F.sum(F.length("code")).alias("chars"))
+    return v.source_lines(spark, sf).select("file", "line_no", F.md5("code").alias("hash"))
+
+
+def source_file_scan(spark, sf):
+    """Stand-in lines written as text files below five folders, listed as scripts and read back: test and build folders are left out."""
+    from siftline.sources import files as sources
+    from siftline.tables import new_path
+
+    root = new_path(spark, "tree")
+    x = calls(spark, sf).withColumn("place", F.element_at(F.array(*map(F.lit, TREE)), (F.regexp_extract("file", r"(\d+)", 1).cast("long") % len(TREE) + 1).cast("int")))
+    for place in TREE:
+        x.where(F.col("place") == place).select("code").write.text(f"{root}/{place}/part")
+    found = sources.source_files(spark, root, {"txt": "javascript"})
+    lines = det.explode_lines(found.select(F.regexp_extract("file", rf"/({'|'.join(TREE)})/part/", 1).alias("place"), "language", "text"))
+    return lines.where("code <> ''").select("place", "language", F.md5("code").alias("hash"))
 
 
 def call_name_extract(spark, sf):
-    return calls(spark, sf).select("line_no", F.coalesce(F.array_join(det.call_names(F.col("code")), ","), F.lit("")).alias("calls"))
+    return calls(spark, sf).select("file", "line_no", F.coalesce(F.array_join(det.call_names(F.col("code")), ","), F.lit("")).alias("calls"))
 
 
 def rule_match(spark, sf):
-    return det.rule_match(calls(spark, sf), det.rules(spark)).select("line_no", "call", "rule", "cwe_id", "severity")
+    return det.rule_match(calls(spark, sf), det.rules(spark)).select("file", "line_no", "call", "rule", "cwe_id", "severity")
 
 
 def suppressions(spark, sf):
-    """For each line of code which kinds of rule would leave it out."""
-    x = calls(spark, sf).withColumn("call", F.regexp_extract("code", det.CALL, 1))
-    return x.select("line_no", *[c.alias(f"safe_{k}") for k, c in det.suppressions(F.col("code"), F.col("call")).items()])
+    """For each match whether it is left out, by the lines around it where its kind looks at them."""
+    return det.matches(files(spark, sf), det.rules(spark)).select("file", "line_no", "call", "rule", "safe")
 
 
 def detect(spark, sf):
-    """Matches that no suppression of their kind leaves out, the first by file and CWE."""
-    kinds = {"CWE-89": "sql", "CWE-78": "command", "CWE-95": "eval", "CWE-22": "path", "CWE-502": "deserialization", "CWE-601": "redirect", "CWE-918": "ssrf", "CWE-943": "nosql", "CWE-327": "crypto", "CWE-532": "log", "CWE-614": "cookie", "CWE-611": "xxe", "CWE-1321": "merge"}
-    x = det.rule_match(calls(spark, sf), det.rules(spark))
-    safe = det.suppressions(F.col("code"), F.col("call"))
-    gone = F.lit(False)
-    for cwe, kind in kinds.items():
-        gone = gone | ((F.col("cwe_id") == cwe) & safe[kind])
-    gone = gone | ((F.col("rule") == "template_xss") & safe["template"]) | ((F.col("rule") == "xss_innerhtml") & safe["innerhtml"])
-    return x.where(~gone).groupBy("file", "cwe_id").agg(F.min("line_no").alias("line_no"))
+    """Findings of the catalogue and of secrets, the first by file and CWE."""
+    return det.detect(files(spark, sf), det.rules(spark)).groupBy("file", "cwe_id").agg(F.min("line_no").alias("line_no"))
 
 
 def clearly_safe_files(spark, sf):
-    c = calls(spark, sf)
-    return c.select("file").distinct().join(detect(spark, sf).where("cwe_id = 'CWE-89'"), "file", "left_anti")
+    from siftline.tables import written
+
+    x = written(files(spark, sf), "files")
+    return det.clearly_safe(x, det.detect(x, det.rules(spark)))
 
 
 def hardcoded_secret(spark, sf):
-    x = v.source_lines(spark, sf).withColumn("s", det.hardcoded_secret(F.col("code"))).where("s IS NOT NULL")
+    x = v.source_lines(spark, sf).withColumn("s", det.hardcoded_secret(F.col("code"), [*fixed.SECRET_NAMES, "token"])).where("s IS NOT NULL")
     return x.select("file", "line_no", F.col("s.value").alias("value"))
 
 
@@ -97,47 +129,65 @@ def detect_language(spark, sf):
 
 
 def line_graph(spark, sf):
-    """Counts of edges of each type over all files."""
-    x = det.code_lines(v.source_lines(spark, sf))
-    flow = det.branch_edges(x).groupBy("type").agg(F.count("*").alias("n"))
-    tree = det.indent_edges(x).agg(F.count("*").alias("n")).select(F.lit("ast").alias("type"), "n")
-    data = det.def_use_edges(x).agg(F.count("*").alias("n")).select(F.lit("ddg").alias("type"), "n")
+    """Edges of all files between their code lines, by number: sequence, indentation, and definitions."""
+    from siftline.tables import written
+
+    x = written(det.code_lines(v.source_lines(spark, sf)), "code_lines")
+    flow = det.branch_edges(x).select("file", "src", "dst", "type", F.lit("").alias("var"))
+    tree = det.indent_edges(x).select("file", "src", "dst", F.lit("ast").alias("type"), F.lit("").alias("var"))
+    data = det.def_use_edges(x).select("file", "src", "dst", F.lit("ddg").alias("type"), "var")
     return flow.unionByName(tree).unionByName(data)
 
 
 QUERIES = {
-    "explode_lines": explode_lines, "call_name_extract": call_name_extract, "rule_match": rule_match, "suppressions": suppressions, "detect": detect, "clearly_safe_files": clearly_safe_files,
+    "explode_lines": explode_lines, "source_file_scan": source_file_scan, "call_name_extract": call_name_extract, "rule_match": rule_match, "suppressions": suppressions, "detect": detect, "clearly_safe_files": clearly_safe_files,
     "hardcoded_secret": hardcoded_secret, "context_window": context_window, "code_slice": code_slice, "detect_language": detect_language, "line_graph": line_graph,
 }
 
-_FN = ", ".join(f"('{lang}', '{name}', 'CWE-{cwe}', '{sev}', '{f}')" for lang, group in det.RULES.items() for name, cwe, sev, fs in group for f in fs.split())
+_FN = ", ".join(f"('{lang}', '{name}', 'CWE-{cwe}', '{sev}', '{f}')" for lang, group in fixed.RULES.items() for name, cwe, sev, fs in group for f in fs)
 _CALLED = CALLS + r""", called AS (SELECT line_no, file, language, code, t, unnest(list_distinct(regexp_extract_all(code, '([\w$.]+)\s*\(', 1))) AS call FROM calls)"""
 _MATCH = _CALLED + f""", fn(language, rule, cwe_id, severity, f) AS (VALUES {_FN}),
 m AS (SELECT DISTINCT c.line_no, c.file, c.code, c.t, c.call, fn.rule, fn.cwe_id, fn.severity FROM called c JOIN fn ON c.language = fn.language AND (c.call = f OR ends_with(c.call, '.' || f) OR (contains(f, '.') AND contains(c.call, f) AND split_part(f, '.', -1) = split_part(c.call, '.', -1)))
   WHERE NOT (f = 'exec' AND regexp_matches(lower(c.call), '(regex|regexp|re|pattern)\\.exec$')) AND NOT (f = 'open' AND contains(c.call, '.')) AND NOT (split_part(c.call, '.', -1) = 'load' AND contains(c.call, 'safe')))"""
-# By hand, from what each kind's rule says of the numbered templates.
-_SAFE_T = {
-    "sql": "t IN (0, 2, 3, 35)", "command": "t = 4", "eval": "t <> 8", "path": "t IN (0, 3, 10, 12, 16, 18, 22, 23, 25, 26, 27, 29)", "deserialization": "t = 13", "redirect": "t NOT IN (15, 17, 19, 20, 25)",
-    "ssrf": "t NOT IN (15, 19, 25)", "nosql": "t <> 21", "crypto": "t <> 22", "innerhtml": "FALSE", "template": "t NOT IN (15, 19, 25)", "log": "t NOT IN (15, 19, 25, 28)", "cookie": "t <> 29", "xxe": "t <> 30", "merge": "t <> 31",
-}
-_KINDS = {"CWE-89": "sql", "CWE-78": "command", "CWE-95": "eval", "CWE-22": "path", "CWE-502": "deserialization", "CWE-601": "redirect", "CWE-918": "ssrf", "CWE-943": "nosql", "CWE-327": "crypto", "CWE-532": "log", "CWE-614": "cookie", "CWE-611": "xxe", "CWE-1321": "merge"}
-_DETECT = _MATCH + ", d AS (SELECT file, cwe_id, min(line_no) AS line_no FROM m WHERE NOT (" + " OR ".join(f"(cwe_id = '{c}' AND {_SAFE_T[k]})" for c, k in _KINDS.items()) + f" OR (rule = 'template_xss' AND {_SAFE_T['template']}) OR (rule = 'xss_innerhtml' AND {_SAFE_T['innerhtml']})) GROUP BY 1, 2)"
+
+
+def _number(code: str) -> int:
+    return [c for lines in TEMPLATES.values() for c in lines].index(code)
+
+
+_IS = lambda *codes: "t IN (" + ", ".join(str(_number(c)) for c in codes) + ")"
+# By hand, from what each kind's rule says of the lines: always safe; safe by the lines around; unsafe otherwise.
+_SAFE_ALWAYS = _IS(
+    'cursor.execute("SELECT * FROM t WHERE id = ?", (x#,))', 'db.execute("CREATE TABLE t# (a int)")', 'subprocess.run(["ls", "x#"])', "obj.compile(x#)", 'open("data.txt")', 'os.path.join("a", name)',
+    'res.redirect("/home")', 'fetch("http://a.example/c")', 'createHash("sha256")', 'res.render("page")', 'console.log("password mismatch")', "statement.executeQuery()",
+)
+_PATHS = _IS("open(path#)", 'os.path.join("a", name#.b)', "readFile(name#)", "new FileReader(name#)")
+_URLS = _IS("requests.get(url)", "fetch(url)")
+_AROUND = """around AS (SELECT *, string_agg(code, chr(10)) OVER (PARTITION BY file ORDER BY line_no ROWS BETWEEN 5 PRECEDING AND 2 FOLLOWING) AS near, string_agg(code, chr(10)) OVER (PARTITION BY file ORDER BY line_no ROWS BETWEEN 10 PRECEDING AND 1 FOLLOWING) AS wide,
+  string_agg(CASE WHEN line_no <= 5 THEN code END, chr(10)) OVER (PARTITION BY file) AS head FROM calls)"""
+_JUDGED = _MATCH + ", " + _AROUND + f""", j AS (SELECT m.*, {_SAFE_ALWAYS.replace('t IN', 'm.t IN')} OR ({_PATHS.replace('t IN', 'm.t IN')} AND (contains(a.near, 'realpath(') OR (contains(a.near, 'startswith(') AND contains(a.near, 'basename('))))
+  OR ({_URLS.replace('t IN', 'm.t IN')} AND NOT (contains(a.wide, 'req.query') OR contains(a.wide, 'request.args'))) OR (m.rule = 'xss_innerhtml' AND contains(a.head, 'module.exports')) AS safe FROM m JOIN around a ON m.file = a.file AND m.line_no = a.line_no)"""
+_SECRETS = _IS('api_key = "k#-secret"', 'const auth_token = process.env.T || "t#-fallback"')
+_DETECT = _JUDGED + f", d AS (SELECT file, cwe_id, min(line_no) AS line_no FROM (SELECT file, cwe_id, line_no FROM j WHERE NOT safe UNION ALL SELECT file, 'CWE-798', line_no FROM calls WHERE {_SECRETS}) q GROUP BY 1, 2)"
 _ENDS = [*fixed.LANGUAGE_BY_EXTENSION, *fixed.MORE_EXTENSIONS, "txt", "PY", "min.js"]
 _NARROW = triage.case("e", fixed.LANGUAGE_BY_EXTENSION | {"PY": "python", "min.js": "javascript"}, "NULL")
 _WIDE = triage.case("e", fixed.LANGUAGE_BY_EXTENSION | fixed.MORE_EXTENSIONS | {"PY": "python", "min.js": "javascript"}, "'python'")
 SQL = {
-    "explode_lines": sql("SELECT file, CAST(max(line_no) AS INTEGER) AS lines, CAST(sum(length(code)) AS BIGINT) AS chars FROM source_lines GROUP BY 1", "source_lines"),
-    "call_name_extract": sql(r"SELECT line_no, array_to_string(regexp_extract_all(code, '([\w$.]+)\s*\(', 1), ',') AS calls FROM calls", more=CALLS),
-    "rule_match": sql("SELECT line_no, call, rule, cwe_id, severity FROM m", more=_MATCH),
-    "suppressions": sql("SELECT line_no, " + ", ".join(f"{c} AS safe_{k}" for k, c in _SAFE_T.items()) + " FROM calls", more=CALLS),
-    "detect": sql("SELECT * FROM d", more=_DETECT),
-    "clearly_safe_files": sql("SELECT DISTINCT file FROM calls WHERE file NOT IN (SELECT file FROM d WHERE cwe_id = 'CWE-89')", more=_DETECT),
+    "explode_lines": sql("SELECT file, CAST(line_no AS INTEGER) AS line_no, md5(code) AS hash FROM source_lines", "source_lines"),
+    "source_file_scan": sql(f"SELECT place, 'javascript' AS language, md5(code) AS hash FROM (SELECT code, ['{"', '".join(TREE)}'][CAST(CAST(substr(file, 6) AS BIGINT) % {len(TREE)} + 1 AS INTEGER)] AS place FROM calls) q WHERE place NOT IN ('test', 'scripts')", more=CALLS),
+    "call_name_extract": sql(r"SELECT file, CAST(line_no AS INTEGER) AS line_no, array_to_string(regexp_extract_all(code, '([\w$.]+)\s*\(', 1), ',') AS calls FROM calls", more=CALLS),
+    "rule_match": sql("SELECT file, CAST(line_no AS INTEGER) AS line_no, call, rule, cwe_id, severity FROM m", more=_MATCH),
+    "suppressions": sql("SELECT file, CAST(line_no AS INTEGER) AS line_no, call, rule, safe FROM j", more=_JUDGED),
+    "detect": sql("SELECT file, cwe_id, CAST(line_no AS INTEGER) AS line_no FROM d", more=_DETECT),
+    "clearly_safe_files": sql("SELECT DISTINCT file FROM calls WHERE file NOT IN (SELECT file FROM d)", more=_DETECT),
     "hardcoded_secret": sql(r"""SELECT file, CAST(line_no AS INTEGER) AS line_no, regexp_extract(code, 'token = "([^"]*)"', 1) AS value FROM source_lines WHERE regexp_matches(code, 'token = "[^"]{4,}"')""", "source_lines"),
     "context_window": sql(r"SELECT s.file, CAST(s.line_no AS INTEGER) AS line_no, md5(string_agg(t.code, chr(10) ORDER BY t.line_no)) AS hash FROM source_lines s JOIN source_lines t ON s.file = t.file AND t.line_no BETWEEN s.line_no - 5 AND s.line_no + 2 WHERE regexp_matches(s.code, '[0-9]{3}\.[0-9]{1,3}\.') GROUP BY 1, 2", "source_lines"),
     "code_slice": sql("SELECT l.doc_id AS id, md5(coalesce(string_agg(lpad(CAST(s.line_no AS VARCHAR), 4, ' ') || CASE WHEN s.line_no = 3 THEN ' >> ' ELSE '    ' END || s.code, chr(10) ORDER BY s.line_no), '')) AS hash FROM labels l LEFT JOIN source_lines s ON s.file = 'doc/' || l.doc_id AND s.line_no BETWEEN 1 AND 5 GROUP BY 1", "source_lines"),
     "detect_language": f"""WITH p AS (SELECT o_orderkey AS id, ['src','node_modules','test','bin','scripts','lib'][CAST(o_custkey % 6 + 1 AS INTEGER)] AS d, ['{"','".join(_ENDS)}'][CAST(o_orderkey % {len(_ENDS)} + 1 AS INTEGER)] AS e FROM orders)
         SELECT id, {_NARROW} AS strict, {_WIDE} AS wide, ({_NARROW}) IS NOT NULL AND d NOT IN ('node_modules', 'test') AND e <> 'min.js' AND NOT (d IN ('bin', 'scripts') AND coalesce({_NARROW}, '') IN ('javascript', 'typescript')) AS scanned FROM p""",
-    "line_graph": sql(r"""SELECT type, count(*) AS n FROM f GROUP BY 1 UNION ALL SELECT 'ast', count(*) FROM (SELECT a.file, a.idx FROM c a WHERE EXISTS (SELECT 1 FROM c b WHERE b.file = a.file AND b.idx < a.idx AND b.indent < a.indent)) q UNION ALL SELECT 'ddg', count(*) FROM (SELECT DISTINCT u.file, u.idx, d.var FROM df d JOIN c u ON d.file = u.file AND u.idx > d.idx AND u.idx <= d.idx + 8 AND contains(u.stripped, d.var) AND NOT EXISTS (SELECT 1 FROM df x WHERE x.file = u.file AND x.idx = u.idx AND x.var = d.var)) z""", "source_lines", more=r"""c AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY line_no) - 1 AS idx FROM (SELECT file, line_no, trim(replace(replace(code, chr(9), ' '), chr(13), ' ')) AS stripped, length(regexp_extract(code, '^([ \t]*)', 1)) AS indent FROM source_lines) z WHERE stripped <> '' AND NOT regexp_matches(stripped, '^(#|//|/\*|\*)')),
-        f AS (SELECT CASE WHEN regexp_matches(stripped, '^(if|elif|else|for|while|try|except|switch|case)\b') THEN 'cfg_branch' WHEN regexp_matches(stripped, '^(return|break|continue|raise|throw)\b') THEN 'cfg_return' ELSE 'cfg' END AS type FROM (SELECT stripped, lead(idx) OVER (PARTITION BY file ORDER BY idx) AS nxt FROM c) z WHERE nxt IS NOT NULL),
-        df AS (SELECT file, idx, unnest(list_distinct(regexp_extract_all(stripped, '\b([a-zA-Z_]\w*)\s*=', 1))) AS var FROM c)"""),
+    "line_graph": sql(r"""SELECT file, CAST(idx AS INTEGER) AS src, CAST(nxt AS INTEGER) AS dst, CASE WHEN regexp_matches(stripped, '^(if|elif|else|for|while|try|except|switch|case)\b') THEN 'cfg_branch' WHEN regexp_matches(stripped, '^(return|break|continue|raise|throw)\b') THEN 'cfg_return' ELSE 'cfg' END AS type, '' AS var
+        FROM (SELECT file, idx, stripped, lead(idx) OVER (PARTITION BY file ORDER BY idx) AS nxt FROM c) z WHERE nxt IS NOT NULL
+        UNION ALL SELECT a.file, CAST(max(b.idx) AS INTEGER), CAST(a.idx AS INTEGER), 'ast', '' FROM c a JOIN c b ON b.file = a.file AND b.idx < a.idx AND b.indent < a.indent GROUP BY a.file, a.idx
+        UNION ALL SELECT file, CAST(max(src) AS INTEGER), CAST(dst AS INTEGER), 'ddg', var FROM (SELECT u.file, d.idx AS src, u.idx AS dst, d.var FROM df d JOIN c u ON d.file = u.file AND u.idx > d.idx AND u.idx <= d.idx + 8 AND contains(u.stripped, d.var) AND NOT EXISTS (SELECT 1 FROM df x WHERE x.file = u.file AND x.idx = u.idx AND x.var = d.var)) z GROUP BY file, dst, var""", "source_lines", more=r"""c AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY line_no) - 1 AS idx FROM (SELECT file, line_no, trim(replace(replace(code, chr(9), ' '), chr(13), ' ')) AS stripped, length(regexp_extract(code, '^([ \t]*)', 1)) AS indent FROM source_lines) z WHERE stripped <> '' AND NOT regexp_matches(stripped, '^(#|//|/\*|\*)')),
+        df AS (SELECT * FROM (SELECT file, idx, unnest(list_distinct(regexp_extract_all(stripped, '\b([a-zA-Z_]\w*)\s*=', 1))) AS var FROM c) y WHERE var NOT IN ('if', 'for', 'while', 'return', 'in', 'is', 'not', 'and', 'or'))"""),
 }

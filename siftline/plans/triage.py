@@ -102,8 +102,8 @@ def cvss_cwe_default(spark, sf):
     return op.with_cvss(v.findings(spark, sf)).select("id", "cwe_id", "cvss_base", "cvss_vector", "cvss_severity")
 
 
-_DEFAULTS = "defaults(cwe_id, av, ac, pr, ui, scope, c, i, a) AS (VALUES " + ", ".join("('" + "', '".join([k, *w.split()]) + "')" for k, w in fixed.CVSS_BY_CWE.items()) + ")"
-_OTHERWISE = dict(zip(METRICS, fixed.CVSS_OTHERWISE.split(), strict=True))
+_DEFAULTS = "defaults(cwe_id, av, ac, pr, ui, scope, c, i, a) AS (VALUES " + ", ".join("('" + "', '".join([k, *w]) + "')" for k, w in fixed.CVSS_BY_CWE.items()) + ")"
+_OTHERWISE = dict(zip(METRICS, fixed.CVSS_OTHERWISE, strict=True))
 _DEFAULTED = _DEFAULTS + ", m AS (SELECT f.*, " + ", ".join(f"coalesce(d.{n}, '{_OTHERWISE[n]}') AS {n}" for n in METRICS) + " FROM findings f LEFT JOIN defaults d ON f.cwe_id = d.cwe_id)"
 
 

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from siftline.functions.scoring import file_language, scannable
 
 
-def source_files(spark: SparkSession, path: str) -> DataFrame:
-    """(file, language, text) of all files under a path that are scanned. Paths are filtered before contents are read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where(scannable(F.col("path")))
-    return files.select(F.col("path").alias("file"), file_language(F.col("path")).alias("language"), F.decode("content", "UTF-8").alias("text"))
+def source_files(spark: SparkSession, path: str, languages: dict[str, str] | None = None) -> DataFrame:
+    """(file, language, text) of all files under a path that are scanned: those whose extension has a language (by default those of
+    fixed.LANGUAGE_BY_EXTENSION), outside skipped directories. Paths are filtered before contents are read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where(scannable(F.col("path"), languages))
+    return files.select(F.col("path").alias("file"), file_language(F.col("path"), known=languages).alias("language"), F.decode("content", "UTF-8").alias("text"))
 
 
 def read_weights(spark: SparkSession, path: str) -> DataFrame:

@@ -2,26 +2,98 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline import fixed
-from siftline.tables import written
+from siftline.tables import small_side, written
 
 G = "graph_id"
+#: Edges of a graph that a task may hold to search it; larger graphs are searched by joins.
+MOST_EDGES = 50_000
+
+
+def _split_by_size(edges: DataFrame, most: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """edges of graphs of at most MOST_EDGES edges, which one task may hold, and those of larger ones (None if there are none)."""
+    large = written(edges.groupBy(G).agg(F.count("*").alias("n")).where(F.col("n") > (MOST_EDGES if most is None else most)).select(G), "large_graphs")
+    n = large.count()
+    if not n:
+        return edges, None
+    side = small_side(large, n)
+    return edges.join(side, G, "left_anti"), edges.join(side, G, "left_semi")
+
+
+def _arrays(edges: DataFrame, *columns: str) -> DataFrame:
+    """A row for each graph with arrays of its edges' columns."""
+    packed = edges.groupBy(G).agg(F.collect_list(F.struct(*columns)).alias("e"))
+    return packed.select(G, *[F.col(f"e.{c}").alias(f"e_{c}") for c in columns])
+
+
+def _neighbours(src, dst, w) -> dict:
+    out: dict = {}
+    for a, b, c in zip(src, dst, w, strict=True):
+        out.setdefault(a, []).append((b, c))
+    return out
+
+
+def _walk(near: dict, starts, most: int | None) -> dict:
+    """{node: (depth, least sum of weights over the shortest paths)} of a breadth-first search."""
+    seen = dict.fromkeys(starts, (0, 0))
+    front, depth = {n: 0 for n in seen}, 0
+    while front and (most is None or depth < most):
+        depth += 1
+        found: dict = {}
+        for node, calls in front.items():
+            for to, w in near.get(node, ()):
+                if to not in seen:
+                    found[to] = min(found.get(to, calls + w), calls + w)
+        seen |= {n: (depth, c) for n, c in found.items()}
+        front = found
+    return seen
 
 
-def reach(edges: DataFrame, starts: DataFrame, most: int, weight: Column | None = None) -> DataFrame:
-    """(graph_id, node_id, depth, calls): nodes within `most` steps of starts(graph_id, node_id) along edges, by the fewest steps.
+def reach(edges: DataFrame, starts: DataFrame, most: int | None = None, weight: Column | None = None) -> DataFrame:
+    """(graph_id, node_id, depth, calls): nodes within `most` steps (any number by default) of starts(graph_id, node_id) along edges, by the fewest steps.
 
-    A breadth-first search of all graphs at once: each round joins the frontier to the edges of its graphs and drops nodes that were
-    reached before; it is a written table. `calls` is the least sum of weight over the shortest paths.
+    `calls` is the least sum of weight over the shortest paths. Graphs of at most MOST_EDGES edges are gathered by their id, once, and
+    searched in batches of graphs; larger ones by rounds of joins over all of them until no new node is found.
     """
-    steps = edges.select(G, "src", F.col("dst").alias("node_id"), (F.lit(0) if weight is None else weight).alias("w"))
-    seen = written(starts.select(G, "node_id", F.lit(0).alias("depth"), F.lit(0).alias("calls")).distinct(), "reach")
-    front = seen
-    for depth in range(1, most + 1):
-        next_front = front.select(G, F.col("node_id").alias("src"), "calls").join(steps, [G, "src"]).groupBy(G, "node_id").agg(F.min(F.col("calls") + F.col("w")).cast("int").alias("calls"))
+    steps = edges.select(G, "src", "dst", (F.lit(0) if weight is None else weight).cast("long").alias("w"))
+    small, large = _split_by_size(steps)
+    begin = starts.select(G, "node_id").distinct()
+    if large is None:
+        return _reach_in_tasks(small, begin, most)
+    side = written(large.select(G).distinct(), "large_graphs")
+    return _reach_in_tasks(small, begin.join(side, G, "left_anti"), most).unionByName(_reach_in_rounds(large, begin.join(side, G, "left_semi"), most))
+
+
+def _reach_in_tasks(steps: DataFrame, starts: DataFrame, most: int | None) -> DataFrame:
+    packed = starts.groupBy(G).agg(F.collect_list("node_id").alias("starts")).join(_arrays(steps, "src", "dst", "w"), G, "left")
+    kind = dict(starts.dtypes)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            ids, nodes, depths, calls = [], [], [], []
+            for g, begin, src, dst, w in b.itertuples(index=False):
+                found = _walk({} if src is None else _neighbours(src.tolist(), dst.tolist(), w.tolist()), begin.tolist(), most)
+                ids += [g] * len(found)
+                nodes += found
+                depths += [d for d, _ in found.values()]
+                calls += [c for _, c in found.values()]
+            yield pd.DataFrame({G: ids, "node_id": nodes, "depth": depths, "calls": calls})
+
+    return packed.mapInPandas(run, f"{G} {kind[G]}, node_id {kind['node_id']}, depth int, calls int")
+
+
+def _reach_in_rounds(steps: DataFrame, starts: DataFrame, most: int | None) -> DataFrame:
+    seen = written(starts.select(G, "node_id", F.lit(0).alias("depth"), F.lit(0).alias("calls")), "reach")
+    front, depth = seen, 0
+    while most is None or depth < most:
+        depth += 1
+        next_front = front.select(G, F.col("node_id").alias("src"), "calls").join(steps.withColumnRenamed("dst", "node_id"), [G, "src"]).groupBy(G, "node_id").agg(F.min(F.col("calls") + F.col("w")).cast("int").alias("calls"))
         front = written(next_front.join(seen, [G, "node_id"], "left_anti").select(G, "node_id", F.lit(depth).alias("depth"), "calls"), "front")
         if front.isEmpty():
             break
@@ -42,8 +114,8 @@ def dependency_edges(edges: DataFrame) -> DataFrame:
 
 
 def backward_slice(edges: DataFrame, sinks: DataFrame, most: int = 10) -> DataFrame:
-    """Nodes that a sink depends on, with their distance, within `most` dependency edges."""
-    return reach(reverse(dependency_edges(edges)), sinks, most)
+    """Nodes that a sink depends on, with their distance, within `most` edges of fixed.SLICE_EDGES."""
+    return reach(reverse(edges.where(F.col("type").isin(fixed.SLICE_EDGES))), sinks, most)
 
 
 def nearest_node(nodes: DataFrame, points: DataFrame, tolerance: int = 3) -> DataFrame:
@@ -97,9 +169,9 @@ def roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return d.groupBy(G).agg(F.min(F.struct((-F.col("n")).alias("n"), "node_id")).alias("r")).select(G, F.col("r.node_id").alias("node_id"))
 
 
-def bfs_depth(nodes: DataFrame, edges: DataFrame, most: int = 64) -> DataFrame:
+def bfs_depth(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(graph_id, node_id, depth, share): steps from the root whatever the direction, as a share of the deepest; 1 if not reached."""
-    found = reach(undirected(edges), roots(nodes, edges), most)
+    found = reach(undirected(edges), roots(nodes, edges))
     deep = found.groupBy(G).agg(F.greatest(F.max("depth"), F.lit(1)).alias("deep"))
     return nodes.select(G, "node_id").join(found, [G, "node_id"], "left").join(deep, G).select(G, "node_id", "depth", F.coalesce(F.col("depth") / F.col("deep"), F.lit(1.0)).alias("share"))
 
@@ -112,13 +184,17 @@ def bfs_truncate(nodes: DataFrame, edges: DataFrame, most: int) -> DataFrame:
 
 
 def path_features(edges: DataFrame, ends: DataFrame) -> DataFrame:
-    """ends(graph_id, source, sink) with path_length (shares of 20 steps along dependency edges, else along all edges; 1 if none) and
-    call_depth (fewest CALL edges on a shortest path of all edges, as a share of 8; 0 if there is none)."""
-    starts, goal = ends.select(G, F.col("source").alias("node_id")), ends.select(G, F.col("sink").alias("node_id"))
-    dep = reach(dependency_edges(edges), starts, 20).join(goal, [G, "node_id"]).select(G, F.col("depth").alias("dep"))
-    every = reach(edges, starts, 64, F.when(F.col("type") == "CALL", 1).otherwise(0)).join(goal, [G, "node_id"]).select(G, F.col("depth").alias("any"), "calls")
-    x = ends.join(dep, G, "left").join(every, G, "left")
-    return x.select(G, F.least(F.coalesce(F.col("dep") / 20, F.col("any") / 20, F.lit(1.0)), F.lit(1.0)).alias("path_length"), F.least(F.coalesce(F.col("calls") / 8, F.lit(0.0)), F.lit(1.0)).alias("call_depth"))
+    """ends(graph_id, source, sink) with path_length (shares of 20 steps along dependency edges, else along all edges; 1 if there is no
+    path) and call_depth (fewest CALL edges on a shortest path of all edges, as a share of 8; 0 if there is none). With an unknown
+    end the length is 1, and all CALL edges of the graph count."""
+    known = ends.where("source IS NOT NULL AND sink IS NOT NULL")
+    starts, goal = known.select(G, F.col("source").alias("node_id")), known.select(G, F.col("sink").alias("node_id"))
+    dep = reach(dependency_edges(edges), starts).join(goal, [G, "node_id"]).select(G, F.col("depth").alias("dep"))
+    every = reach(edges, starts, weight=F.when(F.col("type") == "CALL", 1).otherwise(0)).join(goal, [G, "node_id"]).select(G, F.col("depth").alias("any"), F.col("calls").alias("on_path"))
+    calls = edges.where("type = 'CALL'").groupBy(G).agg(F.count("*").alias("in_graph"))
+    x = ends.join(dep, G, "left").join(every, G, "left").join(calls, G, "left")
+    counted = F.when(F.col("source").isNull() | F.col("sink").isNull(), F.col("in_graph")).otherwise(F.col("on_path"))
+    return x.select(G, F.least(F.coalesce(F.col("dep") / 20, F.col("any") / 20, F.lit(1.0)), F.lit(1.0)).alias("path_length"), F.least(F.coalesce(counted / 8, F.lit(0.0)), F.lit(1.0)).alias("call_depth"))
 
 
 def flat_features(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -129,52 +205,130 @@ def flat_features(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return control.join(out, G, "left").select(G, "control_flow", F.least(F.coalesce(F.col("n") / 15, F.lit(0.0)), F.lit(1.0)).alias("fan_out"))
 
 
-def sanitizer_coverage(nodes: DataFrame, edges: DataFrame, ends: DataFrame, is_sanitizer: Column, most: int = 15) -> DataFrame:
-    """ends(graph_id, source, sink) with the share of simple paths of at most `most` edges that pass a sanitizer; 0 without paths.
-
-    Paths grow by one edge a round as arrays of nodes, with one row a path; parallel edges are one step. Graphs without a sanitizer are
-    left out of the search. All paths count, however many: the search has no limit but their length.
+def _simple_paths(near: dict, source, sink, cutoff: int, most: int) -> list[list]:
+    """The first `most` simple paths of at most `cutoff` edges in order of their nodes. Nodes that are too far from the sink are not entered."""
+    back: dict = {}
+    for a, group in near.items():
+        for b in group:
+            back.setdefault(b, []).append((a, 0))
+    left = {n: d for n, (d, _) in _walk(back, [sink], cutoff).items()}
+    out: list[list] = []
+    path, inside = [source], {source}
+    todo = [iter(near.get(source, ()))] if source != sink and source in left else []
+    while todo and len(out) < most:
+        node = next(todo[-1], None)
+        if node is None:
+            todo.pop()
+            inside.discard(path.pop())
+        elif node == sink:
+            out.append([*path, node])
+        elif node not in inside and len(path) + left.get(node, cutoff) <= cutoff:
+            path.append(node)
+            inside.add(node)
+            todo.append(iter(near.get(node, ())))
+    return out
+
+
+def sanitizer_coverage(nodes: DataFrame, edges: DataFrame, ends: DataFrame, is_sanitizer: Column, cutoff: int = 15, most: int = 50) -> DataFrame:
+    """ends(graph_id, source, sink) with the share of simple paths of at most `cutoff` edges that pass a sanitizer; 0 without paths or with
+    an unknown end.
+
+    As their number can be exponential, the first `most` paths count, in order of their nodes' ids; parallel edges are one
+    step. Graphs without a sanitizer are left out. A graph is gathered with the edges that lie on walks of at most `cutoff` steps
+    from source to sink; if those are over MOST_EDGES, that is an error.
     """
     marks = nodes.where(is_sanitizer).groupBy(G).agg(F.collect_set("node_id").alias("marks"))
-    steps = edges.select(G, F.col("src").alias("last"), "dst").distinct()
-    paths = ends.join(marks, G).where("source IS NOT NULL AND sink IS NOT NULL").select(G, "sink", "marks", F.array("source").alias("path"), F.col("source").alias("last"))
-    done = None
-    for _ in range(most):
-        grown = paths.join(steps, [G, "last"]).where(~F.array_contains("path", F.col("dst")))
-        grown = written(grown.select(G, "sink", "marks", F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("last")), "paths")
-        ended = grown.where("last = sink").select(G, F.arrays_overlap("path", "marks").alias("clean"))
-        done = ended if done is None else done.unionByName(ended)
-        paths = grown.where("last <> sink")
-        if paths.isEmpty():
-            break
-    share = done.groupBy(G).agg(F.round(F.avg(F.col("clean").cast("double")), 6).alias("coverage"))
+    known = ends.where("source IS NOT NULL AND sink IS NOT NULL").join(marks, G)
+    steps = edges.select(G, "src", "dst").distinct()
+    small, large = _split_by_size(steps)
+    if large is not None:
+        typed = large.withColumn("type", F.lit(""))
+        forth = reach(typed, known.select(G, F.col("source").alias("node_id")), cutoff).select(G, F.col("node_id").alias("src"), F.col("depth").alias("from_source"))
+        back = reach(reverse(typed), known.select(G, F.col("sink").alias("node_id")), cutoff).select(G, F.col("node_id").alias("dst"), F.col("depth").alias("to_sink"))
+        narrow = written(large.join(forth, [G, "src"]).join(back, [G, "dst"]).where(F.col("from_source") + F.col("to_sink") < cutoff).select(G, "src", "dst"), "narrow_edges")
+        if narrow.groupBy(G).count().where(F.col("count") > MOST_EDGES).limit(1).count():
+            raise ValueError(f"a graph has over {MOST_EDGES} edges between source and sink")
+        small = small.unionByName(narrow)
+    packed = known.select(G, "source", "sink", "marks").join(_arrays(small, "src", "dst"), G)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            ids, shares = [], []
+            for g, source, sink, marked, src, dst in b.itertuples(index=False):
+                near: dict = {}
+                for x, y in sorted(zip(src.tolist(), dst.tolist(), strict=True)):
+                    near.setdefault(x, []).append(y)
+                paths, clean = _simple_paths(near, source, sink, cutoff, most), set(marked.tolist())
+                ids.append(g)
+                shares.append(round(sum(not clean.isdisjoint(p) for p in paths) / len(paths), 6) if paths else 0.0)
+            yield pd.DataFrame({G: ids, "coverage": shares})
+
+    share = packed.mapInPandas(run, f"{G} {dict(ends.dtypes)[G]}, coverage double")
     return ends.join(share, G, "left").select(G, F.coalesce("coverage", F.lit(0.0)).alias("coverage"))
 
 
-def components(nodes: DataFrame, edges: DataFrame, most: int = 64) -> DataFrame:
-    """(graph_id, node_id, component): the smallest node that is reachable whatever the direction, by passing on the smallest label
-    and then the label of that label, so that the rounds grow with the logarithm of the widest component."""
-    both = undirected(edges).select(G, "src", F.col("dst").alias("node_id")).distinct()
-    labels = written(nodes.select(G, "node_id", F.col("node_id").alias("component")), "labels")
-    for _ in range(most):
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(graph_id, node_id, component): the smallest node that is reachable whatever the direction.
+
+    Graphs of at most MOST_EDGES edges are gathered by their id. In larger ones nodes pass on the smallest label and then the label
+    of that label, so that the rounds grow with the logarithm of the widest component, until no label changes.
+    """
+    small, large = _split_by_size(edges.select(G, "src", "dst"))
+    kind = dict(nodes.dtypes)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            ids, found, labels = [], [], []
+            for g, src, dst in b.itertuples(index=False):
+                low: dict = {}
+
+                def first(x):
+                    while low.setdefault(x, x) != x:  # noqa: B023
+                        low[x] = low[low[x]]  # noqa: B023
+                        x = low[x]  # noqa: B023
+                    return x
+
+                for x, y in zip(src.tolist(), dst.tolist(), strict=True):
+                    x, y = first(x), first(y)
+                    low[max(x, y)] = min(x, y)
+                ids += [g] * len(low)
+                found += low
+                labels += [first(x) for x in list(low)]
+            yield pd.DataFrame({G: ids, "node_id": found, "component": labels})
+
+    linked = _arrays(small, "src", "dst").mapInPandas(run, f"{G} {kind[G]}, node_id {kind['node_id']}, component {kind['node_id']}")
+    if large is not None:
+        linked = linked.unionByName(_components_in_rounds(large))
+    return nodes.select(G, "node_id").join(linked, [G, "node_id"], "left").select(G, "node_id", F.coalesce("component", "node_id").alias("component"))
+
+
+def _components_in_rounds(edges: DataFrame) -> DataFrame:
+    both = undirected(edges.withColumn("type", F.lit(""))).select(G, "src", F.col("dst").alias("node_id")).distinct()
+    labels = written(both.select(G, "node_id").distinct().withColumn("component", F.col("node_id")), "labels")
+    while True:
         near = both.join(labels.select(G, F.col("node_id").alias("src"), F.col("component").alias("c")), [G, "src"]).groupBy(G, "node_id").agg(F.min("c").alias("c"))
         low = labels.join(near, [G, "node_id"], "left").select(G, "node_id", F.col("component").alias("was"), F.least("component", F.coalesce("c", "component")).alias("component"))
         jump = low.select(G, F.col("node_id").alias("component"), F.col("component").alias("next"))
         new = written(low.join(jump, [G, "component"]).select(G, "node_id", "was", F.least("component", "next").alias("component")), "labels")
         if new.where("was <> component").isEmpty():
-            break
+            return new.drop("was")
         labels = new.drop("was")
-    return labels
 
 
-def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(graph_id, nodes, edges, mean_degree, density, components)."""
-    n = nodes.groupBy(G).agg(F.count("*").alias("nodes"))
-    e = edges.groupBy(G).agg(F.count("*").alias("edges"))
+def graph_stats(nodes: DataFrame, edges: DataFrame, stubs: DataFrame | None = None) -> DataFrame:
+    """(graph_id, nodes, edges, nodes_by_type, edges_by_type, mean_degree, density, components, is_stub): counts by type are arrays of (type, n)
+    in order of type; is_stub says whether the graph is one of stubs(graph_id), which stand in for graphs that couldn't be built."""
+
+    def by_type(rows: DataFrame, name: str) -> DataFrame:
+        each = rows.groupBy(G, F.coalesce("type", F.lit("UNKNOWN")).alias("type")).agg(F.count("*").alias("n"))
+        return each.groupBy(G).agg(F.sum("n").alias(name), F.array_sort(F.collect_list(F.struct("type", "n"))).alias(f"{name}_by_type"))
+
     c = components(nodes, edges).groupBy(G).agg(F.countDistinct("component").alias("components"))
-    x = n.join(e, G, "left").join(c, G).withColumn("edges", F.coalesce("edges", F.lit(0)))
+    x = by_type(nodes, "nodes").join(by_type(edges, "edges"), G, "left").join(c, G).withColumn("edges", F.coalesce("edges", F.lit(0)))
+    x = x.withColumn("is_stub", F.lit(False)) if stubs is None else x.join(stubs.select(G, F.lit(True).alias("is_stub")).distinct(), G, "left").withColumn("is_stub", F.coalesce("is_stub", F.lit(False)))
     density = F.coalesce(F.try_divide(F.col("edges").cast("double"), F.col("nodes") * (F.col("nodes") - 1)), F.lit(0.0))
-    return x.select(G, "nodes", "edges", (F.col("edges") / F.col("nodes")).alias("mean_degree"), density.alias("density"), "components")
+    none = F.array().cast("array<struct<type:string,n:bigint>>")
+    return x.select(G, "nodes", "edges", "nodes_by_type", F.coalesce("edges_by_type", none).alias("edges_by_type"), (F.col("edges") / F.col("nodes")).alias("mean_degree"), density.alias("density"), "components", "is_stub")
 
 
 def neighbour_sum(features: DataFrame, edges: DataFrame) -> DataFrame:

@@ -25,7 +25,9 @@ def _last(nodes):
 
 
 def _ends(nodes):
-    return nodes.groupBy("graph_id").agg(F.lit(1).cast("long").alias("source"), F.max("node_id").alias("sink"))
+    """From the first node to the last; where the first is a control structure the source is unknown."""
+    first = F.min_by("type", "node_id") != "CONTROL_STRUCTURE"
+    return nodes.groupBy("graph_id").agg(F.when(first, F.lit(1).cast("long")).alias("source"), F.max("node_id").alias("sink"))
 
 
 def backward_slice(spark, sf):
@@ -124,7 +126,9 @@ def connected_components(spark, sf):
 
 def cpg_stats(spark, sf):
     n, e = _graph(spark, sf)
-    return g.graph_stats(n, e).select("graph_id", "nodes", "edges", F.round("mean_degree", 6).alias("mean_degree"), F.round("density", 6).alias("density"), "components")
+    text = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["type"], x["n"].cast("string"))), ",").alias(c)
+    stubs = v.table(spark, sf, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("graph_id"))
+    return g.graph_stats(n, e, stubs).select("graph_id", "nodes", "edges", text("nodes_by_type"), text("edges_by_type"), F.round("mean_degree", 6).alias("mean_degree"), F.round("density", 6).alias("density"), "components", "is_stub")
 
 
 def _features(n):
@@ -160,6 +164,7 @@ QUERIES = {
 
 N, NE = ("cpg_nodes",), ("cpg_nodes", "cpg_edges")
 _DEP = ", ".join(f"'{t}'" for t in fixed.DEPENDENCY_EDGES)
+_SLICED = ", ".join(f"'{t}'" for t in fixed.SLICE_EDGES)
 
 
 def walk(name: str, start: str, step: str, most: int) -> str:
@@ -172,24 +177,25 @@ def recursive(body: str, *parts: str) -> str:
 
 
 _LAST = "SELECT graph_id, max(node_id) AS node_id FROM cpg_nodes GROUP BY 1"
-_BACK = f"SELECT graph_id, dst AS a, src AS b FROM cpg_edges WHERE type IN ({_DEP})"
+_BACK = f"SELECT graph_id, dst AS a, src AS b FROM cpg_edges WHERE type IN ({_SLICED})"
 _SLICE = walk("sl", _LAST, _BACK, 10)
 _DEG = "deg AS (SELECT n.graph_id, n.node_id, (SELECT count(*) FROM cpg_edges e WHERE e.graph_id = n.graph_id AND e.dst = n.node_id) AS n_in, (SELECT count(*) FROM cpg_edges e WHERE e.graph_id = n.graph_id AND e.src = n.node_id) AS n_out FROM cpg_nodes n)"
 _ROOT = "SELECT graph_id, node_id FROM (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY n_in + n_out DESC, node_id) AS rn FROM deg) q WHERE rn = 1"
 _BOTH = "SELECT graph_id, src AS a, dst AS b FROM cpg_edges UNION ALL SELECT graph_id, dst, src FROM cpg_edges"
 _DEPTH = walk("bf", _ROOT, _BOTH, 12) + ", dp AS (SELECT n.graph_id, n.node_id, d.depth, greatest(max(d.depth) OVER (PARTITION BY n.graph_id), 1) AS deep FROM cpg_nodes n LEFT JOIN (SELECT graph_id, node_id, min(depth) AS depth FROM bf GROUP BY 1, 2) d ON n.graph_id = d.graph_id AND n.node_id = d.node_id)"
-_FIRST = "SELECT DISTINCT graph_id, CAST(1 AS BIGINT) AS node_id FROM cpg_nodes"
+_FIRST = "SELECT graph_id, node_id FROM cpg_nodes WHERE node_id = 1 AND type <> 'CONTROL_STRUCTURE'"
 _PATHS = f"""{walk("pd", _FIRST, f"SELECT graph_id, src AS a, dst AS b FROM cpg_edges WHERE type IN ({_DEP})", 20)},
 pe AS (SELECT graph_id, node_id, 0 AS depth, 0 AS calls FROM ({_FIRST}) z UNION SELECT w.graph_id, e.dst, w.depth + 1, w.calls + CASE WHEN e.type = 'CALL' THEN 1 ELSE 0 END FROM pe w JOIN cpg_edges e ON w.graph_id = e.graph_id AND w.node_id = e.src WHERE w.depth < 12),
-la AS ({_LAST}), pf AS (SELECT la.graph_id, least(coalesce((SELECT min(depth) FROM pd WHERE pd.graph_id = la.graph_id AND pd.node_id = la.node_id) / 20.0, m.depth / 20.0, 1), 1) AS path_length, least(coalesce(m.calls / 8.0, 0), 1) AS call_depth
-  FROM la LEFT JOIN (SELECT graph_id, node_id, depth, min(calls) AS calls FROM pe GROUP BY 1, 2, 3 QUALIFY row_number() OVER (PARTITION BY graph_id, node_id ORDER BY depth) = 1) m ON la.graph_id = m.graph_id AND la.node_id = m.node_id)"""
+la AS ({_LAST}), pf AS (SELECT la.graph_id, least(coalesce((SELECT min(depth) FROM pd WHERE pd.graph_id = la.graph_id AND pd.node_id = la.node_id) / 20.0, m.depth / 20.0, 1), 1) AS path_length, least(coalesce(CASE WHEN u.graph_id IS NULL THEN c.n ELSE m.calls END / 8.0, 0), 1) AS call_depth
+  FROM la LEFT JOIN ({_FIRST}) u ON la.graph_id = u.graph_id LEFT JOIN (SELECT graph_id, count(*) AS n FROM cpg_edges WHERE type = 'CALL' GROUP BY 1) c ON la.graph_id = c.graph_id LEFT JOIN (SELECT graph_id, node_id, depth, min(calls) AS calls FROM pe GROUP BY 1, 2, 3 QUALIFY row_number() OVER (PARTITION BY graph_id, node_id ORDER BY depth) = 1) m ON la.graph_id = m.graph_id AND la.node_id = m.node_id)"""
 _FLAT = """ff AS (SELECT c.graph_id, c.control_flow, least(coalesce(o.n / 15.0, 0), 1) AS fan_out FROM (SELECT graph_id, round(1 - exp(-5.0 * count(*) FILTER (type = 'CONTROL_STRUCTURE') / count(*)), 6) AS control_flow FROM cpg_nodes GROUP BY 1) c
   LEFT JOIN (SELECT graph_id, max(n) AS n FROM (SELECT graph_id, src, count(*) AS n FROM cpg_edges WHERE type = 'DDG' GROUP BY 1, 2) q GROUP BY 1) o ON c.graph_id = o.graph_id)"""
 # All edges lead to larger node numbers, so every path is simple.
 _CLEAN = f"""st AS (SELECT DISTINCT graph_id, src, dst FROM cpg_edges), mk AS (SELECT graph_id, node_id FROM cpg_nodes WHERE type IN ('CALL', 'IDENTIFIER') AND code LIKE '%7'),
-sp AS (SELECT f.graph_id, f.node_id, 0 AS depth, mk.node_id IS NOT NULL AS clean, '1' AS path FROM ({_FIRST}) f LEFT JOIN mk ON f.graph_id = mk.graph_id AND f.node_id = mk.node_id
-  UNION ALL SELECT p.graph_id, st.dst, p.depth + 1, p.clean OR mk.node_id IS NOT NULL, p.path || ',' || st.dst FROM sp p JOIN st ON p.graph_id = st.graph_id AND p.node_id = st.src LEFT JOIN mk ON st.graph_id = mk.graph_id AND st.dst = mk.node_id WHERE p.depth < 15),
-l2 AS ({_LAST}), sc AS (SELECT l2.graph_id, coalesce(round(avg(CASE WHEN sp.clean THEN 1.0 ELSE 0.0 END), 6), 0) AS coverage FROM l2 LEFT JOIN sp ON l2.graph_id = sp.graph_id AND l2.node_id = sp.node_id AND sp.depth > 0 GROUP BY 1)"""
+sp AS (SELECT f.graph_id, f.node_id, 0 AS depth, mk.node_id IS NOT NULL AS clean, [f.node_id] AS path FROM ({_FIRST}) f LEFT JOIN mk ON f.graph_id = mk.graph_id AND f.node_id = mk.node_id
+  UNION ALL SELECT p.graph_id, st.dst, p.depth + 1, p.clean OR mk.node_id IS NOT NULL, list_append(p.path, st.dst) FROM sp p JOIN st ON p.graph_id = st.graph_id AND p.node_id = st.src LEFT JOIN mk ON st.graph_id = mk.graph_id AND st.dst = mk.node_id WHERE p.depth < 15),
+l2 AS ({_LAST}), ps AS (SELECT sp.graph_id, sp.clean, row_number() OVER (PARTITION BY sp.graph_id ORDER BY path) AS rn FROM sp JOIN l2 ON l2.graph_id = sp.graph_id AND l2.node_id = sp.node_id WHERE sp.depth > 0),
+sc AS (SELECT l2.graph_id, coalesce(round(avg(CASE WHEN ps.clean THEN 1.0 ELSE 0.0 END), 6), 0) AS coverage FROM l2 LEFT JOIN ps ON l2.graph_id = ps.graph_id AND ps.rn <= 50 GROUP BY 1)"""
 _NEAR = """pt AS (SELECT o_orderkey AS graph_id, CAST((o_orderkey % 997 + 1) % 100 AS INTEGER) AS line FROM orders), nn AS (SELECT pt.graph_id, pt.line, b.node_id FROM pt LEFT JOIN (SELECT * FROM (SELECT pt.graph_id, pt.line AS at, n.node_id, row_number() OVER (PARTITION BY pt.graph_id
   ORDER BY CASE WHEN n.line = pt.line AND n.type IN ('CALL', 'IDENTIFIER', 'METHOD') THEN 0 WHEN n.line = pt.line THEN 1 ELSE 2 END, abs(n.line - pt.line), n.node_id) AS rn FROM pt JOIN cpg_nodes n ON pt.graph_id = n.graph_id AND n.line > 0 AND abs(n.line - pt.line) <= 3) q WHERE rn = 1) b ON pt.graph_id = b.graph_id)"""
 
@@ -220,7 +226,9 @@ SQL = {
         CAST(floor(round(fan_out * 15, 6)) AS INTEGER) AS raw_fan_out, CAST(floor(round(call_depth * 8, 6)) AS INTEGER) AS raw_calls FROM pf JOIN ff ON pf.graph_id = ff.graph_id JOIN sc ON pf.graph_id = sc.graph_id""", _PATHS, _FLAT, _CLEAN),
     "connected_components": recursive("SELECT graph_id, node_id, min(b) AS component FROM (SELECT graph_id, root AS b, node_id FROM cw) q GROUP BY 1, 2", """cu AS (SELECT graph_id, src AS a, dst AS b FROM cpg_edges WHERE type IN ('DDG', 'CALL') UNION ALL SELECT graph_id, dst, src FROM cpg_edges WHERE type IN ('DDG', 'CALL')),
         cw AS (SELECT graph_id, node_id AS root, node_id FROM cpg_nodes UNION SELECT w.graph_id, w.root, e.b FROM cw w JOIN cu e ON w.graph_id = e.graph_id AND w.node_id = e.a)"""),
-    "cpg_stats": sql("SELECT n.graph_id, n.nodes, coalesce(e.edges, 0) AS edges, round(CAST(coalesce(e.edges, 0) AS DOUBLE) / n.nodes, 6) AS mean_degree, round(CASE WHEN n.nodes = 1 THEN 0 ELSE CAST(coalesce(e.edges, 0) AS DOUBLE) / (n.nodes * (n.nodes - 1)) END, 6) AS density, CAST(1 AS BIGINT) AS components FROM (SELECT graph_id, count(*) AS nodes FROM cpg_nodes GROUP BY 1) n LEFT JOIN (SELECT graph_id, count(*) AS edges FROM cpg_edges GROUP BY 1) e ON n.graph_id = e.graph_id", *NE),
+    "cpg_stats": sql("""SELECT n.graph_id, n.nodes, coalesce(e.edges, 0) AS edges, n.by_type AS nodes_by_type, coalesce(e.by_type, '') AS edges_by_type, round(CAST(coalesce(e.edges, 0) AS DOUBLE) / n.nodes, 6) AS mean_degree, round(CASE WHEN n.nodes = 1 THEN 0 ELSE CAST(coalesce(e.edges, 0) AS DOUBLE) / (n.nodes * (n.nodes - 1)) END, 6) AS density,
+        CAST(1 AS BIGINT) AS components, o.o_orderstatus = 'P' AS is_stub FROM (SELECT graph_id, CAST(sum(n) AS BIGINT) AS nodes, string_agg(type || ':' || n, ',' ORDER BY type) AS by_type FROM (SELECT graph_id, type, count(*) AS n FROM cpg_nodes GROUP BY 1, 2) q GROUP BY 1) n
+        LEFT JOIN (SELECT graph_id, CAST(sum(n) AS BIGINT) AS edges, string_agg(type || ':' || n, ',' ORDER BY type) AS by_type FROM (SELECT graph_id, type, count(*) AS n FROM cpg_edges GROUP BY 1, 2) q GROUP BY 1) e ON n.graph_id = e.graph_id JOIN orders o ON n.graph_id = o.o_orderkey""", *NE),
     "neighbour_sum": sql("SELECT graph_id, node_id, sum(x0) AS x0, sum(x1) AS x1 FROM (SELECT graph_id, node_id, CAST(line AS DOUBLE) AS x0, CAST(partkey % 10 AS DOUBLE) AS x1 FROM cpg_nodes UNION ALL SELECT e.graph_id, e.dst, CAST(n.line AS DOUBLE), CAST(n.partkey % 10 AS DOUBLE) FROM cpg_edges e JOIN cpg_nodes n ON e.graph_id = n.graph_id AND e.src = n.node_id WHERE e.type <> 'AST') q GROUP BY 1, 2", *NE),
     "graph_pool": sql("SELECT graph_id, round(avg(CAST(line AS DOUBLE)), 6) AS mean0, CAST(sum(partkey % 10) AS DOUBLE) AS sum1 FROM cpg_nodes GROUP BY 1", *N),
     "simplified_graph": sql("SELECT id AS graph_id, CAST(CASE WHEN k = 1 THEN 0 ELSE k END AS BIGINT) AS cfg, CAST(1 AS BIGINT) AS ddg, CAST(k AS INTEGER) AS last FROM (SELECT id, CASE WHEN id % 4 <= 1 THEN 5 ELSE id % 4 - 1 END AS k FROM findings) q", "findings"),

@@ -5,19 +5,41 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from siftline.functions.scoring import lookup
+
 
 def percent(x: Column) -> Column:
-    return F.concat(F.format_string("%.0f", x * 100), F.lit("%"))
+    """Whole per cent, halves up; sums that are a half but for rounding errors count as one."""
+    return F.concat(F.round(F.round(x * 100, 6)).cast("int").cast("string"), F.lit("%"))
 
 
 def fusion_explanation(cwe: Column, message: Column, sast: Column, graph: Column, llm: Column, fused: Column, verdict: Column) -> Column:
     """A line a stage that ran, and the outcome."""
-    return F.concat_ws("\n", F.concat_ws(": ", cwe, message), F.concat(F.lit("SAST confidence: "), percent(sast)), F.when(graph.isNotNull(), F.concat(F.lit("Graph structural risk: "), percent(graph))), F.when(llm.isNotNull(), F.concat(F.lit("LLM consensus confidence: "), percent(llm))), F.concat(F.lit("Fused score: "), F.format_string("%.2f", fused), F.lit(" -> Verdict: "), verdict))
+    return F.concat_ws("\n", F.concat_ws(": ", cwe, message), F.concat(F.lit("SAST confidence: "), percent(sast)), F.when(graph.isNotNull(), F.concat(F.lit("Graph structural risk: "), percent(graph))), F.when(llm.isNotNull(), F.concat(F.lit("LLM consensus confidence: "), percent(llm))), F.concat(F.lit("Fused score: "), F.format_string("%.2f", F.floor(F.round(fused * 100, 4) + 0.5) / 100), F.lit(" -> Verdict: "), verdict))
 
 
 def consensus_explanation(verdict: Column, exploitable: Column, coverage: Column, reasoning: Column, most: int = 200) -> Column:
-    """What both sides say, the reasoning cut to `most` characters."""
-    return F.concat_ws("\n", F.concat(F.lit("Verdict: "), verdict), F.concat(F.lit("Attacker: "), F.when(exploitable, "exploitable").otherwise("not exploitable")), F.concat(F.lit("Defender: coverage "), percent(coverage)), F.when(F.length(reasoning) > most, F.concat(F.substring(reasoning, 1, most), F.lit("..."))).otherwise(reasoning))
+    """What both sides say, the reasoning cut to `most` characters; null without a verdict."""
+    said = F.concat_ws("\n", F.concat(F.lit("Verdict: "), verdict), F.concat(F.lit("Attacker: "), F.when(exploitable, "exploitable").otherwise("not exploitable")), F.concat(F.lit("Defender: coverage "), percent(coverage)), F.when(F.length(reasoning) > most, F.concat(F.substring(reasoning, 1, most), F.lit("..."))).otherwise(reasoning))
+    return F.when(verdict.isNotNull(), said)
+
+
+# How an attack vector and privileges are described.
+FROM_VECTOR = {"network": "from the network", "adjacent": "from an adjacent network", "local": "locally", "physical": "with physical access"}
+WITH_PRIVILEGES = {"none": "without authentication", "low": "with low privileges", "high": "with high privileges"}
+
+
+def evidence_narrative(cwe: Column, name: Column, place: Column, exploitable: Column, vector: Column, privileges: Column, steps: Column, payload: Column, defences: Column, coverage: Column, base: Column, severity: Column) -> Column:
+    """What was found, in sentences: whether it can be exploited and how, the first step of evidence, the first defence or that there is
+    none, and the score. Null where there is no verdict; `name` may be null."""
+    called = F.coalesce(name, cwe)
+    found = F.concat(F.lit("This "), called, F.lit(" vulnerability at "), place, F.lit(" is exploitable "), lookup(vector, FROM_VECTOR, ""), F.lit(" "), lookup(privileges, WITH_PRIVILEGES, ""), F.lit("."))
+    unfound = F.concat(F.lit("This potential "), called, F.lit(" at "), place, F.lit(" was not found to be exploitable."))
+    first = lambda a: F.concat(F.try_element_at(a, F.lit(1)), F.lit("."))
+    bare = F.when(coverage < 0.2, "No effective defensive controls were identified in the code path.")
+    score = F.concat(F.lit("CVSS v3.1 base score: "), F.format_string("%.1f", base), F.lit(" ("), F.upper(severity), F.lit(")."))
+    parts = (F.when(exploitable, found).otherwise(unfound), first(steps), F.when(exploitable & payload.isNotNull(), "A working exploit payload was constructed."), F.coalesce(first(defences), bare), score)
+    return F.when(exploitable.isNotNull(), F.concat_ws(" ", *parts))
 
 
 def flow_text(flow: Column) -> Column:

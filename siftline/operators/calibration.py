@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftline.tables import written
+from siftline.tables import small_side, written
 
 
 def tempered_softmax(logits: Column, temperature: Column | float = 1.0) -> Column:
@@ -53,7 +53,7 @@ def order_statistics(rows: DataFrame, key: str, value: str, wanted: DataFrame, b
     todo = bounds.where("lo < hi")
     while todo.limit(1).count():
         bin_of = F.least(F.floor((F.col(value) - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1))
-        inside = rows.select(key, value).join(F.broadcast(todo), key).where(F.col(value).between(F.col("lo"), F.col("hi"))).withColumn("bin", bin_of)  # a row a key
+        inside = rows.select(key, value).join(small_side(todo), key).where(F.col(value).between(F.col("lo"), F.col("hi"))).withColumn("bin", bin_of)
         counts = inside.groupBy(key, "k", "bin").agg(F.count("*").alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi"))
         w = Window.partitionBy(key).orderBy("bin")
         counts = counts.withColumn("upto", F.sum("n").over(w)).where("upto > k AND upto - n <= k")
@@ -135,10 +135,11 @@ def _first_of_stratum(rows: DataFrame, strata: list[str], cuts: DataFrame, numbe
     sizes = rows.groupBy(*strata).agg(F.count("*").alias("n"))
     asked = cuts.join(sizes, strata).withColumn("key", key)
     inner = asked.where("k < n").select("key", "k")
-    each = rows.join(F.broadcast(asked.where("k < n").select(*strata, "slot")), strata).withColumn("key", key)  # a row a stratum and slot
+    asked = written(asked, "cuts")
+    each = rows.join(small_side(asked.where("k < n").select(*strata, "slot")), strata).withColumn("key", key)
     limits = order_statistics(each, "key", number, inner).withColumnRenamed("x", "limit")
     table = asked.join(limits, "key", "left").groupBy(*strata).agg(F.collect_list(F.struct("slot", F.coalesce("limit", F.lit(float("inf"))).alias("limit"))).alias("limits"))
-    marked = rows.join(F.broadcast(table), strata, "left")  # a row a stratum
+    marked = rows.join(small_side(written(table, "limits")), strata, "left")
     return marked.withColumn("below", F.transform(F.filter("limits", lambda x: F.col(number) < x["limit"]), lambda x: x["slot"])).drop("limits")
 
 
@@ -173,13 +174,13 @@ def roc_points(rows: DataFrame) -> DataFrame:
     Rows are counted by score first. Scores are then cut into ranges that are summed on their own and shifted by the sums before them.
     """
     each = rows.groupBy("p").agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") != 1).alias("neg"))
-    each = each.withColumn("range", F.floor(F.col("p") * 256))
+    each = each.withColumn("range", F.least(F.greatest(F.floor(F.col("p") * 256), F.lit(-1)), F.lit(256)))  # scores outside 0 to 1 share the outer two
     sums = each.groupBy("range").agg(F.sum("pos").alias("rp"), F.sum("neg").alias("rn"))
-    down = Window.orderBy(F.desc("range"))  # over at most 257 ranges of probabilities
+    down = Window.orderBy(F.desc("range"))  # over at most 258 ranges
     everything = Window.partitionBy(F.lit(1))
     sums = sums.select("range", (F.sum("rp").over(down) - F.col("rp")).alias("bp"), (F.sum("rn").over(down) - F.col("rn")).alias("bn"), F.sum("rp").over(everything).alias("ap"), F.sum("rn").over(everything).alias("an"))
     w = Window.partitionBy("range").orderBy(F.desc("p"))
-    x = each.join(F.broadcast(sums), "range")
+    x = each.join(F.broadcast(sums), "range")  # at most 258 rows
     return x.select("p", ((F.col("bn") + F.sum("neg").over(w)) / F.col("an")).alias("fpr"), ((F.col("bp") + F.sum("pos").over(w)) / F.col("ap")).alias("tpr"), (F.col("pos") / F.col("ap")).alias("dp"), (F.col("neg") / F.col("an")).alias("dn"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siftline import fixed
 from siftline.functions import scoring as s
+from siftline.tables import small_side
 
 
 def with_uncertainty(findings: DataFrame) -> DataFrame:
@@ -45,12 +46,13 @@ def weights_table(spark) -> DataFrame:
 
 
 def with_weights(findings: DataFrame, weights: DataFrame | None = None) -> DataFrame:
-    """findings with the stage weights of their CWE, else of the row `default`, else .3, .3, .4. The weight table is small: a row a CWE,
-    of which the default row is read when the plan is made."""
+    """findings with the stage weights of their CWE, else of the row `default`, else .3, .3, .4. The weight table has a row a CWE; a caller's is
+    counted before it is broadcast. Its default row is read when the plan is made."""
     table = weights_table(findings.sparkSession) if weights is None else weights
     found = table.where("cwe_id = 'default'").first()
     names = {"w_sast": 0.3, "w_graph": 0.3, "w_llm": 0.4}
-    out = findings.join(F.broadcast(table.where("cwe_id <> 'default'")), "cwe_id", "left")
+    side = table.where("cwe_id <> 'default'")
+    out = findings.join(F.broadcast(side) if weights is None else small_side(side), "cwe_id", "left")
     return out.withColumns({n: F.coalesce(n, F.lit(found[n] if found else v)) for n, v in names.items()})
 
 
@@ -129,14 +131,13 @@ def upsert(stored: DataFrame, changes: DataFrame, key: str, version: str) -> Dat
     return first_per_key(both, [key], [F.desc(version), F.desc("_new")]).drop("_new")
 
 
-def matched_truth(truth: DataFrame, findings: DataFrame) -> DataFrame:
+def matched_truth(truth: DataFrame, findings: DataFrame, width: int = 64) -> DataFrame:
     """truth(label, cwe_id, verdict, lo, hi) with `matched`: a finding of its CWE overlaps lo..hi, or there is one at all if there is no range.
 
     Findings are first reduced to the distinct (cwe_id, line, end_line), and ranges to those asked for, so a CWE with many findings
-    meets each range once a distinct line. Lines are counted in buckets of the widest range, so that the join has an equal key besides the CWE.
+    meets each range once a distinct line. Lines and ranges are dealt into buckets of `width` lines, so that the join has an equal key besides the CWE.
     """
     spans = findings.select("cwe_id", F.col("line").alias("start"), F.coalesce("end_line", "line").alias("end") if "end_line" in findings.columns else F.col("line").alias("end")).distinct()
-    width = 64
     lines = spans.withColumn("b", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))))
     asked = truth.where("lo IS NOT NULL").select("cwe_id", "lo", "hi").distinct()
     ranges = asked.withColumn("b", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftline.tables import written
+
 REASONS = ["uncertainty", "severity_adjusted", "taint_length", "interprocedural", "interprocedural_critical"]
 
 
@@ -52,3 +54,15 @@ def risk_level(findings: DataFrame, by: str | None = None) -> DataFrame:
     has = lambda w: F.count_if(F.col("verdict") == w) > 0
     level = F.when(F.coalesce(bad, F.lit(0)) == 1, "CRITICAL").when(has("confirmed"), "HIGH").when(has("likely"), "MEDIUM").when(has("potential"), "LOW").otherwise("MINIMAL")
     return (findings.groupBy(by) if by else findings).agg(level.alias("risk_level"))
+
+
+def placed(rows: DataFrame, *order: Column) -> DataFrame:
+    """rows with `place`, their number from 1 in the given order, however many they are.
+
+    Rows are sorted in ranges, one a task, and numbered within them; the ranges' sizes, a row a task, give the number that each begins with.
+    """
+    sorted_rows = written(rows.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "sorted")
+    part, within = F.shiftright("_at", 33).alias("_part"), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = sorted_rows.groupBy(part).agg(F.count("*").alias("_n"))
+    begins = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row a range
+    return sorted_rows.withColumn("_part", F.shiftright("_at", 33)).join(F.broadcast(begins), "_part").withColumn("place", F.col("_before") + within + 1).drop("_part", "_before", "_at")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline import fixed
-from siftline.tables import written
+from siftline.tables import small_side, written
 
 
 def tokens(text: Column) -> Column:
@@ -22,30 +26,35 @@ def l2_normalize(vector: Column) -> Column:
 
 
 def bm25_index(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """docs(id, text) -> terms(id, term, tf, len), idf(term, df, idf) and one row (n, mean_len). A negative idf becomes a quarter of the mean idf."""
-    words = docs.select("id", tokens(F.col("text")).alias("t")).select("id", F.size("t").alias("len"), "t")
-    terms = written(words.select("id", "len", F.explode("t").alias("term")).groupBy("id", "len", "term").agg(F.count("*").alias("tf")), "terms")
+    """docs(id, text) -> words(id, len, t), idf(term, df, idf) and one row (n, mean_len). A negative idf becomes a quarter of the mean idf.
+
+    Texts are cut into words once, into a written table. Document frequencies come from each document's distinct words, counted by term
+    before the shuffle; postings aren't made.
+    """
+    words = written(docs.select("id", tokens(F.col("text")).alias("t")).select("id", F.size("t").alias("len"), "t"), "words")
     size = words.agg(F.count("*").alias("n"), F.avg("len").alias("mean_len"))
-    n = docs.count()
-    df = terms.groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.withColumn("raw", F.ln((n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    df = words.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    n = words.count()
+    raw = written(df.select("term", "df", F.ln((n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("raw")), "frequencies")
     mean = raw.agg(F.avg("raw")).first()[0] or 0.0
     idf = raw.select("term", "df", F.when(F.col("raw") < 0, fixed.BM25_EPSILON * mean).otherwise(F.col("raw")).alias("idf"))
-    return terms, idf, size
+    return words, idf, size
 
 
 def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """queries(q, text) -> (q, rank, id, score): the k documents of the largest positive BM25 score, ties to the smaller id.
 
-    Only the queries' terms are joined to the index, and scores are summed by query and document before the shuffle.
+    Only words that some query asks for leave a document's row, as counts; they meet the queries by term, and scores are summed by
+    query and document before the shuffle.
     """
-    terms, idf, size = bm25_index(docs)
+    words, idf, size = bm25_index(docs)
     asked = queries.select("q", F.explode(tokens(F.col("text"))).alias("term")).groupBy("q", "term").agg(F.count("*").alias("times"))
-    weight = asked.join(idf, "term").select("q", "term", (F.col("times") * F.col("idf")).alias("w"))
+    weight = written(asked.join(idf, "term").select("q", "term", (F.col("times") * F.col("idf")).alias("w")), "query_terms")
     k1, b, mean_len = fixed.BM25_K1, fixed.BM25_B, size.first()["mean_len"] or 1.0
     part = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / mean_len))
-    hits = terms.join(weight, "term")
-    scores = hits.groupBy("q", "id").agg(F.sum(F.col("w") * part).alias("score")).where("score > 0")
+    wanted = small_side(written(weight.select("term").distinct(), "asked_terms"))
+    counts = words.select("id", "len", F.explode("t").alias("term")).join(wanted, "term", "left_semi").groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
+    scores = counts.join(small_side(weight), "term").groupBy("q", "id").agg(F.sum(F.col("w") * part).alias("score")).where("score > 0")
     return ranked(scores, k)
 
 
@@ -54,15 +63,35 @@ def ranked(scores: DataFrame, k: int) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("q", "rank", "id", "score")
 
 
-def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 64) -> DataFrame:
-    """vectors(id, v), queries(q, v) -> (q, rank, id, score) by cosine. Queries are packed in blocks that meet all vectors by an equal
-    block number, and each task keeps k rows a query before the shuffle."""
+def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 1024) -> DataFrame:
+    """vectors(id, v), queries(q, v) -> (q, rank, id, score) by cosine, ties at nine decimals to the smaller id.
+
+    Queries are packed in blocks, which are rows. Batches of vectors are packed where they lie and meet the blocks by number; each such
+    pair is one matrix product, of which the k best rows a query leave the task. No row is a pair of a vector and a query.
+    """
+    id_kind, q_kind = dict(vectors.dtypes)["id"], dict(queries.dtypes)["q"]
     blocks = max(1, -(-queries.count() // block))
-    packed = queries.select(F.pmod(F.xxhash64("q"), F.lit(blocks)).alias("block"), F.struct("q", l2_normalize(F.col("v")).alias("qv")).alias("query")).groupBy("block").agg(F.collect_list("query").alias("queries"))
-    every = vectors.select("id", l2_normalize(F.col("v")).alias("v"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")).alias("block"))
-    pairs = every.join(packed, "block").select("id", "v", F.explode("queries").alias("x"))
-    score = F.aggregate(F.zip_with("v", F.col("x.qv"), lambda a, b: a * b), F.lit(0.0), lambda s, y: s + y)
-    return ranked(pairs.select(F.col("x.q").alias("q"), "id", score.alias("score")), k)
+    packed = queries.select(F.pmod(F.xxhash64("q"), F.lit(blocks)).alias("block"), "q", l2_normalize(F.col("v")).alias("qv")).groupBy("block").agg(F.collect_list("q").alias("q"), F.collect_list("qv").alias("qv"))
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                yield pd.DataFrame({"ids": [b["id"].tolist()], "m": [np.concatenate(b["v"].tolist()).astype("<f8").tobytes()]})
+
+    parts = vectors.select("id", l2_normalize(F.col("v")).alias("v")).where("v IS NOT NULL").mapInPandas(pack, f"ids array<{id_kind}>, m binary").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")))
+    met = parts.join(F.broadcast(packed) if blocks <= 16 else packed, "block").select("ids", "m", "q", "qv")  # 16 blocks are some MB
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for ids, m, q, qv in b.itertuples(index=False):
+                ids, scores = np.asarray(ids), np.frombuffer(m).reshape(len(ids), -1) @ np.stack(qv).T
+                rounded = np.round(scores, 9)
+                # all rows that reach the k-th best score, so that ties are settled by id afterwards
+                least = np.partition(rounded, len(ids) - k, axis=0)[len(ids) - k] if len(ids) > k else np.full(scores.shape[1], -np.inf)
+                row, col = np.nonzero(rounded >= least)
+                yield pd.DataFrame({"q": np.asarray(q)[col], "id": ids[row], "score": scores[row, col]})
+
+    return ranked(met.mapInPandas(best, f"q {q_kind}, id {id_kind}, score double"), k)
 
 
 def rrf(dense: DataFrame, keyword: DataFrame, k: int = 5, weight: float = fixed.RRF_DENSE) -> DataFrame:

@@ -11,7 +11,7 @@ from siftline.functions import texts
 from siftline.operators import detection as det
 from siftline.operators import findings as op
 from siftline.operators import retrieval as ret
-from siftline.plans import triage
+from siftline.plans import retrieval, triage
 from siftline.plans import views as v
 from siftline.plans.views import sql
 from siftline.sources import sarif
@@ -20,11 +20,12 @@ D = triage.D
 
 
 def sarif_write(spark, sf):
-    """A SARIF document for each repository, with what it says of itself."""
-    x = sarif.documents(v.findings(spark, sf, flow=True), "repo")
+    """SARIF documents of each repository, of at most some hundred results each, with what they say of themselves, added up."""
+    x = sarif.documents(v.findings(spark, sf, flow=True), "repo", most=400)
     said = F.from_json("body", "version string, runs array<struct<results:array<struct<ruleId:string>>,tool:struct<driver:struct<rules:array<struct<id:string>>>>,invocations:array<struct<properties:struct<findings:bigint>>>>>")
-    x = x.select(F.col("doc").cast("int").alias("repo"), said.alias("d")).select("repo", F.col("d.version").alias("version"), F.col("d.runs")[0].alias("r"))
-    return x.select("repo", "version", F.size("r.results").alias("results"), F.size("r.tool.driver.rules").alias("rules"), F.col("r.invocations")[0]["properties"]["findings"].alias("findings"))
+    x = x.select(sarif.group_of(F.col("doc")).cast("int").alias("repo"), said.alias("d")).select("repo", F.col("d.version").alias("version"), F.col("d.runs")[0].alias("r"))
+    each = x.select("repo", "version", "r.results", F.size("r.tool.driver.rules").alias("rules"), F.col("r.invocations")[0]["properties"]["findings"].alias("findings"))
+    return each.groupBy("repo", "version").agg(F.sum(F.size("results")).alias("results"), F.max("rules").alias("rules"), F.sum("findings").alias("findings"))
 
 
 def code_examples(spark, sf):
@@ -35,13 +36,11 @@ def code_examples(spark, sf):
 
 
 def corpus_refresh(spark, sf):
-    """Corpus size and the weight of one term, after an upsert."""
-    d = v.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
-    stored = d.where("id % 5 <> 0").withColumn("version", F.lit(1))
-    changes = d.where("id % 4 = 0").select("id", F.concat("text", F.lit(" patchedword")).alias("text"), F.lit(2).alias("version"))
-    terms, idf, size = ret.bm25_index(op.upsert(stored, changes, "id", "version").select("id", "text"))
-    df = idf.where("term = 'patchedword'").agg(F.max("df")).first()[0]
-    return size.select("n", F.round("mean_len", 6).alias("mean_len"), F.lit(df or 0).cast("long").alias("df"))
+    """Document frequencies after an upsert of all documents by patched ones, those of one language."""
+    d = v.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", "lang")
+    stored = d.select("id", "text").withColumn("version", F.lit(1))
+    changes = d.where("lang = 'de'").select("id", F.concat("text", F.lit(" patchedword")).alias("text"), F.lit(2).alias("version"))
+    return ret.bm25_index(op.upsert(stored, changes, "id", "version").select("id", "text"))[1].select("term", "df")
 
 
 def verdict_provider(spark, sf):
@@ -61,30 +60,33 @@ def model_score(spark, sf):
 
 
 def context_assemble(spark, sf):
-    """A record for each labelled document's third line: slice, factors, flow and lookups, as JSON."""
+    """The hash of a JSON record for each labelled document's third line: slice, factors, flow and lookups."""
     d = v.table(spark, sf, "documents").select(F.concat(F.lit("doc/"), F.col("doc_id")).alias("file"), "text")
     points = v.table(spark, sf, "labels").select(F.col("doc_id").alias("id"), F.concat(F.lit("doc/"), F.col("doc_id")).alias("file"), F.lit(3).alias("line"))
     x = op.with_uncertainty(v.findings(spark, sf, flow=True)).join(det.code_slice(d, points), "id")
-    record = F.struct("id", "cwe_id", "severity", "slice", texts.flow_text(F.col("taint_flow")).alias("taint_path"), F.struct("conf", "comp", "nov", "confl").alias("uncertainty"), s.owasp_category(F.col("cwe_id")).alias("owasp"), s.prompt_tier(F.col("total")).alias("tier"))
-    return x.select("id", F.to_json(record).alias("record"))
+    record = F.struct("id", "cwe_id", "severity", "slice", texts.flow_text(F.col("taint_flow")).alias("taint_path"), F.struct(*[F.format_string("%.6f", c).alias(c) for c in ("conf", "comp", "nov", "confl")]).alias("uncertainty"), s.owasp_category(F.col("cwe_id")).alias("owasp"), s.prompt_tier(F.round("total", 9)).alias("tier"))
+    return x.select("id", F.md5(F.to_json(record, {"ignoreNullFields": "false"})).alias("hash"))
 
 
 def rag_context_text(spark, sf):
-    """The text that three hits of a search make, for each query."""
-    from siftline.plans import retrieval
-
+    """The hash of the text that three hits of a search make, for each query."""
     hits = retrieval.keyword_topk(spark, sf).join(v.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), "id")
     x = hits.groupBy("q").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda h: h["text"]).alias("h"))
-    return x.select("q", F.length(texts.retrieval_text(F.lit("similar documents"), F.col("h"))).alias("length"))
+    return x.select("q", F.md5(texts.retrieval_text(F.lit("similar documents"), F.col("h"))).alias("hash"))
 
 
 QUERIES = {"sarif_write": sarif_write, "code_examples": code_examples, "corpus_refresh": corpus_refresh, "verdict_provider": verdict_provider, "model_score": model_score, "context_assemble": context_assemble, "rag_context_text": rag_context_text}
 
 _TOKENS = r"list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^\p{L}\p{N}_\s-]', ' ', 'g'), '\s+'), lambda t: length(t) >= 2)"
 SQL = {
-    "sarif_write": sql("SELECT repo, '2.1.0' AS version, CAST(count(*) AS INTEGER) AS results, CAST(count(DISTINCT rule_id) AS INTEGER) AS rules, count(*) AS findings FROM findings GROUP BY 1", "findings"),
+    "sarif_write": sql("SELECT repo, '2.1.0' AS version, count(*) AS results, CAST(count(DISTINCT rule_id) AS INTEGER) AS rules, count(*) AS findings FROM findings GROUP BY 1", "findings"),
     "code_examples": sql("SELECT f.id, coalesce(e.examples, '') AS examples FROM findings f LEFT JOIN (SELECT cwe, string_agg(doc_id, ',' ORDER BY doc_id) AS examples FROM (SELECT cwe, doc_id, row_number() OVER (PARTITION BY cwe ORDER BY doc_id) AS rn FROM cve_docs WHERE cwe <> '') q WHERE rn <= 2 GROUP BY 1) e ON f.cwe_id = e.cwe", "findings", "cve_docs"),
-    "corpus_refresh": f"SELECT count(*) AS n, round(avg(len({_TOKENS})), 6) AS mean_len, count(*) FILTER (doc_id % 4 = 0) AS df FROM (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN text || ' patchedword' ELSE text END AS text FROM documents WHERE doc_id % 5 <> 0 OR doc_id % 4 = 0) d",
+    "corpus_refresh": f"SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({_TOKENS})) AS term FROM (SELECT CASE WHEN lang = 'de' THEN text || ' patchedword' ELSE text END AS text FROM documents) d) q GROUP BY 1",
     "verdict_provider": sql("SELECT id, TRUE AS exploitable, round(CAST(length(concat_ws(' ', cwe_id, file_path, language)) % 101 AS DOUBLE) / 100, 6) AS confidence FROM findings", "findings"),
     "model_score": sql(f"SELECT id, CASE WHEN confidence > 0.5 THEN 1 ELSE 0 END AS klass, round(abs(confidence - {D(0.5)}) * 2, 6) AS sure FROM findings", "findings"),
+    "context_assemble": sql(f"""SELECT q.id, md5('{{"id":' || q.id || ',"cwe_id":"' || cwe_id || '","severity":"' || severity || '","slice":' || to_json(slice) || ',"taint_path":' || to_json(coalesce(path, 'No taint path')) || ',"uncertainty":{{"conf":"' || printf('%.6f', conf) || '","comp":"' || printf('%.6f', comp) || '","nov":"' || printf('%.6f', nov) || '","confl":"' || printf('%.6f', confl)
+        || '"}},"owasp":' || coalesce('"' || ({triage._OWASP}) || '"', 'null') || ',"tier":"' || CASE WHEN round(total, 9) < {D(0.3)} THEN 'minimal' WHEN round(total, 9) < {D(0.6)} THEN 'standard' ELSE 'full' END || '"}}') AS hash FROM totalled q JOIN sl ON q.id = sl.id LEFT JOIN pt ON q.id = pt.id""", "flows", "steps", "findings", "source_lines", more=triage.SCORED + """,
+        sl AS (SELECT l.doc_id AS id, coalesce(string_agg(lpad(CAST(s.line_no AS VARCHAR), 4, ' ') || CASE WHEN s.line_no = 3 THEN ' >> ' ELSE '    ' END || s.code, chr(10) ORDER BY s.line_no), '') AS slice FROM labels l LEFT JOIN source_lines s ON s.file = 'doc/' || l.doc_id AND s.line_no BETWEEN 1 AND 23 GROUP BY 1),
+        pt AS (SELECT id, string_agg('  ' || n || '. ' || file_path || ':' || line, chr(10) ORDER BY n) AS path FROM steps GROUP BY 1)"""),
+    "rag_context_text": f"WITH {retrieval._TERMS}, {retrieval._KEY} SELECT q, md5('similar documents' || chr(10) || string_agg('- ' || substr(text, 1, 200), chr(10) ORDER BY rank)) AS hash FROM kr JOIN documents d ON kr.id = d.doc_id WHERE rank <= 3 GROUP BY q",
 }

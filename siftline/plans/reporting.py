@@ -137,15 +137,15 @@ def estimate_tokens(spark, sf):
 
 
 def verdict_tier_order(spark, sf):
-    """The first 100 findings by verdict, severity and id."""
+    """All findings by verdict, severity and id, with their place."""
     rank = lambda c, values: s.lookup(F.col(c), {x: k for k, x in enumerate(values)}, 99)
-    x = verdict_of(v.findings(spark, sf))
-    return x.orderBy(rank("verdict", fixed.VERDICTS), rank("severity", fixed.SEVERITIES), "id").limit(100).select("id", "verdict", "severity")
+    x = verdict_of(v.findings(spark, sf)).select("id", "verdict", "severity")
+    return rep.placed(x, rank("verdict", fixed.VERDICTS), rank("severity", fixed.SEVERITIES), F.col("id"))
 
 
 def table_sort(spark, sf):
-    """The 100 findings of most confidence, ties by id downwards."""
-    return v.findings(spark, sf).orderBy(F.desc("confidence"), F.desc("id")).limit(100).select("id", "confidence", "file_path")
+    """All findings by falling confidence, ties by id downwards, with their place."""
+    return rep.placed(v.findings(spark, sf).select("id", "confidence", "file_path"), F.desc("confidence"), F.desc("id"))
 
 
 def top_cwes(spark, sf):
@@ -234,8 +234,8 @@ SQL = {
         SELECT coalesce(CAST(k AS VARCHAR), 'total') AS api_key, count(*) AS requests, CAST(sum(CASE WHEN o THEN 0 ELSE n END) AS BIGINT) AS tokens_in, CAST(sum(CASE WHEN o THEN n ELSE 0 END) AS BIGINT) AS tokens_out,
         round(CAST(sum(CASE WHEN o THEN 0 ELSE n END) AS DOUBLE) / 1000 * {D(0.0001875)} + CAST(sum(CASE WHEN o THEN n ELSE 0 END) AS DOUBLE) / 1000 * {D(0.00075)}, 6) AS cost FROM t GROUP BY ROLLUP (k)""",
     "estimate_tokens": "SELECT conv_id, turn, CAST(greatest(1, length(text) // 4) AS BIGINT) AS tokens FROM conversations",
-    "verdict_tier_order": sql("SELECT id, verdict, severity FROM vf ORDER BY " + _ORDER.format("','".join(fixed.VERDICTS), "verdict") + ", " + _ORDER.format("','".join(fixed.SEVERITIES), "severity") + ", id LIMIT 100", "findings", more=VERDICT),
-    "table_sort": sql("SELECT id, confidence, file_path FROM findings ORDER BY confidence DESC, id DESC LIMIT 100", "findings"),
+    "verdict_tier_order": sql("SELECT id, verdict, severity, row_number() OVER (ORDER BY " + _ORDER.format("','".join(fixed.VERDICTS), "verdict") + ", " + _ORDER.format("','".join(fixed.SEVERITIES), "severity") + ", id) AS place FROM vf", "findings", more=VERDICT),
+    "table_sort": sql("SELECT id, confidence, file_path, row_number() OVER (ORDER BY confidence DESC, id DESC) AS place FROM findings", "findings"),
     "top_cwes": sql("SELECT cwe_id, count(*) AS n FROM findings WHERE cwe_id <> '' GROUP BY 1 ORDER BY n DESC, cwe_id LIMIT 8", "findings"),
     "findings_filter": sql("SELECT id, verdict, file_path FROM vf WHERE verdict IN ('confirmed', 'likely') AND contains(lower(cwe_id || ' ' || file_path || ' ' || severity), 'f12')", "findings", more=VERDICT),
     "export_projection": sql(f"SELECT id, round(confidence, 3) AS score, {triage.case('severity', fixed.LEVEL_BY_SEVERITY, 'NULL')} AS level, substr(repeat(file_path, 300), 1, 2000) AS path, '{{\"rule_id\":\"' || rule_id || '\",\"cwe_id\":\"' || cwe_id || '\",\"line\":' || line || '}}' AS properties FROM findings", "findings"),

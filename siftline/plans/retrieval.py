@@ -30,7 +30,7 @@ def tokenize(spark, sf):
 
 
 def bm25_stats(spark, sf):
-    terms, idf, size = ret.bm25_index(_docs(spark, sf))
+    idf = ret.bm25_index(_docs(spark, sf))[1]
     return idf.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
@@ -105,7 +105,8 @@ _RRF = f"""fs AS (SELECT q, id, sum(s) AS score FROM (SELECT q, id, {D(0.6)} / (
 fr AS (SELECT * FROM (SELECT q, CAST(row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, id) AS INTEGER) AS rank, id, score FROM fs) z WHERE rank <= 5)"""
 SQL = {
     "tokenize": f"SELECT doc_id AS id, CAST(len({_tok('text')}) AS INTEGER) AS n, md5(array_to_string({_tok('text')}, ' ')) AS hash FROM documents",
-    "bm25_stats": f"WITH {_TERMS} SELECT term, df, round(idf, 6) AS idf FROM idf",
+    "bm25_stats": f"""WITH f AS MATERIALIZED (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({_tok('text')})) AS term FROM documents) q GROUP BY 1), r AS MATERIALIZED (SELECT term, df, ln(((SELECT count(*) FROM documents) - df + 0.5) / (df + 0.5)) AS raw FROM f)
+        SELECT term, df, round(CASE WHEN raw < 0 THEN {D(0.25)} * avg(raw) OVER () ELSE raw END, 6) AS idf FROM r""",
     "bm25_size": f"WITH {_TERMS} SELECT n, round(mean_len, 6) AS mean_len FROM size",
     "keyword_topk": f"WITH {_TERMS}, {_KEY} SELECT q, rank, id, round(score, 5) AS score FROM kr",
     "dense_topk": f"WITH {_DENSE} SELECT q, rank, id, round(score, 5) AS score FROM dr",

@@ -11,23 +11,26 @@ from siftline.plans import triage
 from siftline.plans import views as v
 from siftline.plans.views import sql
 from siftline.sources import datasets as ds
-from siftline.sources import graphml, knowledge, sarif
+from siftline.sources import files, graphml, knowledge, sarif
+from siftline.tables import new_path, written
 
 D = triage.D
 
 
 def _documents(spark, sf):
-    return sarif.documents(v.findings(spark, sf, flow=True), "repo")
+    """Written once, as both results and rules are read from them."""
+    return written(sarif.documents(v.findings(spark, sf, flow=True), "repo", most=2000), "sarif")
 
 
 def sarif_scan(spark, sf):
     """Findings written as SARIF and read back: confidence as text, the severity by its level."""
     x = sarif.scan(_documents(spark, sf))
-    return x.select(F.col("doc").cast("int").alias("repo"), F.regexp_extract("message", r"(\d+)", 1).cast("long").alias("finding"), "id", "rule_id", "cwe_id", "cwe_name", "severity", "confidence", "file_path", "line", F.coalesce(F.size("taint_flow"), F.lit(0)).alias("steps"))
+    return x.select(sarif.group_of(F.col("doc")).cast("int").alias("repo"), F.regexp_extract("message", r"(\d+)", 1).cast("long").alias("finding"), "id", "rule_id", "cwe_id", "cwe_name", "severity", "confidence", "file_path", "line", F.coalesce(F.size("taint_flow"), F.lit(0)).alias("steps"))
 
 
 def sarif_rules_index(spark, sf):
-    return sarif.rules_index(_documents(spark, sf)).select(F.col("doc").cast("int").alias("repo"), "rule_id", F.col("rule.properties.precision").alias("precision"))
+    """The rules of all documents of a repository, each of which has them all."""
+    return sarif.rules_index(_documents(spark, sf)).select(sarif.group_of(F.col("doc")).cast("int").alias("repo"), "rule_id", F.col("rule.properties.precision").alias("precision")).distinct()
 
 
 def sarif_distinct_rules(spark, sf):
@@ -62,18 +65,17 @@ def cwe_xml_scan(spark, sf):
 
 def kb_metadata(spark, sf):
     """Counts of the stored corpus after it is saved and loaded."""
-    from siftline.tables import new_path
-
     path = new_path(spark, "kb")
     knowledge.save(knowledge.corpus(knowledge.known_cwes(spark), v.cve_docs(spark, sf).withColumn("score", F.lit(None).cast("double"))), path)
     return knowledge.metadata(knowledge.load(spark, path))
 
 
 def cpg_load(spark, sf):
+    """Nodes of all graphs after they were written as XML and read back, with the edges out of each in order."""
     n = v.cpg_nodes(spark, sf)
-    nodes, edges = graphml.load(graphml.documents(n, v.cpg_edges(n)))
-    e = edges.groupBy("graph_id").agg(F.count("*").alias("edges"), F.count_if(F.col("type") == "CALL").alias("calls"))
-    return nodes.groupBy("graph_id").agg(F.count("*").alias("nodes"), F.sum("line").alias("lines")).join(e, "graph_id", "left").select("graph_id", "nodes", "lines", F.coalesce("edges", F.lit(0)).alias("edges"), F.coalesce("calls", F.lit(0)).alias("calls"))
+    nodes, edges = graphml.load(written(graphml.documents(n, v.cpg_edges(n)), "graphml"))
+    out = edges.groupBy("graph_id", F.col("src").alias("node_id")).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(">", "type", F.col("dst").cast("string")))), ",").alias("out"))
+    return nodes.join(out, ["graph_id", "node_id"], "left").select("graph_id", "node_id", "type", "line", "code", F.coalesce("out", F.lit("")).alias("out"))
 
 
 def cpg_export_json(spark, sf):
@@ -83,12 +85,12 @@ def cpg_export_json(spark, sf):
 
 
 def sample_adapters(spark, sf):
-    """Documents as data sets of three layouts, by their source's number."""
+    """Whole documents as data sets of three layouts, by their source's number; those of under 20 characters go."""
     d = v.table(spark, sf, "documents").withColumn("k", F.regexp_extract("source", r"(\d+)", 1).cast("int") % 3)
     label = F.col("doc_id") % 2
     a = ds.sample(d.where("k = 0"), F.col("text"), label, F.col("lang"), "plain")
-    b = ds.sample(d.where("k = 1"), F.substring("text", 1, 60), 1 - label, F.lit("c"), "cut", F.when(F.col("doc_id") % 4 == 0, "").otherwise("CWE-120"))
-    c = ds.sample(d.where("k = 2"), F.substring("text", 1, 15), label, F.lit("java"), "short")
+    b = ds.sample(d.where("k = 1"), F.col("text"), 1 - label, F.lit("c"), "flawed", F.when(F.col("doc_id") % 4 == 0, "").otherwise("CWE-120"))
+    c = ds.sample(d.where("k = 2"), F.col("text"), label, F.lit("java"), "named")
     return ds.union([a, b, c]).groupBy("source", "language", "label", "cwe").agg(F.count("*").alias("n"))
 
 
@@ -119,18 +121,30 @@ def nearest_code_language(spark, sf):
     return v.findings(spark, sf).select("id", ds.nearest_code(F.col("confidence"), codes).alias("language"))
 
 
+def weights_scan(spark, sf):
+    """Weights of each CWE as JSON lines, written and read back; entries without a first weight are left out."""
+    path = new_path(spark, "weights")
+    w = v.findings(spark, sf).groupBy("cwe_id").agg(F.round(F.max("confidence"), 6).alias("most"), F.round(F.min("confidence"), 6).alias("least"), F.count("*").alias("n"))
+    body = F.struct("cwe_id", F.when(F.col("cwe_id") != "", F.col("most")).alias("sast_weight"), F.col("least").alias("gat_weight"), (F.col("n") / F.col("n")).alias("llm_weight"))
+    w.select(F.to_json(body).alias("value")).write.text(path)
+    return files.read_weights(spark, path)
+
+
 def ground_truth_scan(spark, sf):
     return v.ground_truth(spark, sf).groupBy("verdict").agg(F.count("*").alias("n"), F.count("lo").alias("ranged"))
 
 
 def explanations(spark, sf):
     """Hashes of the texts that explain a fused finding."""
-    f = v.findings(spark, sf, flow=True).withColumn("graph_risk", F.when(F.col("id") % 3 != 0, (F.col("id") * 29 % 101) / 100))
-    x = op.fuse_scores(op.with_weights(op.attach_verdicts(f, v.verdicts(spark, sf).where("id % 4 <> 0"))))
     c = F.col
+    f = v.findings(spark, sf, flow=True).withColumn("graph_risk", F.when(c("id") % 3 != 0, (c("id") * 29 % 101) / 100))
+    x = op.with_cvss(op.fuse_scores(op.with_weights(op.attach_verdicts(f, v.verdicts(spark, sf).where("id % 4 <> 0")))))
     fused = texts.fusion_explanation(c("cwe_id"), c("file_path"), c("confidence"), c("graph_risk"), c("llm_confidence"), c("fused_score"), c("verdict"))
     both = texts.consensus_explanation(c("llm_verdict"), c("exploitable"), c("coverage"), F.repeat("file_path", 50))
-    return x.select("id", F.length(fused).alias("fusion_length"), F.coalesce(F.length(both), F.lit(0)).alias("consensus_length"), F.length(texts.flow_text(c("taint_flow"))).alias("flow_length"))
+    steps, defences = F.transform("taint_flow", lambda t: t["file_path"]), F.when(c("feasible"), F.array("severity"))
+    story = texts.evidence_narrative(c("cwe_id"), F.when(c("severity") == "high", "flaw"), F.concat_ws(":", "file_path", "line"), c("exploitable"), c("metrics")["av"], c("metrics")["pr"], steps, F.when(c("line") > 500, "payload"), defences, c("coverage"), c("cvss_base"), c("cvss_severity"))
+    hashed = lambda x: F.md5(F.coalesce(x, F.lit("")))
+    return x.select("id", hashed(fused).alias("fusion"), hashed(both).alias("consensus"), hashed(texts.flow_text(c("taint_flow"))).alias("flow"), hashed(story).alias("narrative"))
 
 
 def batch_prompts(spark, sf):
@@ -156,7 +170,7 @@ def parse_batch_response(spark, sf):
 QUERIES = {
     "sarif_scan": sarif_scan, "sarif_rules_index": sarif_rules_index, "sarif_distinct_rules": sarif_distinct_rules, "report_from_sarif": report_from_sarif, "nvd_json_scan": nvd_json_scan, "cwe_xml_scan": cwe_xml_scan,
     "kb_metadata": kb_metadata, "cpg_load": cpg_load, "cpg_export_json": cpg_export_json, "sample_adapters": sample_adapters, "paired_unpivot": paired_unpivot, "path_labeler": path_labeler,
-    "calibration_artifact": calibration_artifact, "nearest_code_language": nearest_code_language, "ground_truth_scan": ground_truth_scan, "explanations": explanations, "batch_prompts": batch_prompts, "parse_batch_response": parse_batch_response,
+    "calibration_artifact": calibration_artifact, "nearest_code_language": nearest_code_language, "weights_scan": weights_scan, "ground_truth_scan": ground_truth_scan, "explanations": explanations, "batch_prompts": batch_prompts, "parse_batch_response": parse_batch_response,
 }
 
 _BACK = "CASE severity WHEN 'critical' THEN 'high' WHEN 'info' THEN 'low' ELSE severity END"
@@ -169,10 +183,19 @@ SQL = {
     "nvd_json_scan": sql("SELECT id, md5(CASE WHEN doc_id % 5 = 0 THEN 'otro' ELSE description END) AS hash, cwe AS cwe_ids, CASE WHEN doc_id % 2 = 0 OR doc_id % 3 = 0 THEN CAST(doc_id % 100 AS DOUBLE) / 10 END AS score, 'https://a.example/' || doc_id AS url, 2024 AS year FROM cve_docs", "cve_docs"),
     "cwe_xml_scan": "SELECT 'CWE-' || p_partkey AS id, 'part ' || p_partkey AS name, 'text ' || p_partkey AS description, 'fix ' || p_partkey AS mitigations, 'CWE-' || (p_partkey % 7) AS related FROM part",
     "kb_metadata": f"SELECT count(*) + {sum(map(len, fixed.OWASP.values()))} AS documents, CAST({sum(map(len, fixed.OWASP.values()))} AS BIGINT) AS cwes, count(*) AS cves FROM documents",
-    "cpg_load": sql("SELECT n.graph_id, n.nodes, n.lines, coalesce(e.edges, 0) AS edges, coalesce(e.calls, 0) AS calls FROM (SELECT graph_id, count(*) AS nodes, CAST(sum(line) AS BIGINT) AS lines FROM cpg_nodes GROUP BY 1) n LEFT JOIN (SELECT graph_id, count(*) AS edges, count(*) FILTER (type = 'CALL') AS calls FROM cpg_edges GROUP BY 1) e ON n.graph_id = e.graph_id", "cpg_nodes", "cpg_edges"),
+    "cpg_load": sql("SELECT n.graph_id, n.node_id, n.type, n.line, n.code, coalesce(string_agg(e.type || '>' || e.dst, ',' ORDER BY e.type || '>' || e.dst), '') AS out FROM cpg_nodes n LEFT JOIN cpg_edges e ON n.graph_id = e.graph_id AND n.node_id = e.src GROUP BY ALL", "cpg_nodes", "cpg_edges"),
     "cpg_export_json": sql("SELECT n.graph_id, n.nodes, CAST(coalesce(e.edges, 0) AS INTEGER) AS edges, n.first FROM (SELECT graph_id, CAST(count(*) AS INTEGER) AS nodes, arg_min(code, node_id) AS first FROM cpg_nodes GROUP BY 1) n LEFT JOIN (SELECT graph_id, count(*) AS edges FROM cpg_edges GROUP BY 1) e ON n.graph_id = e.graph_id", "cpg_nodes", "cpg_edges"),
     "sample_adapters": """WITH d AS (SELECT *, CAST(regexp_extract(source, '(\\d+)', 1) AS INTEGER) % 3 AS k FROM documents), a AS (SELECT trim(text) AS code, CAST(doc_id % 2 AS INTEGER) AS label, 'unknown' AS cwe, lang AS language, 'plain' AS source FROM d WHERE k = 0
-        UNION ALL SELECT trim(substr(text, 1, 60)), CAST(1 - doc_id % 2 AS INTEGER), CASE WHEN doc_id % 4 = 0 THEN 'unknown' ELSE 'CWE-120' END, 'c', 'cut' FROM d WHERE k = 1) SELECT source, language, label, cwe, count(*) AS n FROM a WHERE length(code) >= 20 GROUP BY 1, 2, 3, 4""",
+        UNION ALL SELECT trim(text), CAST(1 - doc_id % 2 AS INTEGER), CASE WHEN doc_id % 4 = 0 THEN 'unknown' ELSE 'CWE-120' END, 'c', 'flawed' FROM d WHERE k = 1 UNION ALL SELECT trim(text), CAST(doc_id % 2 AS INTEGER), 'unknown', 'java', 'named' FROM d WHERE k = 2) SELECT source, language, label, cwe, count(*) AS n FROM a WHERE length(code) >= 20 GROUP BY 1, 2, 3, 4""",
+    "weights_scan": sql("SELECT cwe_id, round(max(confidence), 6) AS w_sast, round(min(confidence), 6) AS w_graph, CAST(1 AS DOUBLE) AS w_llm FROM findings WHERE cwe_id <> '' GROUP BY 1", "findings"),
+    "explanations": sql(f"""SELECT id, md5(concat_ws(chr(10), cwe_id || ': ' || file_path, 'SAST confidence: ' || CAST(round(round(confidence * 100, 6)) AS INTEGER) || '%', 'Graph structural risk: ' || CAST(round(round(gr * 100, 6)) AS INTEGER) || '%', 'LLM consensus confidence: ' || CAST(round(round(lc * 100, 6)) AS INTEGER) || '%', 'Fused score: ' || printf('%.2f', floor(round(f * 100, 4) + 0.5) / 100) || ' -> Verdict: ' || tier)) AS fusion,
+        md5(CASE WHEN ex IS NULL THEN '' ELSE concat_ws(chr(10), 'Verdict: ' || llm_verdict, 'Attacker: ' || CASE WHEN ex THEN 'exploitable' ELSE 'not exploitable' END, 'Defender: coverage ' || CAST(round(round(cov * 100, 6)) AS INTEGER) || '%', substr(repeat(file_path, 50), 1, 200) || '...') END) AS consensus,
+        md5(coalesce(path, 'No taint path')) AS flow, md5(CASE WHEN ex IS NULL THEN '' ELSE concat_ws(' ', CASE WHEN ex THEN 'This ' || coalesce(name, cwe_id) || ' vulnerability at ' || place || ' is exploitable ' || {triage.case('av', texts.FROM_VECTOR, "''")} || ' ' || {triage.case('pr', texts.WITH_PRIVILEGES, "''")} || '.'
+          ELSE 'This potential ' || coalesce(name, cwe_id) || ' at ' || place || ' was not found to be exploitable.' END, first || '.', CASE WHEN ex AND line > 500 THEN 'A working exploit payload was constructed.' END,
+          CASE WHEN feasible THEN severity || '.' WHEN cov < {D(0.2)} THEN 'No effective defensive controls were identified in the code path.' END, 'CVSS v3.1 base score: ' || printf('%.1f', base) || ' (' || upper({triage.SEVERITY_OF.format('base')}) || ').') END) AS narrative
+        FROM (SELECT fu.*, n.cwe_id, n.file_path, n.line, n.severity, CASE WHEN n.severity = 'high' THEN 'flaw' END AS name, n.file_path || ':' || n.line AS place, v.feasible, v.av, v.pr, {triage.cvss_sql(*[f'v.{m}' for m in triage.METRICS])} AS base, p.path, p.first,
+          CASE WHEN ex AND cov < 0.3 THEN 'confirmed' WHEN NOT ex AND cov > 0.8 THEN 'safe' WHEN round(f, 9) >= {D(0.85)} THEN 'confirmed' WHEN round(f, 9) >= {D(0.5)} THEN 'likely' WHEN f > 0 THEN 'potential' ELSE 'unknown' END AS tier
+          FROM fu JOIN findings n ON fu.id = n.id JOIN verdicts v ON fu.id = v.id LEFT JOIN (SELECT id, string_agg('  ' || n || '. ' || file_path || ':' || line, chr(10) ORDER BY n) AS path, arg_min(file_path, n) AS first FROM steps GROUP BY 1) p ON fu.id = p.id) z""", "flows", "steps", "findings", "verdicts", more=", ".join([triage.CONSENSUS, triage._WEIGHTS, triage._FUSE])),
     "paired_unpivot": "SELECT doc_id, CASE lang WHEN 'en' THEN 'python' ELSE 'java' END AS language, label, md5(CASE WHEN label = 1 THEN text ELSE text || ' fixed' END) AS hash FROM documents, (VALUES (0), (1)) l(label) WHERE lang IN ('en', 'fr')",
     "path_labeler": "SELECT o_orderkey AS id, 'CWE' || (o_custkey % 400) AS cwe, CASE WHEN o_orderkey % 2 = 0 THEN 'java' ELSE 'c_cpp' END AS language, CASE o_orderkey % 4 WHEN 0 THEN TRUE WHEN 1 THEN FALSE WHEN 3 THEN TRUE ELSE o_custkey % 3 = 0 END AS vulnerable FROM orders WHERE o_custkey % 5 <> 0",
     "calibration_artifact": f"SELECT vec_id, CASE vec_id % 3 WHEN 0 THEN CAST(vec_id AS DOUBLE) / 1000 WHEN 1 THEN CAST(vec_id AS DOUBLE) / 500 ELSE 1 END AS threshold, {D(0.05)} AS alpha, label AS n, {D(1)} AS temperature FROM embeddings",

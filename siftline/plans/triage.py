@@ -240,9 +240,10 @@ def ground_truth_join(spark, sf):
 
 
 def cve_upsert(spark, sf):
+    """All orders' records, upserted by new versions of those that are finished."""
     o = v.table(spark, sf, "orders")
-    stored = o.select(F.col("o_orderkey").alias("id"), F.lit(1).alias("version"), F.col("o_totalprice").alias("score")).where("id % 5 <> 0")
-    changes = o.select(F.col("o_orderkey").alias("id"), F.lit(2).alias("version"), (F.col("o_totalprice") + 1).alias("score")).where("id % 4 = 0")
+    stored = o.select(F.col("o_orderkey").alias("id"), F.lit(1).alias("version"), F.col("o_totalprice").alias("score"))
+    changes = o.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("id"), F.lit(2).alias("version"), (F.col("o_totalprice") + 1).alias("score"))
     return op.upsert(stored, changes, "id", "version").select("id", "version", F.round("score", 2).alias("score"))
 
 
@@ -304,7 +305,7 @@ SQL = {
     "union_findings": sql("SELECT tool, count(*) AS n, count(DISTINCT id) AS ids FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY tool", "findings", more=AB),
     "finding_dedup": sql("SELECT id, cwe_id, file_path, line FROM (SELECT *, row_number() OVER (PARTITION BY cwe_id, file_path ORDER BY line, id) AS rn FROM findings) WHERE rn = 1", "findings"),
     "ground_truth_join": sql("SELECT g.label, g.verdict, EXISTS (SELECT 1 FROM d WHERE d.cwe_id = g.cwe_id AND (g.lo IS NULL OR (d.line >= g.lo AND d.line <= g.hi))) AS matched FROM ground_truth g", "findings", "ground_truth", more="d AS (SELECT DISTINCT cwe_id, line FROM findings)"),
-    "cve_upsert": "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 = 0 THEN 2 ELSE 1 END AS version, round(CASE WHEN o_orderkey % 4 = 0 THEN o_totalprice + 1 ELSE o_totalprice END, 2) AS score FROM orders WHERE o_orderkey % 5 <> 0 OR o_orderkey % 4 = 0",
+    "cve_upsert": "SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'F' THEN 2 ELSE 1 END AS version, round(CASE WHEN o_orderstatus = 'F' THEN o_totalprice + 1 ELSE o_totalprice END, 2) AS score FROM orders",
     "retain_uncalibrated": sql("SELECT cwe_id, round(avg(confidence), 6) AS w FROM findings WHERE id % 2 = 0 AND cwe_id IN ('CWE-89', 'CWE-78') GROUP BY cwe_id UNION ALL SELECT cwe_id, round(max(confidence), 6) FROM findings WHERE cwe_id NOT IN (SELECT cwe_id FROM findings WHERE id % 2 = 0 AND cwe_id IN ('CWE-89', 'CWE-78')) GROUP BY cwe_id", "findings"),
     "batch_chunks": sql("SELECT repo, CAST((rn - 1) // 5 AS BIGINT) AS chunk, min(id) AS first, count(*) AS n FROM (SELECT id, repo, row_number() OVER (PARTITION BY repo ORDER BY id) AS rn FROM findings) GROUP BY 1, 2", "findings"),
     "lookup_enrich": sql(f"SELECT id, {_OWASP} AS owasp, {_CATEGORY} AS category FROM findings", "findings"),

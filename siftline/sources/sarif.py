@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siftline import fixed
 from siftline.functions import scoring as s
+from siftline.tables import small_side, written
 
 LOCATION = "struct<physicalLocation:struct<artifactLocation:struct<uri:string>,region:struct<startLine:int,endLine:int,startColumn:int,endColumn:int,snippet:struct<text:string>>,contextRegion:struct<snippet:struct<text:string>>>>"
 RULE = "struct<id:string,shortDescription:struct<text:string>,fullDescription:struct<text:string>,defaultConfiguration:struct<level:string>,properties:struct<tags:array<string>,precision:string,cwe:string>>"
@@ -76,8 +77,18 @@ def distinct_rules(findings: DataFrame, group: str) -> DataFrame:
     return first.select(group, "rule_id", F.col("f.cwe_id").alias("cwe_id"), F.when(F.col("f.confidence") >= 0.8, "high").otherwise("medium").alias("precision"))
 
 
-def documents(findings: DataFrame, group: str) -> DataFrame:
-    """(doc, body): a SARIF document for each value of group, with its rules, results in order of id, and a count of its findings."""
+def group_of(doc: Column) -> Column:
+    """The group that a document of documents() belongs to."""
+    return F.regexp_replace(doc, r"#\d+$", "")
+
+
+def documents(findings: DataFrame, group: str, most: int = 10_000) -> DataFrame:
+    """(doc, body): SARIF documents of each value of group, named `group#number`, of about `most` results each in order of id, with all the group's
+    rules and a count of their findings.
+
+    A group's findings are dealt by a hash of their id over as many documents as they need, so one that holds most findings is written
+    and read by many tasks.
+    """
     where = lambda path, line: F.struct(F.struct(F.struct(path.alias("uri")).alias("artifactLocation"), F.struct(line.alias("startLine")).alias("region")).alias("physicalLocation"))
     steps = F.transform("taint_flow", lambda t: F.struct(where(t["file_path"], t["line"]).alias("location")))
     flows = F.when(F.col("taint_flow").isNotNull(), F.array(F.struct(F.array(F.struct(steps.alias("locations"))).alias("threadFlows"))))
@@ -85,8 +96,10 @@ def documents(findings: DataFrame, group: str) -> DataFrame:
         F.col("rule_id").alias("ruleId"), s.lookup(F.col("severity"), fixed.LEVEL_BY_SEVERITY, "warning").alias("level"), F.struct(F.concat(F.lit("finding "), F.col("id").cast("string")).alias("text")).alias("message"),
         F.array(where(F.col("file_path"), F.col("line"))).alias("locations"), flows.alias("codeFlows"), F.struct(F.when(F.col("confidence").isNotNull(), F.col("confidence").cast("string")).alias("confidence")).alias("properties"),
     )
-    results = findings.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("id", result.alias("x")))), lambda p: p["x"]).alias("results"), F.count("*").alias("n"))
+    parts = findings.groupBy(group).agg(F.ceil(F.count("*") / most).alias("_parts"))
+    dealt = findings.join(small_side(written(parts, "document_parts")), group).withColumn("_part", F.pmod(F.xxhash64("id"), "_parts"))
+    results = dealt.groupBy(group, "_part").agg(F.transform(F.array_sort(F.collect_list(F.struct("id", result.alias("x")))), lambda p: p["x"]).alias("results"), F.count("*").alias("n"))
     rule = F.struct(F.col("rule_id").alias("id"), F.struct(F.concat(F.lit("rule "), "rule_id").alias("text")).alias("shortDescription"), F.struct(F.array(F.lit("security"), F.concat(F.lit("external/cwe/"), F.lower("cwe_id"))).alias("tags"), F.col("precision")).alias("properties"))
     rules = distinct_rules(findings, group).groupBy(group).agg(F.array_sort(F.collect_list(rule)).alias("rules"))
     run = F.struct(F.struct(F.struct(F.lit("siftline").alias("name"), F.col("rules")).alias("driver")).alias("tool"), F.col("results"), F.array(F.struct(F.lit(True).alias("executionSuccessful"), F.struct(F.col("n").alias("findings")).alias("properties"))).alias("invocations"))
-    return results.join(rules, group).select(F.col(group).cast("string").alias("doc"), F.to_json(F.struct(F.lit("2.1.0").alias("version"), F.array(run).alias("runs"))).alias("body"))
+    return results.join(rules, group).select(F.concat_ws("#", F.col(group).cast("string"), F.col("_part").cast("string")).alias("doc"), F.to_json(F.struct(F.lit("2.1.0").alias("version"), F.array(run).alias("runs"))).alias("body"))

@@ -13,15 +13,20 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 500_000
 
 
+#: Temporary folders of local sessions that name none, by application.
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session. A local session that names none, as in tests, gets a temporary folder; on a cluster, whose
     machines wouldn't share it, that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.conf.get("spark.master", "").startswith("local"):
+        context = spark.sparkContext
+        if not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="siftline-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = _OWN.setdefault(context.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="siftline-")
+        _OWN[context.applicationId] = folder
     return folder.rstrip("/")
 
 

@@ -1,39 +1,13 @@
-"""What the operators of this subpackage share: the shared work folder, written tables, and components."""
+"""What the operators of this subpackage share: numbered rows and components, beside the library's written tables."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows up to which a side of one long key may be broadcast (about 16 MB); past it the join shuffles.
-BROADCAST_ROWS = 500_000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only where the session names none (local tests) a temporary one is set.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="siftline-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/siftline/{name}-{uuid.uuid4().hex}"
-
+from siftline.tables import BROADCAST_ROWS, new_path, shared_dir, small_side, written
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it again; this cuts the lineage."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["BROADCAST_ROWS", "components", "fresh", "new_path", "numbered", "shared_dir", "small_side", "written"]
 
 
 def numbered(df: DataFrame, name: str = "rid") -> DataFrame:
@@ -42,12 +16,6 @@ def numbered(df: DataFrame, name: str = "rid") -> DataFrame:
     return written(df.select(F.monotonically_increasing_id().alias(name), "*"), "numbered")
 
 
-def small_side(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """df with a broadcast hint if it has at most BROADCAST_ROWS rows, else df itself."""
-    n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= BROADCAST_ROWS else df
-
-
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """The names, each with as many underscores before it as it takes to differ from all columns of df."""
     taken = {c.lower() for c in df.columns}

@@ -253,13 +253,17 @@ def _sketches(rows: DataFrame) -> DataFrame:
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, prints, found = [], [], []
+            sizes, prints, found, part, held = [], [], [], [], 0
             for text in batch.column(1):
-                hashes = np.unique(shingle_hashes(text.as_py(), SET_SHINGLE))
-                sizes.append(len(hashes))
-                prints.append(_signed(int(majority_bits([hashes])[0])))
-                found.append(keys(hashes))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["rid", "n", "fp", "keys"])
+                part.append(np.unique(shingle_hashes(text.as_py(), SET_SHINGLE)))
+                sizes.append(len(part[-1]))
+                found.append(keys(part[-1]))
+                held += sizes[-1]
+                if held > 1_000_000:
+                    prints.append(majority_bits(part))
+                    part, held = [], 0
+            prints.append(majority_bits(part))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(np.concatenate(prints).view(np.int64)), pa.array(found, pa.list_(pa.int64()))], ["rid", "n", "fp", "keys"])
 
     return rows.mapInArrow(build, "rid long, n long, fp long, keys array<long>")
 

@@ -83,7 +83,8 @@ def mixture_plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sou
     target is met by whole rounds through this permutation and a last one that stops before the row that would exceed it, so
     a source gets at most its target, and less than it by under one row. `position` is where the
     row's first token stands in a round, `span` the source's tokens. A hot source has
-    more blocks, not larger ones; only the block in which a last round stops is ordered row by row.
+    more blocks, not larger ones; only the block in which a last round stops is ordered row by row. In the other blocks, which are taken whole, a
+    row's position is its hash's share of the block, so two rows can have one; rows of one position come in order of their ids.
     """
     weights = source_weights(docs, source_col, tokens, **target).withColumn("blocks", F.ceil(F.col("rows") / BLOCK_ROWS))
     weights = written(weights.select("src", F.col("tokens").alias("span"), "weight", "exponent", "target", "blocks"), "weights")

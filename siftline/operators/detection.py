@@ -16,7 +16,8 @@ STRING = r"""^\s*("[^"]*"|'[^']*')\s*(,|$)"""
 
 def rules(spark: SparkSession) -> DataFrame:
     """(language, rule, cwe_id, severity, seq, function, tail): a row for each function of the catalogue; tail is its last name."""
-    rows = [(lang, name, f"CWE-{cwe}", severity, k, f, f.rsplit(".", 1)[-1]) for lang, group in fixed.RULES.items() for k, (name, cwe, severity, functions) in enumerate(group) for f in functions]
+    every = fixed.RULES | {lang: fixed.RULES[other] for lang, other in fixed.SAME_RULES.items()}
+    rows = [(lang, name, f"CWE-{cwe}", severity, k, f, f.rsplit(".", 1)[-1]) for lang, group in every.items() for k, (name, cwe, severity, functions) in enumerate(group) for f in functions]
     return spark.createDataFrame(rows, "language string, rule string, cwe_id string, severity string, seq int, function string, tail string")
 
 

@@ -14,7 +14,7 @@ from siftline.plans.views import sql
 #: Folders of written stand-in files; tests, and scripts of scripting languages, aren't scanned.
 TREE = ["src", "test", "app", "scripts", "lib"]
 #: Languages of the stand-in files, by the customer's number; the last is of no language that is scanned.
-FILE_LANGUAGES = ["python", "javascript", "python", "java", "c", "go", "javascript", None]
+FILE_LANGUAGES = ["python", "javascript", "python", "java", "cpp", "go", "typescript", None]
 #: Lines of code by language; # is the customer's number. Each order is a line of its customer's file.
 TEMPLATES = {
     "python": [
@@ -39,7 +39,7 @@ def files(spark, sf):
     o, number = v.table(spark, sf, "orders"), F.col("o_custkey").cast("string")
     language = F.element_at(F.array(*map(F.lit, FILE_LANGUAGES)), (F.col("o_custkey") % len(FILE_LANGUAGES) + 1).cast("int"))
     code = F.lit(None).cast("string")
-    for lang, lines in TEMPLATES.items():
+    for lang, lines in (TEMPLATES | {lang: TEMPLATES[other] for lang, other in fixed.SAME_RULES.items()}).items():
         pick = F.element_at(F.array(*map(F.lit, lines)), (F.col("o_orderkey") % len(lines) + 1).cast("int"))
         code = F.when(language.eqNullSafe(F.lit(lang)), F.replace(pick, F.lit("#"), number)).otherwise(code)
     x = o.select("o_custkey", "o_orderkey", language.alias("language"), code.alias("code")).groupBy("o_custkey", "language").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "code"))).alias("lines"))
@@ -53,7 +53,8 @@ def calls(spark, sf):
 
 _Q = lambda t: t.replace("'", "''")
 _FIRST = {lang: sum(len(TEMPLATES[x]) for x in list(TEMPLATES)[:k]) for k, lang in enumerate(TEMPLATES)}
-_T = " ".join(f"WHEN {'language IS NULL' if lang is None else f'language = {chr(39)}{lang}{chr(39)}'} THEN {_FIRST[lang]} + k % {len(lines)}" for lang, lines in TEMPLATES.items())
+_T = " ".join(f"WHEN {'language IS NULL' if lang is None else f'language = {chr(39)}{lang}{chr(39)}'} THEN {_FIRST[lang]} + k % {len(lines)}" for lang, lines in TEMPLATES.items() if lang not in fixed.SAME_RULES.values())
+_T += " " + " ".join(f"WHEN language IN ('{lang}', '{other}') THEN {_FIRST[other]} + k % {len(TEMPLATES[other])}" for lang, other in fixed.SAME_RULES.items())
 CALLS = f"""raw_calls AS (SELECT o_custkey, o_orderkey AS k, [{', '.join('NULL' if x is None else f"'{x}'" for x in FILE_LANGUAGES)}][CAST(o_custkey % {len(FILE_LANGUAGES)} + 1 AS INTEGER)] AS language FROM orders),
 numbered AS (SELECT *, CASE {_T} END AS t FROM raw_calls),
 calls AS (SELECT 'src/f' || o_custkey AS file, language, row_number() OVER (PARTITION BY o_custkey ORDER BY k) AS line_no, t, replace([{', '.join(f"'{_Q(c)}'" for lines in TEMPLATES.values() for c in lines)}][CAST(t + 1 AS INTEGER)], '#', CAST(o_custkey AS VARCHAR)) AS code FROM numbered)"""
@@ -144,7 +145,7 @@ QUERIES = {
     "hardcoded_secret": hardcoded_secret, "context_window": context_window, "code_slice": code_slice, "detect_language": detect_language, "line_graph": line_graph,
 }
 
-_FN = ", ".join(f"('{lang}', '{name}', 'CWE-{cwe}', '{sev}', '{f}')" for lang, group in fixed.RULES.items() for name, cwe, sev, fs in group for f in fs)
+_FN = ", ".join(f"('{lang}', '{name}', 'CWE-{cwe}', '{sev}', '{f}')" for lang, group in (fixed.RULES | {x: fixed.RULES[y] for x, y in fixed.SAME_RULES.items()}).items() for name, cwe, sev, fs in group for f in fs)
 _CALLED = CALLS + r""", called AS (SELECT line_no, file, language, code, t, unnest(list_distinct(regexp_extract_all(code, '([\w$.]+)\s*\(', 1))) AS call FROM calls)"""
 _MATCH = _CALLED + f""", fn(language, rule, cwe_id, severity, f) AS (VALUES {_FN}),
 m AS (SELECT DISTINCT c.line_no, c.file, c.code, c.t, c.call, fn.rule, fn.cwe_id, fn.severity FROM called c JOIN fn ON c.language = fn.language AND (c.call = f OR ends_with(c.call, '.' || f) OR (contains(f, '.') AND contains(c.call, f) AND split_part(f, '.', -1) = split_part(c.call, '.', -1)))

@@ -17,10 +17,10 @@ from siftline.llm.common import BROADCAST_ROWS, numbered, written
 
 #: A span is a run of at least SENTENCES sentences and at least WORDS words.
 SENTENCES = 3
-WORDS = 12
+WORDS = 16
 #: Sentences of more than LONG words are cut behind commas and behind one in CUT of all words, chosen by their
 #: hash, so that a passage inside a long sentence is cut alike wherever it begins; each piece counts as a sentence.
-LONG, CUT = 24, 8
+LONG, CUT = 16, 12
 
 # Sentence ends of other scripts, which no space need follow, and the ranges of scripts that are written without spaces.
 ENDS = "。！？｡．।॥؟۔"

@@ -204,13 +204,16 @@ class Encoder:
         huge = {w for w in new if len(w) > HUGE // 4 and len(w.encode("utf-8", "replace")) > HUGE}
         new = [w for w in new if w not in huge]
         made = dict(zip(new, self._viterbi(new), strict=True)) | {w: self._huge(w) for w in huge}
-        find = lambda w: made[w] if w in made else self.known[w]
-        out = [b"".join(map(find, words)) for words in cut]
-        short = {w: p for w, p in made.items() if len(w) <= SHORT}
-        self.held += sum(len(w) + 10 for w in short)
+        self.known.update(made)
+        known = self.known.__getitem__
+        out = [b"".join(map(known, words)) for words in cut]
+        for w in made:
+            if len(w) > SHORT:
+                del self.known[w]
+            else:
+                self.held += len(w) + 10
         if self.held > REMEMBERED:
-            self.known, self.held = {}, sum(len(w) + 10 for w in short)
-        self.known.update(short)
+            self.known, self.held = {}, 0
         return out
 
     def _huge(self, word: str) -> bytes:

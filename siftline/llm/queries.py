@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from siftline.llm import exact_dedup, language_mixture, metric_tree, pii_surrogates, quality, sentence_spans, separator_scan, simhash, temperature_mix, unigram
+from siftline.llm import exact_dedup, filter_audit, importance_resampling, language_mixture, metric_tree, minhash, pii_surrogates, quality, sentence_spans, separator_scan, simhash, temperature_mix, unigram
 
 
 def queries() -> dict:
@@ -18,6 +18,9 @@ def queries() -> dict:
         "op8_metric_tree": metric_tree.op8_metric_tree,
         "op9_temperature_mix": temperature_mix.op9_temperature_mix,
         "op10_language_mixture": language_mixture.op10_language_mixture,
+        "op11_filter_audit": filter_audit.op11_filter_audit,
+        "op12_minhash": minhash.op12_minhash,
+        "op13_importance_resampling": importance_resampling.op13_importance_resampling,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -26,4 +29,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_exact_dedup": exact_dedup.OP3_SQL,
         "op8_metric_tree": metric_tree.OP8_SQL,
+        "op11_filter_audit": filter_audit.OP11_SQL,
+        "op13_importance_resampling": importance_resampling.OP13_SQL,
     }

@@ -327,15 +327,25 @@ def similar_links(rows: DataFrame) -> DataFrame:
 
     First come the pairs that covering masks give: equal fingerprints, and a forest of those within RADIUS bits. At 4/5 most pairs are
     farther apart than masks can reach, so candidates also share a band: of 24 such a pair shares none with a probability of
-    (1 - 0.8^4)^24, 3 in a million. Rows are held against the smallest row of a bucket, first against the one that they meet
+    (1 - 0.8^4)^24, 3 in a million.
+    """
+    return banded_links(rows, written(_sketches(rows), "sketches"), masks=True)
+
+
+def banded_links(rows: DataFrame, sketches: DataFrame, masks: bool = False) -> DataFrame:
+    """rows(rid, text) and their written sketches(rid, n, fp, keys) -> links (u, v) with the components of all pairs of Jaccard similarity 4/5 or more that
+    share fp or one of keys, or, with masks, whose fp differ by at most RADIUS bits.
+
+    Rows are held against the smallest row of a bucket, first against the one that they meet
     in most bands, then against the others unless a link has joined them. What a bucket then still has of other components than
     its largest is held against all its rows within tasks of PART_ROWS rows, which return a forest of links, never pairs.
     """
-    sketches = written(_sketches(rows), "sketches")
     nodes = written(sketches.groupBy("fp").agg(F.min(F.struct("rid", "n")).alias("at")), "prints")
     alike = sketches.join(small_side(nodes), "fp").where("rid <> at.rid").select(F.col("at.rid").alias("u"), F.col("at.n").alias("un"), F.col("rid").alias("v"), F.col("n").alias("vn"))
-    end = lambda name: nodes.select(F.col("fp").alias(name), F.col("at.rid").alias(f"r{name}"), F.col("at.n").alias(f"n{name}"))
-    masked = links(nodes.select("fp")).join(end("u"), "u").join(end("v"), "v").select(F.col("ru").alias("u"), F.col("nu").alias("un"), F.col("rv").alias("v"), F.col("nv").alias("vn"))
+    if masks:
+        end = lambda name: nodes.select(F.col("fp").alias(name), F.col("at.rid").alias(f"r{name}"), F.col("at.n").alias(f"n{name}"))
+        masked = links(nodes.select("fp")).join(end("u"), "u").join(end("v"), "v").select(F.col("ru").alias("u"), F.col("nu").alias("un"), F.col("rv").alias("v"), F.col("nv").alias("vn"))
+        alike = alike.unionByName(masked)
 
     bands = sketches.select("rid", "n", F.explode("keys").alias("key"))
     buckets = written(bands.groupBy("key").agg(F.min(F.struct("rid", "n")).alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size"), "buckets")
@@ -344,7 +354,7 @@ def similar_links(rows: DataFrame) -> DataFrame:
     hubs = members.where("rid <> hub.rid").groupBy(F.col("hub.rid").alias("u"), F.col("hub.n").alias("un"), F.col("rid").alias("v"), F.col("n").alias("vn")).agg(F.count(F.lit(1)).alias("times"))
     hubs = written(hubs.where(meet), "hub_pairs")
     most = hubs.groupBy("v").agg(F.min(F.struct((-F.col("times")).alias("times"), "u")).alias("m")).select(F.col("m.u").alias("u"), "v")
-    begin = written(alike.unionByName(masked).where(meet).select("u", "v").unionByName(most).distinct(), "first_pairs")
+    begin = written(alike.where(meet).select("u", "v").unionByName(most).distinct(), "first_pairs")
 
     asked = members.select("rid").unionByName(begin.select(F.col("u").alias("rid"))).unionByName(begin.select(F.col("v").alias("rid"))).distinct()
     sets = written(_shingle_sets(rows.join(small_side(written(asked, "candidates")), "rid", "left_semi").select("rid", "text")), "shingle_sets")

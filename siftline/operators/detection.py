@@ -2,39 +2,79 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
+from collections.abc import Iterator
+from itertools import accumulate
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from siftline import fixed
+from siftline.functions import calls as source_calls
 
 CALL = r"([\w$.]+)\s*\("
-ARGUMENTS = r"\((.*)\)"
-#: Arguments that are all strings or names.
-PLAIN_ARGUMENTS = r"""^\s*("[^"]*"|'[^']*'|\w+)(\s*,\s*("[^"]*"|'[^']*'|\w+))*\s*$"""
-STRING = r"""^\s*("[^"]*"|'[^']*')\s*(,|$)"""
+CALLED = "file string, language string, line_no int, end_line int, call string, code string, text string, closed boolean, arguments array<struct<kind:string,text:string>>, near string, wide string, head string"
+#: Characters of results that a task holds at once, beside those of a file.
+HELD = 4 << 20
 
 
 def rules(spark: SparkSession) -> DataFrame:
-    """(language, rule, cwe_id, severity, seq, function, tail): a row for each function of the catalogue; tail is its last name."""
+    """(language, rule, cwe_id, severity, seq, function): a row for each function of the catalogue."""
     every = fixed.RULES | {lang: fixed.RULES[other] for lang, other in fixed.SAME_RULES.items()}
-    rows = [(lang, name, f"CWE-{cwe}", severity, k, f, f.rsplit(".", 1)[-1]) for lang, group in every.items() for k, (name, cwe, severity, functions) in enumerate(group) for f in functions]
-    return spark.createDataFrame(rows, "language string, rule string, cwe_id string, severity string, seq int, function string, tail string")
+    rows = [(lang, name, f"CWE-{cwe}", severity, k, f) for lang, group in every.items() for k, (name, cwe, severity, functions) in enumerate(group) for f in functions]
+    return spark.createDataFrame(rows, "language string, rule string, cwe_id string, severity string, seq int, function string")
+
+
+def _named() -> dict[str, re.Pattern]:
+    """For each language what the name of a call must have to match any function of its catalogue."""
+    out = {}
+    for language in [*fixed.RULES, *fixed.SAME_RULES]:
+        functions = [f for *_, group in fixed.RULES[fixed.SAME_RULES.get(language, language)] for f in group]
+        tails, dotted = sorted({re.escape(f.rsplit(".", 1)[-1]) for f in functions}), sorted({re.escape(f) for f in functions if "." in f})
+        out[language] = re.compile(rf"(?:^|\.)(?:{'|'.join(tails)})$" + (f"|{'|'.join(dotted)}" if dotted else ""))
+    return out
 
 
-def called_lines(files: DataFrame, text: str = "text") -> DataFrame:
-    """files(file, language, text) -> (file, language, line_no, code, near, wide, head) of the lines that call something by a name of the catalogue.
+def called(files: DataFrame, text: str = "text") -> DataFrame:
+    """files(file, language, text) -> (file, language, line_no, end_line, call, code, text, closed, arguments, near, wide, head): the calls whose
+    name a catalogue's function may match, in Arrow batches of whole files.
 
-    near are the lines from five before to two behind, wide from ten before to one behind, head the file's first five. They are cut from
-    the file's own lines within its row, for such lines alone; nothing is joined and no line carries its file.
+    line_no is the line that a call begins on and code that line; text is the call with its arguments, over as many lines as it takes,
+    without comments; near are the lines from five before to two behind, wide from ten before to one behind, head the file's first five.
+    Null texts and languages without a catalogue have no calls.
     """
-    tails = sorted({f.rsplit(".", 1)[-1] for group in fixed.RULES.values() for *_, functions in group for f in functions})
-    named = rf"(?<![\w$])(?:{'|'.join(t.replace('$', chr(92) + '$') for t in tails)})\s*\("
-    lines = F.split(text, "\n", -1)
-    cut = lambda all_lines, begin, end: F.array_join(F.slice(all_lines, F.greatest(begin, F.lit(1)), end - F.greatest(begin, F.lit(1)) + 1), "\n")
-    x = files.select("file", "language", lines.alias("lines"))
-    hits = F.filter(F.transform("lines", lambda c, k: F.struct((k + 1).alias("n"), c.alias("code"))), lambda h: h["code"].rlike(named))
-    parts = F.transform(hits, lambda h: F.struct(h["n"].alias("line_no"), h["code"].alias("code"), cut(F.col("lines"), h["n"] - 5, h["n"] + 2).alias("near"), cut(F.col("lines"), h["n"] - 10, h["n"] + 1).alias("wide")))
-    return x.select("file", "language", F.array_join(F.slice("lines", 1, 5), "\n").alias("head"), F.explode(parts).alias("p")).select("file", "language", "p.*", "head")
+    named, schema = _named(), to_arrow_schema(StructType.fromDDL(CALLED))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+        for batch in batches:
+            for file, language, source in zip(*batch.columns, strict=True):
+                language, source = language.as_py(), source.as_py()
+                if language not in named or source is None:
+                    continue
+                lines, ends, plain = source.split("\n"), None, source_calls.without_comments(source, language)
+                cut = lambda a, b, lines=lines: "\n".join(lines[max(a, 0) : b])
+                for c in source_calls.calls(plain, language):
+                    if not named[language].search(c.name):
+                        continue
+                    ends = ends or list(accumulate(len(x) + 1 for x in lines))
+                    at, last = bisect_right(ends, c.begin), bisect_right(ends, c.end - 1)
+                    rows.append({
+                        "file": file.as_py(), "language": language, "line_no": at + 1, "end_line": last + 1, "call": c.name, "code": lines[at], "text": plain[c.begin : c.end], "closed": c.closed,
+                        "arguments": [{"kind": source_calls.kind(a), "text": a} for a in c.arguments], "near": cut(at - 5, at + 3), "wide": cut(at - 10, at + 2), "head": cut(0, 5),
+                    })
+                    held += sum(len(rows[-1][k]) for k in ("code", "text", "near", "wide", "head")) + 256
+                    if held > HELD:
+                        yield pa.RecordBatch.from_pylist(rows, schema)
+                        rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema)
+
+    return files.select(F.col("file").cast("string"), F.col("language").cast("string"), F.col(text).alias("text")).mapInArrow(scan, CALLED)
 
 
 def explode_lines(files: DataFrame, text: str = "text") -> DataFrame:
@@ -48,85 +88,89 @@ def call_names(code: Column) -> Column:
     return F.regexp_extract_all(code, F.lit(CALL), F.lit(1))
 
 
-def rule_match(lines: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """lines(file, language, line_no, code, ...) -> lines with (call, rule, cwe_id, severity, seq), a row a rule and call.
+def rule_match(found: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """called() -> its columns with (rule, cwe_id, severity, seq), a row a call and rule that has a function which the call matches.
 
-    A call matches a function if it is it or ends in it after a dot, or if the function is dotted and stands in the call. Methods of
-    regular expressions don't match `exec`, nor methods of objects a bare `open`, nor safe loaders a `load`. Lines without a call go
-    first; calls meet the fixed catalogue by language and last name.
+    A call matches a function if it is it, or ends in it after a dot; a dotted function also if it stands in the call, or if both have the
+    same last name and its module stands in the call. Methods of regular expressions match only a function that they are or hold. Calls
+    meet the fixed catalogue of their language.
     """
-    calls = lines.where(F.contains("code", F.lit("("))).select(*lines.columns, F.explode(F.array_distinct(call_names(F.col("code")))).alias("call"))
-    calls = calls.withColumn("tail", F.element_at(F.split("call", r"\."), -1))
-    x = calls.join(F.broadcast(catalogue), ["language", "tail"])
-    name, f = F.col("call"), F.col("function")
-    hit = (name == f) | name.endswith(F.concat(F.lit("."), f)) | (F.contains(f, F.lit(".")) & F.contains(name, f))
-    odd = (f.isin("exec") & F.lower(name).rlike(r"(regex|regexp|re|pattern)\.exec$")) | ((f == "open") & F.contains(name, F.lit("."))) | ((F.col("tail") == "load") & F.contains(name, F.lit("safe")))
-    return x.where(hit & ~odd).select(*lines.columns, "call", "rule", "cwe_id", "severity", "seq").dropDuplicates(["file", "line_no", "call", "rule"])
+    name, f, low = F.col("call"), F.col("function"), F.lower("call")
+    owner = F.lower(F.try_element_at(F.split(name, r"\."), F.lit(-2)))
+    pattern = F.contains(name, F.lit(".")) & (owner.isin(fixed.PATTERN_OBJECTS) | owner.rlike(r"^/|(re|regexp|_pattern)$"))
+    after_dot = name.endswith(F.concat(F.lit("."), f))
+    last = lambda c: F.element_at(F.split(c, r"\."), -1)
+    module = F.lower(F.regexp_extract(f, r"^(.*)\.[^.]*$", 1))
+    same = F.contains(name, F.lit(".")) & (last(name) == last(f)) & ~pattern & ~((last(f) == "exec") & F.contains(low, F.lit("executor"))) & F.contains(low, module)
+    hit = (name == f) | (after_dot & ~pattern) | (~after_dot & F.contains(f, F.lit(".")) & (F.contains(low, f) | same))
+    functions = F.broadcast(catalogue)
+    return found.join(functions, (found["language"] == functions["language"]) & hit).drop(functions["language"]).drop("function").distinct()
 
 
 def _any(text: Column, words: list[str]) -> Column:
     return F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(text, w))
 
 
-def arguments(code: Column) -> Column:
-    """What stands between the first and the last parenthesis; empty without."""
-    return F.trim(F.regexp_extract(code, ARGUMENTS, 1))
-
-
-def suppressions(code: Column, call: Column, near: Column | None = None, wide: Column | None = None, head: Column | None = None) -> dict[str, Column]:
-    """For each kind of rule whether a match in this line is safe. near, wide: the lines around it, as in called_lines(), by default the line
-    itself; head: the file's first lines."""
-    low, args = F.lower(code), arguments(code)
-    near, wide, top = code if near is None else near, code if wide is None else wide, F.lit("") if head is None else head
-    first = F.regexp_extract(args, r"""^\s*("[^"]*"|'[^']*'|[^,]*)""", 1)
-    literal = args.rlike(STRING)
-    last = F.element_at(F.split(call, r"\."), -1)
-    dotted = F.contains(call, F.lit("."))
-    user = _any(code, fixed.USER_SOURCES)
-    changed = F.contains(code, F.lit("+")) | F.contains(code, F.lit(".format("))
+def suppressions(call: Column, text: Column, arguments: Column, near: Column, wide: Column, head: Column) -> dict[str, Column]:
+    """For each kind of rule whether a call is safe: by its name, its text with all arguments, the arguments and what they are, and the lines around
+    it, as in called()."""
+    low, empty = F.lower(text), F.size(arguments) == 0
+    of = lambda k, field: F.coalesce(F.try_element_at(arguments, F.lit(k))[field], F.lit(""))
+    first, first_kind = of(1, "text"), of(1, "kind")
+    literal = first_kind.isin("string", "strings", "format")
+    last, dotted = F.element_at(F.split(call, r"\."), -1), F.contains(call, F.lit("."))
+    name = F.lower(call)
+    user = _any(text, fixed.USER_SOURCES)
+    changed = F.contains(text, F.lit("+")) | F.contains(text, F.lit(".format("))
     ddl = _any(F.upper(first), fixed.DDL)
-    mixed = changed | (F.contains(code, F.lit("%")) & ~F.contains(code, F.lit("(%s)"))) | F.contains(code, F.lit("${"))
-    marked = F.contains(first, F.lit("?")) | F.contains(first, F.lit("%s")) | first.rlike(r":\w+")
-    second = F.regexp_extract(args, r"""^\s*(?:"[^"]*"|'[^']*')\s*,\s*(.+)$""", 1)
-    bound = marked & second.rlike(r"^[\[({]|^\w+$") & ~first.rlike(r":\w+")
+    mixed = changed | (F.contains(text, F.lit("%")) & ~F.contains(text, F.lit("(%s)"))) | F.contains(text, F.lit("${"))
+    marked = F.contains(first, F.lit("?")) | F.contains(first, F.lit("%s"))
+    bound = marked & of(2, "kind").isin("tuple", "list", "dictionary", "identifier")
     anchored = _any(low, fixed.ANCHORS) & ~_any(low, fixed.PATH_USER_HINTS)
-    plain = literal & ~F.contains(first, F.lit("${")) & ~F.contains(first, F.lit("%")) & (~F.contains(F.lower(call), F.lit("join")) | args.rlike(PLAIN_ARGUMENTS))
-    joined = F.contains(F.lower(call), F.lit("concat")) & F.contains(F.lower(call), F.lit("path"))
+    all_plain = F.forall(arguments, lambda a: a["kind"].isin("string", "format", "identifier"))
+    plain = first_kind.isin("string", "format") & ~F.contains(first, F.lit("${")) & ~F.contains(first, F.lit("%")) & (~F.contains(name, F.lit("join")) | all_plain)
+    joined = F.contains(name, F.lit("concat")) & F.contains(name, F.lit("path"))
     strong = _any(near, fixed.STRONG_PATH_MITIGATIONS)
     weak = F.size(F.filter(F.array(*map(F.lit, fixed.WEAK_PATH_MITIGATIONS)), lambda w: F.contains(near, w))) >= 2
-    names = F.lower(F.trim(first))
-    secret_names = rf"\b({'|'.join(fixed.SECRET_ARGUMENTS)})\b"
-    unquoted = F.regexp_replace(F.lower(args), r"""(?<![fF])"[^"]*"|(?<![fF])'[^']*'""", "")
+    named = (first_kind == "identifier") & F.lower(first).isin(fixed.REDIRECT_NAMES)
+    shell = F.exists(arguments, lambda a: (a["kind"] == "keyword") & F.contains(a["text"], F.lit("shell")) & F.contains(a["text"], F.lit("True")))
+    address = (first_kind == "identifier") & F.lower(first).isin(fixed.URL_NAMES)
+    secret = F.exists(arguments, lambda a: (
+        ((a["kind"] == "identifier") & F.lower(a["text"]).isin(fixed.SECRET_ARGUMENTS))
+        | ((a["kind"] == "member") & _any(F.lower(a["text"]), fixed.LOGGED_USER_DATA))
+        | (a["kind"].isin("format", "strings", "template", "other") & _any(F.lower(a["text"]), fixed.SECRET_ARGUMENTS))
+    ))
     return {
-        "sql": (args == "") | (literal & ddl & ~mixed) | (literal & marked & ~changed) | (literal & bound),
-        "command": F.coalesce(first.startswith("["), F.lit(False)) & ~args.rlike(r"shell\s*=\s*True") & ~_any(call, ["os.system", "os.popen"]),
+        "sql": empty | _any(name, fixed.NO_SQL_NAMES) | (literal & ((ddl & ~mixed) | ((marked | first.rlike(r":\w+")) & ~changed) | bound)),
+        "command": (first_kind == "list") & ~shell & ~_any(call, ["os.system", "os.popen"]),
         "eval": F.contains(call, F.lit("literal_eval")) | ~last.isin("eval", "exec", "compile", "__import__") | dotted,
         "path": (dotted & (last == "open")) | anchored | joined | plain | strong | weak,
         "deserialization": call.startswith("json.") | F.contains(call, F.lit("safe_load")),
-        "redirect": ~user & (literal | ~names.isin(fixed.REDIRECT_NAMES)),
-        "ssrf": ~user & ~_any(code, fixed.URL_USER_NAMES) & (literal | call.endswith(".test") | (F.lower(call) == "test") | _any(low, fixed.SAME_ORIGIN) | ~names.isin(fixed.URL_NAMES) | ~_any(F.lower(wide), fixed.USER_SOURCES)),
-        "nosql": ~F.contains(code, F.lit("$where")) | ~_any(code, fixed.QUERY_INTERPOLATION),
+        "redirect": ~_any(low, fixed.REDIRECT_SOURCES) & ~named,
+        "ssrf": ~user & ~_any(text, fixed.URL_USER_NAMES) & (call.endswith(".test") | (name == "test") | _any(low, fixed.SAME_ORIGIN) | ~address | ~_any(F.lower(wide), fixed.USER_SOURCES)),
+        "nosql": ~F.contains(text, F.lit("$where")) | ~_any(text, fixed.QUERY_INTERPOLATION),
         "crypto": _any(low, fixed.STRONG_ALGORITHMS) | ~_any(low, fixed.WEAK_ALGORITHMS),
-        "innerhtml": F.contains(low, F.lit("module.exports")) | (_any(code, fixed.PAGE_WRITES) & _any(F.lower(top), fixed.MODULE_HEADS)),
-        "template": ~user & ~_any(code, fixed.TEMPLATE_USER_DATA),
-        "log": (args == "") | ~(unquoted.rlike(secret_names) | _any(unquoted, fixed.LOGGED_USER_DATA)),
+        "innerhtml": F.contains(low, F.lit("module.exports")) | (_any(text, fixed.PAGE_WRITES) & _any(F.lower(head), fixed.MODULE_HEADS)),
+        "template": ~user & ~_any(text, fixed.TEMPLATE_USER_DATA),
+        "log": ~secret,
         "cookie": ~_any(low, fixed.LOOSE_COOKIES),
         "xxe": ~_any(low, fixed.EXTERNAL_ENTITIES),
-        "merge": ~F.contains(code, F.lit("__proto__")) & ~(_any(code, fixed.PROTOTYPES) & (user | _any(code, fixed.MERGED_USER_DATA))),
+        "merge": ~F.contains(text, F.lit("__proto__")) & ~(_any(text, fixed.PROTOTYPES) & (_any(text, fixed.MERGE_SOURCES) | _any(text, fixed.MERGED_USER_DATA))),
     }
 
 
 def matches(files: DataFrame, catalogue: DataFrame) -> DataFrame:
     """files(file, language, text) -> (file, language, line_no, code, call, rule, cwe_id, severity, safe): what the catalogue's rules match, with
-    whether the suppression of its kind leaves it out."""
-    x = rule_match(called_lines(files), catalogue)
-    kinds = suppressions(F.col("code"), F.col("call"), F.col("near"), F.col("wide"), F.col("head"))
+    whether the suppression of its kind leaves it out. Of calls of one name on a line one that isn't safe counts; a call that nothing
+    closes is never safe, as its arguments aren't known."""
+    x = rule_match(called(files), catalogue)
+    kinds = suppressions(*map(F.col, ("call", "text", "arguments", "near", "wide", "head")))
     safe = F.lit(False)
     for cwe, kind in fixed.KIND_BY_CWE.items():
         safe = safe | ((F.col("cwe_id") == cwe) & kinds[kind])
     for rule, kind in fixed.KIND_BY_RULE.items():
         safe = safe | ((F.col("rule") == rule) & kinds[kind])
-    return x.select("file", "language", "line_no", "code", "call", "rule", "cwe_id", "severity", safe.alias("safe"))
+    return x.groupBy("file", "language", "line_no", "code", "call", "rule", "cwe_id", "severity").agg(F.bool_and(F.col("closed") & safe).alias("safe"))
 
 
 def secret_lines(files: DataFrame) -> DataFrame:

@@ -21,11 +21,14 @@ TEMPLATES = {
         'cursor.execute("SELECT * FROM t WHERE id = ?", (x#,))', 'cursor.execute("SELECT * FROM t WHERE id = " + x#)', 'db.execute("CREATE TABLE t# (a int)")', 'subprocess.run(["ls", "x#"])', 'subprocess.run(["ls"], shell=True)',
         'os.system("rm " + x#)', "ast.literal_eval(x#)", "eval(x#)", "obj.compile(x#)", 'open("data.txt")', "open(path#)", "path.open(x#)", "yaml.safe_load(x#)", "pickle.loads(x#)", "redirect(next_url)", "print(password)", "total = x# + 1",
         "base = os.path.realpath(root#)", "ok = p#.startswith(root) and basename(p#)", 'api_key = "k#-secret"', 'password = "changeme"', "requests.get(url)", 'target = request.args["u#"]', 'os.path.join("a", name)', 'os.path.join("a", name#.b)',
+        'cursor.execute(\n    "SELECT * FROM t WHERE id = " + x#)', 'cursor.execute(\n    "SELECT * FROM t WHERE id = ? OR n = \')\'",\n    (x#,),\n)', 'requests.get(\n    request.args["v#"])', "print(\n    password)",
+        'redirect(request.values["next#"])', 'print(\n    "no password (given)"\n)', '""" eval(x#) """', "total = eval(\n    x#", "token_re.exec(x#)",
     ],
     "javascript": [
         "res.redirect(req.query.next)", 'res.redirect("/home")', 'fetch("http://a.example/c")', "axios.get(req.query.url)", "fetch(url)", 'coll.find({$where: "a" + user#})', 'createHash("md5")', 'createHash("sha256")', "document.write(x#)",
         'res.render("page", {name: req.query.name})', 'res.render("page")', 'console.log("password mismatch")', 'res.cookie("s", v, {secure: false})', "parseXmlString(x#, {noent: true})", "obj.__proto__ = merge(x#)", "module.exports = {a: x#}",
         'const auth_token = process.env.T || "t#-fallback"', "readFile(name#)",
+        "res.redirect(req.headers.referer)", "nodeFetch(\n  req.query.url)", 'fetch(\n  "http://a.example/#" // fixed\n)', "/* fetch(req.body.u) */", "regexp.exec(x#)", "var r = /[(]'/.test(x#)",
     ],
     "java": ["statement.executeQuery()", "new FileReader(name#)"],
     "c": ["strcpy(a, b#)"],
@@ -57,7 +60,9 @@ _T = " ".join(f"WHEN {'language IS NULL' if lang is None else f'language = {chr(
 _T += " " + " ".join(f"WHEN language IN ('{lang}', '{other}') THEN {_FIRST[other]} + k % {len(TEMPLATES[other])}" for lang, other in fixed.SAME_RULES.items())
 CALLS = f"""raw_calls AS (SELECT o_custkey, o_orderkey AS k, [{', '.join('NULL' if x is None else f"'{x}'" for x in FILE_LANGUAGES)}][CAST(o_custkey % {len(FILE_LANGUAGES)} + 1 AS INTEGER)] AS language FROM orders),
 numbered AS (SELECT *, CASE {_T} END AS t FROM raw_calls),
-calls AS (SELECT 'src/f' || o_custkey AS file, language, row_number() OVER (PARTITION BY o_custkey ORDER BY k) AS line_no, t, replace([{', '.join(f"'{_Q(c)}'" for lines in TEMPLATES.values() for c in lines)}][CAST(t + 1 AS INTEGER)], '#', CAST(o_custkey AS VARCHAR)) AS code FROM numbered)"""
+whole_calls AS (SELECT o_custkey, language, k, t, replace([{', '.join(f"'{_Q(c)}'" for lines in TEMPLATES.values() for c in lines)}][CAST(t + 1 AS INTEGER)], '#', CAST(o_custkey AS VARCHAR)) AS code FROM numbered),
+parts AS (SELECT o_custkey, language, k, t, string_split(code, chr(10)) AS c, unnest(range(1, len(string_split(code, chr(10))) + 1)) AS p FROM whole_calls),
+calls AS (SELECT 'src/f' || o_custkey AS file, language, row_number() OVER (PARTITION BY o_custkey ORDER BY k, p) AS line_no, CASE WHEN p = 1 THEN t ELSE -1 END AS t, c[p] AS code FROM parts)"""
 
 
 def explode_lines(spark, sf):
@@ -83,7 +88,7 @@ def call_name_extract(spark, sf):
 
 
 def rule_match(spark, sf):
-    return det.rule_match(calls(spark, sf), det.rules(spark)).select("file", "line_no", "call", "rule", "cwe_id", "severity")
+    return det.rule_match(det.called(files(spark, sf)), det.rules(spark)).select("file", "line_no", "call", "rule", "cwe_id", "severity").distinct()
 
 
 def suppressions(spark, sf):
@@ -147,19 +152,18 @@ QUERIES = {
 
 _FN = ", ".join(f"('{lang}', '{name}', 'CWE-{cwe}', '{sev}', '{f}')" for lang, group in (fixed.RULES | {x: fixed.RULES[y] for x, y in fixed.SAME_RULES.items()}).items() for name, cwe, sev, fs in group for f in fs)
 _CALLED = CALLS + r""", called AS (SELECT line_no, file, language, code, t, unnest(list_distinct(regexp_extract_all(code, '([\w$.]+)\s*\(', 1))) AS call FROM calls)"""
-_MATCH = _CALLED + f""", fn(language, rule, cwe_id, severity, f) AS (VALUES {_FN}),
-m AS (SELECT DISTINCT c.line_no, c.file, c.code, c.t, c.call, fn.rule, fn.cwe_id, fn.severity FROM called c JOIN fn ON c.language = fn.language AND (c.call = f OR ends_with(c.call, '.' || f) OR (contains(f, '.') AND contains(c.call, f) AND split_part(f, '.', -1) = split_part(c.call, '.', -1)))
-  WHERE NOT (f = 'exec' AND regexp_matches(lower(c.call), '(regex|regexp|re|pattern)\\.exec$')) AND NOT (f = 'open' AND contains(c.call, '.')) AND NOT (split_part(c.call, '.', -1) = 'load' AND contains(c.call, 'safe')))"""
-
-
 def _number(code: str) -> int:
     return [c for lines in TEMPLATES.values() for c in lines].index(code)
 
 
 _IS = lambda *codes: "t IN (" + ", ".join(str(_number(c)) for c in codes) + ")"
+_MATCH = _CALLED + f""", fn(language, rule, cwe_id, severity, f) AS (VALUES {_FN}),
+m AS (SELECT DISTINCT c.line_no, c.file, c.code, c.t, c.call, fn.rule, fn.cwe_id, fn.severity FROM called c JOIN fn ON c.language = fn.language AND (c.call = f OR ends_with(c.call, '.' || f) OR (contains(f, '.') AND contains(c.call, f)))
+  WHERE NOT {_IS('""" eval(x#) """', "/* fetch(req.body.u) */", "token_re.exec(x#)", "regexp.exec(x#)")})"""
 # By hand, from what each kind's rule says of the lines: always safe; safe by the lines around; unsafe otherwise.
 _SAFE_ALWAYS = _IS(
-    'cursor.execute("SELECT * FROM t WHERE id = ?", (x#,))', 'db.execute("CREATE TABLE t# (a int)")', 'subprocess.run(["ls", "x#"])', "obj.compile(x#)", 'open("data.txt")', 'os.path.join("a", name)',
+    'cursor.execute("SELECT * FROM t WHERE id = ?", (x#,))', 'db.execute("CREATE TABLE t# (a int)")', 'subprocess.run(["ls", "x#"])', "obj.compile(x#)", 'open("data.txt")', "path.open(x#)", 'os.path.join("a", name)',
+    'cursor.execute(\n    "SELECT * FROM t WHERE id = ? OR n = \')\'",\n    (x#,),\n)', 'print(\n    "no password (given)"\n)', 'fetch(\n  "http://a.example/#" // fixed\n)',
     'res.redirect("/home")', 'fetch("http://a.example/c")', 'createHash("sha256")', 'res.render("page")', 'console.log("password mismatch")', "statement.executeQuery()",
 )
 _PATHS = _IS("open(path#)", 'os.path.join("a", name#.b)', "readFile(name#)", "new FileReader(name#)")
@@ -167,7 +171,7 @@ _URLS = _IS("requests.get(url)", "fetch(url)")
 _AROUND = """around AS (SELECT *, string_agg(code, chr(10)) OVER (PARTITION BY file ORDER BY line_no ROWS BETWEEN 5 PRECEDING AND 2 FOLLOWING) AS near, string_agg(code, chr(10)) OVER (PARTITION BY file ORDER BY line_no ROWS BETWEEN 10 PRECEDING AND 1 FOLLOWING) AS wide,
   string_agg(CASE WHEN line_no <= 5 THEN code END, chr(10)) OVER (PARTITION BY file) AS head FROM calls)"""
 _JUDGED = _MATCH + ", " + _AROUND + f""", j AS (SELECT m.*, {_SAFE_ALWAYS.replace('t IN', 'm.t IN')} OR ({_PATHS.replace('t IN', 'm.t IN')} AND (contains(a.near, 'realpath(') OR (contains(a.near, 'startswith(') AND contains(a.near, 'basename('))))
-  OR ({_URLS.replace('t IN', 'm.t IN')} AND NOT (contains(a.wide, 'req.query') OR contains(a.wide, 'request.args'))) OR (m.rule = 'xss_innerhtml' AND contains(a.head, 'module.exports')) AS safe FROM m JOIN around a ON m.file = a.file AND m.line_no = a.line_no)"""
+  OR ({_URLS.replace('t IN', 'm.t IN')} AND NOT (contains(a.wide, 'req.query') OR contains(a.wide, 'req.body') OR contains(a.wide, 'request.args'))) OR (m.rule = 'xss_innerhtml' AND contains(a.head, 'module.exports')) AS safe FROM m JOIN around a ON m.file = a.file AND m.line_no = a.line_no)"""
 _SECRETS = _IS('api_key = "k#-secret"', 'const auth_token = process.env.T || "t#-fallback"')
 _DETECT = _JUDGED + f", d AS (SELECT file, cwe_id, min(line_no) AS line_no FROM (SELECT file, cwe_id, line_no FROM j WHERE NOT safe UNION ALL SELECT file, 'CWE-798', line_no FROM calls WHERE {_SECRETS}) q GROUP BY 1, 2)"
 _ENDS = [*fixed.LANGUAGE_BY_EXTENSION, *fixed.MORE_EXTENSIONS, "txt", "PY", "min.js"]

@@ -18,8 +18,17 @@ D = triage.D
 
 
 def _documents(spark, sf):
-    """Written once, as both results and rules are read from them."""
-    return written(sarif.documents(v.findings(spark, sf, flow=True), "repo", most=2000), "sarif")
+    """Written once, as both results and rules are read from them. Beside each document's results stand some that are no objects, beside its run
+    one that is none, and each document has a copy that is no object and one that is no JSON."""
+    good = sarif.documents(v.findings(spark, sf, flow=True), "repo", most=2000)
+    marred = F.replace(F.replace("body", F.lit('"results":['), F.lit('"results":["bad",17,null,[{"ruleId":"r0"}],')), F.lit('"runs":['), F.lit('"runs":[null,"no run",'))
+    body = F.explode(F.array(marred, F.concat(F.lit("["), "body", F.lit("]")), F.expr("left(body, char_length(body) - 1)")))
+    return written(good.select("doc", body.alias("body")), "sarif")
+
+
+def sarif_problems(spark, sf):
+    """How many documents of each repository aren't SARIF."""
+    return sarif.problems(_documents(spark, sf)).select(sarif.group_of(F.col("doc")).cast("int").alias("repo"), "problem").distinct()
 
 
 def sarif_scan(spark, sf):
@@ -168,7 +177,7 @@ def parse_batch_response(spark, sf):
 
 
 QUERIES = {
-    "sarif_scan": sarif_scan, "sarif_rules_index": sarif_rules_index, "sarif_distinct_rules": sarif_distinct_rules, "report_from_sarif": report_from_sarif, "nvd_json_scan": nvd_json_scan, "cwe_xml_scan": cwe_xml_scan,
+    "sarif_scan": sarif_scan, "sarif_problems": sarif_problems, "sarif_rules_index": sarif_rules_index, "sarif_distinct_rules": sarif_distinct_rules, "report_from_sarif": report_from_sarif, "nvd_json_scan": nvd_json_scan, "cwe_xml_scan": cwe_xml_scan,
     "kb_metadata": kb_metadata, "cpg_load": cpg_load, "cpg_export_json": cpg_export_json, "sample_adapters": sample_adapters, "paired_unpivot": paired_unpivot, "path_labeler": path_labeler,
     "calibration_artifact": calibration_artifact, "nearest_code_language": nearest_code_language, "weights_scan": weights_scan, "ground_truth_scan": ground_truth_scan, "explanations": explanations, "batch_prompts": batch_prompts, "parse_batch_response": parse_batch_response,
 }
@@ -176,6 +185,7 @@ QUERIES = {
 _BACK = "CASE severity WHEN 'critical' THEN 'high' WHEN 'info' THEN 'low' ELSE severity END"
 _PERCENT = "length(CAST(CAST(round({0} * 100) AS INTEGER) AS VARCHAR))"
 SQL = {
+    "sarif_problems": sql("SELECT DISTINCT repo, unnest(['no JSON', 'no object']) AS problem FROM findings", "findings"),
     "sarif_scan": sql(f"SELECT repo, f.id AS finding, substr(sha256(rule_id || ':' || file_path || ':' || line), 1, 16) AS id, rule_id, cwe_id, 'rule ' || rule_id AS cwe_name, {_BACK} AS severity, confidence, file_path, line, CAST(coalesce(w.len, 0) AS INTEGER) AS steps FROM findings f LEFT JOIN flows w ON f.id = w.id", "flows", "findings"),
     "sarif_rules_index": sql("SELECT repo, rule_id, CASE WHEN arg_min(confidence, id) >= 0.8 THEN 'high' ELSE 'medium' END AS precision FROM findings GROUP BY 1, 2", "findings"),
     "sarif_distinct_rules": sql("SELECT repo, rule_id, arg_min(cwe_id, id) AS cwe_id, CASE WHEN arg_min(confidence, id) >= 0.8 THEN 'high' ELSE 'medium' END AS precision FROM findings GROUP BY 1, 2", "findings"),

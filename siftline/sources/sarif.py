@@ -12,25 +12,39 @@ from siftline.tables import small_side, written
 LOCATION = "struct<physicalLocation:struct<artifactLocation:struct<uri:string>,region:struct<startLine:int,endLine:int,startColumn:int,endColumn:int,snippet:struct<text:string>>,contextRegion:struct<snippet:struct<text:string>>>>"
 RULE = "struct<id:string,shortDescription:struct<text:string>,fullDescription:struct<text:string>,defaultConfiguration:struct<level:string>,properties:struct<tags:array<string>,precision:string,cwe:string>>"
 RESULT = f"struct<ruleId:string,level:string,message:struct<text:string>,locations:array<{LOCATION}>,codeFlows:array<struct<threadFlows:array<struct<locations:array<struct<location:{LOCATION}>>>>>>,properties:struct<confidence:string,precision:string>>"
-SCHEMA = f"runs array<struct<tool:struct<driver:struct<name:string,rules:array<{RULE}>>,extensions:array<struct<rules:array<{RULE}>>>>,results:array<{RESULT}>>>"
+TOOL = f"struct<driver:struct<name:string,rules:array<{RULE}>>,extensions:array<struct<rules:array<{RULE}>>>>"
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """(doc, runs) of SARIF files, a document a file."""
-    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("doc"), F.from_json("value", SCHEMA).alias("d")).select("doc", "d.runs")
+    """(doc, body) of SARIF files, a document a file."""
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("doc"), F.col("value").alias("body"))
 
 
-def runs(documents: DataFrame) -> DataFrame:
-    """documents(doc, body) or (doc, runs) -> (doc, run, r); text that is no JSON object has no runs."""
-    x = documents if "runs" in documents.columns else documents.select("doc", F.from_json("body", SCHEMA)["runs"].alias("runs"))
-    return x.select("doc", F.posexplode("runs").alias("run", "r"))
+def _is_object(v: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+
+
+def problems(documents: DataFrame) -> DataFrame:
+    """(doc, problem) of documents(doc, body) that aren't SARIF: `no JSON` or `no object`; null bodies are no JSON."""
+    v = F.try_parse_json("body")
+    return documents.select("doc", F.when(v.isNull(), "no JSON").when(~_is_object(v), "no object").alias("problem")).where("problem IS NOT NULL")
+
+
+def runs(documents: DataFrame, strict: bool = False) -> DataFrame:
+    """documents(doc, body) -> (doc, run, tool, results): the runs that are objects, results still an array of variants, as each is judged by
+    itself. Documents that are no JSON object have no runs; with strict they are an error."""
+    v = F.try_parse_json("body")
+    if strict:
+        v = F.when(_is_object(v), v).otherwise(F.raise_error(F.concat(F.lit("no SARIF object: "), F.col("doc").cast("string"))).cast("variant"))
+    x = documents.select("doc", v.alias("v")).select("doc", F.posexplode(F.try_variant_get("v", "$.runs", "array<variant>")).alias("run", "r")).where(_is_object(F.col("r")))
+    return x.select("doc", "run", F.try_variant_get("r", "$.tool", TOOL).alias("tool"), F.try_variant_get("r", "$.results", "array<variant>").alias("results"))
 
 
 def rules_index(documents: DataFrame) -> DataFrame:
     """(doc, run, rule_id, rule): the rules of driver and extensions, of a repeated id the last."""
     none = F.array().cast(f"array<{RULE}>")
-    every = F.concat(F.coalesce("r.tool.driver.rules", none), F.coalesce(F.flatten(F.transform("r.tool.extensions", lambda e: F.coalesce(e["rules"], none))), none))
-    x = runs(documents).select("doc", "run", F.posexplode(every).alias("k", "rule"))
+    every = F.concat(F.coalesce("tool.driver.rules", none), F.coalesce(F.flatten(F.transform("tool.extensions", lambda e: F.coalesce(e["rules"], none))), none))
+    x = runs(documents).select("doc", "run", F.posexplode(every).alias("k", "rule")).where("rule IS NOT NULL")
     return x.groupBy("doc", "run", F.col("rule.id").alias("rule_id")).agg(F.max_by("rule", "k").alias("rule"))
 
 
@@ -47,13 +61,15 @@ def _confidence(result: Column, rule: Column) -> Column:
     return F.coalesce(*found, F.lit(0.5))
 
 
-def scan(documents: DataFrame) -> DataFrame:
+def scan(documents: DataFrame, strict: bool = False) -> DataFrame:
     """Findings of SARIF documents: (doc, run, n, id, rule_id, cwe_id, cwe_name, severity, confidence, message, file_path, line, snippet, tool, taint_flow).
 
     A result joins its rule, or none. Missing levels count as warnings, missing places as ("", 0); the flow is the first thread
-    of the first code flow, null without one. Results that aren't objects are left out.
+    of the first code flow, null without one. Results that aren't objects are left out and cost no other result; fields of a wrong kind
+    count as missing. Documents that are no objects are left out, see problems(); with strict they are an error.
     """
-    x = runs(documents).select("doc", "run", F.col("r.tool.driver.name").alias("tool"), F.posexplode("r.results").alias("n", "x")).where("x IS NOT NULL").withColumn("rule_id", F.col("x.ruleId"))
+    x = runs(documents, strict).select("doc", "run", F.col("tool.driver.name").alias("tool"), F.posexplode("results").alias("n", "v")).where(_is_object(F.col("v")))
+    x = x.select("doc", "run", "tool", "n", F.try_variant_get("v", "$", RESULT).alias("x")).withColumn("rule_id", F.col("x.ruleId"))
     x = x.join(rules_index(documents), ["doc", "run", "rule_id"], "left")
     place = F.try_element_at(F.col("x.locations"), F.lit(1))["physicalLocation"]
     thread = F.try_element_at(F.try_element_at(F.col("x.codeFlows"), F.lit(1))["threadFlows"], F.lit(1))["locations"]

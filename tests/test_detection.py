@@ -1,8 +1,10 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from siftline import fixed
-from siftline.functions import texts
+from siftline.functions import calls, texts
 from siftline.operators import detection as det
 from siftline.operators import reports
 from siftline.sources import sarif
@@ -93,3 +95,85 @@ def test_narratives(spark):
 def test_every_rule_has_plain_functions():
     assert all(isinstance(f, str) and " " not in f for group in fixed.RULES.values() for *_, functions in group for f in functions)
     assert all(len(words) == 8 for words in [*fixed.CVSS_BY_CWE.values(), fixed.CVSS_OTHERWISE])
+
+
+def plain_calls(text, language):
+    """A scanner character by character: (name, begin, end) of closed calls, without strings and comments."""
+    out, stack, at, clean = [], [], 0, []
+    quotes = {"python": ['"""', "'''", '"', "'"], "javascript": ["`", '"', "'"], "go": ["`", '"', "'"], "java": ['"', "'"]}[language]
+    while at < len(text):
+        quote = next((q for q in quotes if text.startswith(q, at)), None)
+        if quote:
+            k = at + len(quote)
+            while k < len(text) and not text.startswith(quote, k) and (quote in ('"""', "'''", "`") or text[k] != "\n"):
+                k += 2 if text[k] == "\\" else 1
+            if text.startswith(quote, k):
+                clean.append("\0" * (k + len(quote) - at))
+                at = k + len(quote)
+                continue
+        end = None
+        if language == "python" and text[at] == "#" or language != "python" and text.startswith("//", at):
+            end = text.find("\n", at) if "\n" in text[at:] else len(text)
+        elif language != "python" and text.startswith("/*", at) and "*/" in text[at + 2 :]:
+            end = text.index("*/", at + 2) + 2
+        if end is not None:
+            clean.append("".join(c if c == "\n" else " " for c in text[at:end]))
+            at = end
+            continue
+        clean.append(text[at])
+        at += 1
+    code = "".join(clean)
+    for k, c in enumerate(code):
+        if c in "([{":
+            begin = k
+            while begin and code[begin - 1].isspace():
+                begin -= 1
+            stop = begin
+            while begin and (code[begin - 1].isalnum() or code[begin - 1] in "_$."):
+                begin -= 1
+            stack.append((c, code[begin:stop] if c == "(" else "", begin))
+        elif c in ")]}":
+            match = {")": "(", "]": "[", "}": "{"}[c]
+            if any(x[0] == match for x in stack):
+                while stack[-1][0] != match:
+                    stack.pop()
+                _, name, begin = stack.pop()
+                if name and not name[0].isdigit():
+                    out.append((name, begin, k + 1))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("language", ["python", "javascript", "java", "go"])
+def test_calls_are_a_plain_scanners(language):
+    rng = random.Random(7)
+    pieces = ["f(", "a.b(", "return" if language == "java" else "x", ",", ")", ")", "]", "[", "{", "}", "\n", " ", "'a)'", '"b(\\""', "'", '"', "# c(\n" if language == "python" else "// c(\n", "/* d( */", "`t(`", '"""e(\n"""', "+", ";"]
+    for _ in range(400):
+        text = " ".join(rng.choice(pieces) for _ in range(rng.randrange(1, 25)))
+        plain = calls.without_comments(text, language)
+        assert len(plain) == len(text)
+        got = sorted((c.name, c.begin, c.end) for c in calls.calls(plain, language) if c.closed)
+        assert got == plain_calls(text, language), text
+
+
+def test_arguments_and_their_kinds():
+    text = 'f(\n  "a, (b)",  # c, d)\n  x, [1, (2)], (3,), {"k": 1}, k = [4], a.b, g(h(1), 2), "p" "q", f"{z}", None, [1] + [2],\n)'
+    got = [c for c in calls.calls(calls.without_comments(text, "python"), "python") if c.name == "f"][0]
+    assert [calls.kind(a) for a in got.arguments] == ["string", "identifier", "list", "tuple", "dictionary", "keyword", "member", "other", "strings", "format", "constant", "other"]
+    assert got.closed and text[got.begin : got.end] == text
+
+
+def test_calls_over_several_lines(spark):
+    python = 'cursor.execute(\n    "SELECT " + x)\nrequests.get(\n  request.args["u"])\nprint(\n  password\n)\ncursor.execute(\n  "SELECT ?",\n  (x,),\n)\nprint(\n  "password"\n)\ndef open(path):\n  pass\n# eval(x)\ns = "eval(x)"\ncursor.execute('
+    script = "res.redirect(req.headers.referer)\nnodeFetch(req.query.url)\nx = /eval(/.exec(y)\nthis.requestsPool.get(u)\nnew DOMParser({noent: true})\nfetch(`http://a/${req.query.u}`)\nlogger.child.info.call(1)"
+    got = found(spark, ("python", python), ("javascript", script), ("python", 'redirect(request.values["next"])\nJSON.parse.execute(x)'))
+    assert got == {("f0", 1, "CWE-89"), ("f0", 3, "CWE-918"), ("f0", 5, "CWE-532"), ("f0", 19, "CWE-89"), ("f1", 1, "CWE-601"), ("f1", 2, "CWE-918"), ("f1", 5, "CWE-611"), ("f1", 6, "CWE-918"), ("f2", 1, "CWE-601")}
+
+
+def test_names_meet_functions_as_whole_parts(spark):
+    names = ["execute", "db.execute", "executor", "regex.exec", "a.re.exec", "child_process.exec", "my_child_process.run.exec", "file.open", "open", "shelve.open", "my.pickle.load", "x.load", "self.requests_session.get", "os.system.call", "core.eval"]
+    rows = spark.createDataFrame([("f", lang, "\n".join(f"{n}(x)" for n in names)) for lang in ("python", "javascript")], FILES)
+    hit = {(r.language, r.call) for r in det.rule_match(det.called(rows), det.rules(spark)).collect()}
+    python = {"execute", "db.execute", "file.open", "open", "shelve.open", "my.pickle.load", "self.requests_session.get", "os.system.call", "regex.exec", "a.re.exec", "child_process.exec", "my_child_process.run.exec"}
+    # exec is a function of both; methods of pattern objects aren't it
+    assert {c for lang, c in hit if lang == "python"} == python - {"regex.exec", "a.re.exec"}
+    assert {c for lang, c in hit if lang == "javascript"} == {"execute", "db.execute", "self.requests_session.get", "child_process.exec", "my_child_process.run.exec"}

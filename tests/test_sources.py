@@ -34,6 +34,24 @@ def test_sarif(spark):
     assert (got[3].cwe_id, got[3].confidence) == ("", 0.95)
 
 
+def test_a_bad_result_costs_no_other(spark):
+    good, odd = DOC["runs"][0]["results"][0], {"ruleId": 7, "locations": "here", "properties": {"confidence": 0.5}, "message": ["m"]}
+    run = DOC["runs"][0] | {"results": ["bad", good, 3, None, [good], odd]}
+    rows = [("a", json.dumps({"runs": ["none", None, run, {"results": [good]}, {"results": "many"}, {"tool": 4}]})), ("b", json.dumps([DOC])), ("c", '"text"'), ("d", "{"), ("e", None), ("f", ""), ("g", '{"runs": 1}')]
+    docs = spark.createDataFrame(rows, "doc string, body string")
+    got = {(r.doc, r.run, r.n): r for r in sarif.scan(docs).collect()}
+    assert set(got) == {("a", 2, 1), ("a", 2, 5), ("a", 3, 0)}
+    assert got["a", 2, 1].cwe_name == "New" and got["a", 3, 0].cwe_name == "" and got["a", 3, 0].tool is None
+    assert (got["a", 2, 5].rule_id, got["a", 2, 5].file_path, got["a", 2, 5].line, got["a", 2, 5].confidence, got["a", 2, 5].message) == ("7", "", 0, 0.5, "")
+    assert dict(map(tuple, sarif.problems(docs).collect())) == {"b": "no object", "c": "no object", "d": "no JSON", "e": "no JSON", "f": "no JSON"}
+
+
+@pytest.mark.parametrize("body", ["[]", "3", "{"])
+def test_strict_scans_raise(spark, body):
+    with pytest.raises(Exception, match="no SARIF object: d"):
+        sarif.scan(spark.createDataFrame([("d", body)], "doc string, body string"), strict=True).collect()
+
+
 def test_sarif_files(spark, tmp_path):
     (tmp_path / "a.sarif").write_text(json.dumps(DOC))
     assert sarif.scan(sarif.read(spark, str(tmp_path))).count() == 4

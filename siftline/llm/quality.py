@@ -14,9 +14,9 @@ from siftline.llm.language_mixture import held_out
 
 #: Bytes of a passage; a text is cut into passages of this size, the last may be shorter.
 PASSAGE = 512
-#: Labelled documents that the fit may use, the first by a hash of their id, and passages of each: of a longer one evenly spread ones.
+#: Labelled documents that the fit may use, the first by a hash of their id, and passages that these may have together.
 SAMPLE_ROWS = 4_000
-SAMPLE_PASSAGES = 64
+SAMPLE_PASSAGES = 160_000
 THRESHOLD = 0.7
 #: Bytes whose passages are encoded at once.
 CHUNK = 1 << 20
@@ -65,15 +65,6 @@ def encode_passages(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.nd
         yield _encode(part)
 
 
-def spread_passages(text: str | None, most: int = SAMPLE_PASSAGES) -> bytes:
-    """The text's bytes, or those of `most` passages that are spread over it evenly, the first and the last among them."""
-    data = (text or "").encode("utf-8", "surrogatepass")
-    n = -(-len(data) // PASSAGE)
-    if n <= most:
-        return data
-    return b"".join(data[k * PASSAGE : (k + 1) * PASSAGE] for k in np.linspace(0, n - 1, most).astype(int).tolist())
-
-
 def _encode(part: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.array([len(b) for _, b in part], np.int64)
     passages = np.maximum(1, -(-sizes // PASSAGE))
@@ -167,26 +158,41 @@ def fit_attention(doc: np.ndarray, x: np.ndarray, labels: np.ndarray, hidden: in
     return AttentionModel(w)
 
 
-def learn_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> AttentionModel:
+def _within(sizes: pd.DataFrame, order: pd.Series, most: int) -> list:
+    """The ids, in the given order, of sizes(id, n) that together have at most `most` passages; one that doesn't fit is passed over."""
+    n, total, out = dict(zip(sizes["id"].tolist(), sizes["n"].tolist(), strict=True)), 0, []
+    for x in order.tolist():
+        if x in n and total + n[x] <= most:
+            total += n[x]
+            out.append(x)
+    return out
+
+
+def learn_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS, sample_passages: int = SAMPLE_PASSAGES) -> AttentionModel:
     """Fit on at most sample_rows labelled documents outside the held-out fold, the first by a hash of their id.
 
-    A document's label is 1 if all its labels are; null labels and ids count for nothing. Of a document of over
-    SAMPLE_PASSAGES passages the fit sees that many, evenly spread over the whole text; none is left out for its length. The features come
-    to the driver as 16-bit floats, at most 132 MB.
+    A document's label is 1 if all its labels are; null labels and ids count for nothing. The fit sees every passage of a document or
+    none: documents are taken in that order, but for those with which there would be over sample_passages passages together. The features
+    come to the driver as 16-bit floats, at most 83 MB. Rows that share an id count as the one whose features are first.
     """
     named = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("id")).agg(F.min((F.col(label_col) == 1).cast("int")).alias("y"))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sample = named.join(texts.select("id").distinct(), "id").orderBy(F.xxhash64("id"), "id").limit(sample_rows)
 
+    kind = dict(docs.dtypes)[id_col]
+    size = F.max(F.greatest(F.ceil(F.octet_length(F.coalesce("text", F.lit(""))) / PASSAGE), F.lit(1))).alias("n")
+    sizes = texts.join(F.broadcast(sample), "id").groupBy("id").agg(size).toPandas()  # sample_rows at most
+    chosen = _within(sizes, sample.select("id").toPandas()["id"], sample_passages)
+    sample = sample.join(F.broadcast(docs.sparkSession.createDataFrame([(x,) for x in chosen], f"id {kind}")), "id")
+
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for i, y, text in zip(b["id"], b["y"], b["text"], strict=True):
-                x = _encode([(0, spread_passages(text))])[1]
-                yield pd.DataFrame({"id": [i], "y": [y], "n": [len(x)], "x": [x.astype("<f2").tobytes()]})
+                x = np.concatenate([p[1].astype("<f2") for p in encode_passages([text])])
+                yield pd.DataFrame({"id": [i], "y": [y], "n": [len(x)], "x": [x.tobytes()]})
 
-    kind = dict(docs.dtypes)[id_col]
     once = texts.join(F.broadcast(sample), "id").mapInPandas(encode, f"id {kind}, y int, n long, x binary").groupBy("id").agg(F.min(F.struct("x", "y", "n")).alias("r"))
-    got = once.select("id", "r.*").toPandas().sort_values("id", kind="stable")  # sample_rows x SAMPLE_PASSAGES at most
+    got = once.select("id", "r.*").toPandas().sort_values("id", kind="stable")  # sample_passages at most
     x = np.frombuffer(b"".join(got["x"]), "<f2").reshape(-1, FEATURES) if len(got) else np.zeros((1, FEATURES), "<f2")
     doc = np.repeat(np.arange(len(got)), got["n"].to_numpy(np.int64))
     return fit_attention(doc, x, got["y"].to_numpy(np.float32))

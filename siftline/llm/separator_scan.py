@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,6 +26,9 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$
 #: Bytes of a token file's block that is searched at once, and of a file after which the writer begins another.
 BLOCK = 4 << 20
 SHARD = 32 << 20
+#: White space that the pattern's \\s stands for, and the length of a run of it from which the run is cut out before the pattern is searched.
+WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+LONG_RUN = 1024
 
 
 @lru_cache(maxsize=2)
@@ -33,6 +37,21 @@ def _tokenizer(ranks: str, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("corpus", pat_str=pattern, mergeable_ranks={base64.b64decode(a): int(b) for a, b in lines}, special_tokens={})
 
 
+def encode_whole(encoding: tiktoken.Encoding, text: str, pattern: str = PATTERN, long_run: int = LONG_RUN) -> np.ndarray:
+    """Ids of a whole text. The library's search of the pattern goes back once for each character of a run of white space before another
+    character, and fails on a million of them, so with the fixed pattern long runs are cut as it cuts them: a word ends before a run; of n > 1
+    characters of white space before another character the first n - 1 are a word; the last one begins the next word."""
+    if pattern != PATTERN:
+        return encoding.encode_to_numpy(text)
+    parts, at = [], 0
+    for run in re.finditer(f"[{WHITE}]{{{max(2, long_run)},}}", text):
+        if run.end() < len(text):  # a run that ends the text is one word, found without going back
+            parts += [encoding.encode_to_numpy(text[at : run.start()]), encoding.encode_to_numpy(text[run.start() : run.end() - 1])]
+            at = run.end() - 1
+    parts.append(encoding.encode_to_numpy(text[at:]))
+    return np.concatenate(parts) if len(parts) > 1 else parts[0]
+
+
 def write_token_files(docs: DataFrame, folder: str, ranks: str = RANKS, pattern: str = PATTERN, end: int = END, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write flat files of 16-bit tokens, each document followed by `end`; returns (<id_col>, file, ordinal) of the documents.
 
@@ -46,7 +65,7 @@ def write_token_files(docs: DataFrame, folder: str, ranks: str = RANKS, pattern:
     where.create_dir(base_path, recursive=True)  # an empty table leaves an empty folder
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _tokenizer(shared.value, pattern).encode_to_numpy  # without special tokens
+        encoding = _tokenizer(shared.value, pattern)  # used without special tokens
         task = TaskContext.get()
         fs, base = pafs.FileSystem.from_uri(folder)
         shard, parts, held, ids = 0, [], 0, []
@@ -64,7 +83,7 @@ def write_token_files(docs: DataFrame, folder: str, ranks: str = RANKS, pattern:
         for batch in batches:
             start = 0
             for i, text in enumerate(batch.column(1)):
-                parts.append(np.append(encode(text.as_py() or ""), np.uint32(end)).astype("<u2"))
+                parts.append(np.append(encode_whole(encoding, text.as_py() or "", pattern), np.uint32(end)).astype("<u2"))
                 held += parts[-1].nbytes
                 if held >= SHARD:
                     ids.append(batch.column(0).slice(start, i + 1 - start))

@@ -163,12 +163,12 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = v = vocabulary
         normal = v.kinds == NORMAL
-        scores = v.scores.copy()
+        scores = v.scores.astype(np.float64)  # sums are of 64 bits however long a word is
         top = float(v.scores[normal].max(initial=0.0))
         for i in np.flatnonzero(v.kinds == USER_DEFINED):
             scores[i] = len(v.pieces[i]) * top - 0.1
         self.scores = scores
-        self.unknown_score = np.float32(v.scores[normal].min(initial=0.0) - UNKNOWN_PENALTY)
+        self.unknown_score = float(v.scores[normal].min(initial=0.0)) - UNKNOWN_PENALTY
         self.trie = DoubleArray({v.pieces[i].encode(): int(i) for i in np.flatnonzero(normal | (v.kinds == USER_DEFINED)) if v.pieces[i]})
         by_byte = {v.pieces[i]: int(i) for i in np.flatnonzero(v.kinds == BYTE)}
         self.bytes = [by_byte.get(f"<0x{b:02X}>", v.unknown) for b in range(256)] if by_byte else None
@@ -239,7 +239,7 @@ class Encoder:
                     single |= edge[1] == width[at]
                     steps.append(edge[1:])
                     edge = next(edges, None)
-                for n, p, score in steps if single else [*steps, (width[at], -1, float(self.unknown_score))]:
+                for n, p, score in steps if single else [*steps, (width[at], -1, self.unknown_score)]:
                     to = begin + at + n
                     if here + score > best.get(to, -np.inf):
                         best[to] = here + score
@@ -274,7 +274,7 @@ class Encoder:
         single[start[length == whole[start]]] = True
         lone = heads[~single[heads]]
         start, length = np.concatenate([start, lone]), np.concatenate([length, whole[lone]])
-        piece, score = np.concatenate([piece, np.full(len(lone), -1, np.int32)]), np.concatenate([score, np.full(len(lone), self.unknown_score, np.float32)])
+        piece, score = np.concatenate([piece, np.full(len(lone), -1, np.int32)]), np.concatenate([score, np.full(len(lone), self.unknown_score)])
         offset = start - begin[start]
         offset = offset.astype(np.uint16) if sizes.max() < 1 << 16 else offset  # short keys sort faster
         order = np.argsort(offset, kind="stable")
@@ -284,7 +284,7 @@ class Encoder:
         source = start + own
         stop = start + length[order]
         target = source + length[order]
-        best = np.full(len(data) + len(words), -np.inf, np.float32)
+        best = np.full(len(data) + len(words), -np.inf)
         best[first + np.arange(len(words))] = 0
         back = np.full(len(best), -1, np.int32)
         steps = np.flatnonzero(np.append(True, offset[1:] != offset[:-1]))

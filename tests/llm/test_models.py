@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -184,4 +185,27 @@ def test_long_labelled_documents_are_fitted_on(spark):
     model = quality.learn_quality(docs, labels)
     got = {r.doc_id: r.score for r in quality.score_quality(docs, model).collect()}
     assert all(got[k] < 0.3 if k % 2 else got[k] > 0.7 for k in got)
-    assert len(quality.spread_passages(prose)) == (quality.SAMPLE_PASSAGES - 1) * quality.PASSAGE + (len(prose) % quality.PASSAGE or quality.PASSAGE) and quality.spread_passages("ab") == b"ab"
+
+
+def test_labelled_documents_are_fitted_on_whole_or_not_at_all(spark):
+    texts = {k: "word " * (300 * k) for k in range(1, 9)}
+    sizes = {k: -(-len(t) // quality.PASSAGE) for k, t in texts.items()}
+    got = quality._within(pd.DataFrame({"id": list(sizes), "n": list(sizes.values())}), pd.Series([8, 3, 7, 1, 2, 99]), sizes[8] + sizes[1] + sizes[2])
+    assert got == [8, 3] if sizes[8] + sizes[3] == sizes[8] + sizes[1] + sizes[2] else got == [8, 1, 2]
+    seen = {}
+    real = quality.fit_attention
+
+    def spy(doc, x, labels):
+        seen["doc"], seen["x"] = doc, x
+        return real(doc, x, labels)
+
+    quality.fit_attention = spy
+    try:
+        docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+        quality.learn_quality(docs, docs.selectExpr("doc_id", "cast(doc_id % 2 AS int) AS quality"))
+    finally:
+        quality.fit_attention = real
+    fold = [r[0] for r in docs.where(~quality.held_out("doc_id")).orderBy("doc_id").collect()]
+    want = [np.concatenate([x for _, x in quality.encode_passages([texts[k]])]) for k in fold]
+    assert np.bincount(seen["doc"]).tolist() == [len(x) for x in want]
+    assert (seen["x"] == np.concatenate(want).astype("<f2")).all()

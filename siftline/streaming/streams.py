@@ -2,41 +2,53 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from siftline.streaming.merged import MergedTable
 from siftline.tables import new_path
 
+#: Setting and value of the state store that state of any form needs.
+STORE, ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-def file_stream(spark: SparkSession, path: str) -> DataFrame:
-    """A stream of the Parquet files at a path, be it a file or a folder, with the schema that they have."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")
 
+def file_stream(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
+    """A stream of the Parquet files at a path, be it a file or a folder, with the schema that they have; at most `files` a batch."""
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(f"{path}*")
 
-def run_append(stream: DataFrame, name: str) -> DataFrame:
+
+@contextmanager
+def _store(spark: SparkSession, rocks: bool) -> Iterator[None]:
+    """Queries that start in here keep their state in RocksDB, which state of any form needs."""
+    before = spark.conf.get(STORE, None)
+    if rocks:
+        spark.conf.set(STORE, ROCKS)
+    try:
+        yield
+    finally:
+        if rocks:
+            spark.conf.set(STORE, before) if before else spark.conf.unset(STORE)
+
+
+def run_append(stream: DataFrame, name: str, rocks: bool = False) -> DataFrame:
     """Run a stream over all that is there into an append sink of Parquet, and read it."""
     path = new_path(stream.sparkSession, name)
-    stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", path + "-state").trigger(availableNow=True).start().awaitTermination()
+    with _store(stream.sparkSession, rocks):
+        stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", path + "-state").trigger(availableNow=True).start().awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
-def run_latest(stream: DataFrame, name: str, keys: list[str], mode: str = "update", version: str = "_batch") -> DataFrame:
-    """Run a stream and keep the latest row a key. Each batch is written as a folder of its own, which a repeated batch replaces; the
-    state that readers see is the row of the largest version."""
+def run_latest(stream: DataFrame, name: str, keys: list[str], mode: str = "update", version: str | None = None, most: int = 8) -> DataFrame:
+    """Run a stream and keep the latest row a key in a MergedTable: that of the largest version, else of the last batch."""
     spark = stream.sparkSession
     path = new_path(spark, name)
-
-    def write(batch: DataFrame, number: int) -> None:
-        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/batch={number:08d}")
-
-    stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", path + "-state").trigger(availableNow=True).start().awaitTermination()
-    rows = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("_batch", T.IntegerType())])).parquet(f"{path}/batch=*")
-    columns = [c for c in stream.columns if c not in keys]
-    best = rows.groupBy(*keys).agg(F.max_by(F.struct(*columns), F.struct(version, "_batch")).alias("r"))
-    return best.select(*keys, *[F.col(f"r.{c}").alias(c) for c in columns])
+    table = MergedTable(spark, path, stream.schema, keys, version, most)
+    stream.writeStream.outputMode(mode).foreachBatch(table.write).option("checkpointLocation", path + "-state").trigger(availableNow=True).start().awaitTermination()
+    return table.read().select(*stream.columns)
 
 
 def route(stream: DataFrame, router: Callable[[DataFrame], DataFrame]) -> DataFrame:

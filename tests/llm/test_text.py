@@ -6,6 +6,8 @@ import numpy as np
 import pytest
 import sentencepiece
 
+from pyspark.sql import functions as F
+
 from siftline.llm import pii_surrogates as pii
 from siftline.llm import sentence_spans as spans
 from siftline.llm import separator_scan as scan
@@ -329,3 +331,19 @@ def test_two_million_characters_of_white_space(spark, tmp_path):
     encoding = scan._tokenizer(open(scan.RANKS).read(), scan.PATTERN)
     parts = [(" " * 1_999_999, " a"), ("x", "\n " * 999_999 + "\n", " b c"), (texts[2],), (" " * 999_999 + "\u3000", "\u3000", "5")]
     assert got == sum(len(encoding.encode_ordinary(x)) for p in parts for x in p)
+
+
+@pytest.mark.parametrize("held, prefix", [(7, 48), (200_000, 48), (50, 16)])
+def test_candidates_hold_every_span_that_stands_twice(docs, held, prefix):
+    """In many small chunks, in one, and with prefixes that are short enough to collide, which only brings more candidates."""
+    rows = spans.numbered(docs.select(F.col("doc_id").alias("id"), "text"))
+    every = []
+    for r in rows.collect():
+        every += [(r.rid, r.id, *map(int, x)) for x in zip(*spans.spans(spans.sentences(r.text)), strict=True)]
+    count = defaultdict(int)
+    for x in every:
+        count[x[4:]] += 1
+    got = [tuple(r) for r in spans.candidate_spans(rows, held, prefix).collect()]
+    want = {x for x in every if count[x[4:]] > 1}
+    assert len(got) == len(set(got)) and want <= set(got) <= set(every) and len(want) > 50
+    assert prefix < 48 or set(got) == want

@@ -200,9 +200,9 @@ SQL = {
     "weights_scan": sql("SELECT cwe_id, round(max(confidence), 6) AS w_sast, round(min(confidence), 6) AS w_graph, CAST(1 AS DOUBLE) AS w_llm FROM findings WHERE cwe_id <> '' GROUP BY 1", "findings"),
     "explanations": sql(f"""SELECT id, md5(concat_ws(chr(10), cwe_id || ': ' || file_path, 'SAST confidence: ' || CAST(round(round(confidence * 100, 6)) AS INTEGER) || '%', 'Graph structural risk: ' || CAST(round(round(gr * 100, 6)) AS INTEGER) || '%', 'LLM consensus confidence: ' || CAST(round(round(lc * 100, 6)) AS INTEGER) || '%', 'Fused score: ' || printf('%.2f', floor(round(f * 100, 4) + 0.5) / 100) || ' -> Verdict: ' || tier)) AS fusion,
         md5(CASE WHEN ex IS NULL THEN '' ELSE concat_ws(chr(10), 'Verdict: ' || llm_verdict, 'Attacker: ' || CASE WHEN ex THEN 'exploitable' ELSE 'not exploitable' END, 'Defender: coverage ' || CAST(round(round(cov * 100, 6)) AS INTEGER) || '%', substr(repeat(file_path, 50), 1, 200) || '...') END) AS consensus,
-        md5(coalesce(path, 'No taint path')) AS flow, md5(CASE WHEN ex IS NULL THEN '' ELSE concat_ws(' ', CASE WHEN ex THEN 'This ' || coalesce(name, cwe_id) || ' vulnerability at ' || place || ' is exploitable ' || {triage.case('av', texts.FROM_VECTOR, "''")} || ' ' || {triage.case('pr', texts.WITH_PRIVILEGES, "''")} || '.'
-          ELSE 'This potential ' || coalesce(name, cwe_id) || ' at ' || place || ' was not found to be exploitable.' END, first || '.', CASE WHEN ex AND line > 500 THEN 'A working exploit payload was constructed.' END,
-          CASE WHEN feasible THEN severity || '.' WHEN cov < {D(0.2)} THEN 'No effective defensive controls were identified in the code path.' END, 'CVSS v3.1 base score: ' || printf('%.1f', base) || ' (' || upper({triage.SEVERITY_OF.format('base')}) || ').') END) AS narrative
+        md5(coalesce(path, 'No taint path')) AS flow, md5(CASE WHEN ex IS NULL THEN '' ELSE concat_ws(' ', CASE WHEN ex THEN coalesce(name, cwe_id) || ' at ' || place || ' can be exploited' || {triage.case('av', texts.FROM_VECTOR, "''")} || {triage.case('pr', texts.WITH_PRIVILEGES, "''")} || '.'
+          ELSE coalesce(name, cwe_id) || ' at ' || place || ' is suspected, but no way to exploit it is known.' END, first || '.', CASE WHEN ex AND line > 500 THEN 'There is a payload for it.' END,
+          CASE WHEN feasible THEN severity || '.' WHEN cov < {D(0.2)} THEN 'Nothing on the path defends it.' END, 'It scores ' || printf('%.1f', base) || ' of 10 in CVSS 3.1, which is ' || lower({triage.SEVERITY_OF.format('base')}) || '.') END) AS narrative
         FROM (SELECT fu.*, n.cwe_id, n.file_path, n.line, n.severity, CASE WHEN n.severity = 'high' THEN 'flaw' END AS name, n.file_path || ':' || n.line AS place, v.feasible, v.av, v.pr, {triage.cvss_sql(*[f'v.{m}' for m in triage.METRICS])} AS base, p.path, p.first,
           CASE WHEN ex AND cov < 0.3 THEN 'confirmed' WHEN NOT ex AND cov > 0.8 THEN 'safe' WHEN round(f, 9) >= {D(0.85)} THEN 'confirmed' WHEN round(f, 9) >= {D(0.5)} THEN 'likely' WHEN f > 0 THEN 'potential' ELSE 'unknown' END AS tier
           FROM fu JOIN findings n ON fu.id = n.id JOIN verdicts v ON fu.id = v.id LEFT JOIN (SELECT id, string_agg('  ' || n || '. ' || file_path || ':' || line, chr(10) ORDER BY n) AS path, arg_min(file_path, n) AS first FROM steps GROUP BY 1) p ON fu.id = p.id) z""", "flows", "steps", "findings", "verdicts", more=", ".join([triage.CONSENSUS, triage._WEIGHTS, triage._FUSE])),

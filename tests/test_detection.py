@@ -86,8 +86,8 @@ def test_narratives(spark):
     df = spark.createDataFrame(rows, "cwe string, name string, place string, ex boolean, av string, pr string, steps array<string>, payload string, defences array<string>, cov double, base double, sev string")
     got = [r[0] for r in df.select(texts.evidence_narrative(*[c(x) for x in df.columns])).collect()]
     assert got == [
-        "This SQL Injection vulnerability at a.py:3 is exploitable from the network without authentication. step one. A working exploit payload was constructed. No effective defensive controls were identified in the code path. CVSS v3.1 base score: 9.8 (CRITICAL).",
-        "This potential CWE-22 at b.py:9 was not found to be exploitable. a guard. CVSS v3.1 base score: 0.0 (NONE).",
+        "SQL Injection at a.py:3 can be exploited over the network by anyone. step one. There is a payload for it. Nothing on the path defends it. It scores 9.8 of 10 in CVSS 3.1, which is critical.",
+        "CWE-22 at b.py:9 is suspected, but no way to exploit it is known. a guard. It scores 0.0 of 10 in CVSS 3.1, which is none.",
         None,
     ]
 

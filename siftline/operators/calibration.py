@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,18 +85,109 @@ def temperature_grid() -> list[float]:
     return [round(0.05 * k, 2) for k in range(1, 10)] + [round(0.5 + 0.02 * k, 2) for k in range(50)] + [round(1.5 + 0.1 * k, 1) for k in range(16)]
 
 
+def batched_order_statistics(rows: DataFrame, scores: Callable[[pd.DataFrame, int], np.ndarray], wanted: list[int], low: float, high: float, bins: int = 256) -> list[float]:
+    """For each k = wanted[i], the value with number k (from 0) by size among scores(batch, i), which lie in [low, high].
+
+    A pass reads the rows once for all i: a task counts values by i and bin, with each bin's least and largest value, which is all that leaves it. The next pass
+    counts within the bin that has the wanted value, until that bin holds one value. No row is repeated for an i.
+    """
+    found: dict[int, float] = {}
+    bounds = {i: (low, high, k) for i, k in enumerate(wanted)}
+    while bounds:
+
+        def count(batches: Iterator[pd.DataFrame], bounds=bounds) -> Iterator[pd.DataFrame]:
+            n = {i: np.zeros(bins, dtype=np.int64) for i in bounds}
+            least, largest = {i: np.full(bins, np.inf) for i in bounds}, {i: np.full(bins, -np.inf) for i in bounds}
+            for batch in batches:
+                for i, (lo, hi, _) in bounds.items():
+                    x = scores(batch, i)
+                    x = x[(x >= lo) & (x <= hi)]
+                    at = np.minimum(((x - lo) / (hi - lo) * bins).astype(np.int64), bins - 1)
+                    n[i] += np.bincount(at, minlength=bins)
+                    np.minimum.at(least[i], at, x)
+                    np.maximum.at(largest[i], at, x)
+            for i in bounds:
+                (at,) = np.nonzero(n[i])
+                yield pd.DataFrame({"i": i, "bin": at, "n": n[i][at], "lo": least[i][at], "hi": largest[i][at]})
+
+        binned = rows.mapInPandas(count, "i int, bin long, n long, lo double, hi double").groupBy("i", "bin").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        upto = F.sum("n").over(Window.partitionBy("i").orderBy("bin"))
+        places = rows.sparkSession.createDataFrame([(i, k) for i, (_, _, k) in bounds.items()], "i int, k long")
+        hit = binned.withColumn("upto", upto).join(F.broadcast(places), "i").where("upto > k AND upto - n <= k").collect()  # a row an i
+        bounds = {r.i: (r.lo, r.hi, r.k - r.upto + r.n) for r in hit}
+        found |= {i: lo for i, (lo, hi, _) in bounds.items() if lo == hi}
+        bounds = {i: b for i, b in bounds.items() if b[0] < b[1]}
+    return [found[i] for i in range(len(wanted))] if found else []
+
+
+def _tempered(logits: pd.Series, t: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Probabilities by falling size, the sums before each, and the classes they are of. Classes that a row lacks have -1."""
+    size = logits.str.len().to_numpy(dtype=np.int64)
+    z = np.full((len(logits), int(size.max())), -np.inf)
+    z[np.arange(z.shape[1]) < size[:, None]] = np.concatenate([np.asarray(x, dtype=float) for x in logits])
+    z /= t
+    e = np.exp(z - z.max(axis=1, keepdims=True))
+    p = e / e.sum(axis=1, keepdims=True)
+    order = np.argsort(-p, axis=1, kind="stable")
+    p = np.take_along_axis(p, order, axis=1)
+    before = np.cumsum(p, axis=1) - p
+    before[:, 1:] = np.cumsum(p, axis=1)[:, :-1]
+    return p, before, np.where(order < size[:, None], order, -1)
+
+
 def temperature_search(rows: DataFrame, alpha: float = 0.1, grid: list[float] | None = None) -> DataFrame:
     """rows(logits, label) -> (t, threshold, coverage, singleton, ambiguous, mean_size, best): best is the first temperature of least
-    mean size among those that keep the coverage."""
-    each = rows.select("logits", "label", F.explode(F.array(*map(F.lit, grid or temperature_grid()))).alias("t"))
-    each = each.withColumn("p", tempered_softmax(F.col("logits"), F.col("t"))).withColumn("score", aps_score(F.col("p"), F.col("label")))
-    each = written(each.select("t", "p", "label", "score"), "tempered")
-    cut = conformal_thresholds(each.select("t", "score"), "t", alpha)
-    sets = each.join(F.broadcast(cut), "t").withColumn("classes", prediction_set(F.col("p"), F.col("threshold")))  # a row a temperature
-    report = coverage_report(sets, "t").join(cut, "t")
+    mean size among those that keep the coverage. Rows without logits or label take no part; no rows give none.
+
+    Softmax and scores of all temperatures are worked out in the batch that holds a row; only counts by temperature leave it.
+    """
+    temperatures = grid or temperature_grid()
+    rows = rows.select("logits", "label").where("size(logits) > 0 AND label >= 0 AND label < size(logits)")
+    n, spark = rows.count(), rows.sparkSession
+
+    def scores(batch: pd.DataFrame, i: int) -> np.ndarray:
+        p, before, classes = _tempered(batch["logits"], temperatures[i])
+        at = classes == batch["label"].to_numpy()[:, None]
+        return before[at] + p[at]
+
+    k = math.ceil(round(conformal_level(n, alpha) * (n - 1), 9)) if n else 0
+    cuts = [min(x, 1.0) for x in batched_order_statistics(rows, scores, [k] * len(temperatures), 0.0, 1.0 + 1e-6)] if n else []
+
+    def report(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros((len(cuts), 4))
+        for batch in batches:
+            for i, cut in enumerate(cuts):
+                _, before, classes = _tempered(batch["logits"], temperatures[i])
+                taken = ((np.round(before, 12) < np.round(cut, 12)) | (np.round(before, 12) == 0)) & (classes >= 0)
+                size = taken.sum(axis=1)
+                sums[i] += [(taken & (classes == batch["label"].to_numpy()[:, None])).sum(), (size == 1).sum(), (size > 1).sum(), size.sum()]
+        yield pd.DataFrame({"i": range(len(cuts)), "covered": sums[:, 0], "single": sums[:, 1], "more": sums[:, 2], "taken": sums[:, 3]})
+
+    known = spark.createDataFrame([(i, float(temperatures[i]), float(c)) for i, c in enumerate(cuts)], "i int, t double, threshold double")
+    summed = rows.mapInPandas(report, "i int, covered double, single double, more double, taken double").groupBy("i").agg(*[(F.sum(c) / max(n, 1)).alias(c) for c in ("covered", "single", "more", "taken")])
+    out = known.join(summed, "i").select("t", "threshold", F.col("covered").alias("coverage"), F.col("single").alias("singleton"), F.col("more").alias("ambiguous"), F.col("taken").alias("mean_size"))
     fit = F.round("coverage", 9) >= 1 - alpha
     order = Window.orderBy(F.when(fit, 0).otherwise(1), F.round("mean_size", 9), "t")  # over the grid's few rows
-    return report.withColumn("best", (F.row_number().over(order) == 1) & fit)
+    return out.withColumn("best", (F.row_number().over(order) == 1) & fit)
+
+
+def coverage_curve(scored: DataFrame, levels: list[float]) -> DataFrame:
+    """scored(p, label, score) -> (i, level, threshold, coverage): the threshold of each level alpha and the share of rows whose set has their label.
+
+    All thresholds come from the same passes; a row counts once, at the number of thresholds that reach its label, as thresholds fall while alpha grows.
+    """
+    n, spark = scored.count(), scored.sparkSession
+    if not n:
+        return spark.createDataFrame([], "i int, level double, threshold double, coverage double")
+    wanted = [math.ceil(round(conformal_level(n, a) * (n - 1), 9)) for a in levels]
+    cuts = [min(x, 1.0) for x in batched_order_statistics(scored.select("score"), lambda batch, i: batch["score"].to_numpy(), wanted, 0.0, 1.0 + 1e-6)]
+    before = F.round(_before(F.col("p"), F.col("label"), own=False), 12)
+    steps = F.array(*[F.lit(c) for c in sorted(cuts)])
+    missed = F.when(before == 0, 0).otherwise(F.size(F.filter(steps, lambda c: F.round(c, 12) <= before)))
+    counts = scored.groupBy(missed.alias("missed")).agg(F.count("*").alias("rows"))
+    rank = {c: r for r, c in reversed(list(enumerate(sorted(cuts))))}
+    known = spark.createDataFrame([(i, float(a), float(c), rank[c]) for i, (a, c) in enumerate(zip(levels, cuts, strict=True))], "i int, level double, threshold double, rank int")
+    return known.join(F.broadcast(counts), F.col("missed") <= F.col("rank")).groupBy("i", "level", "threshold").agg((F.sum("rows") / n).alias("coverage"))  # a row a level by a row a level
 
 
 def threshold_search(rows: DataFrame, steps: int = 81, low: float = 0.05, high: float = 0.95) -> DataFrame:

@@ -7,6 +7,7 @@ from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import accumulate
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -239,15 +240,23 @@ def branch_edges(lines: DataFrame) -> DataFrame:
 def indent_edges(lines: DataFrame) -> DataFrame:
     """(file, src, dst): each line from the nearest line before it that is indented less.
 
-    For each depth of a file the last line of that depth so far is known by a window; the nearest of the smaller depths is the parent.
+    A file's indents are one row, as its text was, and are read once with a stack of the lines whose indents still count.
     """
-    from pyspark.sql import Window
-
-    depths = lines.groupBy("file").agg(F.array_sort(F.collect_set("indent")).alias("depths"))
-    x = lines.join(depths, "file").select("file", "idx", "indent", F.explode("depths").alias("depth"))
-    w = Window.partitionBy("file", "depth").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
-    seen = x.withColumn("at", F.max(F.when(F.col("indent") == F.col("depth"), F.col("idx"))).over(w)).where("depth < indent AND at IS NOT NULL")
-    return seen.groupBy("file", F.col("idx").alias("dst")).agg(F.max("at").alias("src")).select("file", "src", "dst")
+    per_file = lines.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("idx", "indent"))).alias("s"))
+
+    def parents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for file, idx, indent in b.itertuples(index=False):
+                open_lines, found = [], []
+                for at, depth in zip(idx, indent, strict=True):
+                    while open_lines and open_lines[-1][1] >= depth:
+                        open_lines.pop()
+                    if open_lines:
+                        found.append((file, open_lines[-1][0], at))
+                    open_lines.append((at, depth))
+                yield pd.DataFrame(found, columns=["file", "src", "dst"])
+
+    return per_file.select("file", F.col("s.idx").alias("idx"), F.col("s.indent").alias("indent")).mapInPandas(parents, "file string, src int, dst int")
 
 
 def def_use_edges(lines: DataFrame, distance: int = 8) -> DataFrame:

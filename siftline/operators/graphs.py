@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -331,18 +332,54 @@ def graph_stats(nodes: DataFrame, edges: DataFrame, stubs: DataFrame | None = No
     return x.select(G, "nodes", "edges", "nodes_by_type", F.coalesce("edges_by_type", none).alias("edges_by_type"), (F.col("edges") / F.col("nodes")).alias("mean_degree"), density.alias("density"), "components", "is_stub")
 
 
+def vector_sums(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """rows(keys, array columns) -> a row for each key with the sums of its arrays by position, as long as its longest; null components count as 0.
+
+    Batches are summed where they lie; the sums are dealt by key, sorted, and summed as they stream by, a batch and one key's sum at a time, so a
+    key of most rows costs no more memory than another.
+    """
+    rows = rows.select(*keys, *[F.transform(c, lambda v: F.coalesce(v.cast("double"), F.lit(0.0))).alias(c) for c in columns]).where(" AND ".join(f"{c} IS NOT NULL" for c in columns))
+
+    def added(b: pd.DataFrame) -> pd.DataFrame:
+        group = b.groupby(keys, sort=False, dropna=False).ngroup().to_numpy()
+        out = b.iloc[np.unique(group, return_index=True)[1]][keys].reset_index(drop=True)
+        for c in columns:
+            size = b[c].str.len().to_numpy(dtype=np.int64)
+            width, n = np.zeros(len(out), dtype=np.int64), int(size.max(initial=0))
+            np.maximum.at(width, group, size)
+            place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            flat = np.concatenate([np.asarray(x, dtype=float) for x in b[c]])
+            sums = np.bincount(np.repeat(group * n, size) + place, weights=flat, minlength=len(out) * n).reshape(len(out), n)
+            out[c] = [sums[i, :w] for i, w in enumerate(width)]
+        return out
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from (added(b) for b in batches if len(b))
+
+    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for b in batches:
+            if len(b):
+                sums = added(b if held is None else pd.concat([held, b], ignore_index=True))
+                held = sums.iloc[-1:]
+                yield sums.iloc[:-1]
+        if held is not None:
+            yield held
+
+    return rows.mapInPandas(each, rows.schema).repartition(*keys).sortWithinPartitions(*keys).mapInPandas(stream, rows.schema)
+
+
 def neighbour_sum(features: DataFrame, edges: DataFrame) -> DataFrame:
     """features(graph_id, node_id, x array) -> each node's features and those of the nodes with an edge to it, added up."""
-    flat = features.select(G, "node_id", F.posexplode("x").alias("k", "v"))
-    sent = edges.select(G, F.col("src").alias("node_id"), "dst").join(flat, [G, "node_id"]).select(G, F.col("dst").alias("node_id"), "k", "v")
-    sums = flat.unionByName(sent).groupBy(G, "node_id", "k").agg(F.sum("v").alias("v"))
-    return sums.groupBy(G, "node_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda s: s["v"]).alias("x"))
+    own = features.select(G, "node_id", "x")
+    sent = edges.select(G, F.col("src").alias("node_id"), "dst").join(own, [G, "node_id"]).select(G, F.col("dst").alias("node_id"), "x")
+    return vector_sums(own.unionByName(sent), [G, "node_id"], ["x"])
 
 
 def graph_pool(features: DataFrame) -> DataFrame:
-    """features(graph_id, node_id, x array) -> mean and sum of each component over a graph's nodes."""
-    flat = features.select(G, F.posexplode("x").alias("k", "v")).groupBy(G, "k").agg(F.avg("v").alias("m"), F.sum("v").alias("s"))
-    return flat.groupBy(G).agg(F.array_sort(F.collect_list(F.struct("k", "m", "s"))).alias("a")).select(G, F.transform("a", lambda s: s["m"]).alias("mean"), F.transform("a", lambda s: s["s"]).alias("sum"))
+    """features(graph_id, node_id, x array) -> mean and sum of each component over the graph's nodes that have it."""
+    counted = features.select(G, "x", F.transform("x", lambda v: v.isNotNull().cast("double")).alias("n"))
+    return vector_sums(counted, [G], ["x", "n"]).select(G, F.zip_with("x", "n", lambda s, n: F.try_divide(s, n)).alias("mean"), F.col("x").alias("sum"))
 
 
 def chain_graph(findings: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -68,10 +68,8 @@ def threshold_search(spark, sf):
 
 def calibration_curve(spark, sf):
     """Coverage for 50 levels."""
-    x = _scored(spark, sf).drop("key").withColumn("key", F.explode(F.sequence(F.lit(1), F.lit(50))))
-    cut = cal.conformal_thresholds(x.select("key", "score"), "key", F.col("key") / 100)
-    x = x.join(F.broadcast(cut), "key").withColumn("classes", cal.prediction_set(F.col("p"), F.col("threshold")))  # 50 rows
-    return cal.coverage_report(x, "key").select(F.col("key").alias("percent"), F.round("coverage", 6).alias("coverage"))
+    x = cal.coverage_curve(_scored(spark, sf), [k / 100 for k in range(1, 51)])
+    return x.select((F.col("i") + 1).alias("percent"), F.round("coverage", 6).alias("coverage"))
 
 
 def calibration_summary(spark, sf):

@@ -10,11 +10,12 @@ from siftline.functions import scoring as s
 from siftline.functions import texts
 from siftline.operators import detection as det
 from siftline.operators import findings as op
-from siftline.operators import retrieval as ret
+from siftline.operators.keyword_index import KeywordIndex
 from siftline.plans import retrieval, triage
 from siftline.plans import views as v
 from siftline.plans.views import sql
 from siftline.sources import sarif
+from siftline.tables import new_path
 
 D = triage.D
 
@@ -35,12 +36,24 @@ def code_examples(spark, sf):
     return v.findings(spark, sf).join(first, "cwe_id", "left").select("id", F.coalesce("examples", F.lit("")).alias("examples"))
 
 
-def corpus_refresh(spark, sf):
-    """Document frequencies after an upsert of all documents by patched ones, those of one language."""
+def _refreshed(spark, sf):
+    """A kept index of all documents, extended by a part of patched ones, those of one language."""
     d = v.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", "lang")
-    stored = d.select("id", "text").withColumn("version", F.lit(1))
-    changes = d.where("lang = 'de'").select("id", F.concat("text", F.lit(" patchedword")).alias("text"), F.lit(2).alias("version"))
-    return ret.bm25_index(op.upsert(stored, changes, "id", "version").select("id", "text"))[1].select("term", "df")
+    index = KeywordIndex(spark, new_path(spark, "keyword_index"))
+    index.add(d.select("id", "text"), 0)
+    index.add(d.where("lang = 'de'").select("id", F.concat("text", F.lit(" patchedword")).alias("text")), 1)
+    return index
+
+
+def corpus_refresh(spark, sf):
+    """Document frequencies after an upsert of all documents by patched ones; only the patched ones are read again."""
+    return _refreshed(spark, sf).terms().select("term", "df")
+
+
+def keyword_index_topk(spark, sf):
+    """The search of a kept index after it was extended."""
+    asked = v.table(spark, sf, "benchmark").select(F.col("item_id").alias("q"), "text")
+    return _refreshed(spark, sf).search(asked).select("q", "rank", "id", F.round("score", 5).alias("score"))
 
 
 def verdict_provider(spark, sf):
@@ -75,13 +88,14 @@ def rag_context_text(spark, sf):
     return x.select("q", F.md5(texts.retrieval_text(F.lit("similar documents"), F.col("h"))).alias("hash"))
 
 
-QUERIES = {"sarif_write": sarif_write, "code_examples": code_examples, "corpus_refresh": corpus_refresh, "verdict_provider": verdict_provider, "model_score": model_score, "context_assemble": context_assemble, "rag_context_text": rag_context_text}
+QUERIES = {"sarif_write": sarif_write, "code_examples": code_examples, "corpus_refresh": corpus_refresh, "keyword_index_topk": keyword_index_topk, "verdict_provider": verdict_provider, "model_score": model_score, "context_assemble": context_assemble, "rag_context_text": rag_context_text}
 
 _TOKENS = r"list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^\p{L}\p{N}_\s-]', ' ', 'g'), '\s+'), lambda t: length(t) >= 2)"
 SQL = {
     "sarif_write": sql("SELECT repo, '2.1.0' AS version, count(*) AS results, CAST(count(DISTINCT rule_id) AS INTEGER) AS rules, count(*) AS findings FROM findings GROUP BY 1", "findings"),
     "code_examples": sql("SELECT f.id, coalesce(e.examples, '') AS examples FROM findings f LEFT JOIN (SELECT cwe, string_agg(doc_id, ',' ORDER BY doc_id) AS examples FROM (SELECT cwe, doc_id, row_number() OVER (PARTITION BY cwe ORDER BY doc_id) AS rn FROM cve_docs WHERE cwe <> '') q WHERE rn <= 2 GROUP BY 1) e ON f.cwe_id = e.cwe", "findings", "cve_docs"),
     "corpus_refresh": f"SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({_TOKENS})) AS term FROM (SELECT CASE WHEN lang = 'de' THEN text || ' patchedword' ELSE text END AS text FROM documents) d) q GROUP BY 1",
+    "keyword_index_topk": f"WITH patched AS (SELECT doc_id, CASE WHEN lang = 'de' THEN text || ' patchedword' ELSE text END AS text FROM documents), {retrieval._TERMS.replace('FROM documents', 'FROM patched')}, {retrieval._KEY} SELECT q, rank, id, round(score, 5) AS score FROM kr",
     "verdict_provider": sql("SELECT id, TRUE AS exploitable, round(CAST(length(concat_ws(' ', cwe_id, file_path, language)) % 101 AS DOUBLE) / 100, 6) AS confidence FROM findings", "findings"),
     "model_score": sql(f"SELECT id, CASE WHEN confidence > 0.5 THEN 1 ELSE 0 END AS klass, round(abs(confidence - {D(0.5)}) * 2, 6) AS sure FROM findings", "findings"),
     "context_assemble": sql(f"""SELECT q.id, md5('{{"id":' || q.id || ',"cwe_id":"' || cwe_id || '","severity":"' || severity || '","slice":' || to_json(slice) || ',"taint_path":' || to_json(coalesce(path, 'No taint path')) || ',"uncertainty":{{"conf":"' || printf('%.6f', conf) || '","comp":"' || printf('%.6f', comp) || '","nov":"' || printf('%.6f', nov) || '","confl":"' || printf('%.6f', confl)

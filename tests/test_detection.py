@@ -177,3 +177,13 @@ def test_names_meet_functions_as_whole_parts(spark):
     # exec is a function of both; methods of pattern objects aren't it
     assert {c for lang, c in hit if lang == "python"} == python - {"regex.exec", "a.re.exec"}
     assert {c for lang, c in hit if lang == "javascript"} == {"execute", "db.execute", "self.requests_session.get", "child_process.exec", "my_child_process.run.exec"}
+
+
+def test_indents_by_a_stack(spark):
+    rng = random.Random(8)
+    files = {"rising": list(range(10_000)), "flat": [4] * 50, "any": [rng.randrange(6) for _ in range(300)], "one": [3], "falling": [3, 2, 1, 0]}
+    rows = [(f, k, d) for f, ds in files.items() for k, d in enumerate(ds)]
+    got = det.indent_edges(spark.createDataFrame(rows, "file string, idx int, indent int").repartition(5)).collect()
+    want = {(f, max((j for j in range(k) if ds[j] < d), default=None), k) for f, ds in files.items() if f != "rising" for k, d in enumerate(ds)}
+    want = {w for w in want if w[1] is not None} | {("rising", k - 1, k) for k in range(1, 10_000)}
+    assert {(r.file, r.src, r.dst) for r in got} == want and len(got) == len(want)

@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,3 +89,28 @@ def test_statistics_by_type(spark, tables):
     got = {r.graph_id: r for r in g.graph_stats(nodes, edges, spark.createDataFrame([(3,)], "graph_id long")).collect()}
     assert [tuple(x) for x in got[3].nodes_by_type] == [("IDENTIFIER", 4), ("UNKNOWN", 1)] and [tuple(x) for x in got[3].edges_by_type] == [("CALL", 2), ("DDG", 1)]
     assert got[3].is_stub and not got[1].is_stub and got[3].components == 3 and got[1].components == 1
+
+
+@pytest.mark.parametrize("batch", ["7", "10000"])
+def test_vectors_are_summed_by_node(spark, batch):
+    rng = np.random.default_rng(6)
+    x = {(q, k): rng.integers(-9, 9, size=773).astype(float) for q in (1, 2) for k in range(40)}
+    ways = [(1, int(a), 0) for a in range(1, 40)] + [(q, int(a), int(b)) for q in (1, 2) for a, b in rng.integers(0, 40, size=(60, 2))] + [(1, 99, 3)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        features = spark.createDataFrame([(q, k, v.tolist()) for (q, k), v in x.items()] + [(3, 0, [1.0, None, 3.0]), (3, 1, [4.0]), (3, 2, None), (4, 0, [])], "graph_id long, node_id long, x array<double>")
+        edges = spark.createDataFrame([*ways, (3, 1, 0)], "graph_id long, src long, dst long")
+        plan = g.neighbour_sum(features, edges)
+        got = {(r.graph_id, r.node_id): r.x for r in plan.collect()}
+        pooled = {r.graph_id: r for r in g.graph_pool(features).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = {k: v.copy() for k, v in x.items()}
+    for q, a, b in ways:
+        if (q, a) in x:
+            want[q, b] += x[q, a]
+    assert got == {k: v.tolist() for k, v in want.items()} | {(3, 0): [5.0, 0.0, 3.0], (3, 1): [4.0], (4, 0): []}
+    assert pooled[1].sum == sum(v for (q, _), v in x.items() if q == 1).tolist() and pooled[2].mean == pytest.approx(np.mean([v for (q, _), v in x.items() if q == 2], axis=0))
+    assert (pooled[3].sum, pooled[3].mean) == ([5.0, 0.0, 3.0], [2.5, None, 3.0])
+    assert "Generate" not in plan._jdf.queryExecution().toString()

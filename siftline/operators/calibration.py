@@ -85,8 +85,8 @@ def temperature_grid() -> list[float]:
     return [round(0.05 * k, 2) for k in range(1, 10)] + [round(0.5 + 0.02 * k, 2) for k in range(50)] + [round(1.5 + 0.1 * k, 1) for k in range(16)]
 
 
-def batched_order_statistics(rows: DataFrame, scores: Callable[[pd.DataFrame, int], np.ndarray], wanted: list[int], low: float, high: float, bins: int = 256) -> list[float]:
-    """For each k = wanted[i], the value with number k (from 0) by size among scores(batch, i), which lie in [low, high].
+def batched_order_statistics(rows: DataFrame, prepare: Callable, scores: Callable, wanted: list[int], low: float, high: float, bins: int = 1024) -> list[float]:
+    """For each k = wanted[i], the value with number k (from 0) by size among scores(prepare(batch), i), which lie in [low, high].
 
     A pass reads the rows once for all i: a task counts values by i and bin, with each bin's least and largest value, which is all that leaves it. The next pass
     counts within the bin that has the wanted value, until that bin holds one value. No row is repeated for an i.
@@ -99,8 +99,9 @@ def batched_order_statistics(rows: DataFrame, scores: Callable[[pd.DataFrame, in
             n = {i: np.zeros(bins, dtype=np.int64) for i in bounds}
             least, largest = {i: np.full(bins, np.inf) for i in bounds}, {i: np.full(bins, -np.inf) for i in bounds}
             for batch in batches:
+                ready = prepare(batch)
                 for i, (lo, hi, _) in bounds.items():
-                    x = scores(batch, i)
+                    x = scores(ready, i)
                     x = x[(x >= lo) & (x <= hi)]
                     at = np.minimum(((x - lo) / (hi - lo) * bins).astype(np.int64), bins - 1)
                     n[i] += np.bincount(at, minlength=bins)
@@ -120,19 +121,24 @@ def batched_order_statistics(rows: DataFrame, scores: Callable[[pd.DataFrame, in
     return [found[i] for i in range(len(wanted))] if found else []
 
 
-def _tempered(logits: pd.Series, t: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _padded(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(logits as a matrix, where classes that a row lacks are -inf; number of classes; label) of a batch's rows."""
+    size = batch["logits"].str.len().to_numpy(dtype=np.int64)
+    z = np.full((len(batch), int(size.max(initial=1))), -np.inf)
+    z[np.arange(z.shape[1]) < size[:, None]] = np.concatenate([np.empty(0), *batch["logits"]])
+    return z, size[:, None], batch["label"].to_numpy()[:, None]
+
+
+def _tempered(ready: tuple, t: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Probabilities by falling size, the sums before each, and the classes they are of. Classes that a row lacks have -1."""
-    size = logits.str.len().to_numpy(dtype=np.int64)
-    z = np.full((len(logits), int(size.max())), -np.inf)
-    z[np.arange(z.shape[1]) < size[:, None]] = np.concatenate([np.asarray(x, dtype=float) for x in logits])
-    z /= t
+    z, size, _ = ready
+    z = z / t
     e = np.exp(z - z.max(axis=1, keepdims=True))
     p = e / e.sum(axis=1, keepdims=True)
     order = np.argsort(-p, axis=1, kind="stable")
     p = np.take_along_axis(p, order, axis=1)
-    before = np.cumsum(p, axis=1) - p
-    before[:, 1:] = np.cumsum(p, axis=1)[:, :-1]
-    return p, before, np.where(order < size[:, None], order, -1)
+    upto = np.cumsum(p, axis=1)
+    return p, np.hstack([np.zeros((len(p), 1)), upto[:, :-1]]), np.where(order < size, order, -1)
 
 
 def temperature_search(rows: DataFrame, alpha: float = 0.1, grid: list[float] | None = None) -> DataFrame:
@@ -145,22 +151,23 @@ def temperature_search(rows: DataFrame, alpha: float = 0.1, grid: list[float] |
     rows = rows.select("logits", "label").where("size(logits) > 0 AND label >= 0 AND label < size(logits)")
     n, spark = rows.count(), rows.sparkSession
 
-    def scores(batch: pd.DataFrame, i: int) -> np.ndarray:
-        p, before, classes = _tempered(batch["logits"], temperatures[i])
-        at = classes == batch["label"].to_numpy()[:, None]
+    def scores(ready: tuple, i: int) -> np.ndarray:
+        p, before, classes = _tempered(ready, temperatures[i])
+        at = classes == ready[2]
         return before[at] + p[at]
 
     k = math.ceil(round(conformal_level(n, alpha) * (n - 1), 9)) if n else 0
-    cuts = [min(x, 1.0) for x in batched_order_statistics(rows, scores, [k] * len(temperatures), 0.0, 1.0 + 1e-6)] if n else []
+    cuts = [min(x, 1.0) for x in batched_order_statistics(rows, _padded, scores, [k] * len(temperatures), 0.0, 1.0 + 1e-6)] if n else []
 
     def report(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums = np.zeros((len(cuts), 4))
         for batch in batches:
+            ready = _padded(batch)
             for i, cut in enumerate(cuts):
-                _, before, classes = _tempered(batch["logits"], temperatures[i])
+                _, before, classes = _tempered(ready, temperatures[i])
                 taken = ((np.round(before, 12) < np.round(cut, 12)) | (np.round(before, 12) == 0)) & (classes >= 0)
                 size = taken.sum(axis=1)
-                sums[i] += [(taken & (classes == batch["label"].to_numpy()[:, None])).sum(), (size == 1).sum(), (size > 1).sum(), size.sum()]
+                sums[i] += [(taken & (classes == ready[2])).sum(), (size == 1).sum(), (size > 1).sum(), size.sum()]
         yield pd.DataFrame({"i": range(len(cuts)), "covered": sums[:, 0], "single": sums[:, 1], "more": sums[:, 2], "taken": sums[:, 3]})
 
     known = spark.createDataFrame([(i, float(temperatures[i]), float(c)) for i, c in enumerate(cuts)], "i int, t double, threshold double")
@@ -180,7 +187,7 @@ def coverage_curve(scored: DataFrame, levels: list[float]) -> DataFrame:
     if not n:
         return spark.createDataFrame([], "i int, level double, threshold double, coverage double")
     wanted = [math.ceil(round(conformal_level(n, a) * (n - 1), 9)) for a in levels]
-    cuts = [min(x, 1.0) for x in batched_order_statistics(scored.select("score"), lambda batch, i: batch["score"].to_numpy(), wanted, 0.0, 1.0 + 1e-6)]
+    cuts = [min(x, 1.0) for x in batched_order_statistics(scored.select("score"), lambda batch: batch["score"].to_numpy(), lambda x, i: x, wanted, 0.0, 1.0 + 1e-6)]
     before = F.round(_before(F.col("p"), F.col("label"), own=False), 12)
     steps = F.array(*[F.lit(c) for c in sorted(cuts)])
     missed = F.when(before == 0, 0).otherwise(F.size(F.filter(steps, lambda c: F.round(c, 12) <= before)))

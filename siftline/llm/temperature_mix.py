@@ -75,6 +75,30 @@ def source_weights(docs: DataFrame, source_col: str = "source", tokens: Column |
     return raised.select("src", "tokens", "rows", "p", (F.col("u") / F.lit(z)).alias("weight"), F.lit(exponent).alias("exponent"), F.floor(F.col("u") / F.lit(z) * F.lit(float(budget)) + 1e-6).cast("long").alias("target"))
 
 
+def dealt(placed: DataFrame) -> DataFrame:
+    """placed(rid, src, key, block) with `sub`: 0 but in blocks of over two times BLOCK_ROWS rows. Those hold one id over and over, or null, and are
+    dealt once more by row number. placed is a written table, so row numbers stay."""
+    rows = placed.groupBy("src", "block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2 * BLOCK_ROWS)
+    full = written(rows.select("src", "block", F.ceil(F.col("n") / BLOCK_ROWS).alias("subs")), "full_blocks")
+    n = full.count()
+    if not n:
+        return placed.withColumn("sub", F.lit(0).cast("long"))
+    sub = F.pmod(F.xxhash64("key", "rid"), F.col("subs"))
+    return placed.join(small_side(full, n), ["src", "block"], "left").withColumn("sub", F.coalesce(sub, F.lit(0))).drop("subs")
+
+
+def block_offsets(blocks: DataFrame, seed: int = SEED) -> DataFrame:
+    """blocks(src, block, sub, size) with `offset`: the tokens before it in the order of the source's blocks by hash.
+
+    The hashes are cut into 1,024 ranges. A source's ranges are added up first, then the blocks of each range on their own, so no task sorts all of a source's blocks.
+    """
+    blocks = blocks.withColumn("h", F.xxhash64("block", F.lit(seed))).withColumn("part", F.shiftright("h", 54))
+    before = lambda w: F.sum("size").over(w) - F.col("size")
+    parts = blocks.groupBy("src", "part").agg(F.sum("size").alias("size")).select("src", "part", before(Window.partitionBy("src").orderBy("part")).alias("base"))
+    inside = blocks.withColumn("inside", before(Window.partitionBy("src", "part").orderBy("h", "block", "sub")))
+    return inside.join(parts, ["src", "part"]).select("src", "block", "sub", "size", (F.col("base") + F.col("inside")).alias("offset"))
+
+
 def mixture_plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tokens: Column | None = None, seed: int = SEED, rid_col: str | None = None, **target) -> DataFrame:
     """(rid, id, src, tokens, copies, position, span, weight, exponent) for each row of docs that has tokens.
 
@@ -83,7 +107,7 @@ def mixture_plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sou
     target is met by whole rounds through this permutation and a last one that stops before the row that would exceed it, so
     a source gets at most its target, and less than it by under one row. `position` is where the
     row's first token stands in a round, `span` the source's tokens. A hot source has
-    more blocks, not larger ones; only the block in which a last round stops is ordered row by row. In the other blocks, which are taken whole, a
+    more blocks, not larger ones, and where repeated or null ids fill a block their rows are dealt again by row number; only the block in which a last round stops is ordered row by row. In the other blocks, which are taken whole, a
     row's position is its hash's share of the block, so two rows can have one; rows of one position come in order of their ids.
     """
     weights = source_weights(docs, source_col, tokens, **target).withColumn("blocks", F.ceil(F.col("rows") / BLOCK_ROWS))
@@ -91,16 +115,14 @@ def mixture_plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sou
     sized = docs.select((F.monotonically_increasing_id() if rid_col is None else F.col(rid_col)).alias("rid"), F.col(id_col).alias("id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("src"), (token_estimate() if tokens is None else tokens).alias("tokens"))
     rows = sized.where("tokens > 0").join(small_side(weights), "src")
     rows = rows.withColumn("key", F.xxhash64("id", F.lit(seed))).withColumn("block", F.pmod(F.shiftright("key", 20), F.col("blocks")))
-    placed = written(rows.select("rid", "id", "src", "tokens", "key", "block"), "placed")
-    blocks = placed.groupBy("src", "block").agg(F.sum("tokens").alias("size"))
-    order = Window.partitionBy("src").orderBy(F.xxhash64("block", F.lit(seed)), "block")
-    blocks = written(blocks.withColumn("offset", F.sum("size").over(order) - F.col("size")), "blocks")
-    known = placed.join(small_side(blocks), ["src", "block"]).join(small_side(weights), "src")
+    placed = dealt(written(rows.select("rid", "id", "src", "tokens", "key", "block"), "placed"))
+    blocks = written(block_offsets(placed.groupBy("src", "block", "sub").agg(F.sum("tokens").alias("size")), seed), "blocks")
+    known = placed.join(small_side(blocks), ["src", "block", "sub"]).join(small_side(weights), "src")
     rest = F.col("target") % F.col("span")
     rounds = F.floor(F.col("target") / F.col("span")).cast("long")
     known = known.withColumn("rest", rest).withColumn("rounds", rounds)
     split = (F.col("offset") < F.col("rest")) & (F.col("offset") + F.col("size") > F.col("rest"))
-    within = Window.partitionBy("src", "block").orderBy(F.pmod("key", F.lit(1 << 20)), "key", "rid")
+    within = Window.partitionBy("src", "block", "sub").orderBy(F.pmod("key", F.lit(1 << 20)), "key", "rid")
     cut = known.where(split).withColumn("position", F.col("offset") + F.sum("tokens").over(within) - F.col("tokens"))
     cut = cut.withColumn("extra", (F.col("position") + F.col("tokens") <= F.col("rest")).cast("long"))
     # elsewhere a row's place in its block follows from its hash alone, without a sort
@@ -109,6 +131,12 @@ def mixture_plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sou
     return cut.unionByName(whole).select("rid", "id", "src", "tokens", (F.col("rounds") + F.col("extra")).alias("copies"), "position", "span", "target", "weight", "exponent")
 
 
+def _rounds(plan: DataFrame) -> DataFrame:
+    """A row for each row of the plan and round it takes part in, with epoch and place."""
+    out = plan.where("copies > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    return out.withColumn("place", (F.col("epoch") * F.col("span") + F.col("position")) / F.greatest("target", F.lit(1)))
+
+
 def mixture(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", **options) -> DataFrame:
     """One row for each row of docs and round it takes part in: (id, src, tokens, epoch from 0, place, weight, exponent).
 
@@ -116,19 +144,22 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source",
     Rows without tokens (null text) are in no round; ties and repeated rows are separate rows; an
     empty table gives none.
     """
-    plan = mixture_plan(docs, id_col, source_col, **options).where("copies > 0")
-    out = plan.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
-    place = (F.col("epoch") * F.col("span") + F.col("position")) / F.greatest("target", F.lit(1))
-    return out.select("id", "src", "tokens", "epoch", place.alias("place"), "weight", "exponent")
+    return _rounds(mixture_plan(docs, id_col, source_col, **options)).select("id", "src", "tokens", "epoch", "place", "weight", "exponent")
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", place_col: str | None = None, **options) -> DataFrame:
     """docs with every row as often as the mixture has it; all columns stay as they are.
 
-    Of the plan only the rows that don't come exactly once are joined to docs.
+    Of the plan only the rows that don't come exactly once are joined to docs. With `place_col` each row also has its place in the mixture under
+    that name, and the rows come in ranges of it, sorted: written, they are the mixture in order. The name must be new, else a ValueError.
     """
     rid, times = fresh(docs, "_rid", "_times")
     rows = numbered(docs, rid)
+    if place_col is not None:
+        if place_col.lower() in {c.lower() for c in rows.columns}:
+            raise ValueError(f"docs have a column {place_col} already")
+        places = _rounds(mixture_plan(rows, id_col, source_col, rid_col=rid, **options)).select(F.col("rid").alias(rid), F.col("place").alias(place_col))
+        return rows.join(places, rid).drop(rid).repartitionByRange(place_col).sortWithinPartitions(place_col)
     plan = written(mixture_plan(rows, id_col, source_col, rid_col=rid, **options).where("copies <> 1").select(F.col("rid").alias(rid), F.col("copies").cast("int").alias(times)), "copies")
     sized = rows.where((token_estimate() if options.get("tokens") is None else options["tokens"]) > 0)
     joined = sized.join(small_side(plan), rid, "left")

@@ -81,6 +81,43 @@ def test_mix_odd_rows(docs, empty):
     assert got.where("tokens < 1").count() == 0 and "" in {r.src for r in got.collect()}
 
 
+def test_repeated_and_null_ids_fill_no_block(spark, monkeypatch):
+    monkeypatch.setattr(mix, "BLOCK_ROWS", 50)
+    rows = [(None if k % 2 else 7, "one", "a text of some words " * (1 + k % 3)) for k in range(2400)] + [(k, "two", "some other words") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(4)
+    placed = mix.written(docs.select(F.monotonically_increasing_id().alias("rid"), F.col("source").alias("src"), F.xxhash64("doc_id").alias("key"), F.lit(3).cast("long").alias("block")).where("src = 'one'"), "placed")
+    sizes = [r["count"] for r in mix.dealt(placed).groupBy("src", "block", "sub").count().collect()]
+    assert sum(sizes) == 2400 and max(sizes) < 100 and len(sizes) == 48
+    budget = 9000
+    weights = {r.src: r for r in mix.source_weights(docs, budget=budget).collect()}
+    got = mix.mixture(docs, budget=budget).collect()
+    used = Counter()
+    for r in got:
+        used[r.src] += r.tokens
+    assert all(w.target - 15 < used[src] <= w.target for src, w in weights.items())
+
+
+def test_offsets_are_those_of_one_sort(spark):
+    rows = [(src, b, sub, 1 + (b * 7 + sub) % 11) for src in ("x", "y") for b in range(500) for sub in range(1 + (b == 3) * 4)]
+    blocks = spark.createDataFrame(rows, "src string, block long, sub long, size long")
+    hashed = {r.block: r.h for r in blocks.select("block", F.xxhash64("block", F.lit(mix.SEED)).alias("h")).distinct().collect()}
+    want = {}
+    for src in ("x", "y"):
+        at = 0
+        for _, b, sub, size in sorted((r for r in rows if r[0] == src), key=lambda r: (hashed[r[1]], r[1], r[2])):
+            want[src, b, sub], at = at, at + size
+    assert {(r.src, r.block, r["sub"]): r.offset for r in mix.block_offsets(blocks).collect()} == want
+
+
+def test_mixed_documents_in_the_order_of_the_mixture(skewed, spark, tmp_path):
+    got = mix.mixed_documents(skewed, entropy=0.97, place_col="place")
+    rows = got.collect()
+    assert got.columns == [*skewed.columns, "place"] and [r.place for r in rows] == sorted(r.place for r in rows)
+    assert Counter((r.doc_id, r.place) for r in rows) == Counter((r.id, r.place) for r in mix.mixture(skewed, entropy=0.97).collect())
+    with pytest.raises(ValueError, match="TEXT"):
+        mix.mixed_documents(skewed, place_col="TEXT")
+
+
 def brute_top(rows, k):
     vectors = [(i, v) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     dim = max((len(v) for _, v in vectors), default=0)

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,16 +16,45 @@ from siftline.llm.common import fresh, numbered, small_side, written
 
 #: Characters that don't count: space, tab, line feed, vertical tab, form feed, carriage return.
 WHITE = "[\\x20\\x09-\\x0D]+"
-#: Fingerprints that one block of a merged filter should hold.
-BLOCK_ROWS = 32_768
+#: Fingerprints that one block of a merged filter should hold at most, about; decoded they take 16 bytes each.
+BLOCK_ROWS = 1 << 20
+#: Fingerprints that a partition's filter of one block should hold at least, about, where partitions are that large.
+FILTER_ROWS = 4096
+#: 2 ** FAN_BITS partitions' filters are merged before blocks are cut again.
+FAN_BITS = 8
+#: Bits of a fingerprint beyond the logarithm of the rows: about one row in 2 ** SPARE_BITS goes to byte verification in vain.
+SPARE_BITS = 12
+#: Least bits that blocks are cut by, so that small tables are merged by several tasks too.
+LEAST_BITS = 6
+#: Numbers packed at once; a multiple of eight, so that every piece ends at a byte.
+PIECE = 1 << 16
+
+_HEAD = struct.Struct("<QBBQBB")
+
+
+def _pack(values: np.ndarray, width: int) -> bytes:
+    """Whole numbers in `width` bits each."""
+    pieces = [values[k : k + PIECE].astype(">u8").view(np.uint8).reshape(-1, 8) for k in range(0, len(values), PIECE)]
+    return b"".join(np.packbits(np.unpackbits(x, axis=1)[:, 64 - width :]).tobytes() for x in pieces)
+
+
+def _unpack(data: bytes, at: int, n: int, width: int) -> np.ndarray:
+    """n numbers of `width` bits that begin at a byte."""
+    out = np.zeros(n, np.uint64)
+    for k in range(0, n if width else 0, PIECE):
+        m = min(PIECE, n - k)
+        bits = np.zeros((m, 64), np.uint8)
+        bits[:, 64 - width :] = np.unpackbits(np.frombuffer(data, np.uint8, m * width + 7 >> 3, at + k * width // 8), count=m * width).reshape(m, width)
+        out[k : k + m] = np.packbits(bits, axis=1).view(">u8").ravel()
+    return out
 
 
 def encode_filter(fingerprints: np.ndarray, counts: np.ndarray, bits: int) -> bytes:
     """A counting quotient filter of sorted distinct fingerprints, each of `bits` bits.
 
     The quotient is the high part, of as many bits as keep the load under 0.9. Stored are one
-    `occupied` bit a quotient, one `run end` bit a slot, the sorted remainders, and
-    the counters above one with their slots.
+    `occupied` bit a quotient, one `run end` bit a slot, the sorted remainders in the bits that
+    the quotient leaves, and the counters above one with their slots, both in as many bits as the largest needs.
     """
     n = len(fingerprints)
     q = min(bits, max(3, math.ceil(math.log2(max(n, 1) / 0.9))))
@@ -35,22 +65,24 @@ def encode_filter(fingerprints: np.ndarray, counts: np.ndarray, bits: int) -> by
     occupied[quotient.astype(np.int64)] = True
     run_end = np.append(quotient[1:] != quotient[:-1], True) if n else np.zeros(0, bool)
     many = np.flatnonzero(counts > 1)
-    return b"".join([struct.pack("<QBBQ", n, q, r, len(many)), np.packbits(occupied).tobytes(), np.packbits(run_end).tobytes(), remainder.astype("<u8").tobytes(), many.astype("<u8").tobytes(), counts[many].astype("<i8").tobytes()])
+    slot_bits, count_bits = n.bit_length(), int(counts.max(initial=0)).bit_length()
+    parts = [np.packbits(occupied).tobytes(), np.packbits(run_end).tobytes(), _pack(remainder, r), _pack(many, slot_bits), _pack(counts[many], count_bits)]
+    return b"".join([_HEAD.pack(n, q, r, len(many), slot_bits, count_bits), *parts])
 
 
 def decode_filter(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(sorted fingerprints, counts) of a filter, without loss."""
-    n, q, r, many = struct.unpack_from("<QBBQ", data)
-    at = struct.calcsize("<QBBQ")
+    n, q, r, many, slot_bits, count_bits = _HEAD.unpack_from(data)
+    at = _HEAD.size
     occupied = np.unpackbits(np.frombuffer(data, np.uint8, (1 << q) + 7 >> 3, at), count=1 << q)
     at += (1 << q) + 7 >> 3
     run_end = np.unpackbits(np.frombuffer(data, np.uint8, n + 7 >> 3, at), count=n)
     at += n + 7 >> 3
-    remainder = np.frombuffer(data, "<u8", n, at)
-    at += 8 * n
-    slots = np.frombuffer(data, "<u8", many, at).astype(np.int64)
+    remainder = _unpack(data, at, n, r)
+    at += n * r + 7 >> 3
+    slots = _unpack(data, at, many, slot_bits).astype(np.int64)
     counts = np.ones(n, np.int64)
-    counts[slots] = np.frombuffer(data, "<i8", many, at + 8 * many)
+    counts[slots] = _unpack(data, at + (many * slot_bits + 7 >> 3), many, count_bits).astype(np.int64)
     run = np.cumsum(run_end) - run_end
     return (np.flatnonzero(occupied).astype(np.uint64)[run] << np.uint64(r)) | remainder, counts
 
@@ -81,52 +113,81 @@ def merge_filters(filters: list[bytes], bits: int) -> bytes:
     return encode_filter(*_merge_runs([decode_filter(x) for x in filters]), bits)
 
 
-def partition_filters(fingerprints: DataFrame, block_bits: int) -> DataFrame:
-    """fingerprints(h long) -> (block, filter): a filter of each partition, cut into blocks by the high bits."""
-    bits = 64 - block_bits
+def _cut(part: int, block: int, run: tuple[np.ndarray, np.ndarray], bits: int, more: int) -> pd.DataFrame:
+    """(part, block, filter) of a sorted run of fingerprints of `bits` bits in a block, cut into smaller blocks by their `more` high bits."""
+    keys, counts = run
+    low = bits - more
+    sub = (keys >> np.uint64(low)).astype(np.int64)
+    starts = np.flatnonzero(np.append(True, sub[1:] != sub[:-1]))
+    rest = keys & np.uint64((1 << low) - 1)
+    filters = [encode_filter(rest[a:b], counts[a:b], low) for a, b in zip(starts, [*starts[1:], len(keys)], strict=True)]
+    return pd.DataFrame({"part": part, "block": (block << more) | sub[starts], "filter": filters})
+
+
+_FILTERS = "part long, block long, filter binary"
+
+
+def partition_filters(fingerprints: DataFrame, bits: int, block_bits: int) -> DataFrame:
+    """fingerprints(h long, of `bits` < 64 bits) -> (part, block, filter): a filter of each partition, cut into blocks by the high bits."""
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         runs: list[tuple[np.ndarray, np.ndarray]] = []
         for x in batches:
-            runs.append(np.unique(x["h"].to_numpy(np.int64).view(np.uint64), return_counts=True))
+            runs.append(np.unique(x["h"].to_numpy(np.int64).astype(np.uint64), return_counts=True))
             while len(runs) > 1 and len(runs[-2][0]) <= 2 * len(runs[-1][0]):  # runs at least halve from first to last
                 runs.append(_merged(runs.pop(), runs.pop()))
-        keys, counts = _merge_runs(runs)
-        if not len(keys):
-            return
-        block = (keys >> np.uint64(bits)).astype(np.int64)
-        cuts = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
-        ends = [*cuts[1:], len(keys)]
-        low = keys & np.uint64((1 << bits) - 1)
-        yield pd.DataFrame({"block": [int(block[a]) for a in cuts], "filter": [encode_filter(low[a:b], counts[a:b], bits) for a, b in zip(cuts, ends, strict=True)]})
+        run = _merge_runs(runs)
+        if len(run[0]):
+            yield _cut(TaskContext.get().partitionId(), 0, run, bits, block_bits)
 
-    return fingerprints.mapInPandas(build, "block long, filter binary")
+    return fingerprints.mapInPandas(build, _FILTERS)
 
 
-def merged_filters(parts: DataFrame, block_bits: int) -> DataFrame:
-    """(block, filter) of all partitions -> one filter a block. A block's fingerprints are spread evenly by hash."""
-    bits = 64 - block_bits
+def _merging(bits: int, more: int):
+    """Merges a group's filters of fingerprints of `bits` bits and cuts the result by `more` bits."""
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"block": pdf["block"].iloc[:1], "filter": [merge_filters(list(pdf["filter"]), bits)]})
+        return _cut(int(pdf["part"].iloc[0]), int(pdf["block"].iloc[0]), _merge_runs([decode_filter(x) for x in pdf["filter"]]), bits, more)
+
+    return merge
 
-    return parts.groupBy("block").applyInPandas(merge, "block long, filter binary")
 
+def merged_filters(parts: DataFrame, bits: int, block_bits: int, final_bits: int) -> DataFrame:
+    """(part, block, filter) of all partitions -> (block, filter): one filter a block of `final_bits` high bits.
 
-def repeated_fingerprints(merged: DataFrame, block_bits: int) -> DataFrame:
+    Filters are merged as a tree: a level merges each block over 2 ** FAN_BITS partitions and cuts it into as many smaller
+    blocks, so that filters keep their size however many blocks the table needs. A block's fingerprints are spread evenly by hash.
+    """
+    while block_bits < final_bits:
+        more = min(FAN_BITS, final_bits - block_bits)
+        grouped = parts.withColumn("part", F.shiftright("part", FAN_BITS)).groupBy("block", "part")
+        parts = grouped.applyInPandas(_merging(bits - block_bits, more), _FILTERS)
+        block_bits += more
+    return parts.groupBy("block").applyInPandas(_merging(bits - final_bits, 0), _FILTERS).select("block", "filter")
+
+
+def repeated_fingerprints(merged: DataFrame, bits: int, block_bits: int) -> DataFrame:
     """Fingerprints with a count above one: (h, n)."""
-    bits = 64 - block_bits
+    low_bits = bits - block_bits
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             for block, data in zip(x["block"], x["filter"], strict=True):
                 low, counts = decode_filter(data)
                 many = counts > 1
-                yield pd.DataFrame({"h": (low[many] | np.uint64(int(block) << bits)).view(np.int64), "n": counts[many]})
+                yield pd.DataFrame({"h": (low[many] | np.uint64(int(block) << low_bits)).astype(np.int64), "n": counts[many]})
 
     return merged.mapInPandas(read, "h long, n long")
 
 
+def _bits(n: int, partitions: int, block_rows: int) -> tuple[int, int, int]:
+    """Bits of a fingerprint, of the blocks that partitions cut their filters by, and of the merged blocks, for n rows."""
+    whole = min(63, math.ceil(math.log2(max(n, 2))) + SPARE_BITS)
+    final = min(whole, max(LEAST_BITS, math.ceil(math.log2(max(n, 1) / block_rows))))
+    first = max(LEAST_BITS, math.floor(math.log2(max(n / max(partitions, 1) / FILTER_ROWS, 1))))
+    return whole, min(first, final), final
+
+
 def _rows(rows: DataFrame) -> DataFrame:
     """Written numbered rows(rid, id, text) -> (rid, id, text, norm, h)."""
     rows = rows.withColumn("text", F.coalesce("text", F.lit("")))
@@ -142,7 +203,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Other columns are ignored whatever their names; an empty table gives no rows.
 
     Texts are fingerprinted where they lie; partitions send quotient filters, not
-    rows. Only rows whose fingerprint is counted more than once are compared, byte by
+    rows; a fingerprint has only SPARE_BITS bits more than rows need, which a filter
+    stores in about two bytes. Only rows whose fingerprint is counted more than once are compared, byte by
     byte, as a grouping by the text itself, of which every task first makes one row
     a distinct text. The numbered rows are written once and only they are read.
     """
@@ -154,12 +216,14 @@ def _groups(rows: DataFrame, id_col: str, block_rows: int = BLOCK_ROWS) -> DataF
     rows = _rows(rows)
     seen = written(rows.select("rid", "id", "h", F.sha2("norm", 256).alias("sha")), "digests")
     n = seen.count()
-    block_bits = min(24, max(6, math.ceil(math.log2(max(n, 1) / block_rows))))
-    merged = merged_filters(partition_filters(seen.select("h"), block_bits), block_bits)
-    many = written(repeated_fingerprints(merged, block_bits), "repeated")
+    bits, first, final = _bits(n, seen.rdd.getNumPartitions(), block_rows)
+    short = F.shiftrightunsigned("h", 64 - bits)
+    merged = merged_filters(partition_filters(seen.select(short.alias("h")), bits, first), bits, first, final)
+    many = written(repeated_fingerprints(merged, bits, final).select(F.col("h").alias("short")), "repeated")
     rank = F.struct((-F.char_length("text")).alias("n"), F.col("id").isNull().alias("none"), "id", "rid")
     groups = (
-        rows.join(small_side(many.select("h")), "h", "left_semi")
+        rows.withColumn("short", short)
+        .join(small_side(many), "short", "left_semi")
         .select("h", "norm", rank.alias("rank"))
         .groupBy("h", "norm")
         .agg(F.min("rank").alias("best"), F.count(F.lit(1)).alias("size"))

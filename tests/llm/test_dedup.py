@@ -1,8 +1,9 @@
 import hashlib
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -31,6 +32,41 @@ def test_filters_merge_without_loss():
     assert dict(zip(merged[0].tolist(), merged[1].tolist(), strict=True)) == want and merged[0].tolist() == sorted(want)
 
 
+def test_a_filter_takes_under_three_bytes_a_fingerprint():
+    rng = np.random.default_rng(4)
+    bits, _, final = exact_dedup._bits(10**9, 1000, exact_dedup.BLOCK_ROWS)
+    keys = np.unique(rng.integers(0, 1 << (bits - final), 30_000, dtype=np.uint64))
+    data = exact_dedup.encode_filter(keys, np.ones(len(keys), np.int64), bits - final)
+    assert len(data) < 3 * len(keys)
+    assert exact_dedup.decode_filter(data)[0].tolist() == keys.tolist()
+
+
+@pytest.mark.parametrize(("first", "final"), [(2, 2), (2, 4), (0, 7)])
+def test_filters_of_64_partitions_merge_as_a_tree(spark, monkeypatch, first, final):
+    monkeypatch.setattr(exact_dedup, "FAN_BITS", 2)
+    values = np.random.default_rng(9).integers(0, 1 << 14, 6000).tolist() + [77] * 500
+    parts = exact_dedup.partition_filters(spark.createDataFrame([(v,) for v in values], "h long").repartition(64), 14, first)
+    merged = exact_dedup.merged_filters(parts, 14, first, final)
+    found = {r.h: r.n for r in exact_dedup.repeated_fingerprints(merged, 14, final).collect()}
+    assert found == {v: n for v, n in Counter(values).items() if n > 1}
+    assert merged.count() <= 1 << final
+
+
+def test_filters_keep_their_size_as_tables_grow():
+    for n, partitions in [(10**6, 8), (10**9, 1000), (10**11, 80_000)]:
+        bits, first, final = exact_dedup._bits(n, partitions, exact_dedup.BLOCK_ROWS)
+        assert n / partitions / 2**first >= min(exact_dedup.FILTER_ROWS, n / partitions / 64) and n / 2**final <= exact_dedup.BLOCK_ROWS
+        assert n / 2**bits <= 2.0**-exact_dedup.SPARE_BITS
+
+
+def test_exact_groups_hold_where_fingerprints_collide(docs, monkeypatch):
+    key = ("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    rows = lambda: sorted(map(str, exact_dedup.exact_groups(docs).select(*key).collect()))
+    want = rows()
+    monkeypatch.setattr(exact_dedup, "SPARE_BITS", 0)
+    assert rows() == want
+
+
 def test_exact_groups_match_brute_force(docs):
     found = exact_dedup.exact_groups(docs, block_rows=8).collect()
     groups = defaultdict(list)

@@ -131,19 +131,25 @@ def upsert(stored: DataFrame, changes: DataFrame, key: str, version: str) -> Dat
     return first_per_key(both, [key], [F.desc(version), F.desc("_new")]).drop("_new")
 
 
-def matched_truth(truth: DataFrame, findings: DataFrame, width: int = 64) -> DataFrame:
+def matched_truth(truth: DataFrame, findings: DataFrame, width: int = 65_536) -> DataFrame:
     """truth(label, cwe_id, verdict, lo, hi) with `matched`: a finding of its CWE overlaps lo..hi, or there is one at all if there is no range.
 
-    Findings are first reduced to the distinct (cwe_id, line, end_line), and ranges to those asked for, so a CWE with many findings
-    meets each range once a distinct line. Lines and ranges are dealt into buckets of `width` lines, so that the join has an equal key besides the CWE.
+    A range is met if the findings that start at or before `hi` reach at least `lo`, so a sweep over the lines of a CWE that carries the
+    largest end so far answers all ranges; no finding and no range becomes more than one row, however wide. Findings and ranges are
+    first reduced to a row a (CWE, line). The lines of a CWE are swept in stretches of `width`, each on its own, with the
+    largest end of the stretches before.
     """
-    spans = findings.select("cwe_id", F.col("line").alias("start"), F.coalesce("end_line", "line").alias("end") if "end_line" in findings.columns else F.col("line").alias("end")).distinct()
-    lines = spans.withColumn("b", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))))
-    asked = truth.where("lo IS NOT NULL").select("cwe_id", "lo", "hi").distinct()
-    ranges = asked.withColumn("b", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))))
-    hit = ranges.join(lines, ["cwe_id", "b"]).where("end >= lo AND start <= hi").select("cwe_id", "lo", "hi").distinct()
+    end = F.coalesce("end_line", "line") if "end_line" in findings.columns else F.col("line")
+    starts = findings.select("cwe_id", F.col("line").cast("long").alias("at"), end.cast("long").alias("end"), F.lit(False).alias("asked"))
+    asked = truth.where("lo IS NOT NULL").select("cwe_id", F.col("hi").cast("long").alias("at"), F.lit(None).cast("long").alias("end"), F.lit(True).alias("asked"))
+    lines = starts.unionByName(asked).groupBy("cwe_id", "at").agg(F.max("end").alias("end"), F.max("asked").alias("asked")).withColumn("_s", F.floor(F.col("at") / width))
+    before = Window.partitionBy("cwe_id").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    carried = lines.groupBy("cwe_id", "_s").agg(F.max("end").alias("_end")).select("cwe_id", "_s", F.max("_end").over(before).alias("_carried"))
+    so_far = F.max("end").over(Window.partitionBy("cwe_id", "_s").orderBy("at"))
+    swept = lines.withColumn("_far", so_far).where("asked").join(carried, ["cwe_id", "_s"])
+    reach = swept.select("cwe_id", F.col("at").alias("hi"), F.greatest("_far", "_carried").alias("_reach"))
     anywhere = findings.select("cwe_id").distinct()
-    ranged = truth.where("lo IS NOT NULL").join(hit.withColumn("matched", F.lit(True)), ["cwe_id", "lo", "hi"], "left")
+    ranged = truth.where("lo IS NOT NULL").join(reach, ["cwe_id", "hi"], "left").withColumn("matched", F.col("_reach") >= F.col("lo")).drop("_reach")
     loose = truth.where("lo IS NULL").join(anywhere.withColumn("matched", F.lit(True)), "cwe_id", "left")
     return ranged.unionByName(loose).withColumn("matched", F.coalesce("matched", F.lit(False))).select(*truth.columns, "matched")
 

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from siftline import fixed
 from siftline.tables import small_side, written
 
+#: Bytes of query vectors up to which they are broadcast.
+BROADCAST_BYTES = 32 << 20
+
 
 def tokens(text: Column) -> Column:
     """Lower-case words of letters, digits, _ and -, of at least two characters."""
@@ -68,9 +71,12 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int =
 
     Queries are packed in blocks, which are rows. Batches of vectors are packed where they lie and meet the blocks by number; each such
     pair is one matrix product, of which the k best rows a query leave the task. No row is a pair of a vector and a query.
+    Up to BROADCAST_BYTES of queries are broadcast, and vectors stay where they lie. Past that the join has a tile as its key, a block of
+    queries and a slice of the batches, with as many slices as give every shuffle partition about two tiles.
     """
     id_kind, q_kind = dict(vectors.dtypes)["id"], dict(queries.dtypes)["q"]
-    blocks = max(1, -(-queries.count() // block))
+    n, numbers = queries.agg(F.count("*"), F.coalesce(F.sum(F.size("v").cast("long")), F.lit(0))).first()
+    blocks = max(1, -(-n // block))
     packed = queries.select(F.pmod(F.xxhash64("q"), F.lit(blocks)).alias("block"), "q", l2_normalize(F.col("v")).alias("qv")).groupBy("block").agg(F.collect_list("q").alias("q"), F.collect_list("qv").alias("qv"))
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -79,7 +85,13 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int =
                 yield pd.DataFrame({"ids": [b["id"].tolist()], "m": [np.concatenate(b["v"].tolist()).astype("<f8").tobytes()]})
 
     parts = vectors.select("id", l2_normalize(F.col("v")).alias("v")).where("v IS NOT NULL").mapInPandas(pack, f"ids array<{id_kind}>, m binary").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")))
-    met = parts.join(F.broadcast(packed) if blocks <= 16 else packed, "block").select("ids", "m", "q", "qv")  # 16 blocks are some MB
+    if 8 * numbers <= BROADCAST_BYTES:
+        met = parts.join(F.broadcast(packed), "block")
+    else:
+        slices = max(1, -(-2 * int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")) // blocks))
+        tiles = packed.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)).cast("array<long>")))
+        met = parts.withColumn("slice", F.pmod(F.xxhash64(F.get("ids", F.lit(0))), F.lit(slices))).join(tiles.hint("shuffle_hash"), ["block", "slice"])
+    met = met.select("ids", "m", "q", "qv")
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -1,5 +1,7 @@
 """Boundary cases of scoring, routing, verdicts and fusion, on literal rows."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,6 +90,25 @@ def test_truth_intervals(spark):
     assert {r.label: r.matched for r in op.matched_truth(truth, wide).collect()}["b"]
 
 
+@pytest.mark.parametrize("width", [1, 7, 65_536])
+def test_swept_intervals_match_brute_force(spark, width):
+    rng = random.Random(width)
+    spans = [(rng.choice("XYZ"), at := rng.randrange(300), rng.choice([None, at, at + rng.randrange(40)])) for _ in range(40)] + [("W", 5, 10_000_000), ("V", 20_000_000, 20_000_001)]
+    ranges = [(n, rng.choice("XYZUVW"), lo := rng.randrange(400), lo + rng.choice([0, 3, 30, 10_000_000])) for n in range(200)] + [(900, "X", None, None), (901, "U", None, None), (902, None, 1, 400)]
+    truth = spark.createDataFrame(ranges, "label int, cwe_id string, lo int, hi int")
+    found = spark.createDataFrame(spans, "cwe_id string, line int, end_line int")
+    want = {n: any(c == cwe and (lo is None or (s <= hi and (e if e is not None else s) >= lo)) for c, s, e in spans) for n, cwe, lo, hi in ranges}
+    got = op.matched_truth(truth, found, width)
+    assert got.columns == [*truth.columns, "matched"] and {r.label: r.matched for r in got.collect()} == want
+
+
+def test_wide_ranges_make_no_rows(spark):
+    truth = spark.createDataFrame([(1, "X", 0, 2_000_000_000)], "label int, cwe_id string, lo int, hi int")
+    found = spark.createDataFrame([("X", 7, 2_100_000_000)], "cwe_id string, line int, end_line int")
+    got = op.matched_truth(truth, found)
+    assert got.first().matched and "Generate" not in got._jdf.queryExecution().toString()
+
+
 def test_empty_rates_are_zero(spark):
     none = spark.createDataFrame([], "stage_resolved string, verdict string, severity string")
     got = rep.cascade_stats(none).first()

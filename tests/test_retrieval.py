@@ -36,8 +36,9 @@ def test_keyword_search_matches_plain_bm25(spark):
         assert sorted((r.rank, r.id) for r in found if r.q == q) == plain_bm25(text)
 
 
-@pytest.mark.parametrize("block", [3, 1024])
-def test_vector_search_matches_plain_products(spark, block):
+@pytest.mark.parametrize(("block", "most"), [(3, ret.BROADCAST_BYTES), (1024, ret.BROADCAST_BYTES), (3, 0), (1, 0), (1024, 0)])
+def test_vector_search_matches_plain_products(spark, monkeypatch, block, most):
+    monkeypatch.setattr(ret, "BROADCAST_BYTES", most)
     rng = np.random.default_rng(2)
     rows = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(60)] + [(i, [1.0] * 6) for i in range(60, 75)] + [(75, [0.0] * 6), (76, None)]
     asked = [(100 + k, rows[k][1]) for k in range(8)] + [(200, [2.0] * 6)]

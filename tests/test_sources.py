@@ -81,6 +81,38 @@ def test_source_files(spark, tmp_path):
     assert [tuple(r) for r in files.read_weights(spark, str(tmp_path / "w.json")).collect()] == [("CWE-1", 0.5, 0.2, 0.3)]
 
 
+def test_skipped_directories_are_never_opened(spark, tmp_path, monkeypatch):
+    from siftline.sources import tree
+
+    names = ["a.py", "__init__.py", "src/b.py", "src/deep/er/c.PY", "src/node_modules/x/d.py", "vendor/e.py", ".git/f.py", "src/g.txt", "src/h.min.js", "src/deep/i.js", "scripts/j.js", "scripts/k.py"]
+    for name in names:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(name.encode() + b"\xff")
+    seen, entries = [], tree.entries
+    monkeypatch.setattr(tree, "entries", lambda system, directory, extensions: (seen.append(directory), entries(system, directory, extensions))[1])
+    for tasks in ("1", "2", "100"):
+        seen.clear()
+        reader = tree.TreeReader({"path": str(tmp_path), "tasks": tasks, "extensions": "py,js"})
+        found = [path for part in reader.partitions() for path, _ in reader.read(part)]
+        assert sorted(found) == sorted(f"file:{tmp_path}/{n}" for n in names if n.lower().endswith((".py", ".js")) and not {"node_modules", "vendor", ".git"} & set(n.split("/")))
+        assert seen and not [d for d in seen if {"node_modules", "vendor", ".git"} & set(d.split("/"))]
+    got = {r.file.removeprefix(f"file:{tmp_path}/"): r.text for r in files.source_files(spark, f"file:{tmp_path}").collect()}
+    assert got.keys() >= {"a.py", "__init__.py", "src/b.py", "src/deep/i.js", "scripts/k.py"}
+    assert not got.keys() & {"src/h.min.js", "scripts/j.js", "src/g.txt", "vendor/e.py"} and got["a.py"] == "a.py\ufffd"
+    (tmp_path / "none").mkdir()
+    assert files.source_files(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_weights_of_yaml_and_of_no_file(spark, tmp_path):
+    assert files.read_weights(spark, str(tmp_path / "missing.json")).count() == files.read_weights(spark, str(tmp_path / "missing.yaml")).count() == 0
+    (tmp_path / "w.yaml").write_text("CWE-1:\n  sast_weight: 0.5\n  gat_weight: 0.2\n  llm_weight: 0.3\nCWE-2: 7\ndefault: {sast_weight: 1, gat_weight: 0, llm_weight: 0}\nCWE-3: {gat_weight: 1}\n")
+    (tmp_path / "below.yml").write_text("weights:\n  CWE-9: {sast_weight: 0.25, gat_weight: 0.25}\n")
+    (tmp_path / "list.yml").write_text("[1, 2]\n")
+    assert sorted(map(tuple, files.read_weights(spark, str(tmp_path / "w.yaml")).collect())) == [("CWE-1", 0.5, 0.2, 0.3), ("default", 1.0, 0.0, 0.0)]
+    assert [r.cwe_id for r in files.read_weights(spark, str(tmp_path / "below.yml")).collect()] == ["CWE-9"]
+    assert files.read_weights(spark, str(tmp_path / "list.yml")).count() == 0
+
+
 def test_graphml(spark):
     xml = '<graphml><graph><node id="1"><data key="labelV">CALL</data><data key="CODE">f</data><data key="LINE_NUMBER">4</data></node><node id="2"/><edge source="1" target="2"><data key="labelE">DDG</data></edge></graph></graphml>'
     nodes, edges = graphml.load(spark.createDataFrame([(9, xml)], "graph_id long, xml string"))

@@ -21,6 +21,8 @@ CALL = r"([\w$.]+)\s*\("
 CALLED = "file string, language string, line_no int, end_line int, call string, code string, text string, closed boolean, arguments array<struct<kind:string,text:string>>, near string, wide string, head string"
 #: Characters of results that a task holds at once, beside those of a file.
 HELD = 4 << 20
+#: Edges that a task hands on at once, of as many files as have them.
+EDGES_HELD = 50_000
 
 
 def rules(spark: SparkSession) -> DataFrame:
@@ -191,11 +193,11 @@ def clearly_safe(files: DataFrame, found: DataFrame) -> DataFrame:
     return files.select("file").distinct().join(found.select("file").distinct(), "file", "left_anti")
 
 
-def hardcoded_secret(code: Column, names: list[str] = fixed.SECRET_NAMES) -> Column:
+def hardcoded_secret(code: Column, names: list[str] = fixed.SECRET_NAMES, any_case: bool = True) -> Column:
     """struct(name, value) of a string given to a name like a secret's: at least four characters, more than two distinct, no placeholder; else null.
-    The last string counts, so a fallback after `or` does."""
+    The last string counts, so a fallback after `or` does. Names count in any case, or only as they are given."""
     words = "|".join(names)
-    m = rf"""(?i)((?:[\w.'\"\[\]-]*(?:{words})[\w'\"\]]*))\s*[:=]\s*(?:.*(?:\bor\b|\|\|)\s*)?["'`]([^"'`]*)["'`]"""
+    m = rf"""{"(?i)" if any_case else ""}((?:[\w.'\"\[\]-]*(?:{words})[\w'\"\]]*))\s*[:=]\s*(?:.*(?:\bor\b|\|\|)\s*)?["'`]([^"'`]*)["'`]"""
     name, value = F.regexp_extract(code, m, 1), F.regexp_extract(code, m, 2)
     fine = (F.length(value) >= 4) & (F.size(F.array_distinct(F.split(value, ""))) > 2) & ~F.lower(value).isin(fixed.PLACEHOLDERS)
     return F.when((name != "") & fine, F.struct(F.lower(name).alias("name"), value.alias("value")))
@@ -246,15 +248,19 @@ def indent_edges(lines: DataFrame) -> DataFrame:
 
     def parents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            found: list[tuple] = []
             for file, idx, indent in b.itertuples(index=False):
-                open_lines, found = [], []
-                for at, depth in zip(idx, indent, strict=True):
+                open_lines: list[tuple] = []
+                for at, depth in zip(idx.tolist(), indent.tolist(), strict=True):
                     while open_lines and open_lines[-1][1] >= depth:
                         open_lines.pop()
                     if open_lines:
                         found.append((file, open_lines[-1][0], at))
                     open_lines.append((at, depth))
-                yield pd.DataFrame(found, columns=["file", "src", "dst"])
+                if len(found) >= EDGES_HELD:
+                    yield pd.DataFrame(found, columns=["file", "src", "dst"])
+                    found = []
+            yield pd.DataFrame(found, columns=["file", "src", "dst"])
 
     return per_file.select("file", F.col("s.idx").alias("idx"), F.col("s.indent").alias("indent")).mapInPandas(parents, "file string, src int, dst int")
 

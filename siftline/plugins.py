@@ -40,18 +40,18 @@ def feature_model(model: Callable[[pd.DataFrame], pd.DataFrame], columns: list[s
 
 
 def verdict_provider(answer: Callable[[str], str], size: int = 5, parallel: int = 3) -> Stage:
-    """A stage prompts(id, prompt) -> (id, body): each prompt's answer, or an error record if the provider fails. At most `parallel` tasks call it at once."""
+    """A stage prompts(id, prompt) -> (id, body): each prompt's answer, or an error record if the provider fails. At most `parallel` tasks call it at once,
+    `size` prompts at a time; they hand on an Arrow batch of answers at once, and what follows is dealt anew, so that no more than the calls waits for them."""
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for at in range(0, len(batch), size):
-                part = batch.iloc[at : at + size]
-                bodies = []
-                for prompt in part["prompt"]:
+            prompts, bodies = batch["prompt"].tolist(), []
+            for at in range(0, len(prompts), size):
+                for prompt in prompts[at : at + size]:
                     try:
                         bodies.append(answer(prompt))
                     except Exception as error:  # noqa: BLE001  a provider may fail in any way; the record says so
                         bodies.append('{"error": "' + type(error).__name__ + '"}')
-                yield pd.DataFrame({"id": part["id"], "body": bodies})
+            yield pd.DataFrame({"id": batch["id"], "body": bodies})
 
-    return lambda df: df.select("id", "prompt").repartition(parallel, "id").mapInPandas(ask, "id long, body string")
+    return lambda df: df.select("id", "prompt").repartition(parallel, "id").mapInPandas(ask, "id long, body string").repartition("id")

@@ -170,9 +170,10 @@ def roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return d.groupBy(G).agg(F.min(F.struct((-F.col("n")).alias("n"), "node_id")).alias("r")).select(G, F.col("r.node_id").alias("node_id"))
 
 
-def bfs_depth(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(graph_id, node_id, depth, share): steps from the root whatever the direction, as a share of the deepest; 1 if not reached."""
-    found = reach(undirected(edges), roots(nodes, edges))
+def bfs_depth(nodes: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
+    """(graph_id, node_id, depth, share): steps from the root whatever the direction, as a share of the deepest; 1 if not reached, within
+    `most` steps (any number by default)."""
+    found = reach(undirected(edges), roots(nodes, edges), most)
     deep = found.groupBy(G).agg(F.greatest(F.max("depth"), F.lit(1)).alias("deep"))
     return nodes.select(G, "node_id").join(found, [G, "node_id"], "left").join(deep, G).select(G, "node_id", "depth", F.coalesce(F.col("depth") / F.col("deep"), F.lit(1.0)).alias("share"))
 
@@ -184,14 +185,15 @@ def bfs_truncate(nodes: DataFrame, edges: DataFrame, most: int) -> DataFrame:
     return d.withColumns({"n": F.count("*").over(w), "rn": F.row_number().over(w.orderBy(F.col("depth").asc_nulls_last(), "node_id"))}).where((F.col("n") <= most) | ((F.col("rn") <= most) & F.col("depth").isNotNull())).select(G, "node_id")
 
 
-def path_features(edges: DataFrame, ends: DataFrame) -> DataFrame:
+def path_features(edges: DataFrame, ends: DataFrame, most_dependent: int | None = None, most: int | None = None) -> DataFrame:
     """ends(graph_id, source, sink) with path_length (shares of 20 steps along dependency edges, else along all edges; 1 if there is no
     path) and call_depth (fewest CALL edges on a shortest path of all edges, as a share of 8; 0 if there is none). With an unknown
-    end the length is 1, and all CALL edges of the graph count."""
+    end the length is 1, and all CALL edges of the graph count. Paths along dependency edges have up to `most_dependent` steps and those along
+    all edges up to `most`, any number by default."""
     known = ends.where("source IS NOT NULL AND sink IS NOT NULL")
     starts, goal = known.select(G, F.col("source").alias("node_id")), known.select(G, F.col("sink").alias("node_id"))
-    dep = reach(dependency_edges(edges), starts).join(goal, [G, "node_id"]).select(G, F.col("depth").alias("dep"))
-    every = reach(edges, starts, weight=F.when(F.col("type") == "CALL", 1).otherwise(0)).join(goal, [G, "node_id"]).select(G, F.col("depth").alias("any"), F.col("calls").alias("on_path"))
+    dep = reach(dependency_edges(edges), starts, most_dependent).join(goal, [G, "node_id"]).select(G, F.col("depth").alias("dep"))
+    every = reach(edges, starts, most, F.when(F.col("type") == "CALL", 1).otherwise(0)).join(goal, [G, "node_id"]).select(G, F.col("depth").alias("any"), F.col("calls").alias("on_path"))
     calls = edges.where("type = 'CALL'").groupBy(G).agg(F.count("*").alias("in_graph"))
     x = ends.join(dep, G, "left").join(every, G, "left").join(calls, G, "left")
     counted = F.when(F.col("source").isNull() | F.col("sink").isNull(), F.col("in_graph")).otherwise(F.col("on_path"))

@@ -8,15 +8,23 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftline import fixed
-from siftline.operators.retrieval import ranked, tokens
-from siftline.tables import small_side, written
+from siftline.operators.retrieval import DOCS_A_TASK, ranked, tokens
+from siftline.tables import dealt, small_side, written
 
-#: Folders by a term's hash, of which a search reads those of its terms; and files in each, so that a term of every document fills no single task.
+#: Folders by a term's hash, of which a search reads those of its terms; and the least number of files in each, so that a term of every document fills
+#: no single task.
 SHARDS, SPREAD = 32, 4
+#: Words of texts that a task counts and sorts into one file: a larger part has more files, not larger ones.
+WORDS_A_FILE = 500_000
 #: What two sums of the same parts in other orders may differ by, and the rounding of ranks.
 SLACK = 1e-7
 
 
+def _spread(words: int) -> int:
+    """Files of each shard for so many words."""
+    return max(SPREAD, -(-words // (SHARDS * WORDS_A_FILE)))
+
+
 class KeywordIndex:
     """An index of (id, text) in a folder that driver and executors share. One writer at a time.
 
@@ -94,9 +102,10 @@ class KeywordIndex:
     def _write(self, generation: int, number: int, words: DataFrame, old: DataFrame | None) -> None:
         save = partial(self._save, generation=generation, number=number)
         save(words.select("id", "len", F.array_distinct("t").alias("terms")), table="documents")
-        shard, salt = F.pmod(F.xxhash64("term"), F.lit(SHARDS)).cast("int"), F.pmod(F.xxhash64("id"), F.lit(SPREAD)).cast("int")
+        spread = _spread(words.agg(F.coalesce(F.sum("len"), F.lit(0))).first()[0])
+        shard, salt = F.pmod(F.xxhash64("term"), F.lit(SHARDS)).cast("int"), F.pmod(F.xxhash64("id"), F.lit(spread)).cast("int")
         each = words.select("id", "len", F.explode("t").alias("term")).withColumn("shard", shard).withColumn("salt", salt)
-        counted = each.repartition(SHARDS * SPREAD, "shard", "salt").groupBy("shard", "salt", "term", "id", "len").agg(F.count("*").alias("tf"))
+        counted = each.repartition(SHARDS * spread, "shard", "salt").groupBy("shard", "salt", "term", "id", "len").agg(F.count("*").alias("tf"))
         self._save(counted.select("shard", "term", "id", "tf", "len").sortWithinPartitions("shard", "term"), generation, number, "postings", "shard")
         df = self._bounds(generation, number)
         size = words.agg(F.count("*").alias("n"), F.coalesce(F.sum("len"), F.lit(0)).cast("long").alias("total"))
@@ -121,9 +130,10 @@ class KeywordIndex:
             return
         to, number = generation + 1, known[-1]
         self._save(self._live(self._read("documents")).drop("part"), to, number, "documents")
-        salt = F.pmod(F.xxhash64("id"), F.lit(SPREAD)).cast("int")
+        spread = _spread(self._read("size").agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0])
+        salt = F.pmod(F.xxhash64("id"), F.lit(spread)).cast("int")
         live = self._live(self._read("postings")).select("shard", "term", "id", "tf", "len")
-        self._save(live.repartition(SHARDS * SPREAD, "shard", salt).sortWithinPartitions("shard", "term"), to, number, "postings", "shard")
+        self._save(live.repartition(SHARDS * spread, "shard", salt).sortWithinPartitions("shard", "term"), to, number, "postings", "shard")
         self._save(self._bounds(to, number), to, number, "terms")
         self._save(self._read("gone").limit(0).drop("part"), to, number, "gone")
         self._save(self._read("size").agg(F.sum("n").alias("n"), F.sum("total").alias("total")), to, number, "size")
@@ -163,18 +173,19 @@ class KeywordIndex:
         # negative weights bound nothing: such a query has strong terms only
         plan = weights.withColumn("first", F.coalesce(F.sum("bound").over(strong.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)) * 2 < F.sum("bound").over(every)).withColumn("below", F.sum("bound").over(weak.rowsBetween(Window.unboundedPreceding, 0))).withColumn("signed", F.min("w").over(every) < 0)
         plan = written(plan.withColumn("shard", F.pmod(F.xxhash64("term"), F.lit(SHARDS)).cast("int")), "term_plan")
-        postings = self._live(self._read("postings"))
-        met = lambda terms: postings.join(small_side(terms.select("q", "shard", "term", "w", "below")), ["shard", "term"]).select("q", "id", "term", "below", (F.col("w") * part(F.col("tf"), F.col("len"))).alias("s"))
-        start = written(met(plan.where("first OR signed")).groupBy("q", "id").agg(F.sum("s").alias("s")), "strong_sums")
+        postings = self._read("postings")
+        met = lambda terms: self._live(postings.join(small_side(terms.select("q", "shard", "term", "w", "below")), ["shard", "term"])).select("q", "id", "term", "below", (F.col("w") * part(F.col("tf"), F.col("len"))).alias("s"))
+        by_document = lambda rows: dealt(rows, n, DOCS_A_TASK, "id").groupBy("q", "id")
+        start = written(by_document(met(plan.where("first OR signed"))).agg(F.sum("s").alias("s")), "strong_sums")
         kth = Window.partitionBy("q").orderBy(F.desc("s"))
         floors = start.withColumn("rn", F.row_number().over(kth)).where(F.col("rn") == k).select("q", (F.col("s") - SLACK).alias("floor"))
         floors = small_side(written(floors, "floors"))
         later = plan.where("NOT first AND NOT signed").join(floors, "q", "left").withColumn("weak", F.coalesce(F.col("below") < F.col("floor"), F.lit(False)))
         later = written(later, "later_terms")
-        middle = met(later.where("NOT weak")).groupBy("q", "id").agg(F.sum("s").alias("s"))
-        found = start.unionByName(middle).groupBy("q", "id").agg(F.sum("s").alias("s"))
+        middle = met(later.where("NOT weak")).select("q", "id", "s")
+        found = by_document(start.unionByName(middle)).agg(F.sum("s").alias("s"))
         rest = later.where("weak").groupBy("q").agg(F.max("below").alias("rest"))
         can = F.col("s") + F.coalesce("rest", F.lit(0.0)) >= F.coalesce("floor", F.lit(float("-inf")))
         found = written(found.join(floors, "q", "left").join(small_side(rest), "q", "left").where(can).select("q", "id", "s"), "candidates")
-        tail = met(later.where("weak")).join(found.select("q", "id"), ["q", "id"], "left_semi").select("q", "id", "s")
-        return ranked(found.unionByName(tail).groupBy("q", "id").agg(F.sum("s").alias("score")).where("score > 0"), k)
+        tail = met(later.where("weak")).join(small_side(found.select("q", "id")), ["q", "id"], "left_semi").select("q", "id", "s")
+        return ranked(by_document(found.unionByName(tail)).agg(F.sum("s").alias("score")).where("score > 0"), k)

@@ -2,31 +2,69 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from xml.etree import ElementTree
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-NODE = "_id string, data array<struct<_key:string,_VALUE:string>>"
-EDGE = "_source string, _target string, data array<struct<_key:string,_VALUE:string>>"
-GRAPH = f"graph struct<node:array<struct<{NODE.replace(' string', ':string').replace(' array', ':array')}>>,edge:array<struct<{EDGE.replace(' string', ':string').replace(' array', ':array')}>>>"
+from siftline.tables import written
 
+ELEMENT = "edge boolean, a string, b string, type string, code string, line string"
+#: Attribute names of several exporters, the first that is there counts.
+TYPE, CODE, LINE = {False: ("labelV", "type", "label"), True: ("labelE", "type", "label")}, ("CODE", "code"), ("LINE_NUMBER", "lineNumber")
+#: Nodes and edges that a task hands on at once, beside those of one document.
+ELEMENTS_HELD = 50_000
 
-def _data(data, *names: str):
-    """The value of the first of the attribute names that is there."""
-    def one(name: str):
-        return F.try_element_at(F.filter(data, lambda d: d["_key"] == name), F.lit(1))["_VALUE"]
 
-    return F.coalesce(*map(one, names))
+def _elements(xml: str | None) -> Iterator[tuple]:
+    """A row as ELEMENT for each node and edge of a document's first graph; none of one that is no XML."""
+    try:
+        root = ElementTree.fromstring(xml or "")
+    except ElementTree.ParseError:
+        return
+    name = lambda x: x.tag.rpartition("}")[2] if isinstance(x.tag, str) else ""
+    for x in next((g for g in root if name(g) == "graph"), ()):
+        if (kind := name(x)) in ("node", "edge"):
+            data: dict = {}
+            for d in x:
+                if name(d) == "data":
+                    data.setdefault(d.get("key"), (d.text or "").strip() or None)
+            found = [next((data[n] for n in names if data.get(n) is not None), None) for names in (TYPE[kind == "edge"], CODE, LINE)]
+            yield kind == "edge", x.get("id") if kind == "node" else x.get("source"), x.get("target"), *found
 
 
 def load(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """documents(graph_id, xml) -> nodes(graph_id, node_id, type, code, line) and edges(graph_id, src, dst, type). Attribute names of
-    several exporters are known; missing lines are 0."""
-    x = documents.select("graph_id", F.from_xml("xml", GRAPH)["graph"].alias("g"))
-    nodes = x.select("graph_id", F.explode("g.node").alias("n"))
-    d = F.col("n.data")
-    nodes = nodes.select("graph_id", F.col("n._id").cast("long").alias("node_id"), F.coalesce(_data(d, "labelV", "type", "label"), F.lit("")).alias("type"), F.coalesce(_data(d, "CODE", "code"), F.lit("")).alias("code"), F.coalesce(_data(d, "LINE_NUMBER", "lineNumber").try_cast("int"), F.lit(0)).alias("line"))
-    edges = x.select("graph_id", F.explode("g.edge").alias("e"))
-    edges = edges.select("graph_id", F.col("e._source").cast("long").alias("src"), F.col("e._target").cast("long").alias("dst"), F.coalesce(_data(F.col("e.data"), "labelE", "type", "label"), F.lit("")).alias("type"))
+    several exporters are known; missing lines are 0. Each document is parsed once, its nodes and edges are rows of a written table."""
+    schema = f"graph_id {dict(documents.dtypes)['graph_id']}, {ELEMENT}"
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, rows = [], []
+
+            def batch():
+                columns = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), list(arrow)[1:], strict=True)]  # noqa: B023
+                return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)).cast(arrow[0].type), *columns], schema=arrow)  # noqa: B023
+
+            for k, xml in enumerate(b.column(1)):
+                found = list(_elements(xml.as_py()))
+                at += [k] * len(found)
+                rows += found
+                if len(rows) >= ELEMENTS_HELD:
+                    yield batch()
+                    at, rows = [], []
+            if rows:
+                yield batch()
+
+    x = written(documents.select("graph_id", "xml").mapInArrow(parse, schema), "graph_elements")
+    blank = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    nodes = x.where("NOT edge").select("graph_id", F.col("a").cast("long").alias("node_id"), blank("type"), blank("code"), F.coalesce(F.col("line").try_cast("int"), F.lit(0)).alias("line"))
+    edges = x.where("edge").select("graph_id", F.col("a").cast("long").alias("src"), F.col("b").cast("long").alias("dst"), blank("type"))
     return nodes, edges
 
 

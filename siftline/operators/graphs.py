@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from siftline import fixed
 from siftline.tables import small_side, written
@@ -15,6 +19,8 @@ from siftline.tables import small_side, written
 G = "graph_id"
 #: Edges of a graph that a task may hold to search it; larger graphs are searched by joins.
 MOST_EDGES = 50_000
+#: Rows of whole graphs that a task searches at once; a larger graph is searched by itself.
+ROWS_HELD = 200_000
 
 
 def _split_by_size(edges: DataFrame, most: int | None = None) -> tuple[DataFrame, DataFrame | None]:
@@ -33,13 +39,6 @@ def _arrays(edges: DataFrame, *columns: str) -> DataFrame:
     return packed.select(G, *[F.col(f"e.{c}").alias(f"e_{c}") for c in columns])
 
 
-def _neighbours(src, dst, w) -> dict:
-    out: dict = {}
-    for a, b, c in zip(src, dst, w, strict=True):
-        out.setdefault(a, []).append((b, c))
-    return out
-
-
 def _walk(near: dict, starts, most: int | None) -> dict:
     """{node: (depth, least sum of weights over the shortest paths)} of a breadth-first search."""
     seen = dict.fromkeys(starts, (0, 0))
@@ -56,47 +55,109 @@ def _walk(near: dict, starts, most: int | None) -> dict:
     return seen
 
 
-def reach(edges: DataFrame, starts: DataFrame, most: int | None = None, weight: Column | None = None) -> DataFrame:
-    """(graph_id, node_id, depth, calls): nodes within `most` steps (any number by default) of starts(graph_id, node_id) along edges, by the fewest steps.
+def _whole_graphs(rows: DataFrame, run: Callable[[pa.Table], pa.RecordBatch], kinds: str) -> DataFrame:
+    """run on tables of whole graphs, of about ROWS_HELD rows at a time; rows are dealt by graph, once, as plain columns."""
+    schema = to_arrow_schema(StructType.fromDDL(kinds))
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, most = [], 0, ROWS_HELD
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= most:
+                table = pa.Table.from_batches(held)
+                last = table[G][n - 1]
+                whole = n - (pc.sum(pc.equal(table[G], last)).as_py() if last.is_valid else table[G].null_count)
+                if whole:
+                    yield run(table.slice(0, whole)).cast(schema)
+                held, n = table.slice(whole).to_batches(), n - whole
+                most = max(ROWS_HELD, 2 * n)
+        if n:
+            yield run(pa.Table.from_batches(held)).cast(schema)
+
+    return rows.repartition(G).sortWithinPartitions(G).mapInArrow(stream, kinds)
+
+
+def _numbers(*pairs: tuple[pa.ChunkedArray, pa.ChunkedArray]) -> tuple[list[np.ndarray], pa.DictionaryArray, pa.DictionaryArray, np.ndarray, np.ndarray]:
+    """Numbers from 0 for the nodes of pairs(graphs, nodes), and the graphs and nodes with the codes that each number has in their dictionaries."""
+    whole = [pa.chunked_array([c for p in pairs for c in p[k].chunks], pairs[0][k].type).combine_chunks().dictionary_encode("encode") for k in (0, 1)]
+    size = max(1, len(whole[1].dictionary))
+    number, keys = pd.factorize(whole[0].indices.to_numpy().astype(np.int64) * size + whole[1].indices.to_numpy())
+    return np.split(number, np.cumsum([len(p[0]) for p in pairs])[:-1]), *whole, keys // size, keys % size
+
+
+def reach(edges: DataFrame, starts: DataFrame, most: int | None = None, weight: Column | None = None, both: bool = False) -> DataFrame:
+    """(graph_id, node_id, depth, calls): nodes within `most` steps (any number by default) of starts(graph_id, node_id) along edges, or along
+    both directions of them, by the fewest steps. Starts may have `at`, the depth that they count as (0 by default).
 
     `calls` is the least sum of weight over the shortest paths. Graphs of at most MOST_EDGES edges are gathered by their id, once, and
-    searched in batches of graphs; larger ones by rounds of joins over all of them until no new node is found.
+    searched many at a time; larger ones by rounds of joins over all of them until no new node is found.
     """
-    steps = edges.select(G, "src", "dst", (F.lit(0) if weight is None else weight).cast("long").alias("w"))
+    kind = dict(starts.dtypes)
+    graph, end = F.col(G).cast(kind[G]).alias(G), lambda c: F.col(c).cast(kind["node_id"]).alias(c)
+    steps = edges.select(graph, end("src"), end("dst"), (F.lit(0) if weight is None else weight).cast("long").alias("w")).where("src IS NOT NULL AND dst IS NOT NULL")
     small, large = _split_by_size(steps)
-    begin = starts.select(G, "node_id").distinct()
+    begin = starts.select(G, "node_id", (F.col("at") if "at" in kind else F.lit(0)).cast("long").alias("at"))
     if large is None:
-        return _reach_in_tasks(small, begin, most)
+        return _reach_in_tasks(small, begin, most, both)
     side = written(large.select(G).distinct(), "large_graphs")
-    return _reach_in_tasks(small, begin.join(side, G, "left_anti"), most).unionByName(_reach_in_rounds(large, begin.join(side, G, "left_semi"), most))
+    if both:
+        large = large.unionByName(large.select(G, F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
+    return _reach_in_tasks(small, begin.join(side, G, "left_anti"), most, both).unionByName(_reach_in_rounds(large, begin.join(side, G, "left_semi"), most))
+
+
+def _walks(n: int, src: np.ndarray, dst: np.ndarray, w: np.ndarray, starts: np.ndarray, at: np.ndarray, most: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """For n nodes of many graphs the depth (-1 if not reached) and the least sum of weights over the shortest paths."""
+    order = np.argsort(src, kind="stable")
+    ends, w = dst[order], w[order]
+    first = np.concatenate([[0], np.cumsum(np.bincount(src, minlength=n))])
+    depths, calls = np.full(n, -1), np.full(n, np.iinfo(np.int64).max)
+    front, depth, last = np.empty(0, dtype=np.int64), 0, at.max(initial=0)
+    while most is None or depth <= most:
+        count = first[front + 1] - first[front]
+        place = np.repeat(first[front] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        found, sums = ends[place], np.repeat(calls[front], count) + w[place]
+        if depth <= last:
+            found, sums = np.concatenate([found, starts[at == depth]]), np.concatenate([sums, np.zeros((at == depth).sum(), dtype=np.int64)])
+        new = depths[found] < 0
+        np.minimum.at(calls, found[new], sums[new])
+        front = np.unique(found[new])
+        depths[front] = depth
+        if not len(front) and depth >= last:
+            break
+        depth += 1
+    return depths, calls
 
 
-def _reach_in_tasks(steps: DataFrame, starts: DataFrame, most: int | None) -> DataFrame:
-    packed = starts.groupBy(G).agg(F.collect_list("node_id").alias("starts")).join(_arrays(steps, "src", "dst", "w"), G, "left")
+def _reach_in_tasks(steps: DataFrame, starts: DataFrame, most: int | None, both: bool) -> DataFrame:
     kind = dict(starts.dtypes)
+    rows = steps.unionByName(starts.select(G, F.col("node_id").alias("src"), F.lit(None).cast(kind["node_id"]).alias("dst"), F.col("at").alias("w")))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            ids, nodes, depths, calls = [], [], [], []
-            for g, begin, src, dst, w in b.itertuples(index=False):
-                found = _walk({} if src is None else _neighbours(src.tolist(), dst.tolist(), w.tolist()), begin.tolist(), most)
-                ids += [g] * len(found)
-                nodes += found
-                depths += [d for d, _ in found.values()]
-                calls += [c for _, c in found.values()]
-            yield pd.DataFrame({G: ids, "node_id": nodes, "depth": depths, "calls": calls})
+    def run(t: pa.Table) -> pa.RecordBatch:
+        e, s = t.filter(t["dst"].is_valid()), t.filter(t["dst"].is_null())
+        (src, dst, begin), graphs, nodes, graph, node = _numbers((e[G], e["src"]), (e[G], e["dst"]), (s[G], s["src"]))
+        w = e["w"].to_numpy()
+        if both:
+            src, dst, w = np.concatenate([src, dst]), np.concatenate([dst, src]), np.concatenate([w, w])
+        depth, calls = _walks(len(graph), src, dst, w, begin, s["w"].to_numpy(), most)
+        found = np.flatnonzero(depth >= 0)
+        return pa.RecordBatch.from_arrays([graphs.dictionary.take(pa.array(graph[found])), nodes.dictionary.take(pa.array(node[found])), pa.array(depth[found]), pa.array(calls[found])], [G, "node_id", "depth", "calls"])
 
-    return packed.mapInPandas(run, f"{G} {kind[G]}, node_id {kind['node_id']}, depth int, calls int")
+    return _whole_graphs(rows, run, f"{G} {kind[G]}, node_id {kind['node_id']}, depth int, calls int")
 
 
 def _reach_in_rounds(steps: DataFrame, starts: DataFrame, most: int | None) -> DataFrame:
-    seen = written(starts.select(G, "node_id", F.lit(0).alias("depth"), F.lit(0).alias("calls")), "reach")
-    front, depth = seen, 0
+    begin = written(starts.groupBy(G, "node_id").agg(F.min("at").cast("int").alias("depth")).withColumn("calls", F.lit(0)), "reach")
+    last = begin.agg(F.coalesce(F.max("depth"), F.lit(0))).first()[0]
+    front, depth = begin.where("depth = 0"), 0
+    seen = front
     while most is None or depth < most:
         depth += 1
-        next_front = front.select(G, F.col("node_id").alias("src"), "calls").join(steps.withColumnRenamed("dst", "node_id"), [G, "src"]).groupBy(G, "node_id").agg(F.min(F.col("calls") + F.col("w")).cast("int").alias("calls"))
-        front = written(next_front.join(seen, [G, "node_id"], "left_anti").select(G, "node_id", F.lit(depth).alias("depth"), "calls"), "front")
-        if front.isEmpty():
+        next_front = front.select(G, F.col("node_id").alias("src"), "calls").join(steps.withColumnRenamed("dst", "node_id"), [G, "src"]).select(G, "node_id", (F.col("calls") + F.col("w")).cast("int").alias("calls"))
+        if depth <= last:
+            next_front = next_front.unionByName(begin.where(F.col("depth") == depth).select(G, "node_id", "calls"))
+        front = written(next_front.groupBy(G, "node_id").agg(F.min("calls").alias("calls")).join(seen, [G, "node_id"], "left_anti").select(G, "node_id", F.lit(depth).alias("depth"), "calls"), "front")
+        if depth >= last and front.isEmpty():
             break
         seen = seen.unionByName(front)
     return seen
@@ -122,28 +183,46 @@ def backward_slice(edges: DataFrame, sinks: DataFrame, most: int = 10) -> DataFr
 def nearest_node(nodes: DataFrame, points: DataFrame, tolerance: int = 3) -> DataFrame:
     """points(graph_id, line) with the node of the graph that stands there: of a preferred type on the line, else any on it, else the
     nearest within the tolerance; the smaller id of equals, null if there is none."""
-    x = points.select(G, F.col("line").alias("at")).join(nodes.where("line > 0"), G).withColumn("gap", F.abs(F.col("line") - F.col("at"))).where(F.col("gap") <= tolerance)
-    rank = F.when((F.col("gap") == 0) & F.col("type").isin("CALL", "IDENTIFIER", "METHOD"), 0).when(F.col("gap") == 0, 1).otherwise(2)
-    best = x.groupBy(G, "at").agg(F.min(F.struct(rank.alias("rank"), "gap", "node_id")).alias("b"))
-    return points.join(best.select(G, F.col("at").alias("line"), F.col("b.node_id").alias("node_id")), [G, "line"], "left")
+    key = points.columns
+    each = points.repartition(G).groupBy(*key).agg(F.count("*").alias("n_points"))
+    placed = nodes.where("line > 0").select(G, "node_id", F.col("type").alias("node_type"), F.col("line").alias("node_line"))
+    near = each.alias("p").join(placed.alias("n"), (F.col(f"p.{G}") == F.col(f"n.{G}")) & (F.abs(F.col("node_line") - F.col("line")) <= tolerance), "left").drop(F.col(f"n.{G}"))
+    gap = F.abs(F.col("node_line") - F.col("line"))
+    rank = F.when((gap == 0) & F.col("node_type").isin("CALL", "IDENTIFIER", "METHOD"), 0).when(gap == 0, 1).otherwise(2)
+    best = near.groupBy(*key, "n_points").agg(F.min(F.when(F.col("node_id").isNotNull(), F.struct(rank.alias("rank"), gap.alias("gap"), "node_id"))).alias("b"))
+    return best.select(*key, F.col("b.node_id").alias("node_id"), F.explode(F.sequence(F.lit(1), "n_points"))).drop("col")
 
 
 def expand_context(nodes: DataFrame, edges: DataFrame, inside: DataFrame, lines: int = 5) -> DataFrame:
-    """inside(graph_id, node_id) and the nodes that an AST edge joins to it whose line is within its lines, five more at either end."""
-    span = inside.join(nodes, [G, "node_id"]).where("line > 0").groupBy(G).agg((F.min("line") - lines).alias("lo"), (F.max("line") + lines).alias("hi"))
-    near = nodes.join(span, G).where("line BETWEEN lo AND hi").select(G, "node_id")
-    tree = undirected(edges.where("type = 'AST'"))
-    beside = inside.select(G, F.col("node_id").alias("src")).join(tree, [G, "src"]).select(G, F.col("dst").alias("node_id"))
-    return inside.select(G, "node_id").unionByName(near.join(beside, [G, "node_id"], "left_semi")).distinct()
+    """inside(graph_id, node_id) and the nodes that an AST edge joins to it whose line is within its lines, five more at either end.
+
+    Nodes, tree edges and what is inside are dealt by graph once; all that follows stays within a graph."""
+    kind = dict(nodes.dtypes)
+    none, no = F.lit(None).cast(kind["node_id"]), F.lit(None).cast(kind["line"])
+    rows = inside.select(G, "node_id", F.lit("inside").alias("is"), none.alias("other"), no.alias("line"))
+    rows = rows.unionByName(nodes.select(G, "node_id", F.lit("node").alias("is"), none.alias("other"), "line"))
+    rows = rows.unionByName(edges.where("type = 'AST'").select(G, F.col("src").alias("node_id"), F.lit("edge").alias("is"), F.col("dst").alias("other"), no.alias("line"))).where("node_id IS NOT NULL").repartition(G)
+    way = lambda a, b: F.struct(F.col(a).alias("node_id"), F.col(b).alias("other"))
+    rows = rows.select(G, "is", "line", F.explode(F.when(F.col("is") == "edge", F.array(way("node_id", "other"), way("other", "node_id"))).otherwise(F.array(way("node_id", "other")))).alias("w")).select(G, "is", "line", "w.*")
+    marked = rows.withColumn("from_inside", F.max(F.col("is") == "inside").over(Window.partitionBy(G, "node_id")))
+    beside = marked.where("`is` <> 'edge' OR from_inside").select(G, "is", "line", F.when(F.col("is") == "edge", F.col("other")).otherwise(F.col("node_id")).alias("node_id"))
+    one = beside.groupBy(G, "node_id").agg(F.max("line").alias("line"), *[F.max(F.col("is") == k).alias(k) for k in ("inside", "node", "edge")])
+    w, own = Window.partitionBy(G), F.when(F.col("inside") & (F.col("line") > 0), F.col("line"))
+    span = one.withColumns({"lo": F.min(own).over(w) - lines, "hi": F.max(own).over(w) + lines})
+    return span.where("inside OR (node AND edge AND line BETWEEN lo AND hi)").select(G, "node_id")
 
 
 def slice_for_points(nodes: DataFrame, edges: DataFrame, sinks: DataFrame, sources: DataFrame) -> DataFrame:
     """(graph_id, node_id): what the sinks depend on within ten edges and the sources within three, with context; a graph whose sink
-    isn't found stays whole."""
-    parts = backward_slice(edges, sinks.where("node_id IS NOT NULL"), 10).select(G, "node_id").unionByName(backward_slice(edges, sources.where("node_id IS NOT NULL"), 3).select(G, "node_id"))
-    lost = sinks.where("node_id IS NULL").select(G).distinct()
-    kept = expand_context(nodes, edges, written(parts.distinct(), "slice"))
-    return kept.join(lost, G, "left_anti").unionByName(nodes.join(lost, G, "left_semi").select(G, "node_id"))
+    isn't found stays whole, so nothing is searched in it. Both are one search, in which sources begin seven steps later."""
+    lost, known = sinks.where("node_id IS NULL").select(G).distinct(), sinks.where("node_id IS NOT NULL")
+    late = sources.where("node_id IS NOT NULL").join(lost, G, "left_anti").select(G, "node_id", F.lit(7).alias("at"))
+    begin = written(known.join(lost, G, "left_anti").select(G, "node_id", F.lit(0).alias("at")).unionByName(late), "starts")
+    searched = written(begin.select(G).distinct(), "searched")
+    few = small_side(searched)
+    part = edges.join(few, G, "left_semi")
+    kept = expand_context(nodes.join(few, G, "left_semi"), part, backward_slice(part, begin, 10).select(G, "node_id"))
+    return kept.unionByName(nodes.join(lost, G, "left_semi").select(G, "node_id"))
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -227,9 +227,11 @@ def slice_for_points(nodes: DataFrame, edges: DataFrame, sinks: DataFrame, sourc
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(graph_id, node_id, n_in, n_out)."""
-    ends = edges.select(G, F.col("src").alias("node_id"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(edges.select(G, F.col("dst").alias("node_id"), F.lit(0).alias("o"), F.lit(1).alias("i")))
-    n = ends.groupBy(G, "node_id").agg(F.sum("i").alias("n_in"), F.sum("o").alias("n_out"))
-    return nodes.select(G, "node_id").join(n, [G, "node_id"], "left").select(G, "node_id", F.coalesce("n_in", F.lit(0)).alias("n_in"), F.coalesce("n_out", F.lit(0)).alias("n_out"))
+    rows = nodes.select(G, F.col("node_id").alias("src"), F.lit(None).cast(dict(edges.dtypes)["dst"]).alias("dst"), F.lit(True).alias("own")).unionByName(edges.select(G, "src", "dst", F.lit(False).alias("own"))).repartition(G)
+    count = lambda c, own, i, o: F.struct(F.col(c).alias("node_id"), F.lit(own).alias("own"), F.lit(i).alias("i"), F.lit(o).alias("o"))
+    ends = rows.select(G, F.explode(F.when(F.col("own"), F.array(count("src", 1, 0, 0))).otherwise(F.array(count("src", 0, 0, 1), count("dst", 0, 1, 0)))).alias("e")).select(G, "e.*")
+    n = ends.groupBy(G, "node_id").agg(F.max("own").alias("own"), F.sum("i").alias("n_in"), F.sum("o").alias("n_out"))
+    return n.where("own = 1").select(G, "node_id", "n_in", "n_out")
 
 
 def degree_features(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -252,9 +254,11 @@ def roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def bfs_depth(nodes: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
     """(graph_id, node_id, depth, share): steps from the root whatever the direction, as a share of the deepest; 1 if not reached, within
     `most` steps (any number by default)."""
-    found = reach(undirected(edges), roots(nodes, edges), most)
-    deep = found.groupBy(G).agg(F.greatest(F.max("depth"), F.lit(1)).alias("deep"))
-    return nodes.select(G, "node_id").join(found, [G, "node_id"], "left").join(deep, G).select(G, "node_id", "depth", F.coalesce(F.col("depth") / F.col("deep"), F.lit(1.0)).alias("share"))
+    found = reach(edges, roots(nodes, edges), most, both=True)
+    rows = nodes.select(G, "node_id", F.lit(None).cast("int").alias("depth"), F.lit(True).alias("own")).unionByName(found.select(G, "node_id", "depth", F.lit(False).alias("own")))
+    one = rows.repartition(G).groupBy(G, "node_id").agg(F.max("depth").alias("depth"), F.max("own").alias("own"))
+    deep = F.greatest(F.max("depth").over(Window.partitionBy(G)), F.lit(1))
+    return one.withColumn("deep", deep).where("own").select(G, "node_id", "depth", F.coalesce(F.col("depth") / F.col("deep"), F.lit(1.0)).alias("share"))
 
 
 def bfs_truncate(nodes: DataFrame, edges: DataFrame, most: int) -> DataFrame:

@@ -178,7 +178,8 @@ def matches(files: DataFrame, catalogue: DataFrame) -> DataFrame:
 
 def secret_lines(files: DataFrame) -> DataFrame:
     """files(file, language, text) -> (file, language, line_no, code, rule, cwe_id, severity) of strings given to names like secrets'."""
-    x = explode_lines(files.where(F.col("language").isin(fixed.SECRET_LANGUAGES)).select("file", "language", "text")).where(hardcoded_secret(F.col("code")).isNotNull())
+    x = explode_lines(files.where(F.col("language").isin(fixed.SECRET_LANGUAGES)).select("file", "language", "text"))
+    x = x.where(F.col("code").rlike("(?i)" + "|".join(fixed.SECRET_NAMES))).where(hardcoded_secret(F.col("code")).isNotNull())
     return x.select("file", "language", "line_no", "code", F.lit("hardcoded_secret").alias("rule"), F.lit("CWE-798").alias("cwe_id"), F.lit("high").alias("severity"))
 
 

@@ -359,33 +359,41 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     Graphs of at most MOST_EDGES edges are gathered by their id. In larger ones nodes pass on the smallest label and then the label
     of that label, so that the rounds grow with the logarithm of the widest component, until no label changes.
     """
-    small, large = _split_by_size(edges.select(G, "src", "dst"))
     kind = dict(nodes.dtypes)
+    end = lambda c, name: F.col(c).cast(kind["node_id"]).alias(name)
+    links = edges.where("src IS NOT NULL AND dst IS NOT NULL").select(F.col(G).cast(kind[G]).alias(G), end("src", "src"), end("dst", "dst"))
+    small, large = _split_by_size(links.unionByName(nodes.select(G, end("node_id", "src"), F.lit(None).cast(kind["node_id"]).alias("dst"))))
+
+    def run(t: pa.Table) -> pa.RecordBatch:
+        e, own = t.filter(t["dst"].is_valid()), t.filter(t["dst"].is_null())
+        (src, dst, mine), graphs, nodes, graph, node = _numbers((e[G], e["src"]), (e[G], e["dst"]), (own[G], own["src"]))
+        by_size = np.empty(len(nodes.dictionary), dtype=np.int64)
+        by_size[pc.sort_indices(nodes.dictionary).to_numpy()] = np.arange(len(by_size))
+        smallest = np.full(len(graph), len(by_size))
+        label = _linked(len(graph), src, dst)
+        np.minimum.at(smallest, label, by_size[node])
+        least = pc.sort_indices(nodes.dictionary).take(pa.array(smallest[label[mine]]))
+        return pa.RecordBatch.from_arrays([graphs.dictionary.take(pa.array(graph[mine])), nodes.dictionary.take(pa.array(node[mine])), nodes.dictionary.take(least)], [G, "node_id", "component"])
+
+    linked = _whole_graphs(small, run, f"{G} {kind[G]}, node_id {kind['node_id']}, component {kind['node_id']}")
+    if large is None:
+        return linked
+    far = _components_in_rounds(large.where("dst IS NOT NULL"))
+    rest = large.where("dst IS NULL").select(G, F.col("src").alias("node_id")).join(far, [G, "node_id"], "left")
+    return linked.unionByName(rest.select(G, "node_id", F.coalesce("component", "node_id").alias("component")))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            ids, found, labels = [], [], []
-            for g, src, dst in b.itertuples(index=False):
-                low: dict = {}
-
-                def first(x):
-                    while low.setdefault(x, x) != x:  # noqa: B023
-                        low[x] = low[low[x]]  # noqa: B023
-                        x = low[x]  # noqa: B023
-                    return x
-
-                for x, y in zip(src.tolist(), dst.tolist(), strict=True):
-                    x, y = first(x), first(y)
-                    low[max(x, y)] = min(x, y)
-                ids += [g] * len(low)
-                found += low
-                labels += [first(x) for x in list(low)]
-            yield pd.DataFrame({G: ids, "node_id": found, "component": labels})
-
-    linked = _arrays(small, "src", "dst").mapInPandas(run, f"{G} {kind[G]}, node_id {kind['node_id']}, component {kind['node_id']}")
-    if large is not None:
-        linked = linked.unionByName(_components_in_rounds(large))
-    return nodes.select(G, "node_id").join(linked, [G, "node_id"], "left").select(G, "node_id", F.coalesce("component", "node_id").alias("component"))
+
+def _linked(n: int, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
+    """For n nodes of many graphs the smallest number that edges join them to, whatever the direction."""
+    low = np.arange(n)
+    while len(src):
+        a, b = low[src], low[dst]
+        np.minimum.at(low, np.maximum(a, b), np.minimum(a, b))
+        while (low[low] != low).any():
+            low = low[low]
+        apart = low[src] != low[dst]
+        src, dst = src[apart], dst[apart]
+    return low
 
 
 def _components_in_rounds(edges: DataFrame) -> DataFrame:
@@ -405,12 +413,12 @@ def graph_stats(nodes: DataFrame, edges: DataFrame, stubs: DataFrame | None = No
     """(graph_id, nodes, edges, nodes_by_type, edges_by_type, mean_degree, density, components, is_stub): counts by type are arrays of (type, n)
     in order of type; is_stub says whether the graph is one of stubs(graph_id), which stand in for graphs that couldn't be built."""
 
-    def by_type(rows: DataFrame, name: str) -> DataFrame:
-        each = rows.groupBy(G, F.coalesce("type", F.lit("UNKNOWN")).alias("type")).agg(F.count("*").alias("n"))
-        return each.groupBy(G).agg(F.sum("n").alias(name), F.array_sort(F.collect_list(F.struct("type", "n"))).alias(f"{name}_by_type"))
-
+    typed = lambda rows, edge: rows.select(G, F.lit(edge).alias("edge"), F.coalesce("type", F.lit("UNKNOWN")).alias("type"))
+    each = typed(nodes, False).unionByName(typed(edges, True)).repartition(G).groupBy(G, "edge", "type").agg(F.count("*").alias("n"))
+    of = lambda edge, name: (F.sum(F.when(edge, F.col("n"))).alias(name), F.array_sort(F.collect_list(F.when(edge, F.struct("type", "n")))).alias(f"{name}_by_type"))
+    x = each.groupBy(G).agg(*of(~F.col("edge"), "nodes"), *of(F.col("edge"), "edges")).where("nodes IS NOT NULL")
     c = components(nodes, edges).groupBy(G).agg(F.countDistinct("component").alias("components"))
-    x = by_type(nodes, "nodes").join(by_type(edges, "edges"), G, "left").join(c, G).withColumn("edges", F.coalesce("edges", F.lit(0)))
+    x = x.join(c, G).withColumn("edges", F.coalesce("edges", F.lit(0)))
     x = x.withColumn("is_stub", F.lit(False)) if stubs is None else x.join(stubs.select(G, F.lit(True).alias("is_stub")).distinct(), G, "left").withColumn("is_stub", F.coalesce("is_stub", F.lit(False)))
     density = F.coalesce(F.try_divide(F.col("edges").cast("double"), F.col("nodes") * (F.col("nodes") - 1)), F.lit(0.0))
     none = F.array().cast("array<struct<type:string,n:bigint>>")

@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 Stage = Callable[[DataFrame], DataFrame]
+#: Bytes of texts that a model is called on at once; a longer text by itself.
+TEXT_HELD = 4 << 20
 
 
 def run_stages(findings: DataFrame, stages: list[Stage]) -> DataFrame:
@@ -19,12 +24,15 @@ def run_stages(findings: DataFrame, stages: list[Stage]) -> DataFrame:
 
 
 def model_scorer(model: Callable[[pd.Series], pd.Series]) -> Stage:
-    """A stage that adds `score` from a model called on Arrow batches of `text`."""
+    """A stage that adds `score` from a model called on parts of Arrow batches of `text`, of about TEXT_HELD bytes, whatever a batch holds."""
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield model(texts)
+            part = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // TEXT_HELD
+            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
+            scores = [pa.array(model(texts.slice(a, b - a).to_pandas()), pa.float64(), from_pandas=True) for a, b in zip(cuts, cuts[1:]) if b > a]
+            yield pa.concat_arrays(scores) if scores else pa.array([], pa.float64())
 
     return lambda df: df.withColumn("score", score("text"))
 

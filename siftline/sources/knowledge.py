@@ -11,23 +11,28 @@ CVE_SCHEMA = """id string, published string, lastModified string, descriptions a
 metrics struct<cvssMetricV31:array<struct<cvssData:struct<baseScore:double,baseSeverity:string>>>,cvssMetricV30:array<struct<cvssData:struct<baseScore:double,baseSeverity:string>>>>, references array<struct<url:string>>"""
 
 
-def parse_cve(rows: DataFrame, json_col: str = "json") -> DataFrame:
+#: Strings of any length: a parser that is left alone rejects a record for one of over 20 million characters.
+ANY_LENGTH = {"maxStringLen": str(2**31 - 1)}
+
+
+def parse_cve(rows: DataFrame, json_col: str = "json", blank: bool = False) -> DataFrame:
     """(id, description, cwe_ids, score, severity, references, published, last_modified) of CVE objects as JSON text.
 
     The English description, else the first; weakness values that begin with CWE-; the v3.1 score, else v3.0. Rows without a
-    description, or without an object, are left out.
+    description, or without an object, are left out. With blank, an English description counts as it is, empty or null too, and its row stays.
     """
-    x = rows.select(F.from_json(json_col, CVE_SCHEMA).alias("c")).select("c.*")
-    text = F.coalesce(F.nullif(F.try_element_at(F.filter("descriptions", lambda d: d["lang"] == "en"), F.lit(1))["value"], F.lit("")), F.try_element_at("descriptions", F.lit(1))["value"])
+    x = rows.select(F.from_json(json_col, CVE_SCHEMA, ANY_LENGTH).alias("c")).select("c.*")
+    english, first = F.try_element_at(F.filter("descriptions", lambda d: d["lang"] == "en"), F.lit(1)), F.try_element_at("descriptions", F.lit(1))["value"]
+    text = F.when(english.isNotNull(), english["value"]).otherwise(first) if blank else F.coalesce(F.nullif(english["value"], F.lit("")), first)
     data = [F.try_element_at(F.col(f"metrics.cvssMetricV{n}"), F.lit(1))["cvssData"] for n in ("31", "30")]
     newer = data[0]["baseScore"].isNotNull()
     values = F.flatten(F.transform(F.coalesce("weaknesses", F.array()), lambda w: F.transform(w["description"], lambda d: d["value"])))
     out = x.select(
-        "id", text.alias("description"), F.filter(values, lambda c: c.startswith("CWE-")).alias("cwe_ids"),
+        "id", "descriptions", text.alias("description"), F.filter(values, lambda c: c.startswith("CWE-")).alias("cwe_ids"),
         F.when(newer, data[0]["baseScore"]).otherwise(data[1]["baseScore"]).alias("score"), F.when(newer, data[0]["baseSeverity"]).otherwise(data[1]["baseSeverity"]).alias("severity"),
         F.filter(F.transform(F.coalesce("references", F.array()), lambda r: r["url"]), lambda u: u != "").alias("references"), F.try_to_timestamp(F.col("published")).alias("published"), F.try_to_timestamp(F.col("lastModified")).alias("last_modified"),
     )
-    return out.where("description <> ''")
+    return out.where("size(descriptions) > 0" if blank else "description <> ''").drop("descriptions")
 
 
 CWE_SCHEMA = """_ID string, _Name string, Description string, Detection_Methods struct<Detection_Method:array<struct<Method:string,Description:string>>>, Potential_Mitigations struct<Mitigation:array<struct<Description:string>>>,

@@ -215,7 +215,7 @@ def expand_context(nodes: DataFrame, edges: DataFrame, inside: DataFrame, lines:
 def slice_for_points(nodes: DataFrame, edges: DataFrame, sinks: DataFrame, sources: DataFrame) -> DataFrame:
     """(graph_id, node_id): what the sinks depend on within ten edges and the sources within three, with context; a graph whose sink
     isn't found stays whole, so nothing is searched in it. Both are one search, in which sources begin seven steps later."""
-    lost, known = sinks.where("node_id IS NULL").select(G).distinct(), sinks.where("node_id IS NOT NULL")
+    lost, known = small_side(written(sinks.where("node_id IS NULL").select(G).distinct(), "lost")), sinks.where("node_id IS NOT NULL")
     late = sources.where("node_id IS NOT NULL").join(lost, G, "left_anti").select(G, "node_id", F.lit(7).alias("at"))
     begin = written(known.join(lost, G, "left_anti").select(G, "node_id", F.lit(0).alias("at")).unionByName(late), "starts")
     searched = written(begin.select(G).distinct(), "searched")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import partial
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +19,8 @@ from siftline.tables import dealt, small_side, written
 SHARDS, SPREAD = 32, 4
 #: Words of texts that a task counts and sorts into one file: a larger part has more files, not larger ones.
 WORDS_A_FILE = 500_000
+#: Words of documents, or postings, that a task holds at once to count them or to pack them by term.
+WORDS_HELD = 1 << 20
 #: What two sums of the same parts in other orders may differ by, and the rounding of ranks.
 SLACK = 1e-7
 
@@ -25,11 +30,67 @@ def _spread(words: int) -> int:
     return max(SPREAD, -(-words // (SHARDS * WORDS_A_FILE)))
 
 
+def _lists(values: pa.Array, cuts: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), values)
+
+
+def _held(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """The batches, cut so that a list column has about WORDS_HELD values in each."""
+    for b in batches:
+        ends = np.cumsum(b.column(column).value_lengths().fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < b.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + WORDS_HELD, side="right")))
+            yield b.slice(at, to - at)
+            at = to
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, t) -> (id, len, terms, tf): each document's distinct words and how often it has them."""
+    for b in _held(batches, "t"):
+        size = b.column("t").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        words = b.column("t").flatten().dictionary_encode()
+        many = max(1, len(words.dictionary))
+        keys, tf = np.unique(np.repeat(np.arange(b.num_rows), size) * many + words.indices.to_numpy(), return_counts=True)
+        cuts = np.searchsorted(keys // many, np.arange(b.num_rows + 1))
+        yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(size, pa.int32()), _lists(words.dictionary.take(pa.array(keys % many)), cuts), _lists(pa.array(tf, pa.int32()), cuts)], ["id", "len", "terms", "tf"])
+
+
+def _by_term(terms: pa.Array, ids: pa.Array, tf: pa.Array, size: pa.Array) -> pa.RecordBatch:
+    """A row for each term, with lists of what its postings hold."""
+    terms = terms.dictionary_encode()
+    codes = terms.indices.to_numpy()
+    order = np.argsort(codes, kind="stable")
+    cuts = np.searchsorted(codes[order], np.arange(len(terms.dictionary) + 1))
+    return pa.RecordBatch.from_arrays([terms.dictionary, *[_lists(x.take(pa.array(order)), cuts) for x in (ids, tf, size)]], ["term", "ids", "tfs", "lens"])
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, len, terms, tf) of documents -> (term, ids, tfs, lens)."""
+    for b in _held(batches, "terms"):
+        own = pa.array(np.repeat(np.arange(b.num_rows), b.column("terms").value_lengths().to_numpy(zero_copy_only=False)))
+        if len(own):
+            yield _by_term(b.column("terms").flatten(), b.column("id").take(own), b.column("tf").flatten(), b.column("len").take(own))
+
+
+def _repacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings (term, id, tf, len) -> (term, ids, tfs, lens)."""
+    for b in batches:
+        if b.num_rows:
+            yield _by_term(*[b.column(k) for k in ("term", "id", "tf", "len")])
+
+
+def _postings(rows: DataFrame) -> DataFrame:
+    """Packed rows as a row for each posting: (id, tf, len) and the other columns."""
+    each = rows.withColumn("p", F.explode(F.arrays_zip("ids", "tfs", "lens"))).drop("ids", "tfs", "lens")
+    return each.withColumns({"id": F.col("p.ids"), "tf": F.col("p.tfs"), "len": F.col("p.lens")}).drop("p")
+
+
 class KeywordIndex:
     """An index of (id, text) in a folder that driver and executors share. One writer at a time.
 
-    Parts follow each other. A part holds its documents (id, len, distinct terms), their postings (term, id, tf, len) in folders by the term's hash
-    and sorted by term, and what it changes in sums: documents, words, and documents by term, negative for those that it replaces. Sums
+    Parts follow each other. A part holds its documents (id, len, distinct terms, their counts), their postings in folders by the term's hash
+    and sorted by term, a row for a term and some documents (term, ids, tfs, lens), and what it changes in sums: documents, words, and documents by term, negative for those that it replaces. Sums
     of all parts are the corpus's statistics, so a part reads the texts of its own documents only. Rows of an earlier part that a later
     one replaces are listed with it. A part counts once its last table is written whole, and a number that is there already is passed over, so a repeated
     part changes nothing. `merge` writes all parts as one; the parts before stay until the next merge, for readers under way.
@@ -42,9 +103,10 @@ class KeywordIndex:
         self._hadoop = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._hadoop(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
         self._schemas = {
-            "documents": f"id {id_type}, len int, terms array<string>, part int", "postings": f"term string, id {id_type}, tf bigint, len int, part int, shard int",
+            "documents": f"id {id_type}, len int, terms array<string>, tf array<int>, part int", "postings": f"term string, ids array<{id_type}>, tfs array<int>, lens array<int>, part int, shard int",
             "gone": f"id {id_type}, until int, part int", "terms": "term string, df bigint, most bigint, shortest int, part int", "size": "n bigint, total bigint, part int",
         }
+        self._pack = f"term string, ids array<{id_type}>, tfs array<int>, lens array<int>"
 
     def _names(self, folder: str, prefix: str) -> list[int]:
         at = self._hadoop(folder)
@@ -91,22 +153,27 @@ class KeywordIndex:
             return
         if known and number < max(known):
             raise ValueError(f"part {number} comes before part {max(known)}")
-        words = changes.where("id IS NOT NULL").select("id", tokens(F.col("text")).alias("t"))
-        words = written(words.select("id", F.size("t").alias("len"), "t"), "words")
+        g = self.generation()
+        words = changes.where("id IS NOT NULL").select(F.col("id").cast(self.id_type).alias("id"), tokens(F.col("text")).alias("t"))
+        self._save(words.mapInArrow(_counted, f"id {self.id_type}, len int, terms array<string>, tf array<int>"), g, number, "documents")  # doesn't count before the part is whole
+        words = self._read("documents", g, [number]).drop("part")
         ids = words.select("id") if removed is None else words.select("id").unionByName(removed.where("id IS NOT NULL").select("id")).distinct()
         old = None
         if known:
-            old = written(self._live(self._read("documents").join(small_side(ids), "id", "left_semi")).drop("part"), "replaced")
-        self._write(self.generation(), number, words, old)
+            old = written(self._live(self._read("documents").join(small_side(ids), "id", "left_semi")).drop("part", "tf"), "replaced")
+        self._write(g, number, words, old)
+
+    def _save_postings(self, packed: DataFrame, words: int, generation: int, number: int) -> None:
+        """Packed rows dealt over files by their term's shard, those of a term by their first document, and sorted by term."""
+        spread = _spread(words)
+        shard, salt = F.pmod(F.xxhash64("term"), F.lit(SHARDS)).cast("int"), F.pmod(F.xxhash64(F.get("ids", F.lit(0))), F.lit(spread)).cast("int")
+        rows = packed.withColumn("shard", shard).repartition(SHARDS * spread, "shard", salt)
+        self._save(rows.sortWithinPartitions("shard", "term"), generation, number, "postings", "shard")
 
     def _write(self, generation: int, number: int, words: DataFrame, old: DataFrame | None) -> None:
         save = partial(self._save, generation=generation, number=number)
-        save(words.select("id", "len", F.array_distinct("t").alias("terms")), table="documents")
-        spread = _spread(words.agg(F.coalesce(F.sum("len"), F.lit(0))).first()[0])
-        shard, salt = F.pmod(F.xxhash64("term"), F.lit(SHARDS)).cast("int"), F.pmod(F.xxhash64("id"), F.lit(spread)).cast("int")
-        each = words.select("id", "len", F.explode("t").alias("term")).withColumn("shard", shard).withColumn("salt", salt)
-        counted = each.repartition(SHARDS * spread, "shard", "salt").groupBy("shard", "salt", "term", "id", "len").agg(F.count("*").alias("tf"))
-        self._save(counted.select("shard", "term", "id", "tf", "len").sortWithinPartitions("shard", "term"), generation, number, "postings", "shard")
+        total = words.agg(F.coalesce(F.sum("len"), F.lit(0))).first()[0]
+        self._save_postings(words.mapInArrow(_packed, self._pack), total, generation, number)
         df = self._bounds(generation, number)
         size = words.agg(F.count("*").alias("n"), F.coalesce(F.sum("len"), F.lit(0)).cast("long").alias("total"))
         if old is None:
@@ -121,7 +188,8 @@ class KeywordIndex:
         save(size.agg(F.sum("n").alias("n"), F.sum("total").alias("total")), table="size")  # last: the part counts from here
 
     def _bounds(self, generation: int, number: int) -> DataFrame:
-        return self._read("postings", generation, [number]).groupBy("term").agg(F.count("*").alias("df"), F.max("tf").alias("most"), F.min("len").alias("shortest"))
+        found = self._read("postings", generation, [number]).groupBy("term")
+        return found.agg(F.sum(F.size("ids")).alias("df"), F.max(F.array_max("tfs").cast("bigint")).alias("most"), F.min(F.array_min("lens")).alias("shortest"))
 
     def merge(self) -> None:
         """Write the live rows of all parts as the one part of a new generation, whose number is that of the last part."""
@@ -130,10 +198,9 @@ class KeywordIndex:
             return
         to, number = generation + 1, known[-1]
         self._save(self._live(self._read("documents")).drop("part"), to, number, "documents")
-        spread = _spread(self._read("size").agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0])
-        salt = F.pmod(F.xxhash64("id"), F.lit(spread)).cast("int")
-        live = self._live(self._read("postings")).select("shard", "term", "id", "tf", "len")
-        self._save(live.repartition(SHARDS * spread, "shard", salt).sortWithinPartitions("shard", "term"), to, number, "postings", "shard")
+        total = self._read("size").agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
+        live = self._live(_postings(self._read("postings"))).select("term", "id", "tf", "len")
+        self._save_postings(live.mapInArrow(_repacked, self._pack), total, to, number)
         self._save(self._bounds(to, number), to, number, "terms")
         self._save(self._read("gone").limit(0).drop("part"), to, number, "gone")
         self._save(self._read("size").agg(F.sum("n").alias("n"), F.sum("total").alias("total")), to, number, "size")
@@ -173,19 +240,31 @@ class KeywordIndex:
         # negative weights bound nothing: such a query has strong terms only
         plan = weights.withColumn("first", F.coalesce(F.sum("bound").over(strong.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)) * 2 < F.sum("bound").over(every)).withColumn("below", F.sum("bound").over(weak.rowsBetween(Window.unboundedPreceding, 0))).withColumn("signed", F.min("w").over(every) < 0)
         plan = written(plan.withColumn("shard", F.pmod(F.xxhash64("term"), F.lit(SHARDS)).cast("int")), "term_plan")
+        numbers = written(plan.select("shard", "term").distinct().withColumn("k", F.monotonically_increasing_id()), "term_numbers")
+        plan = written(plan.join(small_side(numbers), ["shard", "term"]), "numbered_plan")
+        q_type = dict(queries.dtypes)["q"]
+
+        def sums(terms: DataFrame, before: DataFrame | None = None, only: bool = False) -> DataFrame:
+            """(q, id, s): what documents get for terms, and had before; with only, of those that had some. A posting is dealt by its document
+            once, whatever number of queries ask for its term, and meets them there."""
+            met = postings.join(small_side(terms.select("shard", "term", "k").distinct()), ["shard", "term"])
+            sent = self._live(_postings(met)).select("id", "k", "tf", "len", F.lit(None).cast(q_type).alias("q"), F.lit(None).cast("double").alias("s"))
+            if before is not None:
+                sent = sent.unionByName(before.select("q", "id", "s"), allowMissingColumns=True)
+            asked = small_side(terms.select("k", F.col("q").alias("for"), "w"))
+            each = dealt(sent, n, DOCS_A_TASK, "id").join(asked, "k", "left").select(F.coalesce("q", "for").alias("q"), "id", F.coalesce("s", F.col("w") * part(F.col("tf"), F.col("len"))).alias("s"), F.col("k").isNull().alias("had"))
+            added = each.groupBy("q", "id").agg(F.sum("s").alias("s"), F.max("had").alias("had"))
+            return (added.where("had") if only else added).drop("had")
+
         postings = self._read("postings")
-        met = lambda terms: self._live(postings.join(small_side(terms.select("q", "shard", "term", "w", "below")), ["shard", "term"])).select("q", "id", "term", "below", (F.col("w") * part(F.col("tf"), F.col("len"))).alias("s"))
-        by_document = lambda rows: dealt(rows, n, DOCS_A_TASK, "id").groupBy("q", "id")
-        start = written(by_document(met(plan.where("first OR signed"))).agg(F.sum("s").alias("s")), "strong_sums")
+        start = written(sums(plan.where("first OR signed")), "strong_sums")
         kth = Window.partitionBy("q").orderBy(F.desc("s"))
         floors = start.withColumn("rn", F.row_number().over(kth)).where(F.col("rn") == k).select("q", (F.col("s") - SLACK).alias("floor"))
         floors = small_side(written(floors, "floors"))
         later = plan.where("NOT first AND NOT signed").join(floors, "q", "left").withColumn("weak", F.coalesce(F.col("below") < F.col("floor"), F.lit(False)))
         later = written(later, "later_terms")
-        middle = met(later.where("NOT weak")).select("q", "id", "s")
-        found = by_document(start.unionByName(middle)).agg(F.sum("s").alias("s"))
+        found = sums(later.where("NOT weak"), start)
         rest = later.where("weak").groupBy("q").agg(F.max("below").alias("rest"))
         can = F.col("s") + F.coalesce("rest", F.lit(0.0)) >= F.coalesce("floor", F.lit(float("-inf")))
         found = written(found.join(floors, "q", "left").join(small_side(rest), "q", "left").where(can).select("q", "id", "s"), "candidates")
-        tail = met(later.where("weak")).join(small_side(found.select("q", "id")), ["q", "id"], "left_semi").select("q", "id", "s")
-        return ranked(by_document(found.unionByName(tail)).agg(F.sum("s").alias("score")).where("score > 0"), k)
+        return ranked(sums(later.where("weak"), found, only=True).withColumnRenamed("s", "score").where("score > 0"), k)

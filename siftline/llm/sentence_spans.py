@@ -162,7 +162,7 @@ def candidate_spans(rows: DataFrame, chunk_spans: int = CHUNK_SPANS, bits: int =
     of prefixes follow the size of the table, up to 65,536 of them.
     """
     kind = dict(rows.dtypes)["id"]
-    chunks = written(_chunks(rows, chunk_spans), "span_chunks")
+    chunks = written(_chunks(rows, chunk_spans), "span_chunks", wide=True, dictionary=True)  # a chunk is a row of some megabytes
     total = chunks.agg(F.sum(F.size("a"))).first()[0] or 0
     block_bits = min(16, max(6, (total // BLOCK_SPANS).bit_length()))
     marks = written(_counted_twice(chunks, block_bits, bits), "span_marks")
